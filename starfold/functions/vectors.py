@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.core import as_list, bind, dot, hash_int
+from starfold.core import as_list, bind, dot, hash_int, once
 
 SMALL_GROUP = 48
 ROWS_PER_BLOCK = 2048
@@ -131,7 +131,7 @@ def similarity_pairs(
         )
         rows = rows.where(F.col("__n") > small_group).drop("__n")
     width = math.acos(min(threshold, 1.0)) + CELL_SLACK
-    rows = rows.withColumn("__c", _cells(width)(F.col("v")))
+    rows = once(rows, "__c", _cells(width)(F.col("v")))
     cells = rows.groupBy(*by, "__c").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("__k"))
     rows = rows.join(cells, [*by, "__c"]).withColumn("__blk", (hash_int("block", "id") % F.col("__k")).cast("int")).drop("__k")
     steps = F.array(*[F.array(F.lit(x), F.lit(y)) for x in (-1, 0, 1) for y in (-1, 0, 1)])
@@ -200,13 +200,13 @@ def compare_grids(a: DataFrame, b: DataFrame, key: str, grid: str, plane: int) -
     )
 
 
-def score_batches(df: DataFrame, id_col: str, vec: str, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]],
+def score_batches(df: DataFrame, id_col: str, vec: str, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], dim: int,
                   lower_is_better: bool = False, batch_size: int = 1024) -> DataFrame:
     """Scores of a user model over a vector column, in Arrow batches; non-finite scores become NULL."""
     from pyspark.ml.functions import predict_batch_udf
 
-    predict = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=None)
+    predict = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[dim]])
     first = df.select(F.col(id_col), as_double(F.col(vec)).alias("__v"))
-    raw = first.select(id_col, predict(F.col("__v")).alias("__s"))
+    raw = once(first, "__s", predict(F.col("__v")))
     score = -F.col("__s") if lower_is_better else F.col("__s")
     return raw.select(id_col, F.when(~F.isnan("__s") & (F.abs("__s") < float("inf")), score).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mining"]
+MODULES = ["mining", "columns"]
 
 
 def load_all():

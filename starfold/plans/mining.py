@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from starfold.core import r6
 from starfold.functions import scalars as S
 from starfold.functions import vectors as V
 from starfold.operators import clusters as C
@@ -196,3 +195,314 @@ def j9(spark, d):
   WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.35""")
 def u2(spark, d):
     return V.similarity_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35, rows_per_block=256)
+
+
+# --- joins -------------------------------------------------------------------------------------------------------
+
+
+@query("j1_assemble_items", """SELECT c.id, c.event, CAST(c.star AS BIGINT) AS star, c.cluster_size, s.score_a, e.label FROM clustered c JOIN itemscores s ON s.id = c.id
+  JOIN vectors e ON e.vec_id = c.id % (SELECT count(*) FROM embeddings)""")
+def j1(spark, d):
+    base = views.clustered(spark, d).select("id", "event", "star", "cluster_size")
+    scores = views.with_scores(views.items(spark, d)).select("id", "score_a")
+    e = table(spark, d, "embeddings")
+    vec = views.items(spark, d).select("id").crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    vec = vec.select("id", (F.col("id") % F.col("n")).alias("vec_id")).join(e.select("vec_id", "label"), "vec_id").drop("vec_id")
+    return J.assemble_items(base, "id", scores, vec)
+
+
+def _near_pairs(spark, d, n=3):
+    s = views.with_scores(views.clustered(spark, d))
+    p = T.lag_pairs(s, SEGMENT, "t", n, []).select("id_i", "id_j")
+    return s, p.withColumn("ptype", F.when((F.col("id_i") + F.col("id_j")) % 3 == 0, "derived").otherwise("window"))
+
+
+NEAR_SQL = """WITH q AS (SELECT *, row_number() OVER (PARTITION BY event, owner, seg ORDER BY t, id) AS pos FROM scored),
+  np AS (SELECT a.id AS id_i, b.id AS id_j, CASE WHEN (a.id + b.id) % 3 = 0 THEN 'derived' ELSE 'window' END AS ptype, a.star AS star_i, b.star AS star_j,
+    a.score_a AS score_a_i, b.score_a AS score_a_j, a.score_b AS score_b_i, b.score_b AS score_b_j, a.event, a.is_top AS is_top_i, b.is_top AS is_top_j
+    FROM q a JOIN q b ON a.event = b.event AND a.owner = b.owner AND a.seg = b.seg AND b.pos > a.pos AND b.pos <= a.pos + 3)"""
+
+
+@query("j2_attach_and_orient", NEAR_SQL + """, o AS (SELECT *, sign(CASE WHEN ptype = 'derived' THEN score_a_i - score_a_j ELSE star_i - star_j END) AS s FROM np)
+  SELECT ptype, CASE WHEN s > 0 THEN id_i ELSE id_j END AS winner, CASE WHEN s > 0 THEN id_j ELSE id_i END AS loser FROM o WHERE s <> 0""")
+def j2(spark, d):
+    s, p = _near_pairs(spark, d)
+    return J.orient(J.attach_endpoints(p, s, "id", ["score_a", "star"]), "id", "score_a", "star").select("ptype", "winner", "loser")
+
+
+PART_NAME_SQL = """exports AS (SELECT p_partkey AS export_id, p_brand AS event, regexp_replace(p_name || CASE p_partkey % 3 WHEN 0 THEN '@JPG' WHEN 1 THEN '@jpg_2' ELSE '' END || '.jpg', '\\.[^.]*$', '') AS raw FROM part),
+  ex AS (SELECT export_id, event, regexp_replace(raw, '@JPG(_\\d+)?$', '', 'i') AS name FROM exports)"""
+
+
+def _exports(spark, d):
+    p = table(spark, d, "part")
+    suffix = F.when(F.col("p_partkey") % 3 == 0, "@JPG").when(F.col("p_partkey") % 3 == 1, "@jpg_2").otherwise("")
+    return p.select(F.col("p_partkey").alias("export_id"), F.col("p_brand").alias("event"), S.strip_export_suffix(F.concat("p_name", suffix, F.lit(".jpg"))).alias("name"))
+
+
+@query("p4_strip_export_suffix", "WITH " + PART_NAME_SQL + "SELECT export_id, CASE WHEN name = 'small ring' THEN 'ring, small' ELSE name END AS name FROM ex")
+def p4(spark, d):
+    return S.apply_aliases(_exports(spark, d), "name", {"small ring": "ring, small"}).select("export_id", "name")
+
+
+@query("j3_match_by_name", "WITH " + PART_NAME_SQL + """, it AS (SELECT p_partkey AS id, p_brand AS event, p_name AS name FROM part WHERE p_size > 10),
+  h AS (SELECT event, name, count(*) AS hits, min(id) AS k FROM it GROUP BY ALL), a AS (SELECT name, count(DISTINCT event) AS ev FROM it GROUP BY name)
+  SELECT export_id, event, name, CASE WHEN hits IS NULL THEN 'none' WHEN hits = 1 THEN 'unique' ELSE 'several' END AS status,
+    CASE WHEN hits = 1 THEN k END AS matched, coalesce(ev, 0) - (hits IS NOT NULL)::INT > 0 AS elsewhere
+  FROM ex LEFT JOIN h USING (event, name) LEFT JOIN a USING (name)""")
+def j3(spark, d):
+    it = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("event"), F.col("p_name").alias("name"))
+    return J.match_by_name(_exports(spark, d), it, "event", "name", "id")
+
+
+@query("j4_flag_members", """WITH o AS (SELECT o_orderkey, o_orderpriority AS event, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 2 AS INTEGER) END AS flag, o_orderstatus FROM orders),
+  m AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45)
+  SELECT o_orderkey, CAST(CASE WHEN event IN ('1-URGENT', '2-HIGH') THEN (l_orderkey IS NOT NULL)::INT ELSE flag END AS BIGINT) AS flag,
+    CAST(lower(o_orderstatus) IN ('f', 'p') AS BIGINT) AS listed FROM o LEFT JOIN m ON l_orderkey = o_orderkey""")
+def j4(spark, d):
+    o = table(spark, d, "orders")
+    flag = F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_orderkey") % 2).cast("int"))
+    it = o.select("o_orderkey", F.col("o_orderpriority").alias("event"), flag.alias("flag"), "o_orderstatus")
+    matches = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    scope = o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(F.col("o_orderpriority").alias("event"))
+    flagged = J.flag_scope(it, matches, scope, "o_orderkey", "event", "flag")
+    names = o.where(F.col("o_orderstatus") != "O").select("o_orderstatus").distinct()
+    return J.flag_names(flagged, names, "o_orderstatus", "listed").select("o_orderkey", "flag", "listed")
+
+
+@query("j5_exclude_used", """WITH used AS (SELECT id FROM exam WHERE user_star = 5)
+  SELECT gid, id FROM exam WHERE gid NOT IN (SELECT gid FROM exam WHERE id IN (SELECT id FROM used))""")
+def j5(spark, d):
+    e = views.exam(spark, d)
+    return J.exclude_used(e, e.where("user_star = 5"), "id", "gid").select("gid", "id")
+
+
+@query("j6_keep_listed", """SELECT gid, id FROM exam WHERE owner IN (SELECT DISTINCT owner FROM splits WHERE split = 'test')""")
+def j6(spark, d):
+    test = views.with_split(views.items(spark, d)).where("split = 'test'").select("owner").distinct()
+    return J.keep_listed(views.exam(spark, d), test, "owner").select("gid", "id")
+
+
+@query("j7_cross_class_pairs", """SELECT a.event, a.owner, a.id AS id_i, b.id AS id_j, CAST(a.star AS BIGINT) AS star_i, CAST(b.star AS BIGINT) AS star_j
+  FROM items a JOIN items b ON a.event = b.event AND a.owner = b.owner AND a.star > b.star""")
+def j7(spark, d):
+    return J.cross_class_pairs(views.items(spark, d).select("event", "owner", "id", "star"), ["event", "owner"], "id", "star", [])
+
+
+@query("j10_difference_partners", """WITH s AS (SELECT id, split, score_a FROM splits WHERE is_top = 1 AND star >= 2),
+  h AS (SELECT split, score_a, count(*) AS n FROM s GROUP BY ALL)
+  SELECT s.split, s.id, CAST(coalesce(sum(CASE WHEN h.score_a < s.score_a - 0.2 THEN n END), 0) AS BIGINT) AS n_lower,
+    CAST(coalesce(sum(CASE WHEN -h.score_a < -s.score_a - 0.2 THEN n END), 0) AS BIGINT) AS n_higher
+  FROM s JOIN h ON h.split = s.split GROUP BY s.split, s.id""")
+def j10(spark, d):
+    s = views.with_split(views.with_scores(views.clustered(spark, d))).where("is_top = 1 and star >= 2")
+    return J.difference_partners(s, "split", "id", "score_a", 0.2)
+
+
+@query("j11_banded_join", """SELECT CAST(CASE WHEN cos < 0.1 THEN 0 WHEN cos < 0.15 THEN 1 WHEN cos < 0.2 THEN 2 ELSE 3 END AS BIGINT) AS band, count(*) AS pairs, round(avg(cos), 6) AS mean_cos
+  FROM vecpairs WHERE cos >= 0.05 AND cos < 0.9 GROUP BY 1""")
+def j11(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("event"), F.col("embedding").alias("v"))
+    p = V.similarity_pairs(e, "id", "v", 0.05, by="event").withColumn("band", J.band_of(F.col("cos"), [0.05, 0.1, 0.15, 0.2, 0.9])).where("band is not null")
+    return p.groupBy("band").agg(F.count(F.lit(1)).alias("pairs"), F.avg("cos").alias("mean_cos"))
+
+
+@query("j12_with_parameters", """SELECT event, fraction, threshold, CAST(ceil(n * fraction) AS BIGINT) AS budget, positives FROM (SELECT event, fraction, threshold, count(*) AS n, count(*) FILTER (star >= threshold) AS positives
+  FROM items, (SELECT unnest([0.125::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE]) AS fraction), (SELECT unnest([1::BIGINT, 2, 3]) AS threshold) GROUP BY ALL)""")
+def j12(spark, d):
+    g = views.items(spark, d).groupBy("event", "star").agg(F.count(F.lit(1)).alias("n"))
+    p = J.with_parameters(g, fraction=[0.125, 0.25, 0.5], threshold=[1, 2, 3])
+    return p.groupBy("event", "fraction", "threshold").agg(
+        F.ceil(F.sum("n") * F.col("fraction")).alias("budget"), F.sum(F.when(F.col("star") >= F.col("threshold"), F.col("n")).otherwise(0)).alias("positives"))
+
+
+@query("j13_pivot_versions", """WITH f AS (SELECT vec_id, CASE vec_id % 2 WHEN 0 THEN 'm1' ELSE 'm2' END AS version, v FROM vectors WHERE vec_id % 5 <> 4
+    UNION ALL SELECT vec_id, CASE vec_id % 2 WHEN 1 THEN 'm1' ELSE 'm2' END, CASE WHEN vec_id % 7 = 0 THEN v[1:8] ELSE v END FROM vectors)
+  SELECT vec_id, round(list_sum(m1), 6) AS s1, round(list_sum(m2), 6) AS s2, coalesce(len(m1) = 64, false) AND coalesce(len(m2) = 64, false) AS complete
+  FROM (SELECT vec_id, any_value(v) FILTER (version = 'm1') AS m1, any_value(v) FILTER (version = 'm2') AS m2 FROM f GROUP BY vec_id)""")
+def j13(spark, d):
+    e = table(spark, d, "embeddings").withColumn("v", V.as_double(F.col("embedding")))
+    odd = F.col("vec_id") % 2 == 1
+    a = e.where("vec_id % 5 <> 4").select("vec_id", F.when(odd, "m2").otherwise("m1").alias("version"), "v")
+    b = e.select("vec_id", F.when(odd, "m1").otherwise("m2").alias("version"), F.when(F.col("vec_id") % 7 == 0, F.slice("v", 1, 8)).otherwise(F.col("v")).alias("v"))
+    w = J.pivot_versions(a.unionByName(b), "vec_id", "version", "v", ["m1", "m2"])
+    total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x)
+    return w.select("vec_id", total("m1").alias("s1"), total("m2").alias("s2"), "complete")
+
+
+# --- clusters ----------------------------------------------------------------------------------------------------
+
+COMPONENT_SQL = """WITH RECURSIVE e AS (SELECT id_i AS a, id_j AS b FROM vecpairs WHERE cos >= 0.25 UNION ALL SELECT id_j, id_i FROM vecpairs WHERE cos >= 0.25),
+  r AS (SELECT vec_id AS id, vec_id AS c FROM vectors UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id),
+  comp AS (SELECT id, min(c) AS component FROM r GROUP BY id)"""
+
+
+def _graph(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("event"), "embedding")
+    edges = J.similar_in_group(e, "event", "id", "embedding", 0.25)
+    return e, edges, C.connected_components(edges.select(F.col("id_i").alias("src"), F.col("id_j").alias("dst")), e.select("id"))
+
+
+@query("c1_connected_components", COMPONENT_SQL + " SELECT id, component FROM comp")
+def c1(spark, d):
+    return _graph(spark, d)[2]
+
+
+@query("c2_cluster_profile", COMPONENT_SQL + """, m AS (SELECT id, component, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u, id % 6 AS star FROM comp JOIN vectors ON vec_id = id),
+  x AS (SELECT component, i, avg(u[i]) AS a FROM m, range(1, 65) g(i) GROUP BY ALL), c AS (SELECT component, list(a ORDER BY i) AS cen FROM x GROUP BY component),
+  z AS (SELECT component, count(*) AS cluster_size, max(star) AS cluster_cap FROM m GROUP BY component)
+  SELECT id, component, cluster_size, cluster_cap, CAST(star = cluster_cap AS BIGINT) AS is_top,
+    round(CASE WHEN cluster_size > 1 THEN list_dot_product(u, cen) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(cen, cen))) ELSE 1.0::DOUBLE END, 6) AS centrality
+  FROM m JOIN c USING (component) JOIN z USING (component)""")
+def c2(spark, d):
+    e, _, comp = _graph(spark, d)
+    m = e.join(comp, "id").withColumn("star", F.col("id") % 6)
+    return C.cluster_profile(m, "component", "id", "star", "embedding").select("id", "component", "cluster_size", "cluster_cap", "is_top", "centrality")
+
+
+@query("c3_cluster_summary", """WITH z AS (SELECT event || '/' || owner || '/' || seg AS sg, event || '/' || owner || '/' || cluster AS cl, star, cluster_cap, score_b FROM scored),
+  s AS (SELECT sg, cl, count(*) AS n, max(star) AS cap, quantile_cont(score_b, 0.5) AS med, avg(score_b) FILTER (star = cluster_cap) AS tm FROM z GROUP BY ALL),
+  k AS (SELECT sg, count(*) AS k FROM s GROUP BY sg)
+  SELECT count(*) AS clusters, max(n) AS size_max, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n = 1 AND cap >= 3) AS singletons_ge3,
+    round(avg((tm >= med - 1e-9)::INT) FILTER (n >= 2), 6) AS central_share, (SELECT count(*) FROM k) AS segments, (SELECT max(k) FROM k) AS per_seg_max,
+    round(quantile_cont(n, 0.5), 6) AS size_median, round(quantile_cont(n, 0.9), 6) AS size_p90,
+    (SELECT round(quantile_cont(k, 0.5), 6) FROM k) AS per_seg_median, (SELECT round(quantile_cont(k, 0.9), 6) FROM k) AS per_seg_p90 FROM s""")
+def c3(spark, d):
+    s = views.with_scores(views.shots(spark, d))
+    key = lambda c: F.concat_ws("/", "event", F.col("owner").cast("string"), F.col(c).cast("string"))
+    z = s.select(key("seg").alias("sg"), key("cluster").alias("cl"), "star", "score_b")
+    return C.cluster_summary(z, "cl", "sg", "star", "score_b")
+
+
+@query("c3_size_cap_table", """WITH s AS (SELECT event, owner, seg, cluster, count(*) AS n, max(star) AS cap FROM shots GROUP BY ALL)
+  SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 4 THEN '2-4' WHEN n <= 15 THEN '5-15' ELSE '16+' END AS bucket, count(*) FILTER (cap = 0) AS cap_0, count(*) FILTER (cap = 1) AS cap_1,
+   count(*) FILTER (cap = 2) AS cap_2, count(*) FILTER (cap = 3) AS cap_3, count(*) FILTER (cap = 4) AS cap_4, count(*) FILTER (cap = 5) AS cap_5 FROM s GROUP BY 1""")
+def c3_table(spark, d):
+    s = views.shots(spark, d).withColumn("sg", F.struct("event", "owner", "seg"))
+    return C.size_cap_table(s, "cluster", "sg", "star")
+
+
+@query("c3_rating_pyramid", """WITH s AS (SELECT event, owner, seg, cluster, count(*) AS n, count(*) FILTER (star = 0) AS s0, count(*) FILTER (star = 1) AS s1, count(*) FILTER (star = 2) AS s2,
+    count(*) FILTER (star = 3) AS s3, count(*) FILTER (star = 4) AS s4, count(*) FILTER (star = 5) AS s5 FROM shots GROUP BY ALL HAVING count(*) >= 5)
+  SELECT round(avg(s0), 6) AS mean_0, round(avg(s1), 6) AS mean_1, round(avg(s2), 6) AS mean_2, round(avg(s3), 6) AS mean_3, round(avg(s4), 6) AS mean_4, round(avg(s5), 6) AS mean_5, count(*) AS clusters FROM s""")
+def c3_pyramid(spark, d):
+    s = views.shots(spark, d).withColumn("sg", F.struct("event", "owner", "seg"))
+    return C.rating_pyramid(s, "cluster", "sg", "star", big=5)
+
+
+@query("c4_cluster_spans", """WITH RECURSIVE th AS (SELECT unnest([0.25::DOUBLE, 0.3::DOUBLE]) AS threshold),
+  e AS (SELECT threshold, id_i AS a, id_j AS b FROM vecpairs, th WHERE cos >= threshold UNION ALL SELECT threshold, id_j, id_i FROM vecpairs, th WHERE cos >= threshold),
+  r AS (SELECT threshold, vec_id AS id, vec_id AS c FROM vectors, th UNION SELECT r.threshold, e.b, r.c FROM r JOIN e ON e.a = r.id AND e.threshold = r.threshold),
+  comp AS (SELECT threshold, id, min(c) AS component FROM r GROUP BY ALL),
+  g AS (SELECT threshold, component, count(*) AS n, max(id % 6) - min(id % 6) AS span FROM comp GROUP BY ALL HAVING count(*) >= 2)
+  SELECT threshold, count(*) AS groups, CAST(sum(n) AS BIGINT) AS members, max(n) AS largest, round(avg(span), 6) AS span_mean, max(span) AS span_max FROM g GROUP BY threshold""")
+def c4(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("event"), "embedding", (F.col("vec_id") % 6).alias("star"))
+    return C.cluster_spans(e, "event", "id", "embedding", "star", [0.25, 0.3])
+
+
+@query("c5_overlap_audit", """SELECT CASE WHEN cluster_size = 1 THEN '1' WHEN cluster_size <= 4 THEN '2-4' WHEN cluster_size <= 15 THEN '5-15' ELSE '16+' END AS bucket, count(*) AS members,
+    count(*) FILTER (is_top = 1) AS tops, count(*) FILTER (is_top = 0) AS ordinary, count(DISTINCT CASE WHEN cluster_size >= 5 THEN event || '/' || owner || '/' || cluster END) AS big_clusters
+  FROM clustered WHERE id IN (SELECT id FROM exam WHERE user_star >= 4) GROUP BY 1""")
+def c5(spark, d):
+    return C.overlap_audit(views.exam(spark, d).where("user_star >= 4"), views.clustered(spark, d), "id", CLUSTER, big=5)
+
+
+@query("c6_one_per_cluster", """WITH z AS (SELECT *, event || '/' || owner || '/' || cluster AS cl FROM scored),
+  r AS (SELECT *, row_number() OVER (PARTITION BY event, cl ORDER BY score_a DESC, id) AS rr, max(score_b) OVER (PARTITION BY event, cl) AS m FROM z),
+  p AS (SELECT event, cl, id, m, row_number() OVER (PARTITION BY event ORDER BY m DESC, id) AS pos FROM r WHERE rr = 1),
+  b AS (SELECT event, CAST(ceil(count(*) * 0.125) AS BIGINT) AS budget FROM z GROUP BY event)
+  SELECT event, cl, id, pos, budget, round(m, 6) AS rank_score FROM p JOIN b USING (event) WHERE pos <= budget""")
+def c6(spark, d):
+    s = views.with_scores(views.shots(spark, d))
+    z = s.withColumn("cl", F.concat_ws("/", "event", F.col("owner").cast("string"), F.col("cluster").cast("string")))
+    return C.one_per_cluster(z, "event", "cl", "id", "score_a", "score_b", 0.125, group_max=True).drop("cluster_n")
+
+
+@query("c7_neighbour_signal", NEAR_SQL + """, b AS (SELECT id_i AS id, score_a_i - score_a_j AS s FROM np UNION ALL SELECT id_j, -(score_a_i - score_a_j) FROM np)
+  SELECT items.id, round(coalesce(avg(s), 0), 6) AS signal, count(s) AS degree FROM items LEFT JOIN b ON b.id = items.id GROUP BY items.id""")
+def c7(spark, d):
+    s, p = _near_pairs(spark, d)
+    e = J.attach_endpoints(p, s, "id", ["score_a"]).select(F.col("id_i").alias("src"), F.col("id_j").alias("dst"), (F.col("score_a_i") - F.col("score_a_j")).alias("adv"))
+    return C.neighbour_signal(e, views.items(spark, d), "adv")
+
+
+@query("c8_pair_layers", """SELECT CASE WHEN cos >= 0.3 THEN 'detail' WHEN cos >= 0.2 THEN 'composition' ELSE 'cross' END AS layer, count(*) AS pairs FROM vecpairs WHERE cos >= 0.1 GROUP BY 1""")
+def c8(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("event"), "embedding")
+    p = J.similar_in_group(e, "event", "id", "embedding", 0.1).withColumn("layer", C.pair_layers(F.col("cos"), 0.3, 0.2))
+    return p.groupBy("layer").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+# --- pair generation ---------------------------------------------------------------------------------------------
+
+
+@query("g2_event_pairs", f"""WITH std AS (SELECT stddev_pop(sharp) AS s1, stddev_pop(shake) AS s2, stddev_pop(contrast) AS s3 FROM cvshots),
+  raw AS (SELECT a.event, a.owner, a.id AS id_i, b.id AS id_j, a.star - b.star AS dstar,
+      list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS cos,
+      (a.sharp - b.sharp) / s1 AS dsh, (a.shake - b.shake) / s2 AS dsk, (a.contrast - b.contrast) / s3 AS dc
+    FROM cvshots a JOIN cvshots b ON a.event = b.event AND a.owner = b.owner AND a.star > b.star, std
+    WHERE a.is_top = 1 AND b.is_top = 1 AND a.star >= 3 AND b.star >= 3), dd AS (SELECT *, {DIST_SQL} AS cv_dist FROM raw)
+  SELECT event, owner, id_i, id_j, 'global' AS ptype, 0.5::DOUBLE AS weight, round(cv_dist, 6) AS cv_dist, CAST(dstar AS BIGINT) AS dstar
+  FROM dd WHERE NOT (cos >= {TIE_COS} AND coalesce(cv_dist < 2.0, false))""")
+def g2(spark, d):
+    return P.event_pairs(_mining_items(spark, d), ["event", "owner"], "id", "star", "v", ["sharp", "shake", "contrast"], 2.0, TIE_COS)
+
+
+@query("g3_gap_threshold", """SELECT round(coalesce(quantile_cont(abs(a.score_a - b.score_a), 0.5), 1.0), 6) AS threshold, count(*) AS pairs FROM
+  (SELECT gid, e.id, user_star, score_a FROM exam e JOIN itemscores s ON s.id = e.id) a JOIN (SELECT gid, e.id, user_star, score_a FROM exam e JOIN itemscores s ON s.id = e.id) b
+  ON a.gid = b.gid AND a.user_star >= b.user_star + 2""")
+def g3(spark, d):
+    return P.gap_threshold(views.with_scores(views.exam(spark, d)), "gid", "id", "user_star", "score_a")
+
+
+@query("g4_derived_pairs", """WITH s AS (SELECT id, split, score_a, event || '/' || owner || '/' || cluster AS cl, row_number() OVER (PARTITION BY split ORDER BY score_a, id) AS rk, count(*) OVER (PARTITION BY split) AS n
+    FROM splits WHERE is_top = 1 AND split <> 'test'),
+  h AS (SELECT split, score_a, count(*) AS k FROM s GROUP BY ALL),
+  c AS (SELECT s.split, s.id, coalesce(sum(CASE WHEN h.score_a < s.score_a - 0.3 THEN k END), 0)::BIGINT AS lo, coalesce(sum(CASE WHEN -h.score_a < -s.score_a - 0.3 THEN k END), 0)::BIGINT AS hi
+    FROM s JOIN h ON h.split = s.split GROUP BY s.split, s.id),
+  a AS (SELECT s.*, c.lo, c.hi, c.lo + c.hi AS cc, m FROM s JOIN c ON c.id = s.id, range(0, 8) r(m) WHERE m < c.lo + c.hi),
+  w AS (SELECT *, (m * cc) // least(8, cc) AS f, ((m + 1) * cc) // least(8, cc) - (m * cc) // least(8, cc) AS width FROM a),
+  p AS (SELECT *, f + {hash:derived:id,m} % width AS pick FROM w),
+  q AS (SELECT *, CASE WHEN pick < lo THEN pick + 1 ELSE n - hi + pick - lo + 1 END AS prk FROM p)
+  SELECT DISTINCT q.split, least(q.id, s.id) AS id_i, greatest(q.id, s.id) AS id_j, round(abs(q.score_a - s.score_a), 6) AS s_gap FROM q JOIN s ON s.split = q.split AND s.rk = q.prk WHERE s.cl <> q.cl""")
+def g4(spark, d):
+    s = views.with_split(views.with_scores(views.clustered(spark, d)))
+    return P.derived_pairs(s, "split", "id", "score_a", CLUSTER, 0.3, allowed=["train", "val"]).select("split", "id_i", "id_j", "s_gap")
+
+
+@query("g5_cross_sample", """WITH a AS (SELECT id, event || '/' || owner || '/' || seg AS sg, row_number() OVER (ORDER BY {hash:cross-a:id}, id) AS r FROM shots),
+  b AS (SELECT id, event || '/' || owner || '/' || seg AS sg, row_number() OVER (ORDER BY {hash:cross-b:id}, id) AS r FROM shots)
+  SELECT a.id AS id_i, b.id AS id_j FROM a JOIN b USING (r) WHERE a.sg <> b.sg AND a.id <> b.id ORDER BY r LIMIT 1000""")
+def g5(spark, d):
+    return P.cross_sample(views.shots(spark, d), "id", SEGMENT, 1000)
+
+
+@query("g6_equivalence_pairs", """WITH m AS (SELECT *, row_number() OVER (PARTITION BY event, owner, cluster, star ORDER BY {hash:tie:id}, id) AS r FROM shots),
+  p AS (SELECT a.event, a.owner, a.cluster, a.star, a.id AS id_i, b.id AS id_j FROM m a JOIN m b ON a.event = b.event AND a.owner = b.owner AND a.cluster = b.cluster AND a.star = b.star AND a.id < b.id WHERE a.r <= 4 AND b.r <= 4),
+  k AS (SELECT *, row_number() OVER (PARTITION BY event, owner, cluster ORDER BY {hash:tie:id_i,id_j}, id_i, id_j) AS r FROM p)
+  SELECT event, owner, cluster, CAST(star AS BIGINT) AS star, id_i, id_j FROM k WHERE r <= 6""")
+def g6(spark, d):
+    return P.equivalence_pairs(views.shots(spark, d), CLUSTER, "id", "star")
+
+
+@query("g7_restrict_pairs", NEAR_SQL + """, w AS (SELECT *, abs(star_i - star_j) AS dstar, CASE ptype WHEN 'derived' THEN 0.5::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM np)
+  SELECT id_i, id_j, ptype, weight FROM w WHERE (ptype <> 'window' OR score_b_i * score_b_j >= 0.2) AND (ptype <> 'window' OR is_top_i = 1 OR is_top_j = 1) AND dstar >= 1""")
+def g7(spark, d):
+    s, p = _near_pairs(spark, d)
+    p = J.attach_endpoints(p, s, "id", ["star", "is_top", "score_b"])
+    p = p.withColumn("dstar", F.abs(F.col("star_i") - F.col("star_j"))).withColumn("cos", F.col("score_b_i") * F.col("score_b_j")).withColumn("weight", F.lit(1.0))
+    return P.restrict_pairs(p, {"derived": 0.5, "window": 2.0}, min_cos=0.2, tops="any", min_gap=1).select("id_i", "id_j", "ptype", "weight")
+
+
+@query("g8_cross_tier_pairs", """WITH p AS (SELECT event, cos, CASE WHEN least(id_i % 6, 3) > least(id_j % 6, 3) THEN id_i ELSE id_j END AS winner, CASE WHEN least(id_i % 6, 3) > least(id_j % 6, 3) THEN id_j ELSE id_i END AS loser
+    FROM vecpairs WHERE cos >= 0.2 AND least(id_i % 6, 3) <> least(id_j % 6, 3)),
+  dg AS (SELECT event, k, count(*) AS deg FROM (SELECT event, winner AS k FROM p UNION ALL SELECT event, loser FROM p) GROUP BY ALL),
+  ev AS (SELECT event, count(*) AS n FROM dg GROUP BY event)
+  SELECT p.event, winner, loser, round(cos, 6) AS cos, round((1.0 / a.deg + 1.0 / b.deg) / ev.n / (SELECT count(*) FROM ev), 6) AS weight
+  FROM p JOIN dg a ON a.event = p.event AND a.k = winner JOIN dg b ON b.event = p.event AND b.k = loser JOIN ev ON ev.event = p.event""")
+def g8(spark, d):
+    e = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("label").alias("event"), "embedding", S.tier(F.col("vec_id") % 6).alias("tier"))
+    return P.cross_tier_pairs(e, "event", [], "id", "tier", "embedding", 0.2)
+
