@@ -158,24 +158,28 @@ def rank_in_group(df: DataFrame, by, score: str, out: str) -> DataFrame:
     return df.join(ranks, [*by, score])
 
 
-def quantiles(df: DataFrame, by, value: str, ps: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, by, value: str, ps: dict[str, float | str], params: DataFrame | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation) per group from ranks, so no group's values meet in one task.
 
     ``F.percentile`` keeps all distinct values of a group in one buffer; this picks the two order statistics
-    of each quantile from the distributed tie blocks instead.  NULL values are ignored.
+    of each quantile from the distributed tie blocks instead.  NULL values are ignored.  A probability may also
+    be the name of a column of the one-row frame ``params``.
     """
     by = as_list(by)
     values = df.select(*by, F.col(value).cast("double").alias("__q")).where(F.col("__q").isNotNull())
     blocks = tie_blocks(values, by, "__q")
+    if params is not None:
+        blocks = blocks.crossJoin(F.broadcast(params))
     below = F.col("n_total") - F.col("n_above") - F.col("n")
     parts, out = [], []
     for name, p in ps.items():
-        at = F.lit(p) * (F.col("n_total") - 1)
+        at = (F.col(p) if isinstance(p, str) else F.lit(p)) * (F.col("n_total") - 1)
         for end, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             parts.append(F.max(F.when((below <= rank) & (rank < below + F.col("n")), F.col("__q"))).alias(f"__{name}_{end}"))
-        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return blocks.groupBy(*by).agg(F.max("n_total").alias("n_total"), *parts).select(*by, *out)
+        parts.append(F.max(at).alias(f"__{name}_at"))
+        lo, hi, pos = F.col(f"__{name}_lo"), F.col(f"__{name}_hi"), F.col(f"__{name}_at")
+        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return blocks.groupBy(*by).agg(*parts).select(*by, *out)
 
 
 def complete(dims: list[DataFrame], df: DataFrame, on: list[str], zeros: list[str]) -> DataFrame:

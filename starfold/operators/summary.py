@@ -107,11 +107,11 @@ def flag_coverage(items: DataFrame, by, flag: str) -> DataFrame:
         F.try_divide(F.count_if(F.col(flag) == 1), F.count(flag)).alias("rate"))
 
 
-def quantile_summary(df: DataFrame, by, value: str, ps: list[float], cuts: list[float]) -> DataFrame:
+def quantile_summary(df: DataFrame, by, value: str, ps: dict[str, float], cuts: list[float]) -> DataFrame:
     """Exact quantiles and shares at or above each cut."""
     by = as_list(by)
     g = df.groupBy(*by).agg(F.count(value).alias("n"), *[F.avg((F.col(value) >= c).cast("double")).alias(f"ge_{c}") for c in cuts])
-    q = quantiles(df, by, value, {f"p{p}": float(p) for p in ps})
+    q = quantiles(df, by, value, ps)
     return g.join(q, by, "left") if by else g.crossJoin(q)  # two one-row frames
 
 

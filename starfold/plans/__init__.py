@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mining", "columns"]
+MODULES = ["mining", "columns", "reports", "ranking"]
 
 
 def load_all():
