@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import add_position, as_list, hash_int, quantiles, rank_in_group, score_bin, score_position, tie_blocks
+from starfold.core import add_position, as_list, checkpoint, hash_int, quantiles, rank_in_group, score_bin, score_position, tie_blocks
 from starfold.operators.clusters import representatives
 from starfold.operators.joins import band_of, pairs_in_small_groups, similar_in_group
 from starfold.operators.segments import standardise
@@ -227,6 +227,7 @@ def local_details(labels: DataFrame, gid: str, key: str, event: str, star: str,
     rank = F.row_number().over(w.orderBy(F.col(star).desc(), key))
     d = labels.withColumn("__r", rank).withColumn("__top", F.max(star).over(w)).withColumn("__second", F.max(F.when(F.col("__r") == 2, F.col(star))).over(w))
     d = d.where("__top > 0").withColumn("__best", F.col(star) == F.col("__top")).withColumn("__acc", F.col(star) >= F.col("__second")).withColumn("__zero", F.lit(0.0))
+    d = checkpoint(d.select(gid, key, event, score, "__zero", "__best", "__acc"))
     base = d.groupBy(gid).agg(
         F.first(event).alias("event"), F.count(F.lit(1)).alias("size"), F.count_if(F.col("__best")).alias("__nb"), F.count_if(F.col("__acc")).alias("__na"),
         F.array_join(F.array_sort(F.collect_list(F.col(key))), ",").alias("members"))
@@ -241,6 +242,7 @@ LOCAL_FIELDS = ["best1", "best2", "accepted_top2", "random_best1", "random_best2
 
 def local_metrics(details: DataFrame) -> DataFrame:
     """Rows unique_best / tied_best / all_nonzero / member_set_balanced with means and the event macro of best1."""
+    details = checkpoint(details)
     scope = F.explode(F.array(F.when(F.col("unique_best"), "unique_best").otherwise("tied_best"), F.lit("all_nonzero")))
     d = details.withColumn("scope", scope)
     macro = d.groupBy("scope", "event").agg(F.avg("best1").alias("m")).groupBy("scope").agg(F.avg("m").alias("best1_event_macro"))
@@ -274,8 +276,6 @@ def greedy_blend(pairs: DataFrame, items: DataFrame, key: str, scores: list[str]
 
     The pair table with z-score differences is checkpointed once.  Returns ``(score, weight, step, objective)`` rows.
     """
-    from starfold.core import checkpoint
-
     z = items
     for s in scores:
         z = standardise(z, [], s, f"z_{s}")
@@ -445,7 +445,7 @@ def bootstrap_by_event(a: DataFrame, b: DataFrame, event, value: str, draws: int
     """
     event = as_list(event)
     d = a.select(*event, F.col(value).alias("__a")).join(b.select(*event, F.col(value).alias("__b")), event)
-    d = d.where("__a is not null and __b is not null").withColumn("__d", F.col("__a") - F.col("__b"))
+    d = checkpoint(d.where("__a is not null and __b is not null").withColumn("__d", F.col("__a") - F.col("__b")))
     name = F.concat_ws("|", *[F.col(c).cast("string") for c in event])
     ix = add_position(d.select(name.alias("__e"), "__d").withColumn("__h", hash_int(seed, "__e")), [], ["__h", "__e"], F.shiftright("__h", 22), "__ix")
     stats = d.agg(F.count(F.lit(1)).alias("events"), F.avg("__d").alias("mean"), F.count_if(F.col("__d") > 0).alias("positive_events"))
@@ -528,6 +528,7 @@ def selector_scores(items: DataFrame, event: str, cluster: str, key: str, rating
     """
     noise = hash_int("noise", key) / float(1 << 33)
     base = rank_sum(items, event, key, [local, glob], "__fused").withColumn("__perfect", F.col(rating) + noise)
+    base = checkpoint(base.select(event, cluster, key, rating, local, glob, "__fused", "__perfect"))
     reps = representatives(base, event, cluster, key, local, glob, group_max=True).select(event, key, F.col("rank_score").alias("__rep"))
     ideal = representatives(base, event, cluster, key, "__perfect", "__perfect").select(event, key, F.col("rank_score").alias("__one"))
     w = base.join(reps, [event, key], "left").join(ideal, [event, key], "left")
@@ -542,6 +543,7 @@ def selector_scores(items: DataFrame, event: str, cluster: str, key: str, rating
 def selector_comparison(long: DataFrame, event: str, key: str, rating: str, k: int = 3, fraction: float = 0.125, legacy: bool = False) -> DataFrame:
     """Per method macro AP, its closure against random, precision and recall in the budget, list share at 80% recall."""
     by, label = ["method", event], F.col(rating) >= k
+    long = checkpoint(long)
     ap = sequential_ap(long, by, label, "score", key) if legacy else average_precision(long, by, label, "score").select(*by, "ap").where("ap is not null")
     bud = budget_metrics(long, by, label, "score", [fraction], "even" if legacy else "ceil").where("positives > 0")
     cur = recall_curve(long, by, label, "score", key)

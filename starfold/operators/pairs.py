@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import as_list, dot, hash_int, hash_position, once, quantiles, score_position
+from starfold.core import as_list, checkpoint, dot, hash_int, hash_position, once, quantiles, score_position
 from starfold.functions.scalars import SIMILARITY_KNOTS, gap_factor, piecewise_weight
 from starfold.functions.vectors import l2_normalize, scalar_distance, scale_frame
 from starfold.operators.joins import attach_endpoints, cross_class_pairs, difference_partners, pairs_in_small_groups, similar_in_group
@@ -77,7 +77,7 @@ def derived_pairs(items: DataFrame, split: str, key: str, score: str, cluster, t
     tops = items.where((F.col("is_top") == 1) & F.col(score).isNotNull() & ~F.isnan(score))
     if allowed is not None:
         tops = tops.where(F.col(split).isin(allowed))
-    tops = tops.select(split, key, score, *cl)
+    tops = checkpoint(tops.select(split, key, score, *cl))
     counts = difference_partners(tops, split, key, score, threshold)
     ranked = score_position(tops, split, score, key, "__rank", descending=False)
     total = tops.groupBy(split).agg(F.count(F.lit(1)).alias("__n"))

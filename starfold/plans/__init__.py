@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mining", "columns", "reports", "ranking"]
+MODULES = ["mining", "columns", "reports", "ranking", "samples"]
 
 
 def load_all():
