@@ -172,7 +172,7 @@ def cap_constraints(items: DataFrame, event: str, seg, key: str, rating: str, or
     return p.select(F.col(f"{key}_i").alias("winner"), F.col(f"{key}_j").alias("loser"), F.lit(weight).alias("weight"), F.lit("cap").alias("kind"))
 
 
-def flagged_constraints(items: DataFrame, event: str, key: str, rating: str, flag: str, per_item: int = 5, weight: float = 0.5, seed: str = "flag") -> DataFrame:
+def flagged_constraints(items: DataFrame, event: str, key: str, rating: str, flag: str, per_item: int = 5, weight: float = 0.2, seed: str = "flag") -> DataFrame:
     """Every flagged item beats up to ``per_item`` low-rated unflagged items of its event, drawn by hash.
 
     Low-rated items get consecutive ranks in hash order; a flagged item takes one rank per stratum, so the draw is an

@@ -125,7 +125,7 @@ def pair_strata(items: DataFrame, key: str, rating: str, event: str, seg, quota:
     a = hash_position(tagged, ["stratum", "pool"], f"{seed}-a", "id", "rank")
     b = hash_position(tagged, ["stratum", "pool"], f"{seed}-b", "id", "rank")
     shifts = F.explode(F.array(*[F.lit(k) for k in range(tries)]))
-    left = a.select("stratum", "pool", (F.col("rank") + shifts).alias("rank"), *[F.col(c).alias(f"{c}_i") for c in ("id", "r", "e", "s")])
+    left = a.withColumn("__shift", shifts).select("stratum", "pool", (F.col("rank") + F.col("__shift")).alias("rank"), *[F.col(c).alias(f"{c}_i") for c in ("id", "r", "e", "s")])
     right = b.select("stratum", "pool", "rank", *[F.col(c).alias(f"{c}_j") for c in ("id", "r", "e", "s")])
     rule = F.lit(False)
     for n, _, _, cond in blocks:

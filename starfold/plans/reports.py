@@ -323,7 +323,7 @@ def l10(spark, d):
   c AS (SELECT x.id AS winner, y.id AS loser, 0.5::DOUBLE AS weight, 'cap' AS kind FROM tp x JOIN tp y ON x.event = y.event AND x.r = 1 AND y.r = 1 AND x.cap >= 4 AND y.cap <= 3),
   lw AS (SELECT event, id, row_number() OVER (PARTITION BY event ORDER BY {hash:flag:id}, id) AS rk, count(*) OVER (PARTITION BY event) AS n FROM scored WHERE star <= 2 AND id % 10 <> 0),
   fx AS (SELECT s.event, s.id, m, n, (m * n) // least(5, n) AS f, ((m + 1) * n) // least(5, n) - (m * n) // least(5, n) AS wd FROM scored s JOIN (SELECT DISTINCT event, n FROM lw) USING (event), range(0, 5) r(m) WHERE s.id % 10 = 0 AND m < n),
-  fl AS (SELECT fx.id AS winner, lw.id AS loser, 0.5::DOUBLE AS weight, 'flag' AS kind FROM fx JOIN lw ON lw.event = fx.event AND lw.rk = f + {hash:flag:fx.id,m} % wd + 1)
+  fl AS (SELECT fx.id AS winner, lw.id AS loser, 0.2::DOUBLE AS weight, 'flag' AS kind FROM fx JOIN lw ON lw.event = fx.event AND lw.rk = f + {hash:flag:fx.id,m} % wd + 1)
   SELECT * FROM a UNION ALL SELECT * FROM c UNION ALL SELECT * FROM fl""")
 def l11(spark, d):
     an = views.exam(spark, d).withColumn("w", F.when(F.col("id") % 3 == 0, 0.5).otherwise(1.0))
