@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import PCA, Interaction, OneHotEncoder, StandardScaler, StringIndexer
+from pyspark.ml.feature import PCA, Interaction, OneHotEncoder, StandardScaler, StringIndexer, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import LinearRegression
@@ -283,6 +283,8 @@ def conditioned_features(items: DataFrame, event: str, features: str, out: str =
     ix = StringIndexer(inputCol=event, outputCol="__ix", stringOrderType="alphabetAsc").fit(items)
     d = ix.transform(items).withColumn("__v", array_to_vector(features))
     d = OneHotEncoder(inputCols=["__ix"], outputCols=["__oh"], dropLast=False).fit(d).transform(d)
+    width = items.select(F.size(features)).first()[0]
+    d = VectorSizeHint(inputCol="__v", size=width, handleInvalid="skip").transform(d)
     d = Interaction(inputCols=["__oh", "__v"], outputCol="__i").transform(d)
     return d.withColumn(out, vector_to_array("__i")).drop("__ix", "__oh", "__v", "__i")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mining", "columns", "reports", "ranking", "samples", "store", "fitting"]
+MODULES = ["mining", "columns", "reports", "ranking", "samples", "store", "fitting", "streams"]
 
 
 def load_all():
