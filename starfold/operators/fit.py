@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import PCA, Interaction, OneHotEncoder, StandardScaler, StringIndexer, VectorSizeHint
+from pyspark.ml.feature import PCA, Interaction, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import LinearRegression
@@ -76,8 +76,9 @@ def class_weights(items: DataFrame, event: str, label: str, mode: str = "event")
 def fit_four_class(items: DataFrame, event: str, features: str, label: str, penalty: float, mode: str = "event", max_iter: int = 200) -> LogisticRegressionModel:
     """Multinomial softmax with L2 on the coefficients only."""
     d = class_weights(items, event, label, mode).select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"), "weight")
+    d = checkpoint(d)  # the solver reads its input more than once
     return LogisticRegression(
-        family="multinomial", weightCol="weight", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(d)
+        family="multinomial", weightCol="weight", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(d)
 
 
 def predict_classes(model: LogisticRegressionModel, items: DataFrame, features: str, out: str = "p") -> DataFrame:
@@ -132,8 +133,9 @@ def difference_rows(pairs: DataFrame, items: DataFrame, key: str, features: str,
 def fit_pairwise(pairs: DataFrame, items: DataFrame, key: str, features: str, penalty: float, weight: str | None = None, max_iter: int = 200) -> DenseVector:
     """Coefficients of a no-intercept logistic on feature differences."""
     d = difference_rows(pairs, items, key, features, weight).select("features", "label", F.col("__w").alias("weight"))
+    d = checkpoint(d)  # the solver reads its input more than once
     model = LogisticRegression(
-        fitIntercept=False, weightCol="weight", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(d)
+        fitIntercept=False, weightCol="weight", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(d)
     return model.coefficients
 
 
@@ -213,7 +215,7 @@ def loeo_pairs(pairs: DataFrame, items: DataFrame, key: str, event: str, feature
     """Per held-out event: fit on pairs that do not touch it, accuracy on pairs inside it and on pairs touching it once."""
     side = lambda end: items.select(F.col(key).alias(end), F.col(event).alias(f"e_{end}"), F.col(features).alias(f"x_{end}"))
     d = checkpoint(pairs.select("winner", "loser").join(side("winner"), "winner").join(side("loser"), "loser"))
-    x = items.select(key, features)
+    x = checkpoint(items.select(key, features))
     out = None
     for name in [r[0] for r in items.select(event).distinct().orderBy(event).collect()]:
         inside, touch = (F.col("e_winner") == name) & (F.col("e_loser") == name), (F.col("e_winner") == name) != (F.col("e_loser") == name)
@@ -262,7 +264,7 @@ def probe_matrix(pairs: DataFrame, items: DataFrame, key: str, views: dict[str,
     splits = [("event", "fold", ks)] + ([("leaky_rows", "row_fold", [0])] if leaky else [])
     out = None
     for view, column in views.items():
-        x = items.select(key, F.col(column).alias("__x"))
+        x = checkpoint(items.select(key, F.col(column).alias("__x")))
         for name in layers:
             p = base.where(F.col(layer) == name)
             for kind, col, values in splits:
@@ -281,12 +283,13 @@ def probe_matrix(pairs: DataFrame, items: DataFrame, key: str, views: dict[str,
 def conditioned_features(items: DataFrame, event: str, features: str, out: str = "conditioned") -> DataFrame:
     """Event-conditioned features: one-hot event times features."""
     ix = StringIndexer(inputCol=event, outputCol="__ix", stringOrderType="alphabetAsc").fit(items)
-    d = ix.transform(items).withColumn("__v", array_to_vector(features))
-    d = OneHotEncoder(inputCols=["__ix"], outputCols=["__oh"], dropLast=False).fit(d).transform(d)
     width = items.select(F.size(features)).first()[0]
-    d = VectorSizeHint(inputCol="__v", size=width, handleInvalid="skip").transform(d)
+    names = [f"__x{i}" for i in range(width)]
+    d = ix.transform(items).withColumns({n: F.col(features)[i] for i, n in enumerate(names)})
+    d = VectorAssembler(inputCols=names, outputCol="__v").transform(d)
+    d = OneHotEncoder(inputCols=["__ix"], outputCols=["__oh"], dropLast=False).fit(d).transform(d)
     d = Interaction(inputCols=["__oh", "__v"], outputCol="__i").transform(d)
-    return d.withColumn(out, vector_to_array("__i")).drop("__ix", "__oh", "__v", "__i")
+    return d.withColumn(out, vector_to_array("__i")).drop("__ix", "__oh", "__v", "__i", *names)
 
 
 def standardise_fit(items: DataFrame, train: Column, features: str, out: str, components: int | None = None) -> DataFrame:
@@ -349,7 +352,7 @@ def half_transfer(pairs: DataFrame, items: DataFrame, key: str, event: str, seg:
     half = items.withColumn("half", hash_half("half", seg)).select(F.col(key).alias("winner"), F.col(event).alias("event"), "half")
     other = items.withColumn("h2", hash_half("half", seg)).select(F.col(key).alias("loser"), F.col(event).alias("e2"), "h2")
     d = checkpoint(pairs.select("winner", "loser").join(half, "winner").join(other, "loser").where("event = e2 and half = h2").drop("e2", "h2"))
-    x = items.select(key, F.col(features).alias("__x"))
+    x = checkpoint(items.select(key, F.col(features).alias("__x")))
     counts = {(r["event"], r["half"]): r["n"] for r in d.groupBy("event", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = None
     for name in sorted({e for e, _ in counts}):

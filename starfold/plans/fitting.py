@@ -15,7 +15,7 @@ from starfold.plans.registry import query
 
 def _features(spark, d):
     """Items with a four-dimensional feature vector and their tier."""
-    s = views.with_scores(views.shots(spark, d))
+    s = views.with_scores(views.items(spark, d))
     noise = [hash_int(f"f{k}", "id") / float(1 << 32) for k in range(3)]
     x = F.array(F.col("score_b"), F.log1p("value") / 6 + noise[0] * 0.5, noise[1], F.col("score_a") * 0.3 + noise[2])
     return s.withColumn("x", x).withColumn("tier", F.least("star", F.lit(3)))
