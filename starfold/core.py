@@ -16,7 +16,8 @@ from pyspark.sql.window import Window as W
 
 HASH_BITS = 32
 HASH_BUCKET_BITS = 22  # 1,024 hash buckets per group
-SCORE_BINS_PER_E = 64  # score bins per factor e
+SCORE_BINS_PER_E = 1024  # score bins per factor e: about 0.1% of the value
+TIE_BLOCK = 100_000  # rows of equal score that one task may number
 DAY_MICROS = 86_400_000_000
 
 
@@ -59,7 +60,7 @@ def hash_bucket(hashed: Column) -> Column:
 
 
 def score_bin(value: Column) -> Column:
-    """Order-preserving integer bin of a double: logarithmic on both sides of zero, a few thousand bins."""
+    """Order-preserving integer bin of a double: logarithmic on both sides of zero, some ten thousand bins."""
     size = F.log(F.abs(value) * 1e6 + 1.0) * SCORE_BINS_PER_E
     return F.floor(F.when(value < 0, -size).otherwise(size)).cast("long")
 
@@ -109,11 +110,25 @@ def hash_position(df: DataFrame, by, seed: str, key: str, out: str = "pos") -> D
     return add_position(df, by, ["__h", key], hash_bucket(F.col("__h")), out).drop("__h")
 
 
-def score_position(df: DataFrame, by, score: str, key: str, out: str = "pos", descending: bool = True) -> DataFrame:
-    """Position by score, ties by ``key``."""
-    bucket = score_bin(F.col(score))
-    order = [F.col(score).desc() if descending else F.col(score).asc(), key]
-    return add_position(df, by, order, -bucket if descending else bucket, out)
+def score_position(df: DataFrame, by, score: str, key: str, out: str = "pos", descending: bool = True, tie_block: int = TIE_BLOCK) -> DataFrame:
+    """Position by score, ties in hash order of ``key``.
+
+    The rows before a tie block come from ``tie_blocks``; inside a block rows are numbered by hash.  A block above
+    ``tie_block`` rows (say, all scores equal) is numbered in hash buckets, so it is never one task.
+    """
+    by = as_list(by)
+    blocks = tie_blocks(df.select(*by, score), by, score)
+    before = F.col("n_above") if descending else F.col("n_total") - F.col("n_above") - F.col("n")
+    blocks = blocks.select(*by, score, before.alias("__above"), (F.col("n") > tie_block).alias("__big"))
+    d = df.withColumn("__h", hash_int("tie", key))
+    bucket = hash_bucket(F.col("__h")).cast("long")
+    large = d.select(*by, score, bucket.alias("__b")).join(blocks.where("__big").select(*by, score), [*by, score])
+    inside = prefix_totals(large, [*by, score], "__b", {"__before": F.lit(1)})
+    d = d.join(blocks, [*by, score]).withColumn("__b", F.when(F.col("__big"), bucket).otherwise(0))
+    d = d.join(inside, [*by, score, "__b"], "left")
+    rank = F.row_number().over(W.partitionBy(*by, score, "__b").orderBy("__h", key))
+    pos = F.col("__above") + F.coalesce("__before", F.lit(0)) + rank
+    return d.withColumn(out, pos.cast("long")).drop("__above", "__big", "__b", "__h", "__before")
 
 
 def group_sizes(df: DataFrame, by, out: str = "n") -> DataFrame:

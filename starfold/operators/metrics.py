@@ -157,7 +157,7 @@ def budget_summary(per_event: DataFrame) -> DataFrame:
 
 
 def recall_curve(items: DataFrame, by, label: Column, score: str, key: str, target: float = 0.8) -> DataFrame:
-    """M7: list share and purity where recall first reaches the target (ties in key order)."""
+    """M7: list share and purity where recall first reaches the target (ties in hash order of the key)."""
     by = as_list(by)
     d = items.select(*by, key, score, label.alias("__l"))
     pos = score_position(d, by, score, key, "__pos").where("__l")
@@ -168,7 +168,7 @@ def recall_curve(items: DataFrame, by, label: Column, score: str, key: str, targ
 
 
 def sequential_ap(items: DataFrame, by, label: Column, score: str, key: str) -> DataFrame:
-    """Legacy AP: one fixed order, ties by key."""
+    """Legacy AP: one fixed order, ties by hash of the key."""
     by = as_list(by)
     d = items.select(*by, key, score, label.alias("__l"))
     pos = score_position(d, by, score, key, "__pos").where("__l")

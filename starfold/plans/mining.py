@@ -119,8 +119,8 @@ def t7(spark, d):
     return T.standardise(T.standardise(s, "event", "score_b", "z_event"), [], "score_b", "z_all").select("id", "event", "z_event", "z_all")
 
 
-@query("t8_reorder_within", """WITH m AS (SELECT id, event, owner, cluster, row_number() OVER (PARTITION BY event, owner, cluster ORDER BY star DESC, id) AS r FROM scored),
-  s AS (SELECT event, owner, cluster, score_b, row_number() OVER (PARTITION BY event, owner, cluster ORDER BY score_b DESC, id) AS r FROM scored)
+@query("t8_reorder_within", """WITH m AS (SELECT id, event, owner, cluster, row_number() OVER (PARTITION BY event, owner, cluster ORDER BY star DESC, {hash:tie:id}, id) AS r FROM scored),
+  s AS (SELECT event, owner, cluster, score_b, row_number() OVER (PARTITION BY event, owner, cluster ORDER BY score_b DESC, {hash:tie:id}, id) AS r FROM scored)
   SELECT m.id, round(s.score_b, 6) AS ideal FROM m JOIN s USING (event, owner, cluster, r)""")
 def t8(spark, d):
     s = views.with_scores(views.shots(spark, d)).select("id", *CLUSTER, "star", "score_b")
@@ -410,7 +410,7 @@ def c5(spark, d):
 
 @query("c6_one_per_cluster", """WITH z AS (SELECT *, event || '/' || owner || '/' || cluster AS cl FROM scored),
   r AS (SELECT *, row_number() OVER (PARTITION BY event, cl ORDER BY score_a DESC, id) AS rr, max(score_b) OVER (PARTITION BY event, cl) AS m FROM z),
-  p AS (SELECT event, cl, id, m, row_number() OVER (PARTITION BY event ORDER BY m DESC, id) AS pos FROM r WHERE rr = 1),
+  p AS (SELECT event, cl, id, m, row_number() OVER (PARTITION BY event ORDER BY m DESC, {hash:tie:id}, id) AS pos FROM r WHERE rr = 1),
   b AS (SELECT event, CAST(ceil(count(*) * 0.125) AS BIGINT) AS budget FROM z GROUP BY event)
   SELECT event, cl, id, pos, budget, round(m, 6) AS rank_score FROM p JOIN b USING (event) WHERE pos <= budget""")
 def c6(spark, d):
@@ -456,7 +456,7 @@ def g3(spark, d):
     return P.gap_threshold(views.with_scores(views.exam(spark, d)), "gid", "id", "user_star", "score_a")
 
 
-@query("g4_derived_pairs", """WITH s AS (SELECT id, split, score_a, event || '/' || owner || '/' || cluster AS cl, row_number() OVER (PARTITION BY split ORDER BY score_a, id) AS rk, count(*) OVER (PARTITION BY split) AS n
+@query("g4_derived_pairs", """WITH s AS (SELECT id, split, score_a, event || '/' || owner || '/' || cluster AS cl, row_number() OVER (PARTITION BY split ORDER BY score_a, {hash:tie:id}, id) AS rk, count(*) OVER (PARTITION BY split) AS n
     FROM splits WHERE is_top = 1 AND split <> 'test'),
   h AS (SELECT split, score_a, count(*) AS k FROM s GROUP BY ALL),
   c AS (SELECT s.split, s.id, coalesce(sum(CASE WHEN h.score_a < s.score_a - 0.3 THEN k END), 0)::BIGINT AS lo, coalesce(sum(CASE WHEN -h.score_a < -s.score_a - 0.3 THEN k END), 0)::BIGINT AS hi

@@ -104,7 +104,7 @@ def m6(spark, d):
     return M.budget_summary(_budget(spark, d))
 
 
-@query("m7_recall_curve", """WITH o AS (SELECT event, star >= 3 AS l, row_number() OVER (PARTITION BY event ORDER BY score_a DESC, id) AS r, count(*) OVER (PARTITION BY event) AS n, count(*) FILTER (star >= 3) OVER (PARTITION BY event) AS p FROM itemscores),
+@query("m7_recall_curve", """WITH o AS (SELECT event, star >= 3 AS l, row_number() OVER (PARTITION BY event ORDER BY score_a DESC, {hash:tie:id}, id) AS r, count(*) OVER (PARTITION BY event) AS n, count(*) FILTER (star >= 3) OVER (PARTITION BY event) AS p FROM itemscores),
   h AS (SELECT *, sum(l::INT) OVER (PARTITION BY event ORDER BY r) AS h FROM o), f AS (SELECT event, any_value(n) AS items, any_value(p) AS positives, min(r) AS r FROM h WHERE h >= 0.8 * p GROUP BY event)
   SELECT f.event, items, positives, round(f.r / items, 6) AS list_share, round(h.h / f.r, 6) AS purity FROM f JOIN h ON h.event = f.event AND h.r = f.r""")
 def m7(spark, d):
@@ -269,7 +269,7 @@ def m19_spearman(spark, d):
     return M.group_spearman(_scored(spark, d), ["event", "owner"], "star", "score_a")
 
 
-RECALL_SQL = """WITH r AS (SELECT star, row_number() OVER (PARTITION BY {g} ORDER BY score_a DESC, id) AS pos, greatest(1, round_even(count(*) OVER (PARTITION BY {g}) * 0.125, 0)) AS q FROM scored {w})
+RECALL_SQL = """WITH r AS (SELECT star, row_number() OVER (PARTITION BY {g} ORDER BY score_a DESC, {{hash:tie:id}}, id) AS pos, greatest(1, round_even(count(*) OVER (PARTITION BY {g}) * 0.125, 0)) AS q FROM scored {w})
   SELECT count(*) FILTER (pos <= q AND star >= 3) AS hits, count(*) FILTER (star >= 3) AS positives, round(count(*) FILTER (pos <= q AND star >= 3) / count(*) FILTER (star >= 3), 6) AS recall FROM r"""
 
 
@@ -354,7 +354,7 @@ SELECTOR_SQL = """nz AS (SELECT *, event || '/' || owner || '/' || cluster AS cl
   rp AS (SELECT *, row_number() OVER (PARTITION BY event, cl ORDER BY score_a DESC, id) AS r1, max(score_b) OVER (PARTITION BY event, cl) AS gm, row_number() OVER (PARTITION BY event, cl ORDER BY star + nz DESC, id) AS r2 FROM nz),
   lg AS (SELECT method, event, id, star, CASE method WHEN 'random' THEN nz WHEN 'cluster_representative' THEN CASE WHEN r1 = 1 THEN gm + nz * 1e-6 ELSE nz - 1e6 END WHEN 'direct_local' THEN score_a WHEN 'direct_global' THEN score_b WHEN 'rank_sum' THEN fused WHEN 'perfect' THEN star + nz
     ELSE CASE WHEN r2 = 1 THEN star + nz ELSE nz - 1e6 END END AS score FROM rp, (SELECT unnest(['random', 'cluster_representative', 'direct_local', 'direct_global', 'rank_sum', 'perfect', 'one_per_cluster_perfect']) AS method)),
-  po AS (SELECT *, row_number() OVER (PARTITION BY method, event ORDER BY score DESC, id) AS pos, count(*) OVER (PARTITION BY method, event) AS n, count(*) FILTER (star >= 3) OVER (PARTITION BY method, event) AS p FROM lg),
+  po AS (SELECT *, row_number() OVER (PARTITION BY method, event ORDER BY score DESC, {hash:tie:id}, id) AS pos, count(*) OVER (PARTITION BY method, event) AS n, count(*) FILTER (star >= 3) OVER (PARTITION BY method, event) AS p FROM lg),
   hh AS (SELECT *, sum((star >= 3)::INT) OVER (PARTITION BY method, event ORDER BY pos) AS h FROM po),
   av AS (SELECT method, event, avg(h / pos) FILTER (star >= 3) AS ap, min(pos) FILTER (h >= 0.8 * p) / any_value(n) AS sh, any_value(p) AS p, any_value(n) AS n FROM hh GROUP BY ALL),
   pu AS (SELECT hh.method, hh.event, h / pos AS pu FROM hh JOIN av ON av.method = hh.method AND av.event = hh.event AND hh.pos = round(av.sh * av.n)),

@@ -53,8 +53,8 @@ def stream_new_files(spark: SparkSession, source: str, schema: str, out: str, ch
             late = spark.read.schema(schema).format(fmt).load(paths)
             late = late.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("__changed")).where(ready)
             if not late.isEmpty():
-                key = late.agg(F.md5(F.array_join(F.array_sort(F.collect_set("source_file")), ","))).first()[0]
-                write(work(late.drop("__changed")), f"late-{key[:12]}")
+                key = late.select("source_file").distinct().agg(F.hex(F.bit_xor(F.xxhash64("source_file")))).first()[0]
+                write(work(late.drop("__changed")), f"late-{key}")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         late = df.where(~ready).select("source_file").distinct()

@@ -19,9 +19,11 @@ def rows(spark):
 
 
 def test_position_equals_plain_window(rows):
-    got = core.score_position(rows, "g", "s", "id", "pos")
-    want = rows.withColumn("w", F.row_number().over(W.partitionBy("g").orderBy(F.col("s").desc(), "id")))
-    assert got.join(want.select("id", "w"), "id").where("pos <> w").count() == 0
+    for desc in (True, False):
+        got = core.score_position(rows, "g", "s", "id", "pos", desc, tie_block=5)
+        order = F.col("s").desc() if desc else F.col("s").asc()
+        want = rows.withColumn("w", F.row_number().over(W.partitionBy("g").orderBy(order, core.hash_int("tie", "id"), "id")))
+        assert got.join(want.select("id", "w"), "id").where("pos <> w").count() == 0
     got = core.hash_position(rows, "g", "x", "id", "pos").withColumn("h", core.hash_int("x", "id"))
     want = got.withColumn("w", F.row_number().over(W.partitionBy("g").orderBy("h", "id")))
     assert want.where("pos <> w").count() == 0
