@@ -296,7 +296,7 @@ def mixed_groups(reps: DataFrame, event: str, key: str, score_a: str, score_b: s
     n = d.groupBy(event).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)
     from starfold.core import score_position
 
-    pos = score_position(d, event, "a", "id", "pos", descending=False).join(n, event)
+    pos = checkpoint(score_position(checkpoint(d), event, "a", "id", "pos", descending=False).join(n, event))
     anchors = [(g + 0.5) / groups for g in range(groups)]
     near = F.lit(False)
     for f in anchors:
@@ -304,7 +304,7 @@ def mixed_groups(reps: DataFrame, event: str, key: str, score_a: str, score_b: s
     is_anchor = F.lit(-1)
     for g, f in enumerate(anchors):
         is_anchor = F.when(F.col("pos") - 1 == F.bround((F.col("n") - 1) * f), F.lit(g)).otherwise(is_anchor)
-    dis = score_position(pos, event, "dis", "id", "dpos")
+    dis = checkpoint(score_position(pos, event, "dis", "id", "dpos"))
     rnd = add_position(dis, event, ["h", "id"], hash_bucket(F.col("h")), "hpos")
     heads = rnd.where(near | (F.col("pos") <= need) | (F.col("pos") > F.col("n") - need) | (F.col("dpos") <= need) | (F.col("hpos") <= need))
     heads = heads.withColumn("anchor", is_anchor).select(event, "id", "a", "dis", "h", "anchor", "pos", "n")
@@ -342,6 +342,7 @@ def comparison_tasks(members: DataFrame, event: str, gid: str, key: str, score_a
     """
     from starfold.operators.joins import pairs_in_small_groups
 
+    members = checkpoint(members)
     p = pairs_in_small_groups(members, event, key, [gid, score_a, score_b], limit=4096).where(F.col(f"{gid}_i") != F.col(f"{gid}_j"))
     da, db = F.col(f"{score_a}_i") - F.col(f"{score_a}_j"), F.col(f"{score_b}_i") - F.col(f"{score_b}_j")
     role = F.when(da * db < 0, "disagreement").when(F.abs(da) < near, "near").otherwise("random")

@@ -49,7 +49,7 @@ def check(spark, con, name: str, sf_dir: str, fn, sql: str | None):
     got = [tuple(r) for r in df.collect()]
     took = time.time() - start
     if sql is None:
-        return True, f"rows {len(got)} (no SQL)", took
+        return bool(got), f"rows {len(got)} (no SQL)", took
     rel = con.execute(sql)
     want_cols = [d[0] for d in rel.description]
     types = {d[0]: str(d[1]) for d in rel.description}
