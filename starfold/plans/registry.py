@@ -32,7 +32,12 @@ def query(name: str, oracle: str | None = None):
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: plain(fn(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the SQL twins read zone-less times as UTC
+            return plain(fn(spark, sf_dir))
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = sql(oracle)
         return fn
