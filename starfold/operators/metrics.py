@@ -156,23 +156,28 @@ def budget_summary(per_event: DataFrame) -> DataFrame:
         F.try_divide(F.sum("hits"), F.sum("budget")).alias("precision_pooled"), F.try_divide(F.sum("hits"), F.sum("positives")).alias("recall_pooled"))
 
 
-def recall_curve(items: DataFrame, by, label: Column, score: str, key: str, target: float = 0.8) -> DataFrame:
-    """M7: list share and purity where recall first reaches the target (ties in hash order of the key)."""
+def positive_positions(items: DataFrame, by, label: Column, score: str, key: str) -> DataFrame:
+    """Every positive with its position among all items (``__pos``) and among the positives (``__k``)."""
     by = as_list(by)
     d = items.select(*by, key, score, label.alias("__l"))
-    pos = score_position(d, by, score, key, "__pos").where("__l")
-    k = score_position(pos, by, score, key, "__k")
-    totals = d.groupBy(*by).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("__l")).alias("positives"))
+    pos = checkpoint(score_position(d, by, score, key, "__pos").where("__l"))
+    return score_position(pos, by, score, key, "__k")
+
+
+def recall_curve(items: DataFrame, by, label: Column, score: str, key: str, target: float = 0.8, positions: DataFrame | None = None) -> DataFrame:
+    """M7: list share and purity where recall first reaches the target (ties in hash order of the key)."""
+    by = as_list(by)
+    k = positive_positions(items, by, label, score, key) if positions is None else positions
+    totals = items.groupBy(*by).agg(F.count(F.lit(1)).alias("items"), F.count_if(label).alias("positives"))
     return k.join(totals, by).where(F.col("__k") == F.ceil(F.col("positives") * target)).select(
         *by, "items", "positives", (F.col("__pos") / F.col("items")).alias("list_share"), (F.col("__k") / F.col("__pos")).alias("purity"))
 
 
-def sequential_ap(items: DataFrame, by, label: Column, score: str, key: str) -> DataFrame:
+def sequential_ap(items: DataFrame, by, label: Column, score: str, key: str, positions: DataFrame | None = None) -> DataFrame:
     """Legacy AP: one fixed order, ties by hash of the key."""
     by = as_list(by)
-    d = items.select(*by, key, score, label.alias("__l"))
-    pos = score_position(d, by, score, key, "__pos").where("__l")
-    return score_position(pos, by, score, key, "__k").groupBy(*by).agg(F.avg(F.col("__k") / F.col("__pos")).alias("ap"))
+    k = positive_positions(items, by, label, score, key) if positions is None else positions
+    return k.groupBy(*by).agg(F.avg(F.col("__k") / F.col("__pos")).alias("ap"))
 
 
 def structure_ceiling(items: DataFrame, by, label: Column, fraction: float) -> DataFrame:
@@ -544,9 +549,10 @@ def selector_comparison(long: DataFrame, event: str, key: str, rating: str, k: i
     """Per method macro AP, its closure against random, precision and recall in the budget, list share at 80% recall."""
     by, label = ["method", event], F.col(rating) >= k
     long = checkpoint(long)
-    ap = sequential_ap(long, by, label, "score", key) if legacy else average_precision(long, by, label, "score").select(*by, "ap").where("ap is not null")
+    positions = checkpoint(positive_positions(long, by, label, "score", key))
+    ap = sequential_ap(long, by, label, "score", key, positions) if legacy else average_precision(long, by, label, "score").select(*by, "ap").where("ap is not null")
     bud = budget_metrics(long, by, label, "score", [fraction], "even" if legacy else "ceil").where("positives > 0")
-    cur = recall_curve(long, by, label, "score", key)
+    cur = recall_curve(long, by, label, "score", key, positions=positions)
     m = ap.groupBy("method").agg(F.count(F.lit(1)).alias("events"), F.avg("ap").alias("ap"))
     m = m.join(bud.groupBy("method").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall")), "method")
     m = m.join(cur.groupBy("method").agg(F.avg("list_share").alias("share_at_80"), F.avg("purity").alias("purity_at_80")), "method")
