@@ -111,7 +111,7 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1
     placed = running(docs.where("size > 0"), ["src", "__u", "doc_id", "size"], F.col("size"), out="w_start").withColumn("w_start", F.col("w_start") - F.col("begin")).drop("__u", "begin")
     cut = placed.withColumn("block", F.explode(F.sequence(F.expr(f"w_start div {block_words}"), F.expr(f"(w_start + size - 1) div {block_words}"))))
     overlap = F.least(F.col("w_start") + F.col("size"), "w_to") - F.greatest("w_start", "w_from")
-    pieces = cut.join(schedule, ["src", "block"], "left").withColumn("taken", F.greatest(F.coalesce(overlap, F.lit(0)), F.lit(0)))
+    pieces = cut.join(schedule, ["src", "block"], "left").withColumn("taken", F.when(F.col("slot").isNotNull(), F.greatest(overlap, F.lit(0))).otherwise(F.lit(0)))
     return Mix(sources, schedule, pieces, docs.where("size = 0").drop("__u", "begin"))
 
 
