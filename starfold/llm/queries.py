@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import mixing
+from starfold.llm import bpe, minhash, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,23 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
     mixed = mixing.mix(mixing.sizes_of(table(spark, sf_dir, "documents")))
     return mixing.taken_words(mixed).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+def vocabulary() -> str:
+    """The public byte-level vocabulary; its place is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_bpe_codec")
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded and decoded documents as digests."""
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
