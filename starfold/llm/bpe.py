@@ -55,7 +55,8 @@ class BytePairs:
         self.special = {a["content"]: a["id"] for a in data["added_tokens"]}
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.words = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
+        self.words = self.pattern.findall
         self.marks = regex.compile("|".join(f"(?:{regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.cache = _Cache(self)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, minhash, mixing
+from starfold.llm import bpe, chat, fingerprints, langid, licenses, minhash, mixing, quality, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,11 +53,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixed).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-def vocabulary() -> str:
-    """The public byte-level vocabulary; its place is a parameter of the operators."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public vocabulary; it is a parameter of the operators."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op5_bpe_codec")
@@ -71,3 +71,88 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op2_edited_token_counts")
+def op2_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after the redaction of personal data."""
+    counts = token_counts.count_with_edits(table(spark, sf_dir, "documents"), vocabulary())
+    return counts.select("doc_id", "n_chars", "n_tokens", "n_edits", "edited_tokens", "recoded_chars")
+
+
+@query("op3_edit_fingerprints")
+def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    found = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
+
+
+def _license_sql() -> str:
+    """SQL of the licence scan, from the same tables of sentences and rules."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    pairs = ", ".join(f"({quoted(s)}, {quoted(n)})" for n, s in licenses.SENTENCES.items())
+    rules: dict[str, list[str]] = {}
+    for name, rule in licenses.RULES:
+        rules.setdefault(name, []).append(f"p LIKE {quoted('% ' + ' %'.join(rule).replace(' %', ' % ') + ' %')}" if len(rule) > 1 else f"contains(p, {quoted(' ' + rule[0] + ' ')})")
+    hit = {n: "(" + " OR ".join(r) + ")" for n, r in rules.items()}
+    hit |= {a: f"({hit[a]} AND NOT {hit[b]})" for a, b in licenses.SUPERSEDED.items()}
+    names = ", ".join(f"CASE WHEN {hit[n]} THEN {quoted(n)} END" for n in sorted(hit))
+    return rf"""
+WITH k(s, id) AS (VALUES {pairs}),
+  l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS s FROM (
+    SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '([.!?;])[ 	]+', '' || chr(10), 'g'), chr(10)) AS x FROM documents)),
+  f AS (SELECT doc_id, string_agg(id, ' ' ORDER BY i) AS ids, count(*) AS n FROM l JOIN k ON k.s = trim(regexp_replace(l.s, '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id),
+  d AS (SELECT doc_id, coalesce(n, 0) AS n_found, coalesce(ids, '') AS ids, ' ' || replace(coalesce(ids, ''), ' ', '  ') || ' ' AS p FROM documents LEFT JOIN f USING (doc_id))
+SELECT doc_id, n_found, ids, concat_ws(' ', {names}) AS licenses FROM d"""
+
+
+@query("op4_license_scan", _license_sql())
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, distances and verdict of all documents."""
+    return quality.quality(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learned(docs, vocabulary("piece_bpe_32k.model"))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+@query("op9_curve_shards")
+def op9_curve_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents along the curve."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
+
+
+#: Conversation that the formatting query adds: texts that are control strings.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query("op10_chat_format", rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'),
+  e AS (SELECT *, replace(replace(replace(text, '', '\s'), '<', '\l'), '[', '\b') AS body, replace(replace(replace(replace(role, '', '\s'), '<', '\l'), '[', '\b'), chr(10), '\n') AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, body)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(head) + length(body) + 16)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""")
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, formatted and read back."""
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = chat.format_conversations(given.unionByName(own))
+    rows = rows.withColumns({"__turns": chat.read_turns(F.col("formatted")), "__loss": chat.read_loss(F.col("formatted"), F.col("loss"))})
+    whole = F.array_join(F.transform("__turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select("conv_id", F.size("__turns").cast("long").alias("n_turns"), sha(whole).alias("turns_sha256"), F.char_length("__loss").cast("long").alias("loss_chars"),
+                       sha(F.col("__loss")).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
