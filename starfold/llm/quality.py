@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence.
 
 A document's histograms of character classes and of common words are compared with those of its language by the
-Jensen-Shannon distance.  The references are sums over all documents of a language that pass the base rules.  Short texts
+Jensen-Shannon distance.  The references are sums over all documents of a language that pass the base rules and have few symbols.  Short texts
 have noisy histograms, so each distance only counts from a minimum length on.  Everything is built-in expressions.
 """
 
@@ -30,6 +30,7 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 GUARD_CHARS, GUARD_WORDS = 200, 60  # shorter texts are not judged by that histogram
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.26, 0.40
+REFERENCE_WORDS_PER_SYMBOL = 20  # texts with more symbols stay out of the references
 REFERENCE_WORDS = 2_000  # languages with fewer words are compared with all languages together
 
 
@@ -52,7 +53,7 @@ def base_counts(docs: DataFrame, text: str) -> DataFrame:
     d = d.withColumns({"__hash": F.transform("__words", lambda w: F.xxhash64(w)), "n_words": F.size("__words").cast("long")})
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     d = d.withColumns({
-        "word_chars": F.length(F.regexp_replace(t, r"[\x09-\x0D\x20]+", "")).cast("long"),
+        "word_chars": F.char_length(F.concat_ws("", "__words")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
         "__lines": lines, "__size": F.size("__hash"),
     })
@@ -79,10 +80,16 @@ def class_counts(text: Column, word_chars: Column, n_symbols: Column) -> list[Co
     return [*found, n_symbols, blank.cast("long"), wide.cast("long")]
 
 
-def common_counts(words: Column) -> Column:
-    """``(w, c)`` of each common word in the document."""
-    hit = F.transform(F.filter(words, lambda w: F.lower(w).isin(COMMON)), lambda w: F.lower(w))
-    return F.transform(F.array_distinct(hit), lambda w: F.struct(w.alias("w"), (F.size(hit) - F.size(F.array_remove(hit, w))).cast("long").alias("c")))
+def common_words(words: Column) -> Column:
+    """The common words among ``words``, lower case, sorted."""
+    return F.sort_array(F.transform(F.filter(words, lambda w: F.lower(w).isin(COMMON)), lambda w: F.lower(w)))
+
+
+def counted(hits: str, distinct: str) -> Column:
+    """``(w, c)`` of each distinct value of a sorted array column: the distance of its first place to the next one's."""
+    first = F.transform(distinct, lambda w: F.array_position(hits, w))
+    after = F.concat(F.slice(first, F.lit(2), F.size(distinct)), F.array(F.size(hits).cast("long") + 1))
+    return F.zip_with(F.col(distinct), F.zip_with(first, after, lambda a, b: b - a), lambda w, c: F.struct(w.alias("w"), c.alias("c")))
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -105,14 +112,15 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.withColumns({"n_chars": F.char_length(t).cast("long"), "__found": F.array(*counts)})
     total = F.col("word_chars") + reduce(lambda a, b: a + b, [F.get("__found", F.lit(k)) for k in (4, 5)])
     rest = total - reduce(lambda a, b: a + b, [F.get("__found", F.lit(k)) for k in range(6)])
-    d = d.withColumn("classes", F.concat("__found", F.array(rest))).withColumn("common", common_counts(F.col("__words")))
+    d = d.withColumn("classes", F.concat("__found", F.array(rest))).withColumn("__hits", common_words(F.col("__words")))
+    d = d.withColumn("__kinds", F.array_distinct("__hits")).withColumn("common", counted("__hits", "__kinds"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return checkpoint(d.select("doc_id", "lang", "text_hash", "n_chars", *base, "classes", "common"))
 
 
 def references(found: DataFrame) -> tuple[DataFrame, int]:
-    """Histograms of each language from all its documents that pass the base rules; the null language stands for all documents."""
-    good = found.where(~F.col("base_failed"))
+    """Histograms of each language from all its documents that pass the base rules and have few symbols; the null language stands for all documents."""
+    good = found.where(~F.col("base_failed") & (REFERENCE_WORDS_PER_SYMBOL * F.col("n_symbols") <= F.col("n_words")))
     n = len(CLASSES) + 4
     sums = [F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(n)]
     # two groupings instead of one over doubled rows: both combine before the shuffle
