@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from starfold.core import checkpoint, ensure_checkpoint_dir
 
-__all__ = ["SPACES", "WORD", "checkpoint", "ensure_checkpoint_dir", "join_small", "running", "word_count"]
+__all__ = ["SPACES", "WORD", "checkpoint", "ensure_checkpoint_dir", "join_small", "running", "vocabulary", "word_count"]
 
 # The characters that separate words in every operator of this package.
 SPACES = "\t\n\x0b\x0c\r "
@@ -19,6 +19,13 @@ BROADCAST_ROWS = 20_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -25,7 +25,7 @@ from starfold.llm.common import checkpoint
 from starfold.llm.workers import slices
 
 PIECE = 512  # characters per walk
-RUN = 4  # written characters that a cell samples
+RUN = 2  # written characters that a cell samples
 CELLS = 128  # bytes of a fingerprint
 BANDS, BAND_CELLS = 24, 4
 SEED = 23

@@ -8,7 +8,7 @@
    than one component are therefore compared exactly, block by block, inside tasks: common shingles of two blocks of sets are
    counted by a matrix product, and only links that join components leave the task.
 
-With the default bands a pair at the threshold shares no bucket with probability 2e-9.
+The bands follow from the threshold: a pair at it shares no bucket with a probability of at most ``MISS``.
 """
 
 from __future__ import annotations
@@ -26,15 +26,25 @@ from starfold.llm.shingles import Sketcher, shingle_set, similar
 from starfold.llm.workers import slices
 from starfold.operators.clusters import connected_components
 
-BANDS, ROWS = 42, 6
-WIDTH, PERCENT = 3, 85
+WIDTH, PERCENT = 5, 80
+BINS = 256  # most bins of a sketch
+MISS = 1e-8
 BLOCK_SETS = 1024  # members of a bucket that one task holds, twice over
 BLOCK_SHINGLES = 2_000_000
 KEPT_SETS = 512  # sets that a confirming worker keeps
 TILE = 1 << 24  # cells of an incidence tile
 
 
-def prepared(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def banding(percent: int, bins: int = BINS, miss: float = MISS) -> tuple[int, int]:
+    """(bands, rows): the most rows a band whose buckets still miss a pair at the threshold with at most ``miss``."""
+    same = percent / 100
+    fit = [r for r in range(1, 33) if (1 - same**r) ** (bins // r) <= miss]
+    if not fit:
+        raise ValueError("more bins are needed for this threshold")
+    return bins // max(fit), max(fit)
+
+
+def prepared(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """rid, doc_id, text hash, shingle count, set hash (null for an empty set) and band keys, in the checkpoint folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +176,7 @@ def packed_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id, kept, and ``first`` for one row of each component.
 
     Documents with ``100 * |a and b| >= percent * |a or b|`` on their sets of ``width``-word shingles are linked, directly or
@@ -174,7 +184,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     stays alone.  Null ids take part but name no component: a component of null ids only has a null id and keeps none.
     Repeated rows are separate rows with one component.  Columns other than doc_id and text are not read.
     """
-    p = prepared(docs, width, bands, rows)
+    p = prepared(docs, width, *banding(percent))
     groups = p.where("n_shingles > 0").groupBy("set_hash").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"))
     groups = checkpoint(groups)
     reps = p.join(groups.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node")

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from starfold.llm import bpe, chat, fingerprints, langid, licenses, minhash, mixing, quality, sharding, token_counts
+from starfold.llm.common import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,30 +55,23 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixed).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    """Path of a public vocabulary; it is a parameter of the operators."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query("op5_bpe_codec")
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded and decoded documents as digests."""
-    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query("op6_near_duplicates")
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op2_edited_token_counts")
 def op2_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after the redaction of personal data."""
-    counts = token_counts.count_with_edits(table(spark, sf_dir, "documents"), vocabulary())
+    counts = token_counts.count_with_edits(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_chars", "n_tokens", "n_edits", "edited_tokens", "recoded_chars")
 
 
@@ -156,3 +151,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return rows.select("conv_id", F.size("__turns").cast("long").alias("n_turns"), sha(whole).alias("turns_sha256"), F.char_length("__loss").cast("long").alias("loss_chars"),
                        sha(F.col("__loss")).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
