@@ -127,7 +127,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             texts = [t or "" for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(map(len, texts), pa.int64()), pa.array(of_texts(texts), pa.binary())], ["doc_id", "text_hash", "n_chars", "fingerprint"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     return cols.mapInArrow(run, "doc_id long, text_hash long, n_chars long, fingerprint binary")
 
 

@@ -89,7 +89,8 @@ def counted(hits: str, distinct: str) -> Column:
     """``(w, c)`` of each distinct value of a sorted array column: the distance of its first place to the next one's."""
     first = F.transform(distinct, lambda w: F.array_position(hits, w))
     after = F.concat(F.slice(first, F.lit(2), F.size(distinct)), F.array(F.size(hits).cast("long") + 1))
-    return F.zip_with(F.col(distinct), F.zip_with(first, after, lambda a, b: b - a), lambda w, c: F.struct(w.alias("w"), c.alias("c")))
+    sizes = F.slice(F.zip_with(first, after, lambda a, b: b - a), F.lit(1), F.size(distinct))  # none for an empty array
+    return F.zip_with(F.col(distinct), sizes, lambda w, c: F.struct(w.alias("w"), c.alias("c")))
 
 
 def divergence(p: Column, q: Column) -> Column:

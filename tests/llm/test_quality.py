@@ -14,7 +14,7 @@ def corpus():
     good = [" ".join(rng.choices(WORDS, k=rng.randint(40, 160))).replace("stone", "stone.\n") for _ in range(60)]
     marks = [" ".join(w + "&&&" if i % 2 else w + "$$$" for i, w in enumerate(rng.choices(WORDS[3:10], k=120))) for _ in range(3)]
     again = ["one two three four five six seven eight nine ten " * 6, "a b c d e f g h " + " ".join(map(str, range(30))) + " a b c d e f g h"]
-    odd = [None, "", " \n\x0b ", "short text", "line\nline\n\n \nline", "x " * 20_000, "\x85word other\u3000third " * 3]
+    odd = [None, "", " \n\x0b ", "short text", "line\nline\n\n \nline", "x " * 20_000, " ".join(f"plain{i}" for i in range(70)), "\x85word other\u3000third " * 3]
     rows = [(i, t, "en") for i, t in enumerate([*good, *marks, *again, *odd])]
     return [*rows, (None, good[0], None), (1, good[1], "en"), (900, good[2], "xx")]
 
