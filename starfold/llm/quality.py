@@ -2,7 +2,8 @@
 
 A document's histograms of character classes and of common words are compared with those of its language by the
 Jensen-Shannon distance.  The references are sums over all documents of a language that pass the base rules and have few symbols.  Short texts
-have noisy histograms, so each distance only counts from a minimum length on.  Everything is built-in expressions.
+have noisy histograms, so each distance only counts from a minimum length on.  Odd characters alone reject a text, and so do
+both histograms together when each is only somewhat odd, as in lists of words.  Everything is built-in expressions.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ CLASSES = {"upper": r"[A-Z]", "digit": r"[0-9]", "point": r"[.,;:!?'\"()\-]"}
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
-GUARD_CHARS, GUARD_WORDS = 200, 60  # shorter texts are not judged by that histogram
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.26, 0.40
+GUARD_CHARS, GUARD_WORDS = 200, 100  # shorter texts are not judged by that histogram
+MAX_CLASS_DISTANCE, MAX_SUM = 0.34, 0.44  # of the class distance alone, and of both distances together
 REFERENCE_WORDS_PER_SYMBOL = 20  # texts with more symbols stay out of the references
 REFERENCE_WORDS = 2_000  # languages with fewer words are compared with all languages together
 
@@ -164,7 +165,7 @@ def judged(found: DataFrame) -> DataFrame:
         "class_distance": F.when(F.col("__classes").isNotNull() & (F.col("n_chars") >= GUARD_CHARS), distance(twice)),
         "word_distance": F.when(F.col("__common").isNotNull() & (F.col("n_words") >= GUARD_WORDS), distance(words)),
     })
-    near = (F.coalesce("class_distance", zero) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", zero) <= MAX_WORD_DISTANCE)
+    near = (F.coalesce("class_distance", zero) <= MAX_CLASS_DISTANCE) & (F.coalesce(F.col("class_distance") + F.col("word_distance"), zero) <= MAX_SUM)
     return d.withColumn("kept", ~F.col("base_failed") & near)
 
 
