@@ -2,8 +2,12 @@
 
 Ordering inside a group is always done in two levels.  A plain ``Window.partitionBy(group)`` sends a whole
 group to one task, which fails when one group holds a third of the table.  Here rows are first put in
-order-preserving buckets (time slots, hash prefixes or score bins), windows run inside ``(group, bucket)``
-and only the small table of bucket totals is windowed per group.
+order-preserving buckets (ranges from a quantile sketch, or hash prefixes), windows run inside ``(group, bucket)``
+and only the small table of bucket totals is windowed per group.  The number of buckets follows
+``spark.sql.shuffle.partitions``, which grows with the data.
+
+Groups, times and scores may be NULL.  Rows are matched with their group's totals on a struct of the keys: a struct is
+never NULL and its NULL fields are equal, so no row is lost and the join stays a plain equi-join.
 """
 
 from __future__ import annotations
@@ -15,10 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 HASH_BITS = 32
-HASH_BUCKET_BITS = 22  # 1,024 hash buckets per group
-SCORE_BINS_PER_E = 1024  # score bins per factor e: about 0.1% of the value
-TIE_BLOCK = 100_000  # rows of equal score that one task may number
-DAY_MICROS = 86_400_000_000
+HASH_SPAN = 1 << 21  # above any hash bucket: shifts whole classes of rows before or behind others
+BUCKETS_PER_PARTITION = 4
+TIE_BLOCK = 100_000  # rows of equal score above which a block is numbered in hash buckets; the result does not depend on it
 
 
 def as_list(cols) -> list[str]:
@@ -54,15 +57,40 @@ def hash_int(seed: str, *cols) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def bucket_bits() -> int:
+    """Binary digits of the number of buckets, from the session's shuffle partitions: 6 to 20."""
+    spark = SparkSession.getActiveSession()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions")) if spark else 200
+    return max(6, min(20, (BUCKETS_PER_PARTITION * partitions - 1).bit_length()))
+
+
 def hash_bucket(hashed: Column) -> Column:
-    """Order-preserving bucket of a 32-bit hash."""
-    return F.shiftright(hashed, HASH_BUCKET_BITS)
+    """Order-preserving bucket of a 32-bit hash, below ``HASH_SPAN``."""
+    return F.shiftright(hashed, HASH_BITS - bucket_bits())
 
 
-def score_bin(value: Column) -> Column:
-    """Order-preserving integer bin of a double: logarithmic on both sides of zero, some ten thousand bins."""
-    size = F.log(F.abs(value) * 1e6 + 1.0) * SCORE_BINS_PER_E
-    return F.floor(F.when(value < 0, -size).otherwise(size)).cast("long")
+def with_bucket(df: DataFrame, value: str, out: str = "__b") -> DataFrame:
+    """Add an order-preserving bucket of a number: its range among quantiles of the whole column; NULL for NULL.
+
+    The bounds come from a sketch of all rows, so a narrow or skewed range of values is split like any other.  They are one
+    row of bounded length.  The range is found in two steps over about the square root of the bounds each.
+    """
+    step = 1 << ((bucket_bits() + 1) // 2)
+    shares = [k / (step * step) for k in range(step * step)]
+    v = F.col(value)
+    sketch = df.agg(F.percentile_approx(v, shares, 4 * step * step).alias("fine"))
+    bounds = sketch.select(F.struct("fine", F.filter("fine", lambda x, i: i % step == 0).alias("coarse"))).scalar()  # one row, computed once
+    at_or_below = lambda bounds: F.size(F.filter(bounds, lambda x: x <= v))
+    d = df.withColumn("__bounds", bounds).withColumn("__at", F.greatest(at_or_below(F.col("__bounds.coarse")), F.lit(1)))
+    fine = at_or_below(F.slice(F.col("__bounds.fine"), (F.col("__at") - 1) * step + 1, F.lit(step)))
+    return d.withColumn(out, F.when(v.isNotNull(), F.col("__at") * step + F.coalesce(fine, F.lit(0)))).drop("__bounds", "__at")
+
+
+def match(df: DataFrame, side: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join on columns of both sides where NULL equals NULL; the key columns are those of ``df``."""
+    on = as_list(on)
+    side = side.select(F.struct(*on).alias("__key"), *[c for c in side.columns if c not in on])
+    return df.withColumn("__key", F.struct(*on)).join(side, "__key", how).drop("__key")
 
 
 def micros(ts: str) -> Column:
@@ -70,37 +98,45 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def prefix_totals(df: DataFrame, by, bucket: str, sums: dict[str, Column]) -> DataFrame:
-    """Per (by, bucket): for each name the sum over all earlier buckets of the same group.
+def prefix_totals(df: DataFrame, by, bucket: str, sums: dict[str, Column], nulls_last: bool = False) -> DataFrame:
+    """Per (by, bucket): for each name the sum over all earlier buckets of the same group; the NULL bucket is first or last.
 
     The input is combined map-side; only bucket totals reach the per-group window.
     """
     by = as_list(by)
     totals = df.groupBy(*by, bucket).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    w = W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    order = F.col(bucket).asc_nulls_last() if nulls_last else F.col(bucket)
+    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return totals.select(
         *by, bucket, *[F.coalesce(F.sum(f"__t_{n}").over(w), F.lit(0)).alias(n) for n in sums]
     )
 
 
-def add_position(df: DataFrame, by, order: list, bucket: Column, out: str = "pos", where: Column | None = None) -> DataFrame:
+def add_position(df: DataFrame, by, order: list, bucket: Column | str, out: str = "pos", where: Column | None = None, descending: bool = False) -> DataFrame:
     """1-based position in the group under ``order``; ``bucket`` must be monotone in that order.
 
-    ``where`` restricts the counting: rows outside it get NULL.
+    A column name as ``bucket`` is a number that comes first in ``order``; its quantiles make the buckets (``descending``
+    if it is ordered so).  ``where`` restricts the counting: rows outside it get NULL.  NULL values come first, or last
+    if ``descending``.
     """
     by = as_list(by)
-    df = df.withColumn("__b", bucket)
+    if isinstance(bucket, str):
+        df = with_bucket(df, bucket)
+        df = df.withColumn("__b", -F.col("__b")) if descending else df
+    else:
+        df = df.withColumn("__b", bucket)
+    df = df.withColumn("__at_group", F.struct(*by, "__b"))
     one = F.lit(1) if where is None else F.when(where, 1).otherwise(0)
-    before = prefix_totals(df, by, "__b", {"__before": one})
-    w = W.partitionBy(*by, "__b").orderBy(*order)
+    before = prefix_totals(df, by, "__b", {"__before": one}, descending).select(F.struct(*by, "__b").alias("__at_group"), "__before")
+    w = W.partitionBy("__at_group").orderBy(*order)
     if where is None:
         pos = F.row_number().over(w)
     else:
         pos = F.when(where, F.sum(one).over(w.rowsBetween(W.unboundedPreceding, 0)))
     return (
-        df.join(before, [*by, "__b"])
-        .withColumn(out, (pos + F.col("__before")).cast("long"))
-        .drop("__b", "__before")
+        df.withColumn("__pos_in", pos).join(before, "__at_group")
+        .withColumn(out, (F.col("__pos_in") + F.col("__before")).cast("long"))
+        .drop("__b", "__at_group", "__before", "__pos_in")
     )
 
 
@@ -111,7 +147,7 @@ def hash_position(df: DataFrame, by, seed: str, key: str, out: str = "pos") -> D
 
 
 def score_position(df: DataFrame, by, score: str, key: str, out: str = "pos", descending: bool = True, tie_block: int = TIE_BLOCK) -> DataFrame:
-    """Position by score, ties in hash order of ``key``.
+    """Position by score, ties in hash order of ``key``.  Rows with a NULL or NaN score are kept with a NULL position.
 
     The rows before a tie block come from ``tie_blocks``; inside a block rows are numbered by hash.  A block above
     ``tie_block`` rows (say, all scores equal) is numbered in hash buckets, so it is never one task.
@@ -122,10 +158,10 @@ def score_position(df: DataFrame, by, score: str, key: str, out: str = "pos", de
     blocks = blocks.select(*by, score, before.alias("__above"), (F.col("n") > tie_block).alias("__big"))
     d = df.withColumn("__h", hash_int("tie", key))
     bucket = hash_bucket(F.col("__h")).cast("long")
-    large = d.select(*by, score, bucket.alias("__b")).join(blocks.where("__big").select(*by, score), [*by, score])
+    large = match(d.select(*by, score, bucket.alias("__b")), blocks.where("__big").select(*by, score), [*by, score])
     inside = prefix_totals(large, [*by, score], "__b", {"__before": F.lit(1)})
-    d = d.join(blocks, [*by, score]).withColumn("__b", F.when(F.col("__big"), bucket).otherwise(0))
-    d = d.join(inside, [*by, score, "__b"], "left")
+    d = match(d, blocks, [*by, score], "left").withColumn("__b", F.when(F.coalesce("__big", F.lit(True)), bucket).otherwise(0))
+    d = match(d, inside, [*by, score, "__b"], "left")
     rank = F.row_number().over(W.partitionBy(*by, score, "__b").orderBy("__h", key))
     pos = F.col("__above") + F.coalesce("__before", F.lit(0)) + rank
     return d.withColumn(out, pos.cast("long")).drop("__above", "__big", "__b", "__h", "__before")
@@ -136,41 +172,49 @@ def group_sizes(df: DataFrame, by, out: str = "n") -> DataFrame:
     return df.groupBy(*as_list(by)).agg(F.count(F.lit(1)).alias(out))
 
 
+def is_number(score: str | Column) -> Column:
+    """Whether a score is neither NULL nor NaN."""
+    c = F.col(score) if isinstance(score, str) else score
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
+
+
 def tie_blocks(df: DataFrame, by, score: str, sums: dict[str, Column] | None = None) -> DataFrame:
-    """One row per (group, distinct score), best score first.
+    """One row per (group, distinct score), best score first; NULL and NaN scores are in no block.
 
     Columns: ``n`` rows in the block and each named sum; ``n_above`` and ``<name>_above`` totals over strictly
-    better scores; ``n_total`` and ``<name>_total`` of the group.
+    better scores; ``n_total`` and ``<name>_total`` of the group's scored rows.
     """
     by = as_list(by)
     sums = sums or {}
     names = ["n", *sums]
-    blocks = df.groupBy(*by, score).agg(
+    blocks = df.where(is_number(score)).groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()]
-    ).withColumn("__b", -score_bin(F.col(score)))
+    )
+    blocks = with_bucket(blocks, score).withColumn("__b", -F.col("__b")).withColumn("__g", F.struct(*by, "__b"))
     bins = blocks.groupBy(*by, "__b").agg(*[F.sum(n).alias(f"__s_{n}") for n in names])
     before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
     bins = bins.select(
-        *by, "__b",
+        F.struct(*by, "__b").alias("__g"),
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__p_{n}") for n in names],
         *[F.sum(f"__s_{n}").over(whole).alias(f"{n}_total") for n in names],
     )
-    w = W.partitionBy(*by, "__b").orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, -1)
-    return blocks.join(bins, [*by, "__b"]).select(
+    w = W.partitionBy("__g").orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumns({f"__w_{n}": F.coalesce(F.sum(n).over(w), F.lit(0)) for n in names})
+    return blocks.join(bins, "__g").select(
         *by, score, *names,
-        *[(F.col(f"__p_{n}") + F.coalesce(F.sum(n).over(w), F.lit(0))).alias(f"{n}_above") for n in names],
+        *[(F.col(f"__p_{n}") + F.col(f"__w_{n}")).alias(f"{n}_above") for n in names],
         *[f"{n}_total" for n in names],
     )
 
 
 def rank_in_group(df: DataFrame, by, score: str, out: str) -> DataFrame:
-    """Ascending average-tie rank of every row, 1 = lowest."""
+    """Ascending average-tie rank of every row, 1 = lowest; NULL for a NULL or NaN score."""
     by = as_list(by)
     ranks = tie_blocks(df.select(*by, score), by, score).select(
         *by, score, (F.col("n_total") - F.col("n_above") - (F.col("n") - 1) / 2).alias(out)
     )
-    return df.join(ranks, [*by, score])
+    return match(df, ranks, [*by, score], "left")
 
 
 def quantiles(df: DataFrame, by, value: str, ps: dict[str, float | str], params: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import as_list, hash_int, score_bin
+from starfold.core import as_list, hash_int, is_number, match, with_bucket
 from starfold.functions.vectors import similarity_pairs
 
 PAIR_BLOCK = 4096
@@ -78,14 +78,18 @@ def keep_listed(df: DataFrame, listed: DataFrame, key) -> DataFrame:
     return df.join(listed.select(*as_list(key)), as_list(key), "left_semi")
 
 
-def pairs_in_small_groups(df: DataFrame, by, key: str, cols: list[str], limit: int = 64) -> DataFrame:
-    """All pairs of bounded groups (exam groups, pair tasks); a group above ``limit`` rows raises an error."""
+def pairs_in_groups(df: DataFrame, by, key: str, cols: list[str], rows_per_block: int = PAIR_BLOCK) -> DataFrame:
+    """All pairs of a group, smaller key first: the pairs are the result.
+
+    Rows are spread over hash blocks of about ``rows_per_block``; a row meets every block of its group, so a group of any
+    size is many tasks.
+    """
     by = as_list(by)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.select(*by, F.assert_true(F.col("__n") <= limit, F.lit("group too large for pairing")).alias("__ok"))
-    a = df.join(sizes, by).where(F.col("__ok").isNull()).select(*by, F.col(key).alias(f"{key}_i"), *[F.col(c).alias(f"{c}_i") for c in cols])
-    b = df.select(*by, F.col(key).alias(f"{key}_j"), *[F.col(c).alias(f"{c}_j") for c in cols])
-    return a.join(b, by).where(F.col(f"{key}_i") < F.col(f"{key}_j"))
+    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("__k"))
+    d = match(df, sizes, by)
+    a = d.withColumn("__blk", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).select(*by, "__blk", F.col(key).alias(f"{key}_i"), *[F.col(c).alias(f"{c}_i") for c in cols])
+    b = d.withColumn("__blk", (hash_int("pair", key) % F.col("__k")).cast("int")).select(*by, "__blk", F.col(key).alias(f"{key}_j"), *[F.col(c).alias(f"{c}_j") for c in cols])
+    return match(a, b, [*by, "__blk"]).where(F.col(f"{key}_i") < F.col(f"{key}_j")).drop("__blk")
 
 
 def cross_class_pairs(df: DataFrame, by, key: str, cls: str, cols: list[str], min_gap: int = 1,
@@ -116,16 +120,16 @@ def similar_in_group(df: DataFrame, by, key: str, vec: str, threshold: float, co
 
 
 def count_below(df: DataFrame, by, value: str, query: str, key: str) -> DataFrame:
-    """For every row the number of group rows with ``value`` strictly below its ``query`` value: ``(by, key, below)``."""
+    """For every row the number of group rows with ``value`` strictly below its ``query`` value: ``(by, key, below)``; NULL for a NULL query."""
     by = as_list(by)
     data = df.select(*by, F.lit(None).cast(df.schema[key].dataType).alias(key), F.col(value).alias("__v"), F.lit(1).alias("__d"))
     ask = df.select(*by, key, F.col(query).alias("__v"), F.lit(0).alias("__d"))
-    u = data.unionByName(ask).withColumn("__b", score_bin(F.col("__v")))
+    u = with_bucket(data.where(is_number("__v")).unionByName(ask), "__v")
     bins = u.groupBy(*by, "__b").agg(F.sum("__d").alias("__t"))
     before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     bins = bins.select(*by, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__p"))
     w = W.partitionBy(*by, "__b").orderBy("__v", "__d").rowsBetween(W.unboundedPreceding, 0)
-    run = u.join(bins, [*by, "__b"]).withColumn("below", F.col("__p") + F.sum("__d").over(w))
+    run = match(u, bins, [*by, "__b"]).withColumn("below", F.when(is_number("__v"), F.col("__p") + F.sum("__d").over(w)))
     return run.where("__d = 0").select(*by, key, "below")
 
 
@@ -135,7 +139,7 @@ def difference_partners(df: DataFrame, by, key: str, score: str, threshold: floa
     low = count_below(df.withColumn("__q", F.col(score) - threshold), by, score, "__q", key).withColumnRenamed("below", "n_lower")
     neg = df.withColumn("__n", -F.col(score)).withColumn("__q", -F.col(score) - threshold)
     high = count_below(neg, by, "__n", "__q", key).withColumnRenamed("below", "n_higher")
-    return low.join(high, [*by, key])
+    return match(low, high, [*by, key])
 
 
 def band_of(value: Column, edges: list[float]) -> Column:

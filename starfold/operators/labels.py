@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from starfold.core import as_list, hash_int
 from starfold.functions.scalars import confidence_weight, hash_order
-from starfold.operators.joins import cross_class_pairs, pairs_in_small_groups
+from starfold.operators.joins import cross_class_pairs, pairs_in_groups
 
 # Share of the total weight per source.
 SOURCE_SHARES = {"window": 0.5, "global": 0.25, "abs": 0.2, "golden": 0.05}
@@ -34,7 +34,7 @@ def verdict_agreement(labels: DataFrame, gid: str, key: str, star: str, old: str
 
 def label_pairs(labels: DataFrame, gid: str, key: str, star: str, cols: list[str] = ()) -> DataFrame:
     """L2: unequal stars inside a bounded group -> winner, loser, gap and confidence weight."""
-    p = pairs_in_small_groups(labels, gid, key, [star, *cols]).where(F.col(f"{star}_i") != F.col(f"{star}_j"))
+    p = pairs_in_groups(labels, gid, key, [star, *cols]).where(F.col(f"{star}_i") != F.col(f"{star}_j"))
     up = F.col(f"{star}_i") > F.col(f"{star}_j")
     gap = F.abs(F.col(f"{star}_i") - F.col(f"{star}_j"))
     pick = lambda c, hi: F.when(up if hi else ~up, F.col(f"{c}_i")).otherwise(F.col(f"{c}_j"))
@@ -121,7 +121,7 @@ def copeland(rounds: DataFrame, gid: str, key: str, star: str, rnd: str) -> Data
     per = rounds.groupBy(gid, rnd).agg(F.max(star).alias("top"))
     hits = rounds.join(per, [gid, rnd]).groupBy(gid, rnd, "top").agg(F.count_if(F.col(star) == F.col("top")).alias("k"))
     state = hits.groupBy(gid).agg(F.count(F.lit(1)).alias("__have"), F.min(((F.col("top") > 0) & (F.col("k") == 1)).cast("int")).alias("__ok"))
-    votes = pairs_in_small_groups(rounds, [gid, rnd], key, [star])
+    votes = pairs_in_groups(rounds, [gid, rnd], key, [star])
     sign = F.signum((F.col(f"{star}_i") - F.col(f"{star}_j")).cast("double"))
     tally = votes.groupBy(gid, f"{key}_i", f"{key}_j").agg(F.count_if(sign > 0).alias("up"), F.count_if(sign < 0).alias("down"))
     won = F.when((F.col("up") > F.col("down")) & (F.col("up") >= 2), F.col(f"{key}_i")).when(

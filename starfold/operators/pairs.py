@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import as_list, checkpoint, dot, hash_int, hash_position, once, quantiles, score_position
+from starfold.core import as_list, checkpoint, dot, hash_int, hash_position, match, once, quantiles, score_position
 from starfold.functions.scalars import SIMILARITY_KNOTS, gap_factor, piecewise_weight
 from starfold.functions.vectors import l2_normalize, scalar_distance, scale_frame
-from starfold.operators.joins import attach_endpoints, cross_class_pairs, difference_partners, pairs_in_small_groups, similar_in_group
+from starfold.operators.joins import attach_endpoints, cross_class_pairs, difference_partners, similar_in_group
 from starfold.operators.segments import lag_pairs
 
 # Fixed values of the pair policy.
@@ -111,24 +111,28 @@ def cross_sample(items: DataFrame, key: str, seg, n: int, seed: str = "cross") -
 
 
 def equivalence_pairs(items: DataFrame, cluster, key: str, rating: str, cap: int = 6, total: int | None = None, seed: str = "tie") -> DataFrame:
-    """Pairs of one cluster with the same stars, at most ``cap`` per cluster (and ``total`` overall), in hash order.
+    """Pairs of one cluster with the same stars, at most ``cap`` per cluster (and ``total`` overall, in hash order).
 
-    Only the first members of each (cluster, star) in hash order can be needed: m members give m(m-1)/2 pairs, so
-    the smallest m reaching the cap is enough to fill it.
+    All pairs of a cluster are numbered: by star, then by the hash ranks of their members.  ``cap`` numbers at equal steps from
+    a hashed start are drawn and turned back into member ranks, so every pair can be drawn and none is formed in vain.
     """
     cluster = as_list(cluster)
-    m = 2
-    while m * (m - 1) // 2 < cap:
-        m += 1
-    h = items.select(*cluster, rating, key).withColumn("__h", hash_int(seed, key))
-    first = h.withColumn("__r", F.row_number().over(W.partitionBy(*cluster, rating).orderBy("__h", key))).where(F.col("__r") <= m).drop("__h", "__r")
-    pairs = pairs_in_small_groups(first, [*cluster, rating], key, [])
-    pairs = pairs.withColumn("__h", hash_int(seed, f"{key}_i", f"{key}_j"))
-    w = W.partitionBy(*cluster).orderBy("__h", f"{key}_i", f"{key}_j")
-    out = pairs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= cap)
+    ranked = hash_position(items.select(*cluster, rating, key), [*cluster, rating], seed, key, "__r")
+    n = F.col("__n")
+    stars = items.groupBy(*cluster, rating).agg(F.count(F.lit(1)).alias("__n")).withColumn("__p", F.expr("__n * (__n - 1) div 2"))
+    w = W.partitionBy(*cluster)  # one row per star
+    stars = stars.withColumns({"__all": F.sum("__p").over(w), "__end": F.sum("__p").over(w.orderBy(rating))})
+    take, start = F.least(F.lit(cap), F.col("__all")), hash_int(seed, *cluster) / float(1 << 32)
+    drawn = stars.where(n >= 2).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), take - 1)))
+    drawn = drawn.withColumn("__i", F.floor((F.col("__k") + start) * F.col("__all") / take) - (F.col("__end") - F.col("__p"))).where("__i >= 0 and __i < __p")
+    drawn = drawn.withColumn("__b", F.floor((F.sqrt(8 * F.col("__i") + 1) + 1) / 2).cast("long"))
+    drawn = drawn.select(*cluster, rating, F.expr("__i - __b * (__b - 1) div 2 + 1").alias("__a"), (F.col("__b") + 1).alias("__b"))
+    member = lambda c, out: ranked.select(*cluster, rating, F.col("__r").alias(c), F.col(key).alias(out))
+    pairs = match(match(drawn, member("__a", "__x"), [*cluster, rating, "__a"]), member("__b", "__y"), [*cluster, rating, "__b"])
+    out = pairs.select(*cluster, rating, F.least("__x", "__y").alias(f"{key}_i"), F.greatest("__x", "__y").alias(f"{key}_j"))
     if total is not None:
-        out = out.orderBy("__h", f"{key}_i", f"{key}_j").limit(total)
-    return out.drop("__r", "__h")
+        out = out.orderBy(hash_int(seed, f"{key}_i", f"{key}_j"), f"{key}_i", f"{key}_j").limit(total)
+    return out
 
 
 def restrict_pairs(pairs: DataFrame, multipliers: dict[str, float], min_cos: float | None = None, tops: str | None = None, min_gap: int = 0) -> DataFrame:

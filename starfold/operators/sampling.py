@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import add_position, as_list, checkpoint, hash_bucket, hash_int, hash_position
+from starfold.core import HASH_SPAN, add_position, as_list, checkpoint, hash_bucket, hash_int, hash_position, score_position
 
 # Fixed values of the sampling policy.
+ROLES = ("high", "disagreement", "mid", "low", "random")
 RATING_SHARES = {3: 0.53, 4: 0.27, 5: 0.20}
 
 
@@ -47,7 +48,7 @@ def round_robin(df: DataFrame, by, seg, key: str, seed: str, first: str | None =
     keys = list(dict.fromkeys([*by, *seg]))
     d = df.withColumn("__h", hash_int(seed, key))
     inner = [F.col(first).desc()] if first else []
-    bucket = hash_bucket(F.col("__h")) if first is None else F.when(F.col(first) == 1, 0).otherwise(1) * 2048 + hash_bucket(F.col("__h"))
+    bucket = hash_bucket(F.col("__h")) if first is None else F.when(F.col(first) == 1, 0).otherwise(1) * HASH_SPAN + hash_bucket(F.col("__h"))
     d = add_position(d, keys, [*inner, "__h", key], bucket, "__round")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     d = d.join(sizes, keys)
@@ -181,7 +182,7 @@ def coverage_pool(items: DataFrame, event: str, seg, key: str, rating: str, cent
     rule = F.when(top & odd, 0).when(top & bigtop, 1).when(top & hi, 2).when(top, 3).when(bigtop, 4).when(hi, 5).when(lo, 6)
     role = F.when(F.col("__rule").isin(0, 3), "seg_top").when(F.col("__rule").isin(1, 4), "big_cluster_top").when(F.col("__rule").isin(2, 5), "isolated_high").otherwise("isolated_low")
     d = d.withColumn("__rule", rule).where("__rule is not null").withColumn("__h", hash_int("cover", key))
-    d = add_position(d, event, ["__rule", "__h", key], F.col("__rule") * 2048 + hash_bucket(F.col("__h")), "__pos").join(quota, event)
+    d = add_position(d, event, ["__rule", "__h", key], F.col("__rule") * HASH_SPAN + hash_bucket(F.col("__h")), "__pos").join(quota, event)
     return d.where(F.col("__pos") <= F.col("quota")).select(event, *[c for c in seg if c != event], key, role.alias("role"), "quota")
 
 
@@ -209,7 +210,7 @@ def cluster_exam(clusters: DataFrame, event: str, seg, key: str, stratum: str, q
     d = add_position(d, event, ["__h", key], hash_bucket(F.col("__h")), "__e").join(soft, event)
     d = d.withColumn("pass", F.when(F.col("__e") <= F.col("__soft"), 1).otherwise(2))
     caps = F.create_map(*[x for k, v in sorted(quota.items()) for x in (F.lit(k), F.lit(v))])
-    d = add_position(d, stratum, ["pass", "__h", key], F.col("pass") * 2048 + hash_bucket(F.col("__h")), "__q")
+    d = add_position(d, stratum, ["pass", "__h", key], F.col("pass") * HASH_SPAN + hash_bucket(F.col("__h")), "__q")
     return d.where(F.col("__q") <= F.try_element_at(caps, F.col(stratum))).select(*clusters.columns, "pass")
 
 
@@ -229,7 +230,7 @@ def cluster_cards(items: DataFrame, cluster, key: str, vec: str, latent: str, fa
     g = d.groupBy(*cluster).agg(
         F.count(F.lit(1)).alias("size"), vector_to_array(Summarizer.sum(array_to_vector("__u"))).alias("__sum"), F.sum(dot(F.col("__u"), F.col("__u"))).alias("__self"))
     g = g.where("size >= 2").withColumn("cos", (dot(F.col("__sum"), F.col("__sum")) - F.col("__self")) / (F.col("size") * (F.col("size") - 1))).drop("__sum", "__self")
-    r = add_position(d.select(*cluster, key, "__lat"), cluster, ["__lat", key], F.floor("__lat"), "__r").join(g.select(*cluster, "size"), cluster)
+    r = add_position(d.select(*cluster, key, "__lat"), cluster, ["__lat", key], "__lat", "__r").join(g.select(*cluster, "size"), cluster)
     mid = r.where(F.col("__r") == F.floor(F.col("size") / 2) + 1).select(*cluster, F.col("__lat").alias("mid"))
     total = items.agg(F.count(F.lit(1)).alias("__n"))
     low = rank_in_group(d.select("__lat", key), [], "__lat", "__rk").select(F.col("__lat").alias("mid"), "__rk").distinct()
@@ -294,56 +295,44 @@ def mixed_groups(reps: DataFrame, event: str, key: str, score_a: str, score_b: s
     d = reps.select(event, F.col(key).alias("id"), F.col(score_a).cast("double").alias("a"), F.abs(F.col(score_a) - F.col(score_b)).cast("double").alias("dis"))
     d = d.withColumn("h", hash_int(seed, "id"))
     n = d.groupBy(event).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)
-    from starfold.core import score_position
-
     pos = checkpoint(score_position(checkpoint(d), event, "a", "id", "pos", descending=False).join(n, event))
     anchors = [(g + 0.5) / groups for g in range(groups)]
     near = F.lit(False)
     for f in anchors:
         near = near | (F.abs(F.col("pos") - 1 - F.bround((F.col("n") - 1) * f)) <= need)
-    is_anchor = F.lit(-1)
-    for g, f in enumerate(anchors):
-        is_anchor = F.when(F.col("pos") - 1 == F.bround((F.col("n") - 1) * f), F.lit(g)).otherwise(is_anchor)
     dis = checkpoint(score_position(pos, event, "dis", "id", "dpos"))
     rnd = add_position(dis, event, ["h", "id"], hash_bucket(F.col("h")), "hpos")
     heads = rnd.where(near | (F.col("pos") <= need) | (F.col("pos") > F.col("n") - need) | (F.col("dpos") <= need) | (F.col("hpos") <= need))
-    heads = heads.withColumn("anchor", is_anchor).select(event, "id", "a", "dis", "h", "anchor", "pos", "n")
+    heads = heads.select(event, "id", "a", "dis", "h", "pos", "n")
     kind = reps.schema[key].dataType.simpleString()
     ekind = reps.schema[event].dataType.simpleString()
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        event_name, total = pdf[event].iloc[0], int(pdf["n"].iloc[0])
-        free, out = pdf.copy(), []
-        for g in range(groups):
-            if total - len(out) < size:
-                break
-            target = pdf.loc[pdf["pos"] - 1 == round((total - 1) * anchors[g]), "a"].iloc[0]
-            orders = {
-                "high": free.assign(k=-free["a"]), "disagreement": free.assign(k=-free["dis"]), "mid": free.assign(k=(free["a"] - target).abs()),
-                "low": free.assign(k=free["a"]), "random": free.assign(k=free["h"])}
-            taken: list[tuple] = []
-            for role, order in orders.items():
-                rest = order[~order["id"].isin([t[0] for t in taken])].sort_values(["k", "id"])
-                taken.append((rest["id"].iloc[0], role))
-                if len(taken) >= size - 1:
-                    break
-            rest = free[~free["id"].isin([t[0] for t in taken])].sort_values(["h", "id"])
-            taken += [(i, "random") for i in rest["id"].head(size - len(taken))]
-            out += [(event_name, g + 1, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[s], i, role) for s, (i, role) in enumerate(taken)]
-            free = free[~free["id"].isin([t[0] for t in taken])]
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One seat after the other: its queue's first member that has no seat yet."""
+        total = int(pdf["n"].iloc[0])
+        rank = lambda by: pdf.assign(__k=by).sort_values(["__k", "id"])["id"].tolist()
+        level = {g: pdf.loc[pdf["pos"] == round((total - 1) * f) + 1, "a"].iloc[0] for g, f in enumerate(anchors)}
+        queues = {"high": rank(-pdf["a"]), "disagreement": rank(-pdf["dis"]), "low": rank(pdf["a"]), "random": rank(pdf["h"])}
+        queues |= {("mid", g): rank((pdf["a"] - x).abs()) for g, x in level.items()}
+        seats = [(g, s, ROLES[s] if s < min(len(ROLES), size - 1) else "random") for g in range(min(groups, total // size)) for s in range(size)]
+        waiting, seated, out = {k: iter(v) for k, v in queues.items()}, set(), []
+        for g, s, role in seats:
+            chosen = next(i for i in waiting["mid", g] if i not in seated) if role == "mid" else next(i for i in waiting[role] if i not in seated)
+            seated.add(chosen)
+            out.append((pdf[event].iloc[0], g + 1, chr(ord("A") + s), chosen, role))
         return pd.DataFrame(out, columns=[event, "grp", "anon", key, "role"])
 
-    return heads.groupBy(event).applyInPandas(choose, f"{event} {ekind}, grp int, anon string, {key} {kind}, role string")
+    return heads.groupBy(event).applyInPandas(deal, f"{event} {ekind}, grp int, anon string, {key} {kind}, role string")
 
 
 def comparison_tasks(members: DataFrame, event: str, gid: str, key: str, score_a: str, score_b: str, n: int, near: float = 0.08, seed: str = "task") -> DataFrame:
     """Q13: per event ``n`` cross-group pairs: a third of the closest near pairs, a third of the closest disagreements, the
     rest random; sides are random.  Input is the bounded output of the mixed groups.
     """
-    from starfold.operators.joins import pairs_in_small_groups
+    from starfold.operators.joins import pairs_in_groups
 
     members = checkpoint(members)
-    p = pairs_in_small_groups(members, event, key, [gid, score_a, score_b], limit=4096).where(F.col(f"{gid}_i") != F.col(f"{gid}_j"))
+    p = pairs_in_groups(members, event, key, [gid, score_a, score_b]).where(F.col(f"{gid}_i") != F.col(f"{gid}_j"))
     da, db = F.col(f"{score_a}_i") - F.col(f"{score_a}_j"), F.col(f"{score_b}_i") - F.col(f"{score_b}_j")
     role = F.when(da * db < 0, "disagreement").when(F.abs(da) < near, "near").otherwise("random")
     p = p.select(event, f"{key}_i", f"{key}_j", role.alias("role"), (F.abs(da) + F.abs(db)).alias("gap"), hash_int(seed, f"{key}_i", f"{key}_j").alias("__h"))

@@ -479,9 +479,12 @@ def g5(spark, d):
 
 
 @query("g6_equivalence_pairs", """WITH m AS (SELECT *, row_number() OVER (PARTITION BY event, owner, cluster, star ORDER BY {hash:tie:id}, id) AS r FROM shots),
-  p AS (SELECT a.event, a.owner, a.cluster, a.star, a.id AS id_i, b.id AS id_j FROM m a JOIN m b ON a.event = b.event AND a.owner = b.owner AND a.cluster = b.cluster AND a.star = b.star AND a.id < b.id WHERE a.r <= 4 AND b.r <= 4),
-  k AS (SELECT *, row_number() OVER (PARTITION BY event, owner, cluster ORDER BY {hash:tie:id_i,id_j}, id_i, id_j) AS r FROM p)
-  SELECT event, owner, cluster, CAST(star AS BIGINT) AS star, id_i, id_j FROM k WHERE r <= 6""")
+  t AS (SELECT *, sum(p) OVER (PARTITION BY event, owner, cluster) AS a, sum(p) OVER (PARTITION BY event, owner, cluster ORDER BY star) AS e FROM (SELECT event, owner, cluster, star, count(*) * (count(*) - 1) // 2 AS p FROM shots GROUP BY ALL)),
+  k AS (SELECT event, owner, cluster, star, p, floor((k + {hash:tie:event,owner,cluster} / 4294967296.0::DOUBLE) * a / least(6, a))::BIGINT - (e - p)::BIGINT AS i FROM t, range(0, 6) r(k) WHERE p > 0 AND k < least(6, a)),
+  b AS (SELECT *, floor((sqrt(8 * i + 1) + 1) / 2)::BIGINT AS b FROM k WHERE i >= 0 AND i < p)
+  SELECT b.event, b.owner, b.cluster, CAST(b.star AS BIGINT) AS star, least(x.id, y.id) AS id_i, greatest(x.id, y.id) AS id_j FROM b
+    JOIN m x ON x.event = b.event AND x.owner = b.owner AND x.cluster = b.cluster AND x.star = b.star AND x.r = i - b * (b - 1) // 2 + 1
+    JOIN m y ON y.event = b.event AND y.owner = b.owner AND y.cluster = b.cluster AND y.star = b.star AND y.r = b + 1""")
 def g6(spark, d):
     return P.equivalence_pairs(views.shots(spark, d), CLUSTER, "id", "star")
 

@@ -311,8 +311,8 @@ def m22(spark, d):
 
 @query("m23_bootstrap_by_event", f"""WITH {OUT_SQL}, ob AS (SELECT lp.owner, CASE WHEN abs(w.score_b - l.score_b) <= 1e-8 THEN 0.5::DOUBLE WHEN w.score_b > l.score_b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS outcome FROM lp JOIN itemscores w ON w.id = winner JOIN itemscores l ON l.id = loser),
   df AS (SELECT a.owner, a.m - b.m AS d FROM (SELECT owner, avg(outcome) AS m FROM oc GROUP BY owner) a JOIN (SELECT owner, avg(outcome) AS m FROM ob GROUP BY owner) b USING (owner)),
-  ix AS (SELECT d, row_number() OVER (ORDER BY {{hash:boot:owner}}, owner::VARCHAR) AS ix FROM df), n AS (SELECT count(*) AS n FROM df),
-  bs AS (SELECT draw, {{hash:boot:draw,slot}} % n + 1 AS ix FROM n, range(0, 2000) a(draw), range(1, 100000) b(slot) WHERE slot <= n), m AS (SELECT draw, avg(d) AS m FROM bs JOIN ix USING (ix) GROUP BY draw)
+  n AS (SELECT count(*) AS n FROM df), u AS (SELECT draw, d, ({{hash:boot:owner,draw}} + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM df, range(0, 2000) r(draw)),
+  bs AS (SELECT draw, d, {" + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in M.POISSON_STEPS)} AS k FROM u), m AS (SELECT draw, sum(k * d) / sum(k) AS m FROM bs GROUP BY draw HAVING sum(k) > 0)
   SELECT (SELECT n FROM n) AS events, (SELECT round(avg(d), 6) FROM df) AS mean, (SELECT count(*) FROM df WHERE d > 0) AS positive_events, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def m23(spark, d):
     p = _label_pairs(spark, d, ["owner"]).withColumnRenamed("owner_winner", "owner")

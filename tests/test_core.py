@@ -48,7 +48,7 @@ def test_quantiles_equal_numpy(rows):
 @pytest.mark.parametrize("by", [["g"], []])
 def test_segments_equal_plain_window(rows, by):
     gap = 2 * 10**9
-    got = T.segment_by_gap(rows, "t", {"seg": gap}, by, slot=10**10)
+    got = T.segment_by_gap(rows, "t", {"seg": gap}, by)
     w = W.partitionBy(*by).orderBy("t", "id")
     cut = F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(0))
     want = rows.withColumn("cut", cut).withColumn("w", F.sum("cut").over(w)).select("id", "w")
@@ -57,11 +57,11 @@ def test_segments_equal_plain_window(rows, by):
 
 def test_gap_of_exactly_the_limit_does_not_cut(spark):
     d = spark.createDataFrame([(1, 0), (2, 10), (3, 21)], "id long, t long")
-    assert [r["seg"] for r in T.segment_by_gap(d, "t", {"seg": 10}, slot=4).orderBy("id").collect()] == [0, 0, 1]
+    assert [r["seg"] for r in T.segment_by_gap(d, "t", {"seg": 10}).orderBy("id").collect()] == [0, 0, 1]
 
 
 def test_lag_pairs_equal_all_near_positions(rows):
-    got = {(r["id_i"], r["id_j"]) for r in T.lag_pairs(rows, "g", "t", 3, [], slot=10**9).collect()}
+    got = {(r["id_i"], r["id_j"]) for r in T.lag_pairs(rows, "g", "t", 3, []).collect()}
     want = set()
     groups = {}
     for r in sorted(rows.collect(), key=lambda r: (r["t"], r["id"])):
@@ -79,3 +79,23 @@ def test_first_non_null(spark):
 def test_no_plain_group_window_in_ranking_plans(spark, rows):
     plan = core.tie_blocks(rows, "g", "s")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_missing_groups_times_and_scores_are_kept(spark):
+    rows = [(1, "a", 10, 0.5), (2, None, 20, 0.2), (3, "a", None, 0.5), (4, "a", 40, None), (5, None, 5, float("nan")), (6, "b", 7, 0.1)]
+    df = spark.createDataFrame(rows, "id long, g string, t long, s double")
+    get = lambda d, c: {r["id"]: r[c] for r in d.collect()}
+    assert get(core.add_position(df, "g", ["t", "id"], "t", "p"), "p") == {1: 2, 2: 2, 3: 1, 4: 3, 5: 1, 6: 1}
+    assert get(core.score_position(df, "g", "s", "id", "p"), "p").keys() == {1, 2, 3, 4, 5, 6}
+    assert {k: v for k, v in get(core.score_position(df, "g", "s", "id", "p"), "p").items() if v is None} == {4: None, 5: None}
+    assert get(core.rank_in_group(df, "g", "s", "r"), "r") == {1: 1.5, 2: 1.0, 3: 1.5, 4: None, 5: None, 6: 1.0}
+    assert get(core.hash_position(df, "g", "x", "id", "p"), "p").keys() == {1, 2, 3, 4, 5, 6}
+    assert get(T.segment_by_gap(df, "t", {"seg": 15}, ["g"]), "seg") == {1: 0, 2: 0, 3: None, 4: 1, 5: 0, 6: 0}
+    assert len(get(T.standardise(df, "g", "t"), "z")) == 6
+    assert T.lag_pairs(df, ["g"], "t", 2, []).count() == 4
+
+
+def test_narrow_scores_are_split(spark):
+    df = spark.range(100_000).select(F.col("id"), (F.col("id") * 1e-9 + 0.9).alias("s"))
+    counts = [r["count"] for r in core.with_bucket(df, "s").groupBy("__b").count().collect()]
+    assert len(counts) > 20 and max(counts) < 10_000

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -97,3 +98,41 @@ def test_verdicts_conflicts_and_copeland(spark):
     rounds = spark.createDataFrame([("g", i, r, s) for r, stars in enumerate([(3, 1, 0), (2, 1, 0), (1, 2, 0)]) for i, s in enumerate(stars)], "gid string, id long, rnd int, st int")
     c = {r["id"]: r for r in L.copeland(rounds, "gid", "id", "st", "rnd").collect()}
     assert c[0]["wins"] == 2 and c[0]["is_champion"] == 1 and c[1]["is_top2"] == 1 and c[2]["wins"] == 0
+
+
+def test_missing_scores_are_refused(spark):
+    items = spark.createDataFrame([(1, "a", 1, 0.5), (2, "a", 0, 0.2), (3, "a", 1, None)], "id long, g string, y int, s double")
+    nan = items.fillna(float("nan"))
+    pairs = spark.createDataFrame([(1, 2), (3, 2)], "winner long, loser long")
+    label = F.col("y") == 1
+    for df in (items, nan):
+        for metric in (M.average_precision(df, "g", label, "s"), M.budget_metrics(df, "g", label, "s", [0.5]), M.rank_sum(df, "g", "id", ["s"])):
+            with pytest.raises(Exception, match="missing or non-finite"):
+                metric.collect()
+        with pytest.raises(Exception, match="missing or non-finite"):
+            M.pair_outcomes(pairs, df, "id", "s").collect()
+    with pytest.raises(Exception, match="missing or non-finite"):
+        M.pair_outcomes(pairs, items.where("id < 3"), "id", "s").collect()
+    assert M.average_precision(items.where("id < 3"), "g", label, "s").first()["ap"] == 1
+    one = spark.createDataFrame([("a", 0.5)], "g string, v double")
+    two = spark.createDataFrame([("a", 0.5), ("b", 0.1)], "g string, v double")
+    with pytest.raises(Exception, match="only on one side"):
+        M.bootstrap_by_event(one, two, "g", "v", 10).collect()
+
+
+def test_required_auc_equals_the_model(spark):
+    norm = NormalDist()
+    rows = [(r, b) for r in (0.0, 0.05, 0.2, 0.5, 0.9, 1.0) for b in (0.1, 0.25, 0.5, 0.95)]
+    got = spark.createDataFrame(rows, "r double, b double").select("r", "b", M.required_auc("r", "b").alias("a")).collect()
+    for x in got:
+        if x["a"] is None:
+            assert x["r"] in (0.0, 1.0) or x["b"] <= 0.8 * x["r"] + 0.01
+            continue
+        apart = 2**0.5 * norm.inv_cdf(x["a"])
+        cut = norm.inv_cdf(1 - (x["b"] - x["r"] * 0.8) / (1 - x["r"])) if x["b"] - x["r"] * 0.8 < 1 - x["r"] else -9
+        assert x["a"] == 0.5 or abs(norm.cdf(apart - cut) - 0.8) < 0.01
+
+
+def test_grouping_column_names_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a", 1, 0.5), (2, "a", 0, 0.2)], "id long, g string, y int, s double").withColumnRenamed("g", "h")
+    assert M.average_precision(df, "h", F.col("y") == 1, "s").first()["ap"] == 1
