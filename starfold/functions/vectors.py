@@ -114,7 +114,8 @@ def similarity_pairs(
 
     Small groups compare rows in the JVM.  Large groups are cut into angle cells (only the same and adjacent
     cells can hold a match, by the triangle inequality) and the cells into hash blocks of bounded size; each
-    task multiplies two blocks and returns matches only.  Requires ``0 < threshold <= 1``.
+    task multiplies two blocks and returns matches only.  A threshold of -1
+    takes all pairs of a group.
     """
     by = as_list(by)
     rows = df.select(*by, F.col(id_col).alias("id"), l2_normalize(F.col(vec)).alias("v")).where(F.col("v").isNotNull())
@@ -130,7 +131,7 @@ def similarity_pairs(
             .where(F.col("cos") >= threshold)
         )
         rows = rows.where(F.col("__n") > small_group).drop("__n")
-    width = math.acos(min(threshold, 1.0)) + CELL_SLACK
+    width = math.acos(max(-1.0, min(threshold, 1.0))) + CELL_SLACK
     rows = once(rows, "__c", _cells(width)(F.col("v")))
     cells = rows.groupBy(*by, "__c").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("__k"))
     rows = rows.join(cells, [*by, "__c"]).withColumn("__blk", (hash_int("block", "id") % F.col("__k")).cast("int")).drop("__k")

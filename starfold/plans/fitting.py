@@ -114,10 +114,14 @@ def x8_conditioned(spark, d):
     return c.groupBy("event").agg(F.count(F.lit(1)).alias("items"), F.max(F.size("conditioned")).alias("width"), F.avg(own).alias("own_mean"))
 
 
-@query("x9_standardise_fit", """WITH t AS (SELECT avg(score_b) AS m, stddev_samp(score_b) AS s FROM itemscores WHERE event <> 'view') SELECT id, round((score_b - m) / s, 6) AS z0 FROM itemscores, t""")
+X_SQL = """f AS (SELECT id, event, [score_b, ln(1 + value) / 6 + {hash:f0:id} / 4294967296.0::DOUBLE * 0.5, {hash:f1:id} / 4294967296.0::DOUBLE, score_a * 0.3 + {hash:f2:id} / 4294967296.0::DOUBLE]::DOUBLE[] AS x FROM itemscores)"""
+
+
+@query("x9_standardise_fit", "WITH " + X_SQL + """, t AS (SELECT k, avg(x[k]) AS m, stddev_samp(x[k]) AS s FROM f, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE event <> 'view' GROUP BY k)
+  SELECT id, list(round((x[k] - m) / s, 6) + 0.0 ORDER BY k) AS z FROM f, t GROUP BY id""")
 def x9(spark, d):
     z = X.standardise_fit(_features(spark, d), F.col("event") != "view", "x", "z")
-    return z.select("id", F.col("z")[0].alias("z0"))
+    return z.select("id", F.transform("z", lambda v: F.round(v, 6) + F.lit(0.0)).alias("z"))
 
 
 @query("x9_pca")

@@ -141,24 +141,24 @@ def t9(spark, d):
 # --- vectors -----------------------------------------------------------------------------------------------------
 
 
-@query("e1_decode_f32", "SELECT vec_id, len(embedding) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
+@query("e1_decode_f32", "SELECT vec_id, len(embedding) AS n, CAST(embedding AS DOUBLE[]) AS v FROM embeddings")
 def e1(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", V.encode_f32()(F.col("embedding")).alias("blob"))
     back = e.select("vec_id", V.decode_f32(64)(F.col("blob")).alias("v"))
-    return back.select("vec_id", F.size("v").alias("n"), F.aggregate(V.as_double(F.col("v")), F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return back.select("vec_id", F.size("v").alias("n"), V.as_double(F.col("v")).alias("v"))
 
 
-@query("e2_l2_normalize", """SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS last FROM vectors""")
+@query("e2_l2_normalize", """SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6) + 0.0) AS unit FROM vectors""")
 def e2(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", V.l2_normalize(F.col("embedding")).alias("u"))
-    return e.select("vec_id", F.col("u")[0].alias("first"), F.col("u")[63].alias("last"))
+    return e.select("vec_id", F.transform("u", lambda x: F.round(x, 6) + F.lit(0.0)).alias("unit"))
 
 
 @query("e3_cosine", """WITH p AS (SELECT *, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM vectors)
   SELECT vec_id, round(list_dot_product(v, prev) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(prev, prev))), 6) AS cos FROM p WHERE prev IS NOT NULL""")
 def e3(spark, d):
     e = table(spark, d, "embeddings")
-    p = T.lag_pairs(e, "label", "vec_id", 1, ["embedding"], tie="vec_id", slot=4096)
+    p = T.lag_pairs(e, "label", "vec_id", 1, ["embedding"], tie="vec_id")
     return p.select(F.col("vec_id_j").alias("vec_id"), V.cosine(F.col("embedding_i"), F.col("embedding_j")).alias("cos"))
 
 
@@ -245,13 +245,13 @@ def p4(spark, d):
     return S.apply_aliases(_exports(spark, d), "name", {"small ring": "ring, small"}).select("export_id", "name")
 
 
-@query("j3_match_by_name", "WITH " + PART_NAME_SQL + """, it AS (SELECT p_partkey AS id, p_brand AS event, p_name AS name FROM part WHERE p_size > 10),
+@query("j3_match_by_name", "WITH " + PART_NAME_SQL + """, it AS (SELECT p_partkey AS id, p_brand AS event, p_name AS name FROM part),
   h AS (SELECT event, name, count(*) AS hits, min(id) AS k FROM it GROUP BY ALL), a AS (SELECT name, count(DISTINCT event) AS ev FROM it GROUP BY name)
   SELECT export_id, event, name, CASE WHEN hits IS NULL THEN 'none' WHEN hits = 1 THEN 'unique' ELSE 'several' END AS status,
     CASE WHEN hits = 1 THEN k END AS matched, coalesce(ev, 0) - (hits IS NOT NULL)::INT > 0 AS elsewhere
   FROM ex LEFT JOIN h USING (event, name) LEFT JOIN a USING (name)""")
 def j3(spark, d):
-    it = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("event"), F.col("p_name").alias("name"))
+    it = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("event"), F.col("p_name").alias("name"))
     return J.match_by_name(_exports(spark, d), it, "event", "name", "id")
 
 
@@ -289,21 +289,21 @@ def j7(spark, d):
     return J.cross_class_pairs(views.items(spark, d).select("event", "owner", "id", "star"), ["event", "owner"], "id", "star", [])
 
 
-@query("j10_difference_partners", """WITH s AS (SELECT id, split, score_a FROM splits WHERE is_top = 1 AND star >= 2),
+@query("j10_difference_partners", """WITH s AS (SELECT id, split, score_a FROM splits WHERE is_top = 1),
   h AS (SELECT split, score_a, count(*) AS n FROM s GROUP BY ALL)
   SELECT s.split, s.id, CAST(coalesce(sum(CASE WHEN h.score_a < s.score_a - 0.2 THEN n END), 0) AS BIGINT) AS n_lower,
     CAST(coalesce(sum(CASE WHEN -h.score_a < -s.score_a - 0.2 THEN n END), 0) AS BIGINT) AS n_higher
   FROM s JOIN h ON h.split = s.split GROUP BY s.split, s.id""")
 def j10(spark, d):
-    s = views.with_split(views.with_scores(views.clustered(spark, d))).where("is_top = 1 and star >= 2")
+    s = views.with_split(views.with_scores(views.clustered(spark, d))).where("is_top = 1")
     return J.difference_partners(s, "split", "id", "score_a", 0.2)
 
 
 @query("j11_banded_join", """SELECT CAST(CASE WHEN cos < 0.1 THEN 0 WHEN cos < 0.15 THEN 1 WHEN cos < 0.2 THEN 2 ELSE 3 END AS BIGINT) AS band, count(*) AS pairs, round(avg(cos), 6) AS mean_cos
-  FROM vecpairs WHERE cos >= 0.05 AND cos < 0.9 GROUP BY 1""")
+  FROM vecpairs WHERE cos < 0.9 GROUP BY 1""")
 def j11(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("event"), F.col("embedding").alias("v"))
-    p = V.similarity_pairs(e, "id", "v", 0.05, by="event").withColumn("band", J.band_of(F.col("cos"), [0.05, 0.1, 0.15, 0.2, 0.9])).where("band is not null")
+    p = V.similarity_pairs(e, "id", "v", -1.0, by="event").withColumn("band", J.band_of(F.col("cos"), [-1.1, 0.1, 0.15, 0.2, 0.9])).where("band is not null")
     return p.groupBy("band").agg(F.count(F.lit(1)).alias("pairs"), F.avg("cos").alias("mean_cos"))
 
 
@@ -427,10 +427,10 @@ def c7(spark, d):
     return C.neighbour_signal(e, views.items(spark, d), "adv")
 
 
-@query("c8_pair_layers", """SELECT CASE WHEN cos >= 0.3 THEN 'detail' WHEN cos >= 0.2 THEN 'composition' ELSE 'cross' END AS layer, count(*) AS pairs FROM vecpairs WHERE cos >= 0.1 GROUP BY 1""")
+@query("c8_pair_layers", """SELECT CASE WHEN cos >= 0.3 THEN 'detail' WHEN cos >= 0.2 THEN 'composition' ELSE 'cross' END AS layer, count(*) AS pairs FROM vecpairs GROUP BY 1""")
 def c8(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("event"), "embedding")
-    p = J.similar_in_group(e, "event", "id", "embedding", 0.1).withColumn("layer", C.pair_layers(F.col("cos"), 0.3, 0.2))
+    p = J.similar_in_group(e, "event", "id", "embedding", -1.0).withColumn("layer", C.pair_layers(F.col("cos"), 0.3, 0.2))
     return p.groupBy("layer").agg(F.count(F.lit(1)).alias("pairs"))
 
 

@@ -42,12 +42,12 @@ def m1_summary(spark, d):
     return M.pair_summary(_outcomes(spark, d), "event")
 
 
-@query("m2_pair_metrics_domains", f"""WITH p AS (SELECT a.id AS winner, b.id AS loser, a.event AS e1, b.event AS e2 FROM items a JOIN items b ON a.owner = b.owner AND a.star = 5 AND b.star = 4),
+@query("m2_pair_metrics_domains", f"""WITH p AS (SELECT a.id AS winner, b.id AS loser, a.event AS e1, b.event AS e2 FROM items a JOIN items b ON a.owner = b.owner AND a.star > b.star),
   oc AS (SELECT CASE WHEN e1 = e2 THEN 'same_event' ELSE 'cross_event' END AS domain, '["' || least(e1, e2) || '","' || greatest(e1, e2) || '"]' AS event_pair,
     CASE WHEN abs(w.score_a - l.score_a) <= 1e-8 THEN 0.5::DOUBLE WHEN w.score_a > l.score_a THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS outcome FROM p JOIN itemscores w ON w.id = winner JOIN itemscores l ON l.id = loser)
   SELECT domain, event_pair, {COUNTS} FROM oc GROUP BY ALL""")
 def m2(spark, d):
-    i = views.items(spark, d).where("star >= 4")
+    i = views.items(spark, d)
     p = J.cross_class_pairs(i, "owner", "id", "star", []).select(F.col("id_i").alias("winner"), F.col("id_j").alias("loser"))
     o = M.pair_outcomes(M.with_domain(p, i, "id", "event"), _scored(spark, d), "id", "score_a")
     return M.pair_metrics(o, ["domain", "event_pair"])

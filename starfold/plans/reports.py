@@ -103,10 +103,10 @@ def _within(spark, d, t):
     return similar_in_group(e, "event", "id", "embedding", t)
 
 
-@query("a7_separation", "WITH " + CROSS_SQL + """, w AS (SELECT cos FROM vecpairs WHERE cos >= 0.05), c AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]) AS cut)
+@query("a7_separation", "WITH " + CROSS_SQL + """, w AS (SELECT cos FROM vecpairs), c AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]) AS cut)
   SELECT cut, round((SELECT avg((cos >= cut)::INT) FROM w), 6) AS "within", round((SELECT avg((cos >= cut)::INT) FROM cr), 6) AS "cross", round((SELECT avg((cos >= cut)::INT) FROM w) / nullif((SELECT avg((cos >= cut)::INT) FROM cr), 0), 6) AS ratio FROM c""")
 def a7_sep(spark, d):
-    return A.separation(_within(spark, d, 0.05).select("cos"), _cross(spark, d), "cos", [0.1, 0.2, 0.3])
+    return A.separation(_within(spark, d, -1.0).select("cos"), _cross(spark, d), "cos", [0.1, 0.2, 0.3])
 
 
 @query("a8_window_recall", """WITH p AS (SELECT event, owner, seg, id, score_b, row_number() OVER (PARTITION BY event, owner, seg ORDER BY t, id) AS pos, count(*) OVER (PARTITION BY event, owner, seg) AS n FROM scored),
@@ -118,14 +118,14 @@ def a8(spark, d):
     return A.window_recall(s, near, SEGMENT, "t", "id", [2, 4])
 
 
-@query("a9_calibrate_thresholds", "WITH " + CROSS_SQL + """, w AS (SELECT cos FROM vecpairs WHERE cos >= 0.05), n AS (SELECT abs(a.value - b.value) AS d FROM items a JOIN items b ON a.owner = b.owner AND a.event = b.event AND a.star = b.star + 1)
+@query("a9_calibrate_thresholds", "WITH " + CROSS_SQL + """, w AS (SELECT cos FROM vecpairs), n AS (SELECT abs(a.value - b.value) AS d FROM items a JOIN items b ON a.owner = b.owner AND a.event = b.event AND a.star = b.star + 1)
   SELECT 0.98::DOUBLE AS tau_hi, round(greatest(0.5, least(0.95, ceil((SELECT quantile_cont(cos, 0.999) FROM cr) * 100) / 100)), 6) AS tau_lo, (SELECT round(quantile_cont(d, 0.4), 6) FROM n) AS tau_cv_p40, (SELECT round(quantile_cont(d, 0.6), 6) FROM n) AS tau_cv_p60,
    round(quantile_cont(cos, 0.5), 6) AS knot_p50, round(quantile_cont(cos, 0.75), 6) AS knot_p75, round(quantile_cont(cos, 0.9), 6) AS knot_p90, round(quantile_cont(cos, 0.98), 6) AS knot_p98 FROM w""")
 def a9(spark, d):
     from starfold.operators.joins import cross_class_pairs
 
     p = cross_class_pairs(views.items(spark, d), ["owner", "event"], "id", "star", ["value"]).where("star_i = star_j + 1")
-    return A.calibrate_thresholds(_within(spark, d, 0.05), _cross(spark, d), p.select(F.abs(F.col("value_i") - F.col("value_j")).alias("dist")), "cos", "dist")
+    return A.calibrate_thresholds(_within(spark, d, -1.0), _cross(spark, d), p.select(F.abs(F.col("value_i") - F.col("value_j")).alias("dist")), "cos", "dist")
 
 
 @query("a10_conditional_retain", """WITH q AS (SELECT *, row_number() OVER (PARTITION BY event, owner, seg ORDER BY t, id) AS pos FROM scored),

@@ -78,11 +78,11 @@ def q6(spark, d):
     return Q.coverage_pool(z, "event", SEGMENT, "id", "star", "score_b", 90, big=5)
 
 
-@query("q7_hidden_duplicates", """WITH pk AS (SELECT id FROM items WHERE star = 5), od AS (SELECT id, row_number() OVER (ORDER BY {hash:dup-pick:id}, id) AS p FROM pk),
+@query("q7_hidden_duplicates", """WITH pk AS (SELECT id FROM items), od AS (SELECT id, row_number() OVER (ORDER BY {hash:dup-pick:id}, id) AS p FROM pk),
   b AS (SELECT id, 0 AS dp FROM pk UNION ALL SELECT id, 1 FROM od WHERE p <= greatest(1, round_even((SELECT count(*) FROM pk) * 0.12, 0))), k AS (SELECT *, id || '#' || dp AS kk FROM b)
   SELECT 'C' || lpad((row_number() OVER (ORDER BY {hash:dup:kk}, kk))::VARCHAR, 6, '0') AS new_name, id, CASE WHEN dp = 1 THEN id END AS is_dup_of FROM k""")
 def q7(spark, d):
-    return Q.hidden_duplicates(views.items(spark, d).where("star = 5").select("id"), "id", 0.12, "C")
+    return Q.hidden_duplicates(views.items(spark, d).select("id"), "id", 0.12, "C")
 
 
 CL_SQL = """cc AS (SELECT event, owner, seg, event || '/' || owner || '/' || cluster AS cl, count(*) AS n, CASE WHEN max(star) - min(star) >= 2 THEN 'd2p' WHEN max(star) - min(star) = 1 THEN 'd1' ELSE 'same' END AS bucket FROM scored GROUP BY event, owner, seg, cluster HAVING count(*) >= 2)"""

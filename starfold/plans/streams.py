@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from starfold.operators.segments import segment_by_gap
 from starfold.plans import views
 from starfold.plans.registry import query
 from starfold.plans.store import scratch
@@ -58,12 +57,14 @@ def s3(spark, d):
   SELECT owner, count(*) AS n, min(t) AS first, max(t) AS last FROM s GROUP BY owner, seg""")
 def s4(spark, d):
     src, out, ck = _event_files(spark, d), scratch(spark, "sessions"), scratch(spark, "sessions-progress")
+    # a closing row far behind the last one moves the watermark past every session; its own stays open
+    last = views.items(spark, d).agg(F.max("t").alias("t"))
+    end = last.select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("long").alias("owner"), F.timestamp_micros(F.col("t") + 7 * 1440 * MINUTE).alias("ts"), F.lit(0).alias("star"))
+    end.withColumn("day", F.lit("9999-12-31")).write.mode("append").partitionBy("day").parquet(src)
     stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(src)
-    seg = S.session_segments(stream, "owner", "ts", "600 minutes", late="40 days")
+    seg = S.session_segments(stream, "owner", "ts", "600 minutes", late="1 hour")
     seg.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
     closed = spark.read.parquet(out)
-    # Sessions that the watermark has not passed are still open at the end of a finite input: the batch form closes them.
-    b = segment_by_gap(views.items(spark, d), "t", {"seg": 600 * MINUTE}, "owner")
-    b = b.groupBy("owner", "seg").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last")).drop("seg")
-    c = closed.select("owner", "n", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))
-    return c.unionByName(b.join(c.select("owner", "first"), ["owner", "first"], "left_anti"))
+    if closed.isEmpty() and not views.items(spark, d).isEmpty():
+        raise RuntimeError("the stream closed no session")
+    return closed.select("owner", "n", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))

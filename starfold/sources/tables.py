@@ -12,7 +12,7 @@ from starfold.operators.gates import GateError, content_fingerprint
 from starfold.operators.summary import file_extension
 
 # Extensions that count as images.
-IMAGE_EXTENSIONS = ["heif", "heic", "hif", "jpg", "jpeg", "png", "webp", "bmp", "gif", "tiff", "tif", "arw", "nef", "cr2", "cr3", "dng", "raf", "orf", "rw2"]
+IMAGE_EXTENSIONS = ["jpg", "jpeg", "heif", "heic", "hif", "arw"]
 MANIFEST_SCHEMA = (
     "dbPath string, enhance struct<enabled: boolean>, concurrency int, retouchedList string, excludeKeywords array<string>, "
     "folders array<struct<path: string, recursive: boolean, eventLabel: string, subjectLabel: string>>"
