@@ -61,6 +61,14 @@ def fold_balanced(items: DataFrame, unit, k: int, seed: str) -> DataFrame:
 # --- four classes ------------------------------------------------------------------------------------------------
 
 
+def converged(model):
+    """The fitted model, or an error with its trace when the solver stopped at its iteration limit."""
+    history = model.summary.objectiveHistory
+    if model.summary.totalIterations >= model.getMaxIter():
+        raise RuntimeError(f"the fit did not converge in {model.getMaxIter()} iterations; objectives {history[:2]} ... {history[-2:]}")
+    return model
+
+
 def class_weights(items: DataFrame, event: str, label: str, mode: str = "event") -> DataFrame:
     """``weight`` with equal mass per event, or per event and class, summing to 1 over the fitted rows."""
     if mode not in ("event", "event_class"):
@@ -73,12 +81,12 @@ def class_weights(items: DataFrame, event: str, label: str, mode: str = "event")
     return j.withColumn("weight", w / F.col("__events")).drop("__nc", "__ne", "__cls", "__events")
 
 
-def fit_four_class(items: DataFrame, event: str, features: str, label: str, penalty: float, mode: str = "event", max_iter: int = 200) -> LogisticRegressionModel:
+def fit_four_class(items: DataFrame, event: str, features: str, label: str, penalty: float, mode: str = "event", max_iter: int = 1_000) -> LogisticRegressionModel:
     """Multinomial softmax with L2 on the coefficients only."""
     d = class_weights(items, event, label, mode).select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"), "weight")
     d = checkpoint(d)  # the solver reads its input more than once
-    return LogisticRegression(
-        family="multinomial", weightCol="weight", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(d)
+    return converged(LogisticRegression(
+        family="multinomial", weightCol="weight", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(d))
 
 
 def predict_classes(model: LogisticRegressionModel, items: DataFrame, features: str, out: str = "p") -> DataFrame:
@@ -130,13 +138,13 @@ def difference_rows(pairs: DataFrame, items: DataFrame, key: str, features: str,
         "label", (F.col("__sign") > 0).cast("double")).withColumn("__w", w).drop("__winner", "__loser", "__sign")
 
 
-def fit_pairwise(pairs: DataFrame, items: DataFrame, key: str, features: str, penalty: float, weight: str | None = None, max_iter: int = 200) -> DenseVector:
+def fit_pairwise(pairs: DataFrame, items: DataFrame, key: str, features: str, penalty: float, weight: str | None = None, max_iter: int = 1_000) -> DenseVector:
     """Coefficients of a no-intercept logistic on feature differences."""
     d = difference_rows(pairs, items, key, features, weight).select("features", "label", F.col("__w").alias("weight"))
     d = checkpoint(d)  # the solver reads its input more than once
     model = LogisticRegression(
         fitIntercept=False, weightCol="weight", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(d)
-    return model.coefficients
+    return converged(model).coefficients
 
 
 def linear_score(items: DataFrame, features: str, coefficients, out: str = "score") -> DataFrame:
@@ -147,48 +155,70 @@ def linear_score(items: DataFrame, features: str, coefficients, out: str = "scor
 # --- offsets -----------------------------------------------------------------------------------------------------
 
 
+def softplus(x: Column) -> Column:
+    """``log(1 + exp(x))`` without overflow."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def sigmoid(x: Column) -> Column:
+    """``1 / (1 + exp(-x))`` without overflow."""
+    small = F.exp(-F.abs(x))
+    return F.when(x >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
+
+
 def fit_offsets(constraints: DataFrame, items: DataFrame, key: str, rating: str, seg: str, event: str, shrink: float = SHRINK,
-                max_iter: int = 40, tol: float = 1e-4, levels: int = 5) -> tuple[DataFrame, list[float], float]:
+                tol: float = 5e-3, levels: int = 5, max_rounds: int = 500) -> tuple[DataFrame, list[float], float]:
     """s = g(rating) + b[segment] from weighted constraints winner > loser.
 
-    g grows by ``exp(a_k)`` per star, so it is monotone; b is drawn to its event's mean and centred.  Offsets stay in a
-    Spark table: one iteration is two joins and one aggregation per segment, only the five increments and the gradient
-    norm reach the driver.  Steps are damped diagonal Newton steps.  Returns (offsets, g, gradient norm).
+    The loss is ``softplus(s_loser - s_winner)`` by weight, plus ``shrink`` times the squared distance of each item's offset from
+    its event's mean.  g grows by ``u_k >= 0`` per star, so it is monotone and the loss is convex; b is centred over the items.
+
+    Projected gradient steps are scaled by a fixed diagonal (curvature bound) and by the Barzilai-Borwein length of the last step.
+    Offsets, their last steps and gradients stay in a Spark table; a round is two joins and one aggregation per segment, and only
+    the increments and a few sums reach the driver.  Ends when the gradient norm is at most ``tol`` per unit of constraint weight;
+    an error with the trace of norms if ``max_rounds`` do not reach it.  Returns (offsets, g, gradient norm per weight).
     """
     side = lambda end: items.select(F.col(key).alias(end), F.col(rating).alias(f"r_{end}"), F.col(seg).alias(f"s_{end}"))
     c = constraints.join(side("winner"), "winner").join(side("loser"), "loser")
     c = checkpoint(c.groupBy("r_winner", "r_loser", "s_winner", "s_loser").agg(F.sum("weight").alias("w")))
-    segs = checkpoint(items.groupBy(F.col(seg).alias("seg")).agg(F.first(event).alias("event"), F.count(F.lit(1)).cast("double").alias("n")))
-    b = checkpoint(segs.withColumn("b", F.lit(0.0)))
-    a, norm = [0.0] * levels, math.inf
-    for _ in range(max_iter):
-        inc = [math.exp(min(20.0, max(-20.0, x))) for x in a]
-        g = F.array(*[F.lit(sum(inc[:k])) for k in range(levels + 1)])
+    b = items.groupBy(F.col(seg).alias("seg")).agg(F.first(event).alias("event"), F.count(F.lit(1)).cast("double").alias("n"))
+    ends = c.select(F.explode(F.array(F.struct(F.col("s_winner").alias("seg"), "w"), F.struct(F.col("s_loser").alias("seg"), "w"))).alias("x")).select("x.*")
+    # curvature of a constraint is at most a quarter of its weight
+    b = b.join(ends.groupBy("seg").agg((F.sum("w") / 4).alias("h")), "seg", "left")
+    b = checkpoint(b.select("seg", "event", "n", (F.coalesce("h", F.lit(0.0)) + 2 * shrink * F.col("n") + 1e-9).alias("scale"), *[F.lit(0.0).alias(x) for x in ("b", "g", "step")]))
+    steps = [(F.col("r_winner") >= k).cast("int") - (F.col("r_loser") >= k).cast("int") for k in range(1, levels + 1)]
+    *weights, whole = c.agg(*[F.coalesce(F.sum(F.when(x, F.col("w"))), F.lit(0.0)) for x in (*[x != 0 for x in steps], F.lit(True))]).first()
+    u, last_u, last_g, scale = [1.0] * levels, [0.0] * levels, [0.0] * levels, [w + 1e-9 for w in weights]
+    length, trace = 0.5, []
+    for _ in range(max_rounds):
+        curve = F.array(*[F.lit(float(sum(u[:k]))) for k in range(levels + 1)])
         off = b.select("seg", "b")
         d = c.join(off.withColumnsRenamed({"seg": "s_winner", "b": "__bw"}), "s_winner").join(off.withColumnsRenamed({"seg": "s_loser", "b": "__bl"}), "s_loser")
-        d = d.withColumn("__d", F.element_at(g, F.col("r_winner") + 1) + F.col("__bw") - F.element_at(g, F.col("r_loser") + 1) - F.col("__bl"))
-        d = d.withColumn("__q", 1 / (1 + F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("__d")))))).withColumn("__g", -F.col("w") * F.col("__q")).withColumn(
-            "__h", F.col("w") * F.col("__q") * (1 - F.col("__q")))
-        lift = [(F.col("r_winner") >= k).cast("int") - (F.col("r_loser") >= k).cast("int") for k in range(1, levels + 1)]
-        row = d.agg(*[F.coalesce(F.sum(F.col("__g") * x), F.lit(0.0)) for x in lift], *[F.coalesce(F.sum(F.col("__h") * x * x), F.lit(0.0)) for x in lift]).first()
-        ends = d.select(F.explode(F.array(
-            F.struct(F.col("s_winner").alias("seg"), F.col("__g").alias("g"), F.col("__h").alias("h")),
-            F.struct(F.col("s_loser").alias("seg"), (-F.col("__g")).alias("g"), F.col("__h").alias("h")))).alias("x")).select("x.*")
-        grad = ends.groupBy("seg").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        lead = F.element_at(curve, F.col("r_winner") + 1) + F.col("__bw") - F.element_at(curve, F.col("r_loser") + 1) - F.col("__bl")
+        d = d.withColumn("__g", -F.col("w") * sigmoid(-lead))
+        pull = d.select(F.explode(F.array(
+            F.struct(F.col("s_winner").alias("seg"), F.col("__g").alias("p"), *[(F.col("__g") * x).alias(f"u{k}") for k, x in enumerate(steps)]),
+            F.struct(F.col("s_loser").alias("seg"), (-F.col("__g")).alias("p"), *[F.lit(0.0).alias(f"u{k}") for k in range(levels)]))).alias("x")).select("x.*")
+        pull = pull.groupBy("seg").agg(*[F.sum(x).alias(x) for x in ("p", *[f"u{k}" for k in range(levels)])])
         means = b.groupBy("event").agg((F.sum(F.col("n") * F.col("b")) / F.sum("n")).alias("m"))
-        step = b.join(means, "event").join(grad, "seg", "left").fillna(0.0, ["g", "h"])
-        step = step.withColumn("__gb", F.col("g") + 2 * shrink * F.col("n") * (F.col("b") - F.col("m")))
-        step = checkpoint(step.withColumn("__nb", F.col("b") - 0.5 * F.col("__gb") / (F.col("h") + 2 * shrink * F.col("n") + 1e-9)))
-        sums = step.agg(F.sum(F.col("__gb") * F.col("__gb")), F.sum(F.col("n") * F.col("__nb")) / F.sum("n")).first()
-        ga = [row[k] * inc[k] if -20 < a[k] < 20 else 0.0 for k in range(levels)]
-        ha = [row[levels + k] * inc[k] ** 2 for k in range(levels)]
-        a = [x - 0.5 * max(-2.0, min(2.0, gk / (abs(hk) + abs(gk) + 1e-9))) for x, gk, hk in zip(a, ga, ha)]
-        norm = math.sqrt(sums[0] + sum(x * x for x in ga))
-        b = step.select("seg", "event", "n", (F.col("__nb") - F.lit(float(sums[1]))).alias("b"))
-        if norm < tol:
-            break
-    inc = [math.exp(min(20.0, max(-20.0, x))) for x in a]
-    return b, [sum(inc[:k]) for k in range(levels + 1)], norm
+        now = b.withColumnRenamed("g", "__old").join(means, "event").join(pull, "seg", "left").fillna(0.0)
+        now = checkpoint(now.withColumn("g", F.col("p") + 2 * shrink * F.col("n") * (F.col("b") - F.col("m"))))
+        sums = now.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (F.col("g") * F.col("g"), F.col("step") * F.col("step") * F.col("scale"), F.col("step") * (F.col("g") - F.col("__old")), *[F.col(f"u{k}") for k in range(levels)])]).first()
+        grad = list(sums[3:])
+        held = [x <= 0 < g for x, g in zip(u, grad, strict=True)]  # at the bound and pushed against it
+        trace.append(math.sqrt(sums[0] + sum(g * g for g, h in zip(grad, held, strict=True) if not h)) / max(whole, 1e-12))
+        if trace[-1] <= tol:
+            mean = b.agg(F.sum(F.col("n") * F.col("b")) / F.sum("n")).first()[0]
+            return b.select("seg", "event", "n", (F.col("b") - float(mean)).alias("b")), [float(sum(u[:k])) for k in range(levels + 1)], trace[-1]
+        moved = [x - y for x, y in zip(u, last_u, strict=True)]
+        far = sums[1] + sum(m * m * s for m, s in zip(moved, scale, strict=True))
+        bend = sums[2] + sum(m * (x - y) for m, x, y in zip(moved, grad, last_g, strict=True))
+        if len(trace) > 1:
+            length = min(50.0, max(1e-3, far / bend)) if bend > 0 else 1.0
+        last_u, last_g = u, grad
+        u = [max(0.0, x - length * g / s) for x, g, s in zip(u, grad, scale, strict=True)]
+        b = now.select("seg", "event", "n", "scale", (F.col("b") - length * F.col("g") / F.col("scale")).alias("b"), "g", (-length * F.col("g") / F.col("scale")).alias("step"))
+    raise RuntimeError(f"offsets did not settle; gradient norms {trace[:3]} ... {trace[-3:]}")
 
 
 def offset_scores(items: DataFrame, offsets: DataFrame, g: list[float], rating: str, seg: str) -> DataFrame:
@@ -253,27 +283,31 @@ def probe_matrix(pairs: DataFrame, items: DataFrame, key: str, views: dict[str,
                  min_test: int = 30, leaky: bool = True) -> DataFrame:
     """Accuracy of a pairwise probe per feature view and pair layer: mean and deviation over event folds.
 
-    Folds with fewer than ``min_test`` test pairs are skipped and counted.  ``leaky`` adds a row split by hash, labelled
-    as the upper bound that shares events between fitting and testing.
+    A fold is tested on pairs with both ends in it and fitted on pairs with neither end in it.  Folds with fewer than
+    ``min_test`` test pairs are skipped and counted.  ``leaky`` adds a row split by hash, labelled as the upper bound that
+    shares events between fitting and testing.
     """
-    ev = items.select(F.col(key).alias("winner"), event)
-    base = pairs.select("winner", "loser", layer).join(ev, "winner").join(F.broadcast(folds), event)  # one row per event
+    ev = items.select(key, event).join(folds, event)
+    end = lambda name: ev.select(F.col(key).alias(name), F.col("fold").alias(f"fold_{name}"))
+    base = pairs.select("winner", "loser", layer).join(end("winner"), "winner").join(end("loser"), "loser")
     base = checkpoint(base.withColumn("row_fold", (hash_int("leak", "winner", "loser") % 3).cast("int")))
     layers = [r[0] for r in base.select(layer).distinct().orderBy(layer).collect()]
     ks = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    splits = [("event", "fold", ks)] + ([("leaky_rows", "row_fold", [0])] if leaky else [])
+    outside = lambda k: (F.col("fold_winner") != k) & (F.col("fold_loser") != k)
+    inside = lambda k: (F.col("fold_winner") == k) & (F.col("fold_loser") == k)
+    splits = [("event", k, outside(k), inside(k)) for k in ks]
+    splits += [("leaky_rows", 0, F.col("row_fold") != 0, F.col("row_fold") == 0)] if leaky else []
     out = None
     for view, column in views.items():
         x = checkpoint(items.select(key, F.col(column).alias("__x")))
         for name in layers:
             p = base.where(F.col(layer) == name)
-            for kind, col, values in splits:
-                for k in values:
-                    coef = fit_pairwise(p.where(F.col(col) != k), x, key, "__x", penalty, max_iter=60)
-                    o = M.pair_outcomes(p.where(F.col(col) == k), linear_score(x, "__x", coef), key, "score", eps=0.0)
-                    row = o.agg(F.count(F.lit(1)).alias("pairs"), F.avg("outcome").alias("accuracy")).select(
-                        F.lit(view).alias("view"), F.lit(name).alias("layer"), F.lit(kind).alias("split"), F.lit(k).alias("fold"), "pairs", "accuracy")
-                    out = row if out is None else out.unionByName(row)
+            for kind, k, train, test in splits:
+                coef = fit_pairwise(p.where(train), x, key, "__x", penalty)
+                o = M.pair_outcomes(p.where(test), linear_score(x, "__x", coef), key, "score", eps=0.0)
+                row = o.agg(F.count(F.lit(1)).alias("pairs"), F.avg("outcome").alias("accuracy")).select(
+                    F.lit(view).alias("view"), F.lit(name).alias("layer"), F.lit(kind).alias("split"), F.lit(k).alias("fold"), "pairs", "accuracy")
+                out = row if out is None else out.unionByName(row)
     ok = F.col("pairs") >= min_test
     return out.groupBy("view", "layer", "split").agg(
         F.avg(F.when(ok, F.col("accuracy"))).alias("mean"), F.stddev_pop(F.when(ok, F.col("accuracy"))).alias("std"),
@@ -322,14 +356,17 @@ def choose_fusion(pairs: DataFrame, items: DataFrame, key: str, event: str, sing
 
 
 def choose_gamma(items: DataFrame, event: str, label: str, probs: str, signal: str, grid: list[float], top: int = 3) -> DataFrame:
-    """Macro AP of the tilted top-class probability for each gamma; best first, smaller gamma on ties."""
-    out = None
+    """Macro AP of the tilted top-class probability for each gamma; best first, then balanced recall, then the smaller gamma.
+
+    All gammas are scored in one pass over the items in long form.
+    """
     base = checkpoint(items.select(event, label, probs, signal))
-    for g in grid:
-        t = base.withColumn("__s", F.element_at(tilt_probabilities(F.col(probs), F.col(signal), g), top + 1))
-        ap = M.average_precision(t, event, F.col(label) >= top, "__s").agg(F.avg("ap").alias("ap_macro")).select(F.lit(float(g)).alias("gamma"), "ap_macro")
-        out = ap if out is None else out.unionByName(ap)
-    return out.orderBy(F.round("ap_macro", 12).desc(), "gamma")
+    tilted = F.explode(F.array(*[F.struct(F.lit(float(g)).alias("gamma"), tilt_probabilities(F.col(probs), F.col(signal), g).alias("__p")) for g in grid]))
+    t = base.select(event, label, tilted.alias("x")).select(event, label, "x.*").withColumn("__s", F.element_at("__p", top + 1))
+    ap = M.average_precision(t, ["gamma", event], F.col(label) >= top, "__s").groupBy("gamma").agg(F.avg("ap").alias("ap_macro"))
+    recall = M.classification_metrics(M.confusion(t, ["gamma", event], F.col(label), "__p", top + 1), ["gamma", event], top + 1)
+    recall = recall.groupBy("gamma").agg(F.avg("balanced_accuracy").alias("balanced_recall"))
+    return ap.join(recall, "gamma").orderBy(F.round("ap_macro", 12).desc(), F.round("balanced_recall", 12).desc(), "gamma")
 
 
 def learning_curve(items: DataFrame, subsets: DataFrame, event: str, features: str, label: str, penalty: float, top: int = 3) -> DataFrame:
@@ -338,7 +375,7 @@ def learning_curve(items: DataFrame, subsets: DataFrame, event: str, features: s
     d = checkpoint(items.select(event, label, F.col(features).alias("__x")))
     out = None
     for r in runs:
-        model = fit_four_class(d.where(F.col(event).isin(list(r["train"]))), event, "__x", label, penalty, max_iter=60)
+        model = fit_four_class(d.where(F.col(event).isin(list(r["train"]))), event, "__x", label, penalty)
         p = predict_classes(model, d.where(F.col(event) == r["held_out"]), "__x").withColumn("__s", F.element_at("p", top + 1))
         ap = M.average_precision(p, event, F.col(label) >= top, "__s").select(
             F.lit(r["held_out"]).alias("held_out"), F.lit(r["size"]).alias("size"), F.lit(r["draw"]).alias("draw"), "ap", "random_ap")
@@ -356,11 +393,11 @@ def half_transfer(pairs: DataFrame, items: DataFrame, key: str, event: str, seg:
     counts = {(r["event"], r["half"]): r["n"] for r in d.groupBy("event", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = None
     for name in sorted({e for e, _ in counts}):
-        cross = fit_pairwise(d.where(F.col("event") != name), x, key, "__x", penalty, max_iter=60)
+        cross = fit_pairwise(d.where(F.col("event") != name), x, key, "__x", penalty)
         for h in (0, 1):
             if counts.get((name, h), 0) < min_train or counts.get((name, 1 - h), 0) < min_test:
                 continue
-            own = fit_pairwise(d.where((F.col("event") == name) & (F.col("half") == h)), x, key, "__x", penalty, max_iter=60)
+            own = fit_pairwise(d.where((F.col("event") == name) & (F.col("half") == h)), x, key, "__x", penalty)
             s = linear_score(linear_score(x, "__x", own, "own"), "__x", cross, "cross")
             test = d.where((F.col("event") == name) & (F.col("half") == 1 - h))
             o = M.pair_outcomes(test, s, key, "own", eps=0.0).withColumnRenamed("outcome", "own_ok")

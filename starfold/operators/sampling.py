@@ -77,15 +77,16 @@ def stratified_sample(items: DataFrame, event: str, seg, key: str, rating: str,
     return rr.join(d.select(event, rating, "take"), [event, rating]).where(F.col("rr") <= F.col("take")).drop("rr", "take")
 
 
-def capped_pairs(candidates: DataFrame, max_uses: int, quota: int, seed: str, rounds: int = 12) -> DataFrame:
+def capped_pairs(candidates: DataFrame, max_uses: int, quota: int, seed: str) -> DataFrame:
     """Pairs accepted in hash order such that no item is used more than ``max_uses`` times and no stratum exceeds ``quota``.
 
     ``candidates`` has ``stratum, id_i, id_j``.  Each round accepts the pairs that are within the remaining uses of both
-    ends counted in hash order, then removes exhausted items; uses are exact at every round.
+    ends counted in hash order, then removes exhausted items; uses are exact at every round.  Goes on until
+    every stratum is full or no candidate is left that both ends allow.
     """
     pending = checkpoint(candidates.withColumn("__h", hash_int(seed, "stratum", "id_i", "id_j")))
     done = None
-    for _ in range(rounds):
+    while True:
         ends = pending.select("stratum", "id_i", "id_j", "__h", F.explode(F.array("id_i", "id_j")).alias("__e"))
         order = W.partitionBy("__e").orderBy("__h", "stratum", "id_i", "id_j")
         ranked = ends.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= max_uses)

@@ -40,7 +40,7 @@ def x1_balanced(spark, d):
 @query("x2_fit_four_class")
 def x2(spark, d):
     f = _features(spark, d)
-    model = X.fit_four_class(f, "event", "x", "tier", 0.01, "event_class", max_iter=60)
+    model = X.fit_four_class(f, "event", "x", "tier", 0.01, "event_class")
     p = X.predict_classes(model, f, "x")
     return p.select("id", F.array_position("p", F.array_max("p")).alias("pick"), F.element_at("p", 4).alias("p_top"))
 
@@ -79,7 +79,7 @@ def _constraints(spark, d):
 @query("x5_fit_offsets")
 def x5(spark, d):
     c, s = _constraints(spark, d)
-    b, g, norm = X.fit_offsets(c, s, "id", "star", "sg", "event", max_iter=12)
+    b, g, norm = X.fit_offsets(c, s, "id", "star", "sg", "event")
     return X.offset_scores(s, b, g, "star", "sg").groupBy("event", "star").agg(
         F.count(F.lit(1)).alias("items"), F.avg("g").alias("g"), F.avg("b_seg").alias("b_mean"), F.lit(norm).alias("gradient_norm"))
 
@@ -87,7 +87,7 @@ def x5(spark, d):
 @query("x6_offset_gates")
 def x6(spark, d):
     c, s = _constraints(spark, d)
-    return X.offset_gates(c, s, "id", "star", "sg", "event", max_iter=8)
+    return X.offset_gates(c, s, "id", "star", "sg", "event")
 
 
 @query("x7_loeo_pairs")

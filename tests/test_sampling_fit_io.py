@@ -74,9 +74,13 @@ def test_pairwise_gradient_and_planted_signal(spark):
 
 def test_offsets_are_monotone_and_settle(spark):
     items = spark.createDataFrame([(i, i % 6, f"s{i % 3}", "e") for i in range(90)], "id long, star int, seg string, event string")
-    cons = spark.createDataFrame([(i, j, 1.0) for i in range(90) for j in range(90) if (i % 6) > (j % 6) and (i * 31 + j) % 11 == 0], "winner long, loser long, weight double")
-    b, g, norm = X.fit_offsets(cons, items, "id", "star", "seg", "event", max_iter=6)
-    assert all(y > x for x, y in zip(g, g[1:])) and b.count() == 3 and math.isfinite(norm)
+    turned = lambda i, j: (i * 7 + j) % 4 == 0  # noqa: E731  a quarter of the constraints is the other way round
+    pairs = [(i, j) for i in range(90) for j in range(90) if (i % 6) > (j % 6) and (i * 31 + j) % 11 == 0]
+    cons = spark.createDataFrame([(j, i, 1.0) if turned(i, j) else (i, j, 1.0) for i, j in pairs], "winner long, loser long, weight double")
+    b, g, norm = X.fit_offsets(cons, items, "id", "star", "seg", "event", tol=1e-2)
+    assert all(y >= x for x, y in zip(g, g[1:])) and g[-1] > 1 and b.count() == 3 and norm <= 1e-2
+    with pytest.raises(RuntimeError, match="did not settle"):
+        X.fit_offsets(cons, items, "id", "star", "seg", "event", max_rounds=2)
     assert abs(b.agg(F.sum(F.col("n") * F.col("b"))).first()[0]) < 1e-6
 
 
