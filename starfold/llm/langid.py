@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import add, mul
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ SAMPLE_WORDS = 20_000  # most frequent distinct words of a language in the fit
 ROUNDS = 2
 SMOOTHING = 0.1
 RUN_LETTERS = 40  # longer words are scored in runs of so many letters
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 START = "▁"  # fixed value: the vocabulary's mark of a word's start
 LETTERS = r"\p{L}+"
 
@@ -48,20 +49,23 @@ class Unigrams:
 
     def __init__(self, langs: list[str], table: dict[str, tuple[float, ...]], floor: tuple[float, ...]):
         self.langs, self.table, self.floor = langs, table, floor
-        self.longest = max(map(len, table), default=1)
+        # every beginning of a piece, with the probabilities of whole pieces: a search ends where no piece goes on
+        self.begins: dict[str, tuple[float, ...] | None] = {p[:k]: None for p in table for k in range(1, len(p))}
+        self.begins.update(table)
 
     def cuts(self, word: str) -> list[tuple[int, int, tuple[float, ...], str]]:
         """(start, end, probabilities, piece) of every piece in ``word``; letters without a piece stand for themselves."""
-        found, table, n = [], self.table, len(word)
+        found, begins, n = [], self.begins, len(word)
         for i in range(n):
-            got = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = table.get(word[i:j])
-                if p is not None:
-                    found.append((i, j, p, word[i:j]))
-                    got = got or j == i + 1
-            if not got:
+            if begins.get(word[i]) is None:
                 found.append((i, i + 1, self.floor, word[i]))
+            for j in range(i + 1, n + 1):
+                piece = word[i:j]
+                if piece not in begins:
+                    break
+                p = begins[piece]
+                if p is not None:
+                    found.append((i, j, p, piece))
         return found
 
     def forward(self, word: str, cuts: list) -> list[list[float]]:
@@ -76,14 +80,33 @@ class Unigrams:
 
     def score(self, word: str) -> list[float]:
         """Log probability of a lower-cased word per language."""
-        total = [0.0] * len(self.langs)
+        size, begins = len(self.langs), self.begins
+        total = [0.0] * size
         word = START + word
         for at in range(0, len(word), RUN_LETTERS):
             run = word[at : at + RUN_LETTERS]
-            last = self.forward(run, self.cuts(run))[-1]
-            total = [t + math.log(max(x, 1e-300)) for t, x in zip(total, last, strict=True)]
+            n = len(run)
+            out = [None] * (n + 1)  # the forward algorithm without a list of cuts
+            out[0] = [1.0] * size
+            for i in range(n):
+                a = out[i]
+                if begins.get(run[i]) is None:
+                    out[i + 1] = self._added(out[i + 1], a, self.floor)
+                for j in range(i + 1, n + 1):
+                    piece = run[i:j]
+                    if piece not in begins:
+                        break
+                    p = begins[piece]
+                    if p is not None:
+                        out[j] = self._added(out[j], a, p)
+            total = [t + math.log(x if x > 1e-300 else 1e-300) for t, x in zip(total, out[n], strict=True)]
         return total
 
+    @staticmethod
+    def _added(b: list[float] | None, a: list[float], p: tuple[float, ...]) -> list[float]:
+        """``b + a * p`` per language."""
+        return list(map(mul, a, p)) if b is None else list(map(add, b, map(mul, a, p)))
+
 
 def fit_unigrams(langs: list[str], counts: dict[tuple[str, str], int], pieces: list[str], rounds: int = ROUNDS) -> Unigrams:
     """Fit by expectation-maximisation on ``counts`` of (language, word); starts from equal probabilities that fall with length."""
