@@ -98,7 +98,7 @@ def predict_classes(model: LogisticRegressionModel, items: DataFrame, features:
 
 def oof_predict(items: DataFrame, folds: DataFrame, event: str, key: str, features: str, label: str, penalties: list[float], mode: str = "event") -> DataFrame:
     """Out-of-fold class probabilities for every penalty: ``(penalty, key, event, label, p)``."""
-    d = checkpoint(items.select(key, event, F.col(features).alias("__x"), label).join(F.broadcast(folds), event))  # one row per event
+    d = checkpoint(items.select(key, event, F.col(features).alias("__x"), label).join(folds, event))
     ks = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     out = None
     for penalty in penalties:

@@ -209,7 +209,7 @@ def assemble_preferences(sources: dict[str, DataFrame], development: DataFrame,
         out = part if out is None else out.unionByName(part)
     dev = development.select("event").distinct().withColumn("__dev", F.lit(1))
     why = F.when(F.col("source").isin(list(exclude)), "excluded_source").when(F.col("__dev") == 1, "development_event")
-    return out.join(F.broadcast(dev), "event", "left").withColumn("skipped", why).drop("__dev")
+    return out.join(dev, "event", "left").withColumn("skipped", why).drop("__dev")
 
 
 def preference_errors(prefs: DataFrame, items: DataFrame, key: str, split: str, wanted: str = "train") -> DataFrame:

@@ -149,7 +149,7 @@ def conditional_retain(pairs: DataFrame, layer: str, dist: str, q: float) -> Dat
     """A10: keep pairs strictly above the layer's distance quantile; unknown distances drop out."""
     known = pairs.where(F.col(dist).isNotNull())
     cut = quantiles(known, layer, dist, {"__cut": q})
-    return known.join(F.broadcast(cut), layer).where(F.col(dist) > F.col("__cut")).drop("__cut")
+    return known.join(cut, layer).where(F.col(dist) > F.col("__cut")).drop("__cut")
 
 
 def variance_shares(items: DataFrame, event: str, seg: str, value: str) -> DataFrame:
