@@ -32,7 +32,7 @@ REPEAT_PERCENT = 30
 GUARD_CHARS, GUARD_WORDS = 200, 100  # shorter texts are not judged by that histogram
 MAX_CLASS_DISTANCE, MAX_SUM = 0.34, 0.44  # of the class distance alone, and of both distances together
 REFERENCE_WORDS_PER_SYMBOL = 20  # texts with more symbols stay out of the references
-REFERENCE_WORDS = 2_000  # languages with fewer words are compared with all languages together
+REFERENCE_WORDS = 2_000  # languages with fewer words have no reference of their own
 
 
 def split_words(text: Column) -> Column:
@@ -138,42 +138,63 @@ def references(found: DataFrame) -> tuple[DataFrame, int]:
     return out, out.count()
 
 
-def judged(found: DataFrame) -> DataFrame:
-    """Features with class_distance, word_distance and ``kept``.  Without any reference nothing but the base rules decides."""
-    refs, n = references(found)
-    named = refs.where("r_lang is not null").withColumnsRenamed({"r_words": "l_words", "r_classes": "l_classes", "r_common": "l_common"})
-    d = join_small(found, named, n, found["lang"] == named["r_lang"], "left").drop("r_lang")
-    d = d.join(F.broadcast(refs.where("r_lang is null").drop("r_lang")), how="left")  # one row at most
-    d = d.withColumns({f"__{k}": F.coalesce(f"l_{k}", f"r_{k}") for k in ("words", "classes", "common")})
-
+def distances(words: Column, classes: Column, common: Column) -> Column:
+    """``(class_distance, word_distance)`` of a document to a reference; reads the columns that ``judged`` adds to the features."""
     share = lambda a, k, total: F.get(a, F.lit(k)) / total
     n_classes = len(CLASSES) + 4
-    all_own, all_ref = (reduce(lambda a, b: a + b, [F.get(c, F.lit(k)) for k in range(n_classes)]) for c in ("classes", "__classes"))
-    d = d.withColumns({"__own": F.greatest(all_own, F.lit(1)), "__ref": F.greatest(all_ref, F.lit(1))})
-    twice = reduce(lambda a, b: a + b, [divergence(share("classes", k, F.col("__own")), share("__classes", k, F.col("__ref"))) for k in range(n_classes)])
+    all_ref = F.greatest(reduce(lambda a, b: a + b, [F.get(classes, F.lit(k)) for k in range(n_classes)]), F.lit(1))
+    twice = reduce(lambda a, b: a + b, [divergence(share(F.col("classes"), k, F.col("__own")), share(classes, k, all_ref)) for k in range(n_classes)])
 
     # words outside the list share one bin; bins that only the reference has add their whole share
-    n_own, n_ref = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("__words"), F.lit(1))
+    n_own, n_ref = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(words, F.lit(1))
     zero = F.lit(0.0)
-    q_of = lambda w: F.coalesce(F.try_element_at("__common", w), F.lit(0)) / n_ref
+    q_of = lambda w: F.coalesce(F.try_element_at(common, w), F.lit(0)) / n_ref
     seen = F.aggregate("common", zero, lambda s, x: s + divergence(x["c"] / n_own, q_of(x["w"])) - q_of(x["w"]))
-    p_in = F.aggregate("common", zero, lambda s, x: s + x["c"] / n_own)
-    q_in = F.aggregate(F.map_values("__common"), zero, lambda s, c: s + c / n_ref)
-    words = seen + q_in + divergence(1 - F.col("__p_in"), 1 - F.col("__q_in"))
-    d = d.withColumns({"__p_in": p_in, "__q_in": q_in})
-    d = d.withColumns({
-        "class_distance": F.when(F.col("__classes").isNotNull() & (F.col("n_chars") >= GUARD_CHARS), distance(twice)),
-        "word_distance": F.when(F.col("__common").isNotNull() & (F.col("n_words") >= GUARD_WORDS), distance(words)),
-    })
-    near = (F.coalesce("class_distance", zero) <= MAX_CLASS_DISTANCE) & (F.coalesce(F.col("class_distance") + F.col("word_distance"), zero) <= MAX_SUM)
-    return d.withColumn("kept", ~F.col("base_failed") & near)
+    q_in = F.aggregate(F.map_values(common), zero, lambda s, c: s + c / n_ref)
+    both = seen + q_in + divergence(1 - F.col("__p_in"), 1 - q_in)
+    return F.struct(
+        F.when(classes.isNotNull() & (F.col("n_chars") >= GUARD_CHARS), distance(twice)).alias("class_distance"),
+        F.when(common.isNotNull() & (F.col("n_words") >= GUARD_WORDS), distance(both)).alias("word_distance"),
+    )
+
+
+def nearby(found: Column) -> Column:
+    """Whether a pair of distances is within the bounds; a missing distance decides nothing."""
+    zero = F.lit(0.0)
+    return (F.coalesce(found["class_distance"], zero) <= MAX_CLASS_DISTANCE) & (F.coalesce(found["class_distance"] + found["word_distance"], zero) <= MAX_SUM)
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """Features with class_distance, word_distance and ``kept``.  Without any reference nothing but the base rules decides."""
+    refs, n = references(found)
+    all_own = reduce(lambda a, b: a + b, [F.get("classes", F.lit(k)) for k in range(len(CLASSES) + 4)])
+    p_in = F.aggregate("common", F.lit(0.0), lambda s, x: s + x["c"] / F.greatest(F.col("n_words"), F.lit(1)))
+    found = found.withColumns({"__own": F.greatest(all_own, F.lit(1)), "__p_in": p_in})
+    named = refs.where("r_lang is not null")
+    same = found["lang"] == named["r_lang"]
+    own = join_small(found, named, n, same).withColumn("__d", distances(F.col("r_words"), F.col("r_classes"), F.col("r_common")))
+
+    # without a reference of its own: the nearest language, and all languages together only if there is none; one row of references
+    each = F.struct("r_words", "r_classes", "r_common")
+    lists = refs.agg(F.collect_list(F.when(F.col("r_lang").isNotNull(), each)).alias("__named"), F.collect_list(F.when(F.col("r_lang").isNull(), each)).alias("__mixed"))
+    lists = lists.select(F.when(F.size("__named") > 0, F.col("__named")).otherwise(F.col("__mixed")).alias("__refs"))
+    other = join_small(found, named, n, same, "left_anti").join(F.broadcast(lists), how="left")
+    other = other.withColumn("__all", F.transform("__refs", lambda r: distances(r["r_words"], r["r_classes"], r["r_common"])))
+    total = lambda x: F.coalesce(x["class_distance"], F.lit(0.0)) + F.coalesce(x["word_distance"], F.lit(0.0))
+    best = F.array_min(F.transform("__all", lambda x: F.struct((~nearby(x)).alias("far"), total(x).alias("sum"), x.alias("d"))))
+    other = other.withColumn("__d", best["d"])
+
+    d = own.select(*found.columns, "__d").unionByName(other.select(*found.columns, "__d"))
+    d = d.withColumns({"class_distance": F.col("__d")["class_distance"], "word_distance": F.col("__d")["word_distance"]})
+    return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(nearby(F.col("__d")), F.lit(True)))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash, base counts, base_failed, class_distance, word_distance, kept.
 
     Null and empty texts have no words and fail the base rules.  A document without a language, or of a language with few
-    words, is compared with all languages together.  Distances are null below the length guards and then decide nothing.
+    words, is compared with the references of all languages and has the distances of the nearest; only without any such
+    reference it is compared with all languages together.  Distances are null below the length guards and then decide nothing.
     Repeated rows are judged alike.  Columns other than doc_id, text and lang are not read.
     """
     return judged(features(docs)).select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")

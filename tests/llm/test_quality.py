@@ -80,3 +80,21 @@ def test_stage_keeps_rows_and_columns(spark):
     kept = [r["doc_id"] for r in out.collect()]
     assert kept.count(1) == 2 and None in kept and 60 not in kept and 67 not in kept
     assert quality.quality(docs.where("false")).count() == 0
+
+
+def test_unlabelled_text_of_a_small_language_is_judged_by_its_nearest_reference(spark):
+    rng = random.Random(5)
+    words = {"en": ["the", "of", "and", "in", "house", "river", "green", "stone"], "fr": ["le", "de", "et", "que", "maison", "rivière", "élève", "forêt"]}
+    write = lambda lang: " ".join(rng.choices(words[lang], k=150)) + "."
+    rows = [(i, write("en"), "en") for i in range(200)] + [(200 + i, write("fr"), "fr") for i in range(20)]
+    rows += [(300 + i, write("fr"), None) for i in range(5)] + [(310, write("fr"), "rare"), (311, write("en"), None)]
+    rows += [(320, " ".join(f"{w}{i}" for i, w in enumerate(rng.choices(["maison", "forêt"], k=150))), None)]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[d]["kept"] for d in (*range(220), *range(300, 305), 310, 311)) and not got[320]["kept"]
+    refs = {lang: sum((words_of(t) for _, t, x in rows if x == lang), Counter()) for lang in words}
+    for d in (300, 310, 311):
+        want = min(js(shares(words_of(rows_text)), shares(ref)) for ref in refs.values() for i, rows_text, _ in rows if i == d)
+        assert abs(got[d]["word_distance"] - want) < 1e-6
+    alone = quality.quality(spark.createDataFrame([(i, t, None) for i, t, x in rows if x == "en"], "doc_id long, text string, lang string")).collect()
+    assert all(r["kept"] and r["word_distance"] is not None for r in alone)  # no language has a reference: all together
