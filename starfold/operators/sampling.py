@@ -77,40 +77,57 @@ def stratified_sample(items: DataFrame, event: str, seg, key: str, rating: str,
     return rr.join(d.select(event, rating, "take"), [event, rating]).where(F.col("rr") <= F.col("take")).drop("rr", "take")
 
 
-def capped_pairs(candidates: DataFrame, max_uses: int, quota: int, seed: str) -> DataFrame:
+def capped_pairs(candidates: DataFrame, max_uses: int, quota: int, seed: str, done: DataFrame | None = None) -> DataFrame:
     """Pairs accepted in hash order such that no item is used more than ``max_uses`` times and no stratum exceeds ``quota``.
 
-    ``candidates`` has ``stratum, id_i, id_j``.  Each round accepts the pairs that are within the remaining uses of both
-    ends counted in hash order, then removes exhausted items; uses are exact at every round.  Goes on until
-    every stratum is full or no candidate is left that both ends allow.
+    ``candidates`` has ``stratum, id_i, id_j``; ``done`` are pairs accepted before, which stay.  Each round leaves out the pairs of
+    exhausted items, ranks the others and accepts those within the remaining uses of both ends; uses are exact at every
+    round.  The first pair in hash order is always accepted, so it goes on until every stratum is full or no candidate is
+    left that both ends allow.
     """
     pending = checkpoint(candidates.withColumn("__h", hash_int(seed, "stratum", "id_i", "id_j")))
-    done = None
+    if done is None:
+        done = pending.drop("__h").limit(0)
+    done = checkpoint(done)
     while True:
+        used = done.select(F.explode(F.array("id_i", "id_j")).alias("__e")).groupBy("__e").agg(F.count(F.lit(1)).alias("__u"))
+        have = done.groupBy("stratum").agg(F.count(F.lit(1)).alias("__n"))
+        spent = used.where(F.col("__u") >= max_uses).select("__e")
+        open_ = pending.join(done, ["stratum", "id_i", "id_j"], "left_anti").join(have.where(F.col("__n") >= quota), "stratum", "left_anti")
+        for end in ("id_i", "id_j"):
+            open_ = open_.join(spent.withColumnRenamed("__e", end), end, "left_anti")
+        pending = checkpoint(open_.select("stratum", "id_i", "id_j", "__h"))
+        if pending.isEmpty():
+            return done
         ends = pending.select("stratum", "id_i", "id_j", "__h", F.explode(F.array("id_i", "id_j")).alias("__e"))
         order = W.partitionBy("__e").orderBy("__h", "stratum", "id_i", "id_j")
         ranked = ends.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= max_uses)
-        if done is not None:
-            used = done.select(F.explode(F.array("id_i", "id_j")).alias("__e")).groupBy("__e").agg(F.count(F.lit(1)).alias("__u"))
-            ranked = ranked.join(used, "__e", "left").where(F.col("__r") <= max_uses - F.coalesce("__u", F.lit(0)))
+        ranked = ranked.join(used, "__e", "left").where(F.col("__r") <= max_uses - F.coalesce("__u", F.lit(0)))
         good = ranked.groupBy("stratum", "id_i", "id_j", "__h").agg(F.count(F.lit(1)).alias("__k")).where("__k = 2").drop("__k")
-        total = good if done is None else done.unionByName(good)
-        capped = total.withColumn("__p", F.row_number().over(W.partitionBy("stratum").orderBy("__h", "id_i", "id_j"))).where(F.col("__p") <= quota).drop("__p")
-        before = 0 if done is None else done.count()
-        done = checkpoint(capped)
-        full = done.groupBy("stratum").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= quota)
-        pending = checkpoint(pending.join(done, ["stratum", "id_i", "id_j"], "left_anti").join(full, "stratum", "left_anti"))
-        if done.count() == before or pending.isEmpty():
-            break
-    return done.drop("__h")
+        good = good.withColumn("__p", F.row_number().over(W.partitionBy("stratum").orderBy("__h", "id_i", "id_j"))).join(have, "stratum", "left")
+        good = good.where(F.col("__p") <= quota - F.coalesce("__n", F.lit(0))).select("stratum", "id_i", "id_j")
+        done = checkpoint(done.select("stratum", "id_i", "id_j").unionByName(good))
+
+
+STRATA = ("same_star_cross_event", "cross_star_cross_event", "same_star_cross_segment", "extremes")
+
+
+def pair_shortage(pairs: DataFrame, quota: int) -> DataFrame:
+    """Q4: pairs and missing pairs (``n``, ``short``) of every stratum, those without any pair included."""
+    names = pairs.sparkSession.createDataFrame([(n,) for n in STRATA], "stratum string")
+    n = pairs.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    return names.join(n, "stratum", "left").select("stratum", F.coalesce("n", F.lit(0)).alias("n"), F.greatest(F.lit(0), quota - F.coalesce("n", F.lit(0))).alias("short"))
 
 
 def pair_strata(items: DataFrame, key: str, rating: str, event: str, seg, quota: int, max_uses: int = 2, seed: str = "strata", tries: int = 4) -> DataFrame:
     """Q4: labelled-pair candidates: same star across events, other star across events by gap, same star across segments
     of one event, extremes (4-5 against 0-1) across events; an item is used at most ``max_uses`` times, sides are random.
 
-    Candidates come from matching two hash orders rank by rank (``tries`` shifts per stratum), so a stratum costs a
-    few rows per item and never a product of its groups.
+    Candidates come first from matching two hash orders rank by rank (``tries`` shifts per stratum).  While a stratum is short,
+    the items that are not exhausted are offered again: of each pool and star the first ones in turns over its events or
+    segments, all against all.  They are more than twice ``max_uses``, so if any pair is still allowed, one of them is; it ends
+    when every stratum is full or no pair is allowed.  A stratum costs a few rows per item and never a product of its
+    groups.  ``pair_shortage`` tells what is missing.
     """
     seg = as_list(seg)
     where = F.struct(*seg)
@@ -132,10 +149,28 @@ def pair_strata(items: DataFrame, key: str, rating: str, event: str, seg, quota:
     rule = F.lit(False)
     for n, _, _, cond in blocks:
         rule = rule | ((F.col("stratum") == n) & F.expr(cond))
-    cand = left.join(right, ["stratum", "pool", "rank"]).where((F.col("id_i") != F.col("id_j")) & rule)
-    cand = cand.select("stratum", F.least("id_i", "id_j").alias("id_i"), F.greatest("id_i", "id_j").alias("id_j")).distinct()
-    first = F.row_number().over(W.partitionBy("id_i", "id_j").orderBy("stratum"))
-    picked = capped_pairs(cand.withColumn("__f", first).where("__f = 1").drop("__f"), max_uses, quota, seed)
+    def allowed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where((F.col("id_i") != F.col("id_j")) & rule)
+        pairs = pairs.select("stratum", F.least("id_i", "id_j").alias("id_i"), F.greatest("id_i", "id_j").alias("id_j")).distinct()
+        first = F.row_number().over(W.partitionBy("id_i", "id_j").orderBy("stratum"))
+        return pairs.withColumn("__f", first).where("__f = 1").drop("__f")
+
+    picked, n = capped_pairs(allowed(left.join(right, ["stratum", "pool", "rank"])), max_uses, quota, seed), -1
+    pools = tagged.groupBy("stratum", "pool", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("stratum").agg(F.count(F.lit(1)).alias("pools"))
+    pools = checkpoint(pools.select("stratum", F.greatest(F.lit(2 * max_uses + 1), F.ceil(F.lit(2 * quota) / F.col("pools"))).alias("__take")))
+    while (before := n) < (n := picked.count()):
+        full = picked.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= quota).select("stratum")
+        if full.count() == len(blocks):
+            break
+        used = picked.select(F.explode(F.array("id_i", "id_j")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        free = tagged.join(full, "stratum", "left_anti").join(used.where(F.col("n") >= max_uses), "id", "left_anti").join(pools, "stratum")
+        side = F.when(F.col("stratum") == "same_star_cross_segment", F.struct(F.lit(None).cast("string").alias("e"), "s")).otherwise(F.struct(F.col("e").cast("string").alias("e"), F.lit(None).cast(base.schema["s"].dataType).alias("s")))
+        turn = hash_position(free.withColumn("__side", side), ["stratum", "pool", "r", "__side"], f"{seed}-turn", "id", "__turn").where(F.col("__turn") <= F.col("__take"))
+        turn = add_position(turn.withColumn("__h", hash_int(f"{seed}-turn", "id")), ["stratum", "pool", "r"], ["__turn", "__h", "id"], F.col("__turn"), "rank").where(F.col("rank") <= F.col("__take"))
+        turn = checkpoint(turn.select("stratum", "pool", "id", "r", "e", "s"))
+        one, two = (turn.select("stratum", "pool", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "r", "e", "s")]) for x in "ij")
+        more = allowed(one.join(two, ["stratum", "pool"]).where("id_i < id_j"))
+        picked = capped_pairs(more.join(picked, ["id_i", "id_j"], "left_anti"), max_uses, quota, seed, picked)
     flip = hash_int(f"{seed}-side", "id_i", "id_j") % 2 == 1
     return picked.select("stratum", F.when(flip, F.col("id_j")).otherwise(F.col("id_i")).alias("photo_a"), F.when(flip, F.col("id_i")).otherwise(F.col("id_j")).alias("photo_b"))
 

@@ -140,3 +140,36 @@ def test_resume_guard_refuses_changed_inputs(spark, tmp_path):
     S.resume_guard(spark, path, {"a": spark.range(4)})
     with pytest.raises(V.GateError):
         S.resume_guard(spark, path, {"a": spark.range(5)})
+
+
+def test_capped_pairs_leave_no_allowed_candidate(spark):
+    rows = [("s", i, j) for i in range(24) for j in range(i + 1, 24) if (i * 7 + j * 5) % 6 == 0]
+    for seed in ("a", "b", "c"):
+        got = [tuple(r) for r in Q.capped_pairs(spark.createDataFrame(rows, "stratum string, id_i long, id_j long"), 1, 99, seed).select("stratum", "id_i", "id_j").collect()]
+        taken = [x for _, i, j in got for x in (i, j)]
+        assert len(taken) == len(set(taken)) and all({i, j} & set(taken) for _, i, j in rows)
+
+
+def test_pair_strata_find_scarce_candidates(spark):
+    stars = [(i, "main", "s0", 3) for i in range(300)] + [(300 + i, f"e{i % 3}", "s1", 3) for i in range(4)] + [(400, "main", "s1", 3), (401, "e0", "s0", 0), (402, "e1", "s0", 5)]
+    items = spark.createDataFrame(stars, "id long, event string, seg string, star int")
+    quota, uses = 20, 2
+    pairs = Q.pair_strata(items, "id", "star", "event", ["seg"], quota, uses).cache()
+    by = {r[0]: r for r in stars}
+    got = [(r["stratum"], *sorted((r["photo_a"], r["photo_b"]))) for r in pairs.collect()]
+    used, count = {}, {n: 0 for n in Q.STRATA}
+    for n, i, j in got:
+        count[n] += 1
+        used[i], used[j] = used.get(i, 0) + 1, used.get(j, 0) + 1
+    assert max(used.values()) <= uses and len({(i, j) for _, i, j in got}) == len(got) and max(count.values()) <= quota
+    free = [r for r in stars if used.get(r[0], 0) < uses]
+    pair_set = {(i, j) for _, i, j in got}
+    for i, e, s, r in free:
+        for j, f, t, q in free:
+            if i < j and (i, j) not in pair_set:
+                gap, other = abs(r - q), e != f
+                fits = {"same_star_cross_event": other and gap == 0, "cross_star_cross_event": other and 1 <= gap <= 3, "same_star_cross_segment": not other and s != t and gap == 0,
+                        "extremes": other and gap >= 3 and max(r, q) >= 4 and min(r, q) <= 1}
+                assert not any(ok and count[n] < quota for n, ok in fits.items()), (i, j)
+    assert {r["stratum"]: (r["n"], r["short"]) for r in Q.pair_shortage(pairs, quota).collect()} == {n: (c, quota - c) for n, c in count.items()}
+    assert all(by[i] and by[j] for _, i, j in got)
