@@ -1,6 +1,6 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences, normalised, and mapped to identifiers of known licence sentences.  The identifiers of a document,
+Texts are normalised, cut where sentences may end, and known licence sentences from cut to cut are mapped to identifiers.  The identifiers of a document,
 in order, are matched against rules: a rule is an ordered list of identifiers that must appear in that order.  Everything is
 built-in expressions over one row; there is no shuffle.
 """
@@ -63,17 +63,29 @@ RULES = (
 SUPERSEDED = {"BSD-2-Clause": "BSD-3-Clause"}
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, empty ones included: cut at line ends and behind ``.!?;`` before a blank; lower case, runs of other signs as one blank."""
-    cut = F.split(F.regexp_replace(F.lower(text), r"([.!?;])[ \t]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
+def marked(text: Column) -> Column:
+    """Normalised text with a line end at each cut: line ends, behind ``.!?;`` before a blank, and around list marks; lower case, runs of other signs as one blank."""
+    t = F.regexp_replace(F.lower(text), r"([.!?;])[ \t]+", "$1\n")
+    t = F.regexp_replace(t, r"(^|\n)[^a-z0-9\n]*(?:(?:dnl|rem)[ \t]|[0-9a-z]{1,2}\)[ \t])", "$1\n")  # comment words, and marks such as (1) or a)
+    t = F.regexp_replace(t, r"[^a-z0-9\n]+", " ")
+    return F.concat(F.lit("\n "), F.btrim(F.regexp_replace(t, r" *\n[ \n]*", " \n "), F.lit(" \n")), F.lit(" \n"))
 
 
-def identifiers(found: Column, known: dict[str, str]) -> Column:
-    """Identifiers of the known ones among normalised sentences, in order."""
+def identifiers(text: Column, known: dict[str, str], rules: tuple) -> Column:
+    """Identifiers of the known sentences in a marked text, in order.
+
+    A sentence begins and ends at a cut and may hold others, as wrapped lines, blank lines before an address and semicolons
+    make; of two that begin at the same place the longer one counts.  Sentences of rules with several need no cut, as texts
+    in one line have none behind a colon or an address.
+    """
     names = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
-    own = F.filter(found, lambda s: s.isin(list(known.values())))
-    return F.transform(own, lambda s: F.element_at(names, s))
+    longest = sorted(known.values(), key=len, reverse=True)
+    inside = {known[x] for _, rule in rules if len(rule) > 1 for x in rule if x in known}
+    choice = lambda some: "(?:" + "|".join(r"(?: \n)? ".join(s.split(" ")) for s in some) + ")"
+    parts, alone = [s for s in longest if s in inside], [s for s in longest if s not in inside]
+    pattern = "|".join([*([f"(?<= ){choice(parts)}(?= )"] if parts else []), *([f"(?<=\n ){choice(alone)}(?= \n)"] if alone else [])])
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(names, F.replace(s, F.lit("\n "), F.lit(""))))
 
 
 def follows(ids: Column, rule: tuple[str, ...]) -> Column:
@@ -87,7 +99,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: tuple = RU
     Null and empty texts, and texts without a known sentence, have empty strings.  A sentence that comes twice counts twice and a
     licence is named once.  Columns other than doc_id and text are not read.
     """
-    d = docs.select("doc_id", identifiers(sentences(F.coalesce(F.col("text").cast("string"), F.lit(""))), known or SENTENCES).alias("__ids"))
+    d = docs.select("doc_id", identifiers(marked(F.coalesce(F.col("text").cast("string"), F.lit(""))), known or SENTENCES, rules).alias("__ids"))
     d = d.select("doc_id", F.size("__ids").cast("long").alias("n_found"), F.array_join("__ids", " ").alias("ids"))
     padded = F.concat(F.lit(" "), F.col("ids"), F.lit(" "))
     by_name: dict[str, Column] = {}

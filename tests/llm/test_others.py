@@ -155,3 +155,65 @@ def test_cuts(spark):
     bounds = sharding.cuts(df, "v", 4)
     assert bounds == sorted(set(bounds)) and len(bounds) <= 3
     assert sharding.cuts(df.where("false"), "v", 4) == [] and pytest.approx(1) == 1
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_published_licence_texts_with_wrapped_lines(spark):
+    styles = {"plain": "", "hash": "# ", "slash": "// ", "star": " * ", "dnl": "dnl "}
+    texts = {"Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "MIT": MIT, "BSD-3-Clause": BSD, "BSD-2-Clause": BSD.split("\n\n3. ")[0]}
+    rows = [(f"{name} {style}", f"Copyright 2020 X\n\n" + "\n".join(mark + x for x in text.split("\n")) + "\n\nint main;") for name, text in texts.items() for style, mark in styles.items()]
+    rows += [(f"{name} one line", " ".join(text.split())) for name, text in texts.items()]
+    rows += [("MIT windows", MIT.replace("\n", "\r\n")), ("BSD-3-Clause brackets", BSD.replace("1. ", "(1) ").replace("2. ", "b) ")), (" broken", MIT.replace("free of charge", "free"))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == {d: d.split(" ")[0] for d, _ in rows}
