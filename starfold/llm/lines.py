@@ -43,13 +43,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     results; all null ids are one document that comes after all others.  Null and empty texts are one empty line.  A text
     whose lines all go becomes empty.  Columns other than doc_id and text are not read, so their names cannot clash.
 
-    A line of a third of all documents is one row per task before the counts are shuffled; in the join with the keys that
-    are over the threshold its rows are plain rows of a hash, which adaptive execution splits.
+    A line of a third of all documents is one row per task before the counts are shuffled.  The keys over the threshold are a
+    written table, so its rows meet their key in a plain join of two tables, which adaptive execution splits where it is skewed.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     lines = checkpoint(line_table(d, min_chars))
     holders = lines.select("k1", "k2", "doc_id").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first"))
-    shared = holders.where(F.col("n_docs") >= min_docs).select("k1", "k2", "first")
+    shared = checkpoint(holders.where(F.col("n_docs") >= min_docs).select("k1", "k2", "first"))
     gone = lines.join(shared, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).agg(F.collect_set("pos").alias("dropped"))
     both = d.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__h")), "left")
