@@ -6,7 +6,8 @@
 3. Candidates are confirmed on full sets; links join nodes into components.
 4. A star can miss a link between two members that its centre does not bear out.  Buckets whose members are still in more
    than one component are therefore compared exactly, block by block, inside tasks: common shingles of two blocks of sets are
-   counted by a matrix product, and only links that join components leave the task.
+   counted by a matrix product, and only links that join components leave the task.  Buckets whose centres
+   are linked hold mostly the same members and are compared together, so a set is sent about once and not once per band.
 
 The bands follow from the threshold: a pair at it shares no bucket with a probability of at most ``MISS``.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starfold.llm.common import checkpoint
@@ -32,7 +33,7 @@ MISS = 1e-8
 BLOCK_SETS = 1024  # members of a bucket that one task holds, twice over
 BLOCK_SHINGLES = 2_000_000
 KEPT_SETS = 512  # sets that a confirming worker keeps
-TILE = 1 << 24  # cells of an incidence tile
+TILE = 1 << 21  # cells of an incidence tile
 
 
 def banding(percent: int, bins: int = BINS, miss: float = MISS) -> tuple[int, int]:
@@ -147,22 +148,52 @@ def joining_links(nodes: list[int], comps: list[int], sets: list[np.ndarray], ot
     return out
 
 
+def blocks_of(rows: Column, shingles: Column) -> Column:
+    """Number of blocks for a group, so that a block's sets fit in a task twice over."""
+    return F.greatest(F.ceil(rows / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
+
+
+def grouped(members: DataFrame) -> DataFrame:
+    """The groups in which the members of buckets (key, centre, node, comp, n) are compared: level, gid, blocks, node, comp.
+
+    Buckets with one centre have mostly the same members, and a centre is mostly a member of buckets with a smaller centre, its
+    root.  All buckets of a root, or else of a centre, become one group where this sends fewer rows, so a pair that meets in
+    many bands is compared once; other buckets are groups of their own.  Every pair that shares a bucket shares a group.
+    """
+    root = members.groupBy(F.col("node").alias("centre")).agg(F.min("centre").alias("root"))
+    levels = checkpoint(members.select("key", "centre").distinct().join(root, "centre"))
+    placed = members.select("key", "node", "n").join(levels, "key")
+
+    def sized(by: str) -> DataFrame:
+        found = placed.select(by, "node", "n").distinct().groupBy(by).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+        return found.withColumn(f"{by}_blocks", blocks_of(F.col("m"), F.col("n"))).select(by, F.col(f"{by}_blocks"), (F.col("m") * F.col(f"{by}_blocks")).alias(f"{by}_rows"))
+
+    plan = levels.join(sized("key"), "key").join(sized("centre"), "centre").join(sized("root"), "root")
+    centres = plan.groupBy("root", "centre", "centre_rows").agg(F.sum("key_rows").alias("apart")).withColumn("least", F.least("apart", "centre_rows"))
+    roots = centres.groupBy("root").agg(F.sum("least").alias("root_apart"))
+    plan = plan.join(centres.select("centre", "apart"), "centre").join(roots, "root")
+    level = F.when(F.col("root_rows") <= F.col("root_apart"), "root").when(F.col("centre_rows") <= F.col("apart"), "centre").otherwise("key")
+    plan = plan.withColumn("level", level)
+    pick = lambda end: F.when(F.col("level") == "root", F.col("root" + end)).when(F.col("level") == "centre", F.col("centre" + end)).otherwise(F.col("key" + end))
+    plan = checkpoint(plan.select("key", "level", pick("").alias("gid"), pick("_blocks").alias("blocks")))
+    return members.select("key", "node", "comp").join(plan, "key").select("level", "gid", "blocks", "node", "comp").distinct()
+
+
 def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (src, dst) between components inside each bucket of ``members`` (key, node, comp, n); exact, in blocks of bounded size."""
-    size = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    dealt = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    """Links (src, dst) between components inside the groups of ``members`` (key, centre, node, comp, n); exact, in blocks of bounded size."""
+    dealt = grouped(members).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     paired = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    paired = paired.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "comp").join(sets, "node")
+    paired = paired.select("level", "gid", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "comp").join(sets, "node")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        lo, hi = key[1].as_py(), key[2].as_py()
+        lo, hi = key[2].as_py(), key[3].as_py()
         nodes, comps = rows.column("node").to_pylist(), rows.column("comp").to_pylist()
         values = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
         block = rows.column("block").to_numpy()
         found = joining_links(nodes, comps, values, (block == lo, block == hi), percent) if len(set(comps)) > 1 else []
         return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
 
-    return paired.groupBy("key", "lo", "hi").applyInArrow(run, "src long, dst long")
+    return paired.groupBy("level", "gid", "lo", "hi").applyInArrow(run, "src long, dst long")
 
 
 def packed_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -191,10 +222,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     banded = reps.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("__last")).where("centre < __last").drop("__last")
+    sizes = reps.select(F.col("node").alias("centre"), F.col("n_shingles").alias("n_centre"))
+    shared = checkpoint(shared.join(sizes, "centre"))  # a centre has at most one bucket a band
     buckets = checkpoint(banded.join(shared, "key"))
 
-    sizes = reps.select(F.col("node").alias("centre"), F.col("n_shingles").alias("n_centre"))
-    stars = buckets.where("centre != node").groupBy("centre", "node").agg(F.max("n").alias("n")).join(sizes, "centre")
+    stars = buckets.where("centre != node").select("centre", "node", "n", "n_centre").distinct()
     stars = checkpoint(stars.where(100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre")).select(F.col("centre").alias("src"), F.col("node").alias("dst")))
     place = reps.select("node", "doc_id", "text_hash")
     ends = stars.select(F.col("src").alias("node")).union(stars.select(F.col("dst").alias("node"))).distinct()
@@ -202,7 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     nodes = checkpoint(buckets.select(F.col("node").alias("id")).distinct())
     label = connected_components(links, nodes)
-    named = buckets.select("key", "node", "n").join(label.select(F.col("id").alias("node"), F.col("component").alias("comp")), "node")
+    named = buckets.select("key", "centre", "node", "n").join(label.select(F.col("id").alias("node"), F.col("component").alias("comp")), "node")
     mixed = named.groupBy("key").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b")).where("__a < __b").select("key")
     members = checkpoint(named.join(mixed, "key"))
     ends = members.select("node").distinct()

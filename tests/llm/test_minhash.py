@@ -93,3 +93,43 @@ def test_sketch_estimates_similarity():
         sk = sketcher.sketches([x, y])
         assert abs((sk[0] == sk[1]).mean() - common / (2 * n - common)) < 0.12
         assert similar(x, y, 80) == (100 * common >= 80 * (2 * n - common))
+
+
+def near_copies(n, seed=9):
+    """Copies of one text with enough changed words that many pairs are just below or above the threshold."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choices(words, k=120)
+    rows = []
+    for d in range(n):
+        own = list(base)
+        for _ in range(rng.choice([2, 4, 6, 9])):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((d, " ".join(own)))
+    return rows
+
+
+def test_buckets_of_a_centre_are_compared_together(spark):
+    members = spark.createDataFrame([(k, 0, n, n, 50) for k in range(20) for n in range(30)] + [(99, 7, 7, 7, 50), (99, 7, 8, 8, 50)], "key long, centre long, node long, comp long, n long")
+    rows = minhash.grouped(members).collect()
+    assert len(rows) == 30 and {(r["level"], r["gid"], r["blocks"]) for r in rows} == {("root", 0, 1)}
+
+
+def test_large_buckets_of_a_centre_stay_apart_where_that_sends_less(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 10)
+    members = spark.createDataFrame([(k, 0, 100 * k + n, n, 5) for k in range(20) for n in range(10)], "key long, centre long, node long, comp long, n long")
+    rows = minhash.grouped(members).collect()
+    assert len(rows) == 200 and {r["gid"] for r in rows} == set(range(20)) and {r["level"] for r in rows} == {"key"}
+
+
+def test_near_copies_send_few_rows(spark, monkeypatch):
+    rows, sent = near_copies(300), []
+    whole = minhash.compared
+
+    def watched(members, sets, percent):
+        sent.append((minhash.grouped(members).selectExpr("sum(blocks)").first()[0], members.count()))
+        return whole(members, sets, percent)
+
+    monkeypatch.setattr(minhash, "compared", watched)
+    assert found(spark, rows, width=3, percent=85) == brute(rows, 3, 85)
+    assert sent[0][0] <= 4 * len(rows) < sent[0][1] / 2
