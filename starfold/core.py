@@ -13,6 +13,7 @@ never NULL and its NULL fields are equal, so no row is lost and the join stays a
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a table in the checkpoint folder, for loops that join their own results.
+
+    A checkpoint keeps the estimated size of its plan, and a join's estimate is the product of its sides: after ``k`` joins of
+    a result with itself the number has ``2 ** k`` times as many digits, and planning alone takes minutes.  A written table
+    has the size of its files.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def hash_int(seed: str, *cols) -> Column:
     """32-bit integer from md5 of ``seed:col:col``; independent of partitioning and engine."""
     text = F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols])

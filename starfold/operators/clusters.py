@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starfold.core import as_list, checkpoint, quantiles, score_position
+from starfold.core import as_list, checkpoint, quantiles, score_position, written
 from starfold.functions.vectors import cosine, l2_normalize
 from starfold.operators.joins import similar_in_group
 
@@ -20,10 +20,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Each round hooks every vertex to its smallest neighbour, follows the hooks to their roots and contracts the
     edges to roots, so the edge table shrinks quickly.  Rounds are cut by reliable checkpoints.
-    Every vertex with an edge is joined to another in a round, so the live vertices halve at least.
+    Every vertex with an edge is joined to another in a round, so the live vertices halve at least.  Long chains take many
+    jumps, so what is joined anew in every jump is a written table (see ``written``).
     """
-    label = checkpoint(nodes.select("id", F.col("id").alias("component")))
-    live = checkpoint(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    label = written(nodes.select("id", F.col("id").alias("component")))
+    live = written(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         hook = both.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("m"))
@@ -31,18 +32,18 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         while True:
             up = root.select(F.col("v").alias("root"), F.col("root").alias("__up"))
             jumped = root.join(up, "root", "left").select("v", F.coalesce("__up", "root").alias("__new"), (F.col("__up") != F.col("root")).alias("__moved"))
-            jumped = checkpoint(jumped)
+            jumped = written(jumped)
             moved = not jumped.where("__moved").isEmpty()
             root = jumped.select("v", F.col("__new").alias("root"))
             if not moved:
                 break
         a = root.select(F.col("v").alias("src"), F.col("root").alias("rs"))
         b = root.select(F.col("v").alias("dst"), F.col("root").alias("rd"))
-        live = checkpoint(
+        live = written(
             live.join(a, "src").join(b, "dst").where(F.col("rs") != F.col("rd"))
             .select(F.least("rs", "rd").alias("src"), F.greatest("rs", "rd").alias("dst")).distinct())
-        label = checkpoint(label.join(root.select(F.col("v").alias("component"), "root"), "component", "left")
-                           .select("id", F.coalesce("root", "component").alias("component")))
+        label = written(label.join(root.select(F.col("v").alias("component"), "root"), "component", "left")
+                        .select("id", F.coalesce("root", "component").alias("component")))
     return label
 
 
