@@ -2,7 +2,7 @@
 
 Ordering inside a group is always done in two levels.  A plain ``Window.partitionBy(group)`` sends a whole
 group to one task, which fails when one group holds a third of the table.  Here rows are first put in
-order-preserving buckets (ranges from a quantile sketch, or hash prefixes), windows run inside ``(group, bucket)``
+order-preserving buckets (partitions of a global sort, or hash prefixes), windows run inside ``(group, bucket)``
 and only the small table of bucket totals is windowed per group.  The number of buckets follows
 ``spark.sql.shuffle.partitions``, which grows with the data.
 
@@ -22,6 +22,7 @@ from pyspark.sql.window import Window as W
 HASH_BITS = 32
 HASH_SPAN = 1 << 21  # above any hash bucket: shifts whole classes of rows before or behind others
 BUCKETS_PER_PARTITION = 4
+PLACE_BITS = 33  # monotonically_increasing_id keeps the place of a row in its partition in its low 33 bits
 TIE_BLOCK = 100_000  # rows of equal score above which a block is numbered in hash buckets; the result does not depend on it
 
 
@@ -84,21 +85,17 @@ def hash_bucket(hashed: Column) -> Column:
     return F.shiftright(hashed, HASH_BITS - bucket_bits())
 
 
-def with_bucket(df: DataFrame, value: str, out: str = "__b") -> DataFrame:
-    """Add an order-preserving bucket of a number: its range among quantiles of the whole column; NULL for NULL.
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """The rows in sorted partitions: ``__p`` (the partition, in the global ``order``) and ``__i`` (the place in it, from 0).
 
-    The bounds come from a sketch of all rows, so a narrow or skewed range of values is split like any other.  They are one
-    row of bounded length.  The range is found in two steps over about the square root of the bounds each.
+    Spark samples the ranges itself, so the plan has no bounds in it, and adaptive execution sets the number of partitions.
+    The sorted rows are checkpointed: what is counted per partition and what is joined to it must be one and the same sort.
+    Groups come first in ``order`` and lie in consecutive partitions, so totals per (group, partition) are about as many rows
+    as there are groups and partitions.  Rows without a value are sorted like others; end ``order`` in a key to split ties.
     """
-    step = 1 << ((bucket_bits() + 1) // 2)
-    shares = [k / (step * step) for k in range(step * step)]
-    v = F.col(value)
-    sketch = df.agg(F.percentile_approx(v, shares, 4 * step * step).alias("fine"))
-    bounds = sketch.select(F.struct("fine", F.filter("fine", lambda x, i: i % step == 0).alias("coarse"))).scalar()  # one row, computed once
-    at_or_below = lambda bounds: F.size(F.filter(bounds, lambda x: x <= v))
-    d = df.withColumn("__bounds", bounds).withColumn("__at", F.greatest(at_or_below(F.col("__bounds.coarse")), F.lit(1)))
-    fine = at_or_below(F.slice(F.col("__bounds.fine"), (F.col("__at") - 1) * step + 1, F.lit(step)))
-    return d.withColumn(out, F.when(v.isNotNull(), F.col("__at") * step + F.coalesce(fine, F.lit(0)))).drop("__bounds", "__at")
+    sorted_rows = checkpoint(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()))
+    at = F.col("__m")
+    return sorted_rows.withColumns({"__p": F.shiftright(at, PLACE_BITS), "__i": at.bitwiseAND((1 << PLACE_BITS) - 1)}).drop("__m")
 
 
 def match(df: DataFrame, side: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -113,36 +110,43 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def prefix_totals(df: DataFrame, by, bucket: str, sums: dict[str, Column], nulls_last: bool = False) -> DataFrame:
-    """Per (by, bucket): for each name the sum over all earlier buckets of the same group; the NULL bucket is first or last.
+def prefix_totals(df: DataFrame, by, bucket: str, sums: dict[str, Column]) -> DataFrame:
+    """Per (by, bucket): for each name the sum over all earlier buckets of the same group; the NULL bucket is first.
 
     The input is combined map-side; only bucket totals reach the per-group window.
     """
     by = as_list(by)
     totals = df.groupBy(*by, bucket).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    order = F.col(bucket).asc_nulls_last() if nulls_last else F.col(bucket)
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     return totals.select(
         *by, bucket, *[F.coalesce(F.sum(f"__t_{n}").over(w), F.lit(0)).alias(n) for n in sums]
     )
 
 
-def add_position(df: DataFrame, by, order: list, bucket: Column | str, out: str = "pos", where: Column | None = None, descending: bool = False) -> DataFrame:
-    """1-based position in the group under ``order``; ``bucket`` must be monotone in that order.
+def sorted_position(df: DataFrame, by, order: list, out: str = "pos") -> DataFrame:
+    """1-based position in the group under ``order``, by one global sort of (group, order): NULL values come where Spark sorts them.
 
-    A column name as ``bucket`` is a number that comes first in ``order``; its quantiles make the buckets (``descending``
-    if it is ordered so).  ``where`` restricts the counting: rows outside it get NULL.  NULL values come first, or last
-    if ``descending``.
+    A row's position is its place in its sorted partition, less the group's first place there, plus the group's rows in
+    earlier partitions; only the totals per (group, partition) are windowed and joined.
     """
     by = as_list(by)
-    if isinstance(bucket, str):
-        df = with_bucket(df, bucket)
-        df = df.withColumn("__b", -F.col("__b")) if descending else df
-    else:
-        df = df.withColumn("__b", bucket)
+    d = ranged(df, [*by, *order])
+    earlier = W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    parts = d.groupBy(*by, "__p").agg(F.min("__i").alias("__from"), F.count(F.lit(1)).alias("__n"))
+    parts = parts.select(*by, "__p", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__from")).alias("__shift"))
+    return match(d, parts, [*by, "__p"]).withColumn(out, F.col("__i") + F.col("__shift") + 1).drop("__p", "__i", "__shift")
+
+
+def add_position(df: DataFrame, by, order: list, bucket: Column, out: str = "pos", where: Column | None = None) -> DataFrame:
+    """1-based position in the group under ``order``; ``bucket`` must be monotone in that order, such as a hash prefix.
+
+    ``where`` restricts the counting: rows outside it get NULL.  NULL buckets come first.
+    """
+    by = as_list(by)
+    df = df.withColumn("__b", bucket)
     df = df.withColumn("__at_group", F.struct(*by, "__b"))
     one = F.lit(1) if where is None else F.when(where, 1).otherwise(0)
-    before = prefix_totals(df, by, "__b", {"__before": one}, descending).select(F.struct(*by, "__b").alias("__at_group"), "__before")
+    before = prefix_totals(df, by, "__b", {"__before": one}).select(F.struct(*by, "__b").alias("__at_group"), "__before")
     w = W.partitionBy("__at_group").orderBy(*order)
     if where is None:
         pos = F.row_number().over(w)
@@ -205,16 +209,16 @@ def tie_blocks(df: DataFrame, by, score: str, sums: dict[str, Column] | None = N
     blocks = df.where(is_number(score)).groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()]
     )
-    blocks = with_bucket(blocks, score).withColumn("__b", -F.col("__b")).withColumn("__g", F.struct(*by, "__b"))
-    bins = blocks.groupBy(*by, "__b").agg(*[F.sum(n).alias(f"__s_{n}") for n in names])
-    before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    blocks = ranged(blocks, [*by, F.col(score).desc()]).withColumn("__g", F.struct(*by, "__p"))
+    bins = blocks.groupBy(*by, "__p").agg(*[F.sum(n).alias(f"__s_{n}") for n in names])
+    before = W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
     bins = bins.select(
-        F.struct(*by, "__b").alias("__g"),
+        F.struct(*by, "__p").alias("__g"),
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__p_{n}") for n in names],
         *[F.sum(f"__s_{n}").over(whole).alias(f"{n}_total") for n in names],
     )
-    w = W.partitionBy("__g").orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy("__g").orderBy("__i").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumns({f"__w_{n}": F.coalesce(F.sum(n).over(w), F.lit(0)) for n in names})
     return blocks.join(bins, "__g").select(
         *by, score, *names,

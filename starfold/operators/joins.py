@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import as_list, hash_int, is_number, match, with_bucket
+from starfold.core import as_list, hash_int, is_number, match, ranged
 from starfold.functions.vectors import similarity_pairs
 
 PAIR_BLOCK = 4096
@@ -124,12 +124,12 @@ def count_below(df: DataFrame, by, value: str, query: str, key: str) -> DataFram
     by = as_list(by)
     data = df.select(*by, F.lit(None).cast(df.schema[key].dataType).alias(key), F.col(value).alias("__v"), F.lit(1).alias("__d"))
     ask = df.select(*by, key, F.col(query).alias("__v"), F.lit(0).alias("__d"))
-    u = with_bucket(data.where(is_number("__v")).unionByName(ask), "__v")
-    bins = u.groupBy(*by, "__b").agg(F.sum("__d").alias("__t"))
-    before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.select(*by, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__p"))
-    w = W.partitionBy(*by, "__b").orderBy("__v", "__d").rowsBetween(W.unboundedPreceding, 0)
-    run = match(u, bins, [*by, "__b"]).withColumn("below", F.when(is_number("__v"), F.col("__p") + F.sum("__d").over(w)))
+    u = ranged(data.where(is_number("__v")).unionByName(ask), [*by, "__v", "__d", key])
+    bins = u.groupBy(*by, "__p").agg(F.sum("__d").alias("__t"))
+    before = W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.select(*by, "__p", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__earlier"))
+    w = W.partitionBy(*by, "__p").orderBy("__i").rowsBetween(W.unboundedPreceding, 0)
+    run = match(u, bins, [*by, "__p"]).withColumn("below", F.when(is_number("__v"), F.col("__earlier") + F.sum("__d").over(w)))
     return run.where("__d = 0").select(*by, key, "below")
 
 

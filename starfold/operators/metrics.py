@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import add_position, as_list, bind, checkpoint, hash_int, is_number, match, quantiles, rank_in_group, score_position, tie_blocks
+from starfold.core import as_list, bind, checkpoint, hash_int, is_number, match, quantiles, rank_in_group, score_position, sorted_position, tie_blocks
 from starfold.operators.clusters import representatives
 from starfold.operators.joins import band_of, pairs_in_groups, similar_in_group
 from starfold.operators.segments import standardise
@@ -207,7 +207,7 @@ def legacy_cluster_budget(items: DataFrame, event: str, cluster: str, key: str,
     items = scored(items, score, rep_score)
     tie = F.sha2(F.col(key).cast("string"), 256)
     reps = representatives(items, event, cluster, key, rep_score, score, group_max, tie).withColumn("__t", tie)
-    reps = add_position(reps, [event], [F.col("rank_score").desc(), "__t"], "rank_score", "__pos", descending=True)
+    reps = sorted_position(reps, [event], [F.col("rank_score").desc(), "__t"], "__pos")
     stars = items.select(event, key, F.col(rating).alias("__r"))
     pos_cl = items.groupBy(event, cluster).agg(F.count_if(F.col(rating) >= k).alias("__p"), F.count(F.lit(1)).alias("__n"))
     r = match(match(reps, stars, [event, key]), pos_cl, [event, cluster])

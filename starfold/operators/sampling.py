@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import HASH_SPAN, add_position, as_list, checkpoint, hash_bucket, hash_int, hash_position, score_position
+from starfold.core import HASH_SPAN, add_position, as_list, checkpoint, hash_bucket, hash_int, hash_position, score_position, sorted_position
 
 # Fixed values of the sampling policy.
 ROLES = ("high", "disagreement", "mid", "low", "random")
@@ -266,7 +266,7 @@ def cluster_cards(items: DataFrame, cluster, key: str, vec: str, latent: str, fa
     g = d.groupBy(*cluster).agg(
         F.count(F.lit(1)).alias("size"), vector_to_array(Summarizer.sum(array_to_vector("__u"))).alias("__sum"), F.sum(dot(F.col("__u"), F.col("__u"))).alias("__self"))
     g = g.where("size >= 2").withColumn("cos", (dot(F.col("__sum"), F.col("__sum")) - F.col("__self")) / (F.col("size") * (F.col("size") - 1))).drop("__sum", "__self")
-    r = add_position(d.select(*cluster, key, "__lat"), cluster, ["__lat", key], "__lat", "__r").join(g.select(*cluster, "size"), cluster)
+    r = sorted_position(d.select(*cluster, key, "__lat"), cluster, ["__lat", key], "__r").join(g.select(*cluster, "size"), cluster)
     mid = r.where(F.col("__r") == F.floor(F.col("size") / 2) + 1).select(*cluster, F.col("__lat").alias("mid"))
     total = items.agg(F.count(F.lit(1)).alias("__n"))
     low = rank_in_group(d.select("__lat", key), [], "__lat", "__rk").select(F.col("__lat").alias("mid"), "__rk").distinct()

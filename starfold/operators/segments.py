@@ -6,35 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import add_position, as_list, is_number, match, quantiles, rank_in_group, score_position, with_bucket
+from starfold.core import as_list, is_number, match, quantiles, rank_in_group, ranged, score_position, sorted_position
 
 
 def segment_by_gap(df: DataFrame, ts: str, gaps: dict[str, int], by=None, tie: str = "id") -> DataFrame:
     """0-based segment number per group; a new segment starts where the time step is strictly above the gap.
 
     ``ts`` is an integer time; ``gaps`` maps output columns to gap lengths, all found in one pass.  Works with and
-    without ``by``: rows are cut into time ranges of about equal counts, only range summaries meet in the per-group window.
+    without ``by``: rows are sorted once over all groups, only summaries of sorted partitions meet in the per-group window.
     Rows without a time are kept with NULL segments and separate nothing.
     """
     by = as_list(by)
-    d = with_bucket(df, ts, "__slot").withColumn("__g", F.struct(*by, "__slot"))
-    w = W.partitionBy("__g").orderBy(ts, tie)
+    d = ranged(df, [*by, ts, tie]).withColumn("__g", F.struct(*by, "__p"))
+    w = W.partitionBy("__g").orderBy("__i")
     step = F.col(ts) - F.lag(ts).over(w)
     d = d.withColumns({f"__cut_{n}": F.coalesce((step > g).cast("int"), F.lit(0)) for n, g in gaps.items()})
     running = w.rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumns({f"__run_{n}": F.sum(f"__cut_{n}").over(running) for n in gaps})
-    slots = d.where("__slot is not null").groupBy("__g", *by, "__slot").agg(
+    slots = d.groupBy("__g", *by, "__p").agg(
         F.min(ts).alias("__first"), F.max(ts).alias("__last"), *[F.sum(f"__cut_{n}").alias(f"__cuts_{n}") for n in gaps]
     )
-    order = W.partitionBy(*by).orderBy("__slot")
+    order = W.partitionBy(*by).orderBy("__p")
     before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
     edge = F.col("__first") - F.lag("__last").over(order)
     slots = slots.withColumns({f"__edge_{n}": F.coalesce((edge > g).cast("int"), F.lit(0)) for n, g in gaps.items()})
     slots = slots.select("__g", *[
         (F.coalesce(F.sum(f"__cuts_{n}").over(before), F.lit(0)) + F.sum(f"__edge_{n}").over(upto)).alias(f"__off_{n}") for n in gaps
     ])
-    out = d.join(slots, "__g", "left")
-    out = out.withColumns({n: (F.col(f"__off_{n}") + F.col(f"__run_{n}")).cast("long") for n in gaps})
+    out = d.join(slots, "__g")
+    out = out.withColumns({n: F.when(F.col(ts).isNotNull(), F.col(f"__off_{n}") + F.col(f"__run_{n}")).cast("long") for n in gaps})
     return out.select(*df.columns, *gaps)
 
 
@@ -59,7 +59,7 @@ def burst_groups(df: DataFrame, event: str, ts: str, seconds: float, tie: str =
 def position_in_group(df: DataFrame, by, order: str, rating: str, tie: str = "id") -> DataFrame:
     """T4: over groups of >= 3 with a unique non-zero winner: share of first, last and middle winners against 1/n."""
     by = as_list(by)
-    pos = add_position(df, by, [order, tie], order, "__pos")
+    pos = sorted_position(df, by, [order, tie], "__pos")
     tops = pos.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(rating, "__pos")).alias("w"),
                                 F.max(F.struct(F.col(rating), (-F.col("__pos")).alias("p"))).alias("v"))
     unique = tops.where((F.col("n") >= 3) & (F.col(f"w.{rating}") > 0) & (F.col("w.__pos") == -F.col("v.p")))
@@ -78,7 +78,7 @@ def lag_pairs(df: DataFrame, by, order: str, max_offset: int, payload: list[str]
     the order of ``tie``.
     """
     by = as_list(by)
-    pos = add_position(df.select(*by, order, *dict.fromkeys([tie, *payload])), by, [order, tie], order, "__pos")
+    pos = sorted_position(df.select(*by, order, *dict.fromkeys([tie, *payload])), by, [order, tie], "__pos")
     pos = pos.withColumn("__chunk", F.floor((F.col("__pos") - 1) / max_offset))
     cols = list(dict.fromkeys([tie, *payload]))
     left = pos.select(*by, F.col("__pos").alias("__pi"), *[F.col(c).alias(f"{c}_i") for c in cols],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starfold.core import add_position, as_list, match, quantiles, rank_in_group
+from starfold.core import as_list, match, quantiles, rank_in_group, sorted_position
 from starfold.functions.scalars import equivalent_focal, focal_bucket
 from starfold.functions.vectors import scalar_distance, scale_frame
 from starfold.operators.joins import attach_endpoints, band_of, similar_in_group
@@ -126,7 +126,7 @@ def separation(within: DataFrame, cross: DataFrame, value: str, cuts: list[float
 def window_recall(items: DataFrame, pairs: DataFrame, seg, order: str, key: str, widths: list[int]) -> DataFrame:
     """Per window width the share of the similar pairs it reaches and the number of pairs it would form."""
     seg = as_list(seg)
-    pos = add_position(items.select(*seg, order, key), seg, [order, key], order, "pos")
+    pos = sorted_position(items.select(*seg, order, key), seg, [order, key], "pos")
     far = attach_endpoints(pairs, pos, key, ["pos"]).select(F.abs(F.col("pos_i") - F.col("pos_j")).alias("d"))
     reach = far.agg(F.count(F.lit(1)).alias("similar"), *[F.count_if(F.col("d") <= w).alias(f"r{w}") for w in widths])
     sizes = items.groupBy(*seg).agg(F.count(F.lit(1)).alias("n"))

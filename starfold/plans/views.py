@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.core import add_position, hash_int, micros
+from starfold.core import hash_int, micros, sorted_position
 from starfold.operators.segments import segment_by_gap
 
 MINUTE = 60_000_000
@@ -76,7 +76,7 @@ def with_split(df: DataFrame) -> DataFrame:
 
 def exam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of at most six consecutive shots of one (event, owner): gid, anon, id, user_star, old star."""
-    s = add_position(items(spark, sf_dir), ["event", "owner"], ["t", "id"], "t", "pos")
+    s = sorted_position(items(spark, sf_dir), ["event", "owner"], ["t", "id"], "pos")
     g = s.withColumn("slot", ((F.col("pos") - 1) % GROUP).cast("int")).withColumn(
         "gid", F.concat_ws("/", "event", F.col("owner").cast("string"), F.floor((F.col("pos") - 1) / GROUP).cast("string")))
     n = g.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")

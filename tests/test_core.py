@@ -85,7 +85,7 @@ def test_missing_groups_times_and_scores_are_kept(spark):
     rows = [(1, "a", 10, 0.5), (2, None, 20, 0.2), (3, "a", None, 0.5), (4, "a", 40, None), (5, None, 5, float("nan")), (6, "b", 7, 0.1)]
     df = spark.createDataFrame(rows, "id long, g string, t long, s double")
     get = lambda d, c: {r["id"]: r[c] for r in d.collect()}
-    assert get(core.add_position(df, "g", ["t", "id"], "t", "p"), "p") == {1: 2, 2: 2, 3: 1, 4: 3, 5: 1, 6: 1}
+    assert get(core.sorted_position(df, "g", ["t", "id"], "p"), "p") == {1: 2, 2: 2, 3: 1, 4: 3, 5: 1, 6: 1}
     assert get(core.score_position(df, "g", "s", "id", "p"), "p").keys() == {1, 2, 3, 4, 5, 6}
     assert {k: v for k, v in get(core.score_position(df, "g", "s", "id", "p"), "p").items() if v is None} == {4: None, 5: None}
     assert get(core.rank_in_group(df, "g", "s", "r"), "r") == {1: 1.5, 2: 1.0, 3: 1.5, 4: None, 5: None, 6: 1.0}
@@ -97,5 +97,34 @@ def test_missing_groups_times_and_scores_are_kept(spark):
 
 def test_narrow_scores_are_split(spark):
     df = spark.range(100_000).select(F.col("id"), (F.col("id") * 1e-9 + 0.9).alias("s"))
-    counts = [r["count"] for r in core.with_bucket(df, "s").groupBy("__b").count().collect()]
-    assert len(counts) > 20 and max(counts) < 10_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = [r["count"] for r in core.ranged(df, ["s"]).groupBy("__p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(counts) == 4 and max(counts) < 40_000
+
+
+def test_plans_do_not_grow_with_the_shuffle_partitions(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("g"), (F.col("id") % 7).cast("double").alias("s"))
+    before, sizes = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 8000):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            sizes.append(len(core.tie_blocks(df, "g", "s")._jdf.queryExecution().optimizedPlan().toString()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert abs(sizes[0] - sizes[1]) < 100
+
+
+def test_sorted_positions_over_partitions(spark):
+    rows = [(i, i % 3 if i % 11 else None, None if i % 13 == 0 else (i * 37) % 50) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["p"] for r in core.sorted_position(df.repartition(5), "g", [F.col("v").desc(), "id"], "p").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in (0, 1, 2, None):
+        order = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        assert [got[r[0]] for r in order] == list(range(1, len(order) + 1))
