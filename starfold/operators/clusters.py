@@ -13,6 +13,7 @@ from starfold.operators.joins import similar_in_group
 
 
 CENTRAL_EPS = 1e-9
+JUMPS = 5  # self-joins of a result before it is written as a table
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -20,19 +21,21 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Each round hooks every vertex to its smallest neighbour, follows the hooks to their roots and contracts the
     edges to roots, so the edge table shrinks quickly.  Rounds are cut by reliable checkpoints.
-    Every vertex with an edge is joined to another in a round, so the live vertices halve at least.  Long chains take many
-    jumps, so what is joined anew in every jump is a written table (see ``written``).
+    Every vertex with an edge is joined to another in a round, so the live vertices halve at least.  The edges of a
+    round, and every ``JUMPS``-th jump along a long chain, are written tables (see ``written``).
     """
-    label = written(nodes.select("id", F.col("id").alias("component")))
+    label = checkpoint(nodes.select("id", F.col("id").alias("component")))
     live = written(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         hook = both.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("m"))
         root = checkpoint(hook.select("v", F.least("v", "m").alias("root")))
+        jumps = 0
         while True:
+            jumps += 1
             up = root.select(F.col("v").alias("root"), F.col("root").alias("__up"))
             jumped = root.join(up, "root", "left").select("v", F.coalesce("__up", "root").alias("__new"), (F.col("__up") != F.col("root")).alias("__moved"))
-            jumped = written(jumped)
+            jumped = written(jumped) if jumps % JUMPS == 0 else checkpoint(jumped)
             moved = not jumped.where("__moved").isEmpty()
             root = jumped.select("v", F.col("__new").alias("root"))
             if not moved:
@@ -42,8 +45,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         live = written(
             live.join(a, "src").join(b, "dst").where(F.col("rs") != F.col("rd"))
             .select(F.least("rs", "rd").alias("src"), F.greatest("rs", "rd").alias("dst")).distinct())
-        label = written(label.join(root.select(F.col("v").alias("component"), "root"), "component", "left")
-                        .select("id", F.coalesce("root", "component").alias("component")))
+        label = checkpoint(label.join(root.select(F.col("v").alias("component"), "root"), "component", "left")
+                           .select("id", F.coalesce("root", "component").alias("component")))
     return label
 
 

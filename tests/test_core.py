@@ -128,3 +128,12 @@ def test_sorted_positions_over_partitions(spark):
     for g in (0, 1, 2, None):
         order = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
         assert [got[r[0]] for r in order] == list(range(1, len(order) + 1))
+
+
+def test_components_of_long_chains(spark):
+    from starfold.operators.clusters import connected_components
+
+    n = 600
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1) if i != 299], "src long, dst long")
+    got = {r["id"]: r["component"] for r in connected_components(edges, spark.range(n + 1)).collect()}
+    assert got == {i: 0 if i < 300 else 300 if i < n else n for i in range(n + 1)}
