@@ -93,10 +93,11 @@ def pairs_in_groups(df: DataFrame, by, key: str, cols: list[str], rows_per_block
 
 
 def cross_class_pairs(df: DataFrame, by, key: str, cls: str, cols: list[str], min_gap: int = 1,
-                      low_cls: str | None = None, rows_per_block: int = PAIR_BLOCK) -> DataFrame:
+                      low_cls: str | None = None, rows_per_block: int = PAIR_BLOCK, max_gap: int | None = None) -> DataFrame:
     """Pairs of a group whose integer classes differ, higher class first (``_i``).
 
-    With ``low_cls`` the condition is ``cls_i - low_cls_j >= min_gap`` (disjoint intervals).
+    With ``low_cls`` the condition is ``cls_i - low_cls_j >= min_gap`` (disjoint intervals).  ``max_gap`` bounds the difference
+    before rows are joined.
 
     Joins on (group, lower class, block): every joined row is a result, and the rows of a large class are spread
     over hash blocks, so a large group is never one task.
@@ -106,6 +107,8 @@ def cross_class_pairs(df: DataFrame, by, key: str, cls: str, cols: list[str], mi
     cols = [c for c in dict.fromkeys([cls, low_cls, *cols]) if c != key]
     high = df.select(*by, F.col(key).alias(f"{key}_i"), *[F.col(c).alias(f"{c}_i") for c in cols])
     high = high.join(sizes, by).where(F.col("__low") <= F.col(f"{cls}_i") - min_gap)
+    if max_gap is not None:
+        high = high.where(F.col("__low") >= F.col(f"{cls}_i") - max_gap)
     high = high.withColumn("__blk", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).drop("__k")
     low = df.withColumn("__low", F.col(low_cls)).join(sizes, [*by, "__low"]).select(
         *by, "__low", (hash_int("pair", key) % F.col("__k")).cast("int").alias("__blk"),

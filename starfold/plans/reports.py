@@ -124,7 +124,7 @@ def a8(spark, d):
 def a9(spark, d):
     from starfold.operators.joins import cross_class_pairs
 
-    p = cross_class_pairs(views.items(spark, d), ["owner", "event"], "id", "star", ["value"]).where("star_i = star_j + 1")
+    p = cross_class_pairs(views.items(spark, d), ["owner", "event"], "id", "star", ["value"], max_gap=1)
     return A.calibrate_thresholds(_within(spark, d, -1.0), _cross(spark, d), p.select(F.abs(F.col("value_i") - F.col("value_j")).alias("dist")), "cos", "dist")
 
 
