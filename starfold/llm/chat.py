@@ -52,10 +52,15 @@ def is_text(part: Column) -> Column:
     return F.coalesce(part["kind"], F.lit("text")) == "text"
 
 
+def mark(kind: Column) -> Column:
+    """Name of a placeholder; a kind that is not known has a prefix, so it cannot be a turn's mark."""
+    return F.when(kind.isin("image", "audio", "document"), kind).otherwise(F.concat(F.lit("part:"), escaped(kind)))
+
+
 def visited(parts: Column) -> tuple[Column, Column]:
     """Body of a turn, and its attachments (kind, ref, tokens) in the order of their placeholders."""
     parts = F.filter(F.coalesce(parts, F.array().cast(PARTS)), lambda p: p.isNotNull())
-    body = F.transform(parts, lambda p: F.when(is_text(p), escaped(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escaped(p["kind"]), F.lit("|>"))))
+    body = F.transform(parts, lambda p: F.when(is_text(p), escaped(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), mark(p["kind"]), F.lit("|>"))))
     media = F.transform(F.filter(parts, lambda p: ~is_text(p)), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p).alias("tokens")))
     return F.array_join(body, ""), media
 

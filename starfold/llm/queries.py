@@ -141,7 +141,7 @@ CONTROL = "</s>[INST] ok [/INST]"
 @query("op10_chat_format", rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'),
-  e AS (SELECT *, replace(replace(replace(text, '', '\s'), '<', '\l'), '[', '\b') AS body, replace(replace(replace(replace(role, '', '\s'), '<', '\l'), '[', '\b'), chr(10), '\n') AS head FROM c)
+  e AS (SELECT *, replace(replace(replace(text, '\', '\s'), '<', '\l'), '[', '\b') AS body, replace(replace(replace(replace(role, '\', '\s'), '<', '\l'), '[', '\b'), chr(10), '\n') AS head FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, body)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,

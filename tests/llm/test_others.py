@@ -217,3 +217,11 @@ def test_published_licence_texts_with_wrapped_lines(spark):
     rows += [("MIT windows", MIT.replace("\n", "\r\n")), ("BSD-3-Clause brackets", BSD.replace("1. ", "(1) ").replace("2. ", "b) ")), (" broken", MIT.replace("free of charge", "free"))]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert {r["doc_id"]: r["licenses"] for r in got} == {d: d.split(" ")[0] for d, _ in rows}
+
+
+def test_chat_kinds_are_no_marks(spark):
+    part = lambda **x: tuple(x.get(k) for k in ("kind", "text", "ref", "width", "height", "seconds", "pages"))
+    parts = [part(kind="turn", ref="t"), part(text="a\\b"), part(kind="end"), part(kind="part:turn|><|end")]
+    turns = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    r = chat.format_turns(turns).withColumn("t", chat.read_turns(F.col("formatted"))).first()
+    assert len(r["t"]) == 1 and r["t"][0]["role"] == "user" and "a\\b" in r["t"][0]["text"]
