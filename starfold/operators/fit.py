@@ -1,4 +1,4 @@
-"""Linear rankers and classifiers over event folds (X1-X13); the solver is ``pyspark.ml``."""
+"""Linear rankers and classifiers over event folds (X1-X13); single models by ``pyspark.ml``, sets of models in common passes."""
 
 from __future__ import annotations
 
@@ -8,13 +8,13 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import PCA, Interaction, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starfold.core import add_position, as_list, checkpoint, dot, hash_int, hash_position
 from starfold.functions.scalars import hash_half, hash_order, tilt_probabilities
 from starfold.operators import metrics as M
+from starfold.operators.batchfit import coefficient_table, fit_models, loeo_ridge_coefficients, softmax
 
 SHRINK = 0.02  # fixed value: strength of the pull of segment offsets to their event mean, per item
 
@@ -97,23 +97,33 @@ def predict_classes(model: LogisticRegressionModel, items: DataFrame, features:
 
 
 def oof_predict(items: DataFrame, folds: DataFrame, event: str, key: str, features: str, label: str, penalties: list[float], mode: str = "event") -> DataFrame:
-    """Out-of-fold class probabilities for every penalty: ``(penalty, key, event, label, p)``."""
-    d = checkpoint(items.select(key, event, F.col(features).alias("__x"), label).join(folds, event))
-    ks = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    out = None
-    for penalty in penalties:
-        for k in ks:
-            model = fit_four_class(d.where(F.col("fold") != k), event, "__x", label, penalty, mode)
-            part = predict_classes(model, d.where(F.col("fold") == k), "__x").select(F.lit(penalty).alias("penalty"), key, event, label, "p")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """Out-of-fold class probabilities for every penalty: ``(penalty, key, event, label, p)``.
+
+    All folds and penalties are fitted in common passes over the items; a fold is scored by the models fitted without it.
+    """
+    d = checkpoint(class_weights(items.select(key, event, F.col(features).cast("array<double>").alias("x"), label).join(folds, event), event, label, mode))
+    ks = [r[0] for r in d.select("fold").distinct().orderBy("fold").collect()]
+    if not ks:
+        return d.select(F.lit(0.0).alias("penalty"), key, event, label, F.lit(None).cast("array<double>").alias("p"))
+    width, classes = d.agg(F.first(F.size("x")), F.max(label) + 1).first()
+    sets = F.array_compact(F.array(*[F.when(F.col("fold") != k, F.lit(i)) for i, k in enumerate(ks)]))
+    models = [(i, float(p)) for p in penalties for i in range(len(ks))]
+    theta = fit_models(d.select("x", F.col(label).cast("int").alias("y"), F.col("weight").alias("w"), sets.alias("sets")), models, width, int(classes), intercept=True)
+    table = coefficient_table(d, list(range(len(models))), theta, "model", "coef")
+    out = d.withColumn("__i", F.array_position(F.array(*[F.lit(k) for k in ks]), F.col("fold")).cast("int") - 1)
+    out = out.withColumn("__p", F.explode(F.array(*[F.struct(F.lit(float(p)).alias("penalty"), (F.lit(j * len(ks)) + F.col("__i")).cast("long").alias("model")) for j, p in enumerate(penalties)])))
+    return out.select(key, event, label, "x", "__p.*").join(table, "model").select("penalty", key, event, label, softmax(F.col("x"), F.col("coef")).alias("p"))
 
 
 def penalty_report(oof: DataFrame, event: str, label: str, top: int = 3) -> DataFrame:
-    """Per penalty macro AP of the top class and macro balanced accuracy."""
-    d = oof.withColumn("__s", F.element_at("p", top + 1))
-    ap = M.average_precision(d, ["penalty", event], F.col(label) >= top, "__s").groupBy("penalty").agg(F.avg("ap").alias("ap_macro"))
-    conf = M.confusion(d, ["penalty", event], F.col(label), "p", top + 1)
+    """Per penalty macro AP of the top class and macro balanced accuracy, and for each boundary ``k`` below the top the macro
+    AP (``ap_macro_k``) of label >= k, ranked by the summed probability of the classes from k on."""
+    bounds = range(1, top + 1)
+    long = F.explode(F.array(*[F.struct(F.lit(k).alias("boundary"), F.aggregate(F.slice("p", k + 1, top + 1 - k), F.lit(0.0), lambda a, v: a + v).alias("__s")) for k in bounds]))
+    d = oof.select("penalty", event, label, long.alias("__b")).select("penalty", event, label, "__b.*")
+    ap = M.average_precision(d, ["penalty", "boundary", event], F.col(label) >= F.col("boundary"), "__s")
+    ap = ap.groupBy("penalty").agg(*[F.avg(F.when(F.col("boundary") == k, F.col("ap"))).alias("ap_macro" if k == top else f"ap_macro_{k}") for k in reversed(bounds)])
+    conf = M.confusion(oof, ["penalty", event], F.col(label), "p", top + 1)
     bal = M.classification_metrics(conf, ["penalty", event], top + 1).groupBy("penalty").agg(F.avg("balanced_accuracy").alias("balanced_macro"))
     return ap.join(bal, "penalty")
 
@@ -241,75 +251,112 @@ def offset_gates(constraints: DataFrame, items: DataFrame, key: str, rating: str
 # --- leave one event out -----------------------------------------------------------------------------------------
 
 
+def model_rows(differences: DataFrame, sets: Column, *carried) -> DataFrame:
+    """Rows of ``fit_models`` from ``difference_rows``, each in the row sets given by an array of numbers."""
+    return differences.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"), F.col("__w").alias("w"), sets.alias("sets"), *carried)
+
+
+def numbered(values: list, like: DataFrame, name: str, kind: str) -> DataFrame:
+    """Table of values and their place in the list."""
+    return like.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"`{name}` {kind}, code int")
+
+
+def winner_right(coef: Column) -> Column:
+    """1 if the turned difference ``x`` is scored with its label's sign, 0.5 at zero, else 0; NULL without a model."""
+    m = dot(F.col("x"), coef[0]) * F.when(F.col("y") == 1, 1.0).otherwise(-1.0)
+    return F.when(m == 0, 0.5).when(m > 0, 1.0).when(m < 0, 0.0)
+
+
 def loeo_pairs(pairs: DataFrame, items: DataFrame, key: str, event: str, features: str, penalty: float, min_pairs: int = 30) -> DataFrame:
-    """Per held-out event: fit on pairs that do not touch it, accuracy on pairs inside it and on pairs touching it once."""
-    side = lambda end: items.select(F.col(key).alias(end), F.col(event).alias(f"e_{end}"), F.col(features).alias(f"x_{end}"))
-    d = checkpoint(pairs.select("winner", "loser").join(side("winner"), "winner").join(side("loser"), "loser"))
-    x = checkpoint(items.select(key, features))
-    out = None
-    for name in [r[0] for r in items.select(event).distinct().orderBy(event).collect()]:
-        inside, touch = (F.col("e_winner") == name) & (F.col("e_loser") == name), (F.col("e_winner") == name) != (F.col("e_loser") == name)
-        coef = fit_pairwise(d.where((F.col("e_winner") != name) & (F.col("e_loser") != name)).select("winner", "loser"), x, key, features, penalty)
-        vec = F.array(*[F.lit(float(v)) for v in coef])
-        m = dot(F.zip_with("x_winner", "x_loser", lambda a, b: a - b), vec)
-        ok = F.when(m == 0, 0.5).when(m > 0, 1.0).otherwise(0.0)
-        row = d.where((F.col("e_winner") == name) | (F.col("e_loser") == name)).agg(
-            F.count_if(inside).alias("within_pairs"), F.avg(F.when(inside, ok)).alias("within"), F.count_if(touch).alias("touch_pairs"), F.avg(F.when(touch, ok)).alias("touch"))
-        row = row.select(F.lit(name).alias(event), "within_pairs", F.when(F.col("within_pairs") >= min_pairs, F.col("within")).alias("within"),
-                         "touch_pairs", F.when(F.col("touch_pairs") >= min_pairs, F.col("touch")).alias("touch"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Per held-out event: fit on pairs that do not touch it, accuracy on pairs inside it and on pairs touching it once.
+
+    All events are fitted in common passes over the pairs.  The event names and one coefficient vector each reach the driver.
+    """
+    kind = items.schema[event].dataType.simpleString()
+    names = [r[0] for r in items.where(F.col(event).isNotNull()).select(event).distinct().orderBy(event).collect()]
+    place = numbered(names, items, event, kind)
+    code = items.select(key, event).join(place, event)
+    end = lambda name: code.select(F.col(key).alias(name), F.col("code").alias(f"__c_{name}"))
+    d = difference_rows(pairs.select("winner", "loser").join(end("winner"), "winner").join(end("loser"), "loser"), items, key, features)
+    others = F.filter(F.sequence(F.lit(0), F.lit(max(0, len(names) - 1))), lambda i: (i != F.col("__c_winner")) & (i != F.col("__c_loser")))
+    both = F.array_distinct(F.array("__c_winner", "__c_loser"))
+    rows = checkpoint(model_rows(d, others, both.alias("touched")))
+    first = rows.select(F.size("x")).first()
+    theta = fit_models(rows, [(i, penalty) for i in range(len(names))], first[0], tol=1e-9) if first else []
+    table = coefficient_table(items, names[: len(theta)], theta, event, "coef")
+    test = rows.select("x", "y", F.size("touched").alias("__ends"), F.explode("touched").alias("code")).join(place, "code").join(table, event, "left")
+    inside = F.col("__ends") == 1
+    test = test.withColumn("__ok", winner_right(F.col("coef"))).groupBy(event).agg(
+        F.count_if(inside).alias("within_pairs"), F.avg(F.when(inside, F.col("__ok"))).alias("within"),
+        F.count_if(~inside).alias("touch_pairs"), F.avg(F.when(~inside, F.col("__ok"))).alias("touch"))
+    test = place.select(event).join(test, event, "left").fillna(0, ["within_pairs", "touch_pairs"])
+    return test.select(event, "within_pairs", F.when(F.col("within_pairs") >= min_pairs, F.col("within")).alias("within"),
+                       "touch_pairs", F.when(F.col("touch_pairs") >= min_pairs, F.col("touch")).alias("touch"))
 
 
 def loeo_ridge(items: DataFrame, key: str, event: str, features: str, rating: str, alpha: float = 1.0) -> DataFrame:
     """Ridge from features to rating, each event predicted by the others; Spearman per event (diagnostic only)."""
-    d = checkpoint(items.select(key, event, F.col(rating).cast("double").alias("label"), array_to_vector(features).alias("features")))
-    sizes = {r[event]: r["n"] for r in d.groupBy(event).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, out = sum(sizes.values()), None
-    for name in sorted(sizes):
-        n = total - sizes[name]
-        model = LinearRegression(regParam=alpha / max(1, n), elasticNetParam=0.0, standardization=False, solver="normal").fit(d.where(F.col(event) != name))
-        part = model.transform(d.where(F.col(event) == name)).select(key, event, "label", "prediction")
-        out = part if out is None else out.unionByName(part)
     from starfold.operators.summary import spearman
 
-    return spearman(checkpoint(out), event, "label", "prediction")
+    coef = loeo_ridge_coefficients(items, event, features, rating, alpha)
+    j = items.select(event, F.col(features).alias("__x"), F.col(rating).cast("double").alias("label")).join(coef, event)
+    return spearman(j.select(event, "label", dot(F.array_prepend("__x", F.lit(1.0)), F.col("coef")).alias("prediction")), event, "label", "prediction")
 
 
 # --- probes ------------------------------------------------------------------------------------------------------
 
 
-def probe_matrix(pairs: DataFrame, items: DataFrame, key: str, views: dict[str, str], layer: str, folds: DataFrame, event: str, penalty: float,
-                 min_test: int = 30, leaky: bool = True) -> DataFrame:
-    """Accuracy of a pairwise probe per feature view and pair layer: mean and deviation over event folds.
+def probe_outcomes(pairs: DataFrame, items: DataFrame, key: str, views: dict[str, str], layer: str, folds: DataFrame, event: str, penalty: float,
+                   leaky: bool = True, carried: list[str] | None = None) -> DataFrame:
+    """Out-of-fold outcome of every pair per feature view: ``(view, layer, split, fold, outcome, carried...)``.
 
-    A fold is tested on pairs with both ends in it and fitted on pairs with neither end in it.  Folds with fewer than
-    ``min_test`` test pairs are skipped and counted.  ``leaky`` adds a row split by hash, labelled as the upper bound that
-    shares events between fitting and testing.
+    A fold is tested on pairs with both ends in it and fitted on pairs with neither end in it.  ``leaky`` adds a split of the
+    pairs by hash, the upper bound that shares events between fitting and testing.  The models of all layers and folds of a view
+    are fitted in common passes; ``carried`` columns of the pairs, such as their star boundary or event, stay for grouping.
     """
+    carried = carried or []
     ev = items.select(key, event).join(folds, event)
     end = lambda name: ev.select(F.col(key).alias(name), F.col("fold").alias(f"fold_{name}"))
-    base = pairs.select("winner", "loser", layer).join(end("winner"), "winner").join(end("loser"), "loser")
+    base = pairs.select("winner", "loser", layer, *[c for c in carried if c != layer]).join(end("winner"), "winner").join(end("loser"), "loser")
     base = checkpoint(base.withColumn("row_fold", (hash_int("leak", "winner", "loser") % 3).cast("int")))
-    layers = [r[0] for r in base.select(layer).distinct().orderBy(layer).collect()]
+    layers = [r[0] for r in base.where(F.col(layer).isNotNull()).select(layer).distinct().orderBy(layer).collect()]
     ks = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    outside = lambda k: (F.col("fold_winner") != k) & (F.col("fold_loser") != k)
-    inside = lambda k: (F.col("fold_winner") == k) & (F.col("fold_loser") == k)
-    splits = [("event", k, outside(k), inside(k)) for k in ks]
-    splits += [("leaky_rows", 0, F.col("row_fold") != 0, F.col("row_fold") == 0)] if leaky else []
+    n = len(ks) + leaky
+    base = base.join(numbered(layers, base, layer, base.schema[layer].dataType.simpleString()), layer)
+    number = lambda i: F.col("code") * n + i
+    fits = [F.when((F.col("fold_winner") != k) & (F.col("fold_loser") != k), number(i)) for i, k in enumerate(ks)]
+    tests = [F.when((F.col("fold_winner") == k) & (F.col("fold_loser") == k), F.struct(number(i).alias("model"), F.lit("event").alias("split"), F.lit(k).alias("fold"))) for i, k in enumerate(ks)]
+    if leaky:
+        fits.append(F.when(F.col("row_fold") != 0, number(n - 1)))
+        tests.append(F.when(F.col("row_fold") == 0, F.struct(number(n - 1).alias("model"), F.lit("leaky_rows").alias("split"), F.lit(0).alias("fold"))))
     out = None
     for view, column in views.items():
-        x = checkpoint(items.select(key, F.col(column).alias("__x")))
-        for name in layers:
-            p = base.where(F.col(layer) == name)
-            for kind, k, train, test in splits:
-                coef = fit_pairwise(p.where(train), x, key, "__x", penalty)
-                o = M.pair_outcomes(p.where(test), linear_score(x, "__x", coef), key, "score", eps=0.0)
-                row = o.agg(F.count(F.lit(1)).alias("pairs"), F.avg("outcome").alias("accuracy")).select(
-                    F.lit(view).alias("view"), F.lit(name).alias("layer"), F.lit(kind).alias("split"), F.lit(k).alias("fold"), "pairs", "accuracy")
-                out = row if out is None else out.unionByName(row)
+        d = difference_rows(base, items, key, column)
+        rows = checkpoint(model_rows(d, F.array_compact(F.array(*fits)), F.array_compact(F.array(*tests)).alias("tests"), layer, *[c for c in carried if c != layer]))
+        first = rows.select(F.size("x")).first()
+        theta = fit_models(rows, [(m, penalty) for m in range(len(layers) * n)], first[0]) if first else []
+        table = coefficient_table(rows, list(range(len(theta))), theta, "model", "coef")
+        t = rows.withColumn("__t", F.explode("tests")).select("x", "y", "__t.*", F.col(layer).alias("layer"), *[c for c in carried if c != "layer"]).join(table, "model")
+        part = t.select(F.lit(view).alias("view"), "layer", "split", "fold", winner_right(F.col("coef")).alias("outcome"), *[c for c in carried if c != "layer"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def probe_matrix(pairs: DataFrame, items: DataFrame, key: str, views: dict[str, str], layer: str, folds: DataFrame, event: str, penalty: float,
+                 min_test: int = 30, leaky: bool = True, by: list[str] | None = None) -> DataFrame:
+    """Accuracy of a pairwise probe per feature view and pair layer: mean and deviation over event folds.
+
+    Folds with fewer than ``min_test`` test pairs are skipped and counted.  ``by`` columns of the pairs (star boundary, event) give
+    an arm each: the same out-of-fold outcomes, grouped by that column as ``stratum``; ``arm`` is ``all`` or the column's name.
+    """
+    by = by or []
+    o = probe_outcomes(pairs, items, key, views, layer, folds, event, penalty, leaky, by)
+    arms = F.explode(F.array(F.struct(F.lit("all").alias("arm"), F.lit("").alias("stratum")), *[F.struct(F.lit(c).alias("arm"), F.col("layer" if c == layer else c).cast("string").alias("stratum")) for c in by]))
+    g = ["view", "layer", "split", "arm", "stratum"]
+    rows = o.select("view", "layer", "split", "fold", "outcome", arms.alias("__a")).select("view", "layer", "split", "fold", "outcome", "__a.*")
+    rows = rows.groupBy(*g, "fold").agg(F.count("outcome").alias("pairs"), F.avg("outcome").alias("accuracy"))
     ok = F.col("pairs") >= min_test
-    return out.groupBy("view", "layer", "split").agg(
+    return rows.groupBy(*g).agg(
         F.avg(F.when(ok, F.col("accuracy"))).alias("mean"), F.stddev_pop(F.when(ok, F.col("accuracy"))).alias("std"),
         F.count_if(ok).alias("folds"), F.count_if(~ok).alias("skipped"), F.sum("pairs").alias("pairs"))
 
@@ -370,42 +417,47 @@ def choose_gamma(items: DataFrame, event: str, label: str, probs: str, signal: s
 
 
 def learning_curve(items: DataFrame, subsets: DataFrame, event: str, features: str, label: str, penalty: float, top: int = 3) -> DataFrame:
-    """X11: per (held-out event, size, draw) of the fold table: top-class AP of a model fitted on those events only."""
-    runs = subsets.groupBy("held_out", "size", "draw").agg(F.collect_set(event).alias("train")).orderBy("held_out", "size", "draw").collect()
-    d = checkpoint(items.select(event, label, F.col(features).alias("__x")))
-    out = None
-    for r in runs:
-        model = fit_four_class(d.where(F.col(event).isin(list(r["train"]))), event, "__x", label, penalty)
-        p = predict_classes(model, d.where(F.col(event) == r["held_out"]), "__x").withColumn("__s", F.element_at("p", top + 1))
-        ap = M.average_precision(p, event, F.col(label) >= top, "__s").select(
-            F.lit(r["held_out"]).alias("held_out"), F.lit(r["size"]).alias("size"), F.lit(r["draw"]).alias("draw"), "ap", "random_ap")
-        out = ap if out is None else out.unionByName(ap)
-    return out
+    """X11: per (held-out event, size, draw) of the fold table: top-class AP of a model fitted on those events only.
+
+    All runs are fitted in common passes; rows learn the numbers of their runs from their event.
+    """
+    name = items.schema[event].dataType.simpleString()
+    keys = [tuple(r) for r in subsets.select("held_out", "size", "draw").distinct().orderBy("held_out", "size", "draw").collect()]
+    runs = items.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(keys)], f"held_out {name}, size int, draw int, model int")
+    d = class_weights(items.select(event, label, F.col(features).cast("array<double>").alias("x")), event, label)
+    member = subsets.join(runs, ["held_out", "size", "draw"]).groupBy(event).agg(F.collect_list("model").alias("sets"))
+    d = checkpoint(d.join(member, event, "left"))
+    first = d.agg(F.first(F.size("x")), F.max(label) + 1).first()
+    rows = d.select("x", F.col(label).cast("int").alias("y"), F.col("weight").alias("w"), F.coalesce("sets", F.array().cast("array<int>")).alias("sets"))
+    theta = fit_models(rows, [(i, penalty) for i in range(len(keys))], first[0], int(first[1]), intercept=True) if keys and first[0] else []
+    table = coefficient_table(items, list(range(len(theta))), theta, "model", "coef")
+    p = d.drop("sets").join(runs.withColumnRenamed("held_out", event), event).join(table, "model").withColumnRenamed(event, "held_out")
+    p = p.withColumn("__s", F.element_at(softmax(F.col("x"), F.col("coef")), top + 1))
+    return M.average_precision(p, ["held_out", "size", "draw"], F.col(label) >= top, "__s").select("held_out", "size", "draw", "ap", "random_ap")
 
 
 def half_transfer(pairs: DataFrame, items: DataFrame, key: str, event: str, seg: Column, features: str, penalty: float, min_train: int = 20, min_test: int = 5) -> DataFrame:
     """Segments of an event split in two halves by hash; fit on one half, score the other, both ways, against a model
-    of the other events.  One row per event with both accuracies."""
+    of the other events.  One row per event with both accuracies.  All models are fitted in common passes."""
     half = items.withColumn("half", hash_half("half", seg)).select(F.col(key).alias("winner"), F.col(event).alias("event"), "half")
     other = items.withColumn("h2", hash_half("half", seg)).select(F.col(key).alias("loser"), F.col(event).alias("e2"), "h2")
     d = checkpoint(pairs.select("winner", "loser").join(half, "winner").join(other, "loser").where("event = e2 and half = h2").drop("e2", "h2"))
-    x = checkpoint(items.select(key, F.col(features).alias("__x")))
     counts = {(r["event"], r["half"]): r["n"] for r in d.groupBy("event", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = None
-    for name in sorted({e for e, _ in counts}):
-        cross = fit_pairwise(d.where(F.col("event") != name), x, key, "__x", penalty)
-        for h in (0, 1):
-            if counts.get((name, h), 0) < min_train or counts.get((name, 1 - h), 0) < min_test:
-                continue
-            own = fit_pairwise(d.where((F.col("event") == name) & (F.col("half") == h)), x, key, "__x", penalty)
-            s = linear_score(linear_score(x, "__x", own, "own"), "__x", cross, "cross")
-            test = d.where((F.col("event") == name) & (F.col("half") == 1 - h))
-            o = M.pair_outcomes(test, s, key, "own", eps=0.0).withColumnRenamed("outcome", "own_ok")
-            o = M.pair_outcomes(o, s, key, "cross", eps=0.0).select("event", "own_ok", F.col("outcome").alias("cross_ok"))
-            out = o if out is None else out.unionByName(o)
-    if out is None:
-        return d.sparkSession.createDataFrame([], "event string, pairs long, within double, cross double")
-    return out.groupBy("event").agg(F.count(F.lit(1)).alias("pairs"), F.avg("own_ok").alias("within"), F.avg("cross_ok").alias("cross"))
+    names = sorted({e for e, _ in counts})
+    kind = items.schema[event].dataType.simpleString()
+    able = [(c, h) for c, e in enumerate(names) for h in (0, 1) if counts.get((e, h), 0) >= min_train and counts.get((e, 1 - h), 0) >= min_test]
+    if not able:
+        return d.sparkSession.createDataFrame([], f"event {kind}, pairs long, within double, cross double")
+    n = len(names)
+    d = difference_rows(d.join(numbered(names, d, "event", kind), "event"), items, key, features)
+    crossed = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i != F.col("code"))
+    rows = checkpoint(model_rows(d, F.array_append(crossed, F.col("code") * 2 + F.col("half").cast("int") + n), "event", "half", "code"))
+    models = [*range(n), *[n + 2 * c + h for c, h in able]]
+    theta = fit_models(rows, [(m, penalty) for m in models], rows.select(F.size("x")).first()[0])
+    own = coefficient_table(d, models[n:], theta[n:], "own_model", "own")
+    cross = coefficient_table(d, models[:n], theta[:n], "code", "cross")
+    o = rows.withColumn("own_model", (F.col("code") * 2 + 1 - F.col("half") + n).cast("long")).join(own, "own_model").join(cross, "code", "left")
+    return o.groupBy("event").agg(F.count(F.lit(1)).alias("pairs"), F.avg(winner_right(F.col("own"))).alias("within"), F.avg(winner_right(F.col("cross"))).alias("cross"))
 
 
 # --- gates -------------------------------------------------------------------------------------------------------

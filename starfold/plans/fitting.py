@@ -103,8 +103,9 @@ def x7_ridge(spark, d):
 @query("x8_probe_matrix")
 def x8(spark, d):
     f = _features(spark, d).withColumn("x_short", F.slice("x", 1, 2))
-    p = _pairs(spark, d).withColumn("layer", F.when(F.col("dstar") >= 2, "far").otherwise("near"))
-    return X.probe_matrix(p, f, "id", {"full": "x", "short": "x_short"}, "layer", X.fold_by_event(f, "event", 3, "20260926"), "event", 0.01)
+    p = _pairs(spark, d).withColumn("layer", F.when(F.col("dstar") >= 2, "far").otherwise("near")).withColumnRenamed("event_winner", "pair_event")
+    p = p.join(f.select(F.col("id").alias("winner"), F.col("tier").alias("boundary")), "winner")
+    return X.probe_matrix(p, f, "id", {"full": "x", "short": "x_short"}, "layer", X.fold_by_event(f, "event", 3, "20260926"), "event", 0.01, by=["boundary", "pair_event"])
 
 
 @query("x8_conditioned_features", """SELECT event, count(*) AS items, 20::BIGINT AS width, round(avg(score_b), 6) AS own_mean FROM itemscores GROUP BY event""")
