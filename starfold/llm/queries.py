@@ -91,18 +91,22 @@ def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _license_sql() -> str:
     """SQL of the licence scan, from the same tables of sentences and rules."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    pairs = ", ".join(f"({quoted(s)}, {quoted(n)})" for n, s in licenses.SENTENCES.items())
+    pairs = ", ".join(f"({quoted(s)}, {quoted(n)})" for s, n in licenses.sentence_table(licenses.SENTENCES, licenses.NAMES))
     rules: dict[str, list[str]] = {}
     for name, rule in licenses.RULES:
         rules.setdefault(name, []).append(f"p LIKE {quoted('% ' + ' %'.join(rule).replace(' %', ' % ') + ' %')}" if len(rule) > 1 else f"contains(p, {quoted(' ' + rule[0] + ' ')})")
     hit = {n: "(" + " OR ".join(r) + ")" for n, r in rules.items()}
     hit |= {a: f"({hit[a]} AND NOT {hit[b]})" for a, b in licenses.SUPERSEDED.items()}
     names = ", ".join(f"CASE WHEN {hit[n]} THEN {quoted(n)} END" for n in sorted(hit))
+    marked = "lower(coalesce(text, ''))"
+    for pattern, put in licenses.STEPS:
+        marked = f"regexp_replace({marked}, {quoted(pattern)}, {quoted(put.replace('word', chr(92) + '1'))}, 'g')"
     return rf"""
 WITH k(s, id) AS (VALUES {pairs}),
-  l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS s FROM (
-    SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '([.!?;])[ 	]+', '' || chr(10), 'g'), chr(10)) AS x FROM documents)),
-  f AS (SELECT doc_id, string_agg(id, ' ' ORDER BY i) AS ids, count(*) AS n FROM l JOIN k ON k.s = trim(regexp_replace(l.s, '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id),
+  m AS (SELECT doc_id, regexp_extract_all('||' || {marked} || '||', {quoted(licenses.patterns(licenses.SENTENCES, licenses.NAMES, licenses.RULES))}) AS x FROM documents),
+  l AS (SELECT doc_id, unnest(range(len(x))) AS i, trim(replace(replace(unnest(x), '|', ''), '><', ' '), '<>') AS s FROM m),
+  f AS (SELECT doc_id, string_agg(coalesce(a.id, b.id), ' ' ORDER BY i) AS ids, count(*) AS n FROM l LEFT JOIN k a ON a.s = l.s
+    LEFT JOIN k b ON b.s = regexp_replace(l.s, {quoted(licenses.NOTICE)}, '') GROUP BY doc_id),
   d AS (SELECT doc_id, coalesce(n, 0) AS n_found, coalesce(ids, '') AS ids, ' ' || replace(coalesce(ids, ''), ' ', '  ') || ' ' AS p FROM documents LEFT JOIN f USING (doc_id))
 SELECT doc_id, n_found, ids, concat_ws(' ', {names}) AS licenses FROM d"""
 
