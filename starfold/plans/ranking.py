@@ -165,12 +165,23 @@ AVGS = "round(avg(best1), 6) AS best1, round(avg(best2), 6) AS best2, round(avg(
 
 
 @query("m11_local_metrics", f"""WITH {LOC_SQL}, sc AS (SELECT *, CASE WHEN unique_best THEN 'unique_best' ELSE 'tied_best' END AS scope FROM ld UNION ALL SELECT *, 'all_nonzero' FROM ld)
-  SELECT scope, count(*) AS groups, {AVGS}, (SELECT round(avg(m), 6) FROM (SELECT avg(best1) AS m FROM sc x WHERE x.scope = sc.scope GROUP BY x.event)) AS best1_event_macro FROM sc GROUP BY scope
-  UNION ALL SELECT 'member_set_balanced', count(*), {AVGS}, NULL FROM ld WHERE unique_best""")
+  SELECT scope, count(*) AS groups, {AVGS}, round(avg(least(size, 2)), 6) AS mean_kept2, (SELECT round(avg(m), 6) FROM (SELECT avg(best1) AS m FROM sc x WHERE x.scope = sc.scope GROUP BY x.event)) AS best1_event_macro FROM sc GROUP BY scope
+  UNION ALL SELECT 'member_set_balanced', count(*), {AVGS}, NULL, NULL FROM ld WHERE unique_best""")
 def m11_summary(spark, d):
     return M.local_metrics(_local(spark, d))
 
 
+@query("m11_local_by_event", f"WITH {LOC_SQL} SELECT event, count(*) AS groups, {AVGS}, round(avg(least(size, 2)), 6) AS mean_kept2 FROM ld WHERE unique_best GROUP BY event")
+def m11_by_event(spark, d):
+    return M.local_by_event(_local(spark, d))
+
+
+@query("m11_local_inputs", """SELECT (SELECT count(DISTINCT gid) FROM exam) AS input_groups, (SELECT count(*) FROM (SELECT gid FROM exam GROUP BY gid HAVING max(user_star) <= 0)) AS all_zero_ambiguous,
+  count(DISTINCT id) AS unique_items, count(*) - count(DISTINCT id) AS repeated_slots FROM exam""")
+def m11_inputs(spark, d):
+    return M.local_inputs(views.exam(spark, d), "gid", "id", "user_star")
+
+
 RANK_SQL = "(rank() OVER (PARTITION BY event ORDER BY {s}) + (count(*) OVER (PARTITION BY event, {s}) - 1) / 2)"
 
 

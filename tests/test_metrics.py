@@ -136,3 +136,16 @@ def test_required_auc_equals_the_model(spark):
 def test_grouping_column_names_do_not_clash(spark):
     df = spark.createDataFrame([(1, "a", 1, 0.5), (2, "a", 0, 0.2)], "id long, g string, y int, s double").withColumnRenamed("g", "h")
     assert M.average_precision(df, "h", F.col("y") == 1, "s").first()["ap"] == 1
+
+
+def test_local_summaries_by_event_and_inputs(spark):
+    rows = [("a", 1, "e", 5, 0.9), ("a", 2, "e", 3, 0.1), ("b", 1, "e", 4, 0.2), ("b", 3, "e", 1, 0.8), ("b", 4, "e", 0, 0.1), ("c", 5, "f", 2, 0.5), ("d", 6, "f", 0, 0.1), ("d", 7, "f", 0, 0.2), ("g", 8, "f", None, 0.3)]
+    d = spark.createDataFrame(rows, "gid string, id long, event string, star int, s double")
+    details = M.local_details(d, "gid", "id", "event", "star", "s")
+    by = {r["event"]: r for r in M.local_by_event(details).collect()}
+    assert (by["e"]["groups"], by["e"]["best1"], by["e"]["best2"], by["e"]["mean_kept2"]) == (2, 0.5, 1.0, 2.0)
+    assert by["f"]["groups"] == 1 and by["f"]["mean_kept2"] == 1.0
+    whole = {r["scope"]: r for r in M.local_metrics(details).collect()}
+    assert whole["unique_best"]["mean_kept2"] == pytest.approx(5 / 3) and whole["member_set_balanced"]["groups"] == 3
+    assert tuple(M.local_inputs(d, "gid", "id", "star").first()) == (5, 2, 8, 1)
+    assert tuple(M.local_inputs(d.limit(0), "gid", "id", "star").first()) == (0, 0, 0, 0)
