@@ -18,6 +18,7 @@ from starfold.llm.bpe import BytePairs, byte_pairs, share_vocabulary
 from starfold.llm.workers import slices
 
 LEAF_CHARS = 256  # least characters of a leaf, but for the last
+LONG_LEAF = 4 * LEAF_CHARS  # most characters of a leaf of several words; above, the tree gets new leaves
 AHEAD = 2  # characters behind a pre-token that its match may depend on
 
 # What the registered query redacts, and by what.
@@ -108,7 +109,13 @@ class TokenTree:
         chars, tokens, stop = self.encoded(at, set(stops))
         final = stops.get(stop, 2 * self.leaves - 1)
         room = final - first + 1
-        if len(chars) > room:  # no leaf to spare: the tail takes the rest, and a tree with long leaves is cut anew
+        if len(chars) > room and sum(chars[room - 1 :]) > LONG_LEAF:  # no leaf to spare: leaves are laid out anew, nothing more is encoded
+            n = self.leaves
+            sides = [[(self.chars[k], self.tokens[k]) for k in ks if self.chars[k]] for ks in (range(n, first), range(final + 1, 2 * n))]
+            kept = [*sides[0], *zip(chars, tokens, strict=True), *sides[1]]
+            self.build([c for c, _ in kept], [t for _, t in kept])
+            return stop - at
+        if len(chars) > room:  # a little too much: the last leaf takes the rest
             chars[room - 1 :], tokens[room - 1 :] = [sum(chars[room - 1 :])], [sum(tokens[room - 1 :])]
         pad = [0] * (room - len(chars))
         self.chars[first : final + 1], self.tokens[first : final + 1] = chars + pad, tokens + pad

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from starfold.llm.bpe import BytePairs, decode_documents, encode_documents
 from starfold.llm.common import vocabulary
-from starfold.llm.token_counts import TokenTree, count_with_edits, redactions
+from starfold.llm.token_counts import LEAF_CHARS, LONG_LEAF, TokenTree, count_with_edits, redactions
 
 PATH = vocabulary("byte_bpe_50k.json")
 ALPHABET = [*"ab the\n\t \r12'sSéß日\u200b \x85\x1c\x1f!?😀", "<|endoftext|>", "<|endof", "text|>", "tion", "heit"]
@@ -85,3 +85,19 @@ def test_edited_counts(spark, pairs):
     assert {r["edited"] for r in got} == {"write to <email> or <address> now", "", "no data"}
     assert redactions("x 1.2.3.4.5 y") and hashlib.sha256(b"").hexdigest()
     assert count_with_edits(docs.where("false"), PATH).count() == 0
+
+
+def test_large_insertions_leave_short_leaves(pairs):
+    rng = random.Random(6)
+    big = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(30_000))
+    tree = TokenTree("hello world, " * 60, pairs)
+    tree.replace(300, 305, big)
+    assert tree.count == TokenTree(tree.text, pairs).count
+    recoded = tree.replace(90_000, 90_001, "x")
+    assert recoded < 8 * LEAF_CHARS and tree.count == TokenTree(tree.text, pairs).count
+    for k in range(200):  # growth at one place
+        tree.replace(50_000, 50_000, " added words here" * 20)
+        assert max(tree.state[0]) <= 2 * LONG_LEAF
+    assert tree.count == TokenTree(tree.text, pairs).count and sum(tree.state[0]) == len(tree.text)
+    tree.replace(10, len(tree.text) - 10, "")
+    assert tree.count == TokenTree(tree.text, pairs).count
