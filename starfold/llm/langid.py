@@ -4,6 +4,9 @@ Every language has a probability for each piece of a fixed public vocabulary.  A
 over all ways to cut it into pieces, by the forward algorithm; a text's is the product over its words.  The piece
 probabilities are fitted by expectation-maximisation on a bounded sample of labelled documents; a worker scores a word once
 and keeps its vector, up to a bound.
+
+The posterior among the learned languages is near 1 for almost every text, also for one in none of them.  Whether a text is in
+its best language at all is told by its log probability per letter, against the median of labelled documents.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from starfold.core import hash_int
@@ -29,7 +32,9 @@ SAMPLE_DOCS = 120  # labelled documents of a language in the fit
 SAMPLE_WORDS = 20_000  # most frequent distinct words of a language in the fit
 ROUNDS = 2
 SMOOTHING = 0.1
-RUN_LETTERS = 40  # longer words are scored in runs of so many letters
+RUN_LETTERS = 40  # longer words are fitted and scored in runs of so many letters
+EXCESS = 1.5  # a text's log probability per letter may lie so far below the median of its language
+LEAST_LETTERS = 60  # texts with fewer letters are too short to be judged by it
 CACHE_WORDS = 600_000
 START = "▁"  # fixed value: the vocabulary's mark of a word's start
 LETTERS = r"\p{L}+"
@@ -44,11 +49,18 @@ def pieces_of(path: str) -> list[str]:
     return sorted({p for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i) and fits(p := model.id_to_piece(i).lower())})
 
 
+def runs_of(word: str) -> list[str]:
+    """A word behind its start mark, in runs of ``RUN_LETTERS``."""
+    word = START + word
+    return [word[at : at + RUN_LETTERS] for at in range(0, len(word), RUN_LETTERS)]
+
+
 class Unigrams:
     """Piece probabilities: ``table`` maps a piece to one probability per language; single letters outside it have ``floor``."""
 
     def __init__(self, langs: list[str], table: dict[str, tuple[float, ...]], floor: tuple[float, ...]):
         self.langs, self.table, self.floor = langs, table, floor
+        self.least: dict[str, float] = {}  # lowest log probability per letter of a text in the language, where it is known
         # every beginning of a piece, with the probabilities of whole pieces: a search ends where no piece goes on
         self.begins: dict[str, tuple[float, ...] | None] = {p[:k]: None for p in table for k in range(1, len(p))}
         self.begins.update(table)
@@ -82,9 +94,7 @@ class Unigrams:
         """Log probability of a lower-cased word per language."""
         size, begins = len(self.langs), self.begins
         total = [0.0] * size
-        word = START + word
-        for at in range(0, len(word), RUN_LETTERS):
-            run = word[at : at + RUN_LETTERS]
+        for run in runs_of(word):
             n = len(run)
             out = [None] * (n + 1)  # the forward algorithm without a list of cuts
             out[0] = [1.0] * size
@@ -113,13 +123,16 @@ def fit_unigrams(langs: list[str], counts: dict[tuple[str, str], int], pieces: l
     at = {lang: k for k, lang in enumerate(langs)}
     start = {p: 10.0 ** -(2 + len(p.removeprefix(START)) / 2) for p in pieces}
     model = Unigrams(langs, {p: (x,) * len(langs) for p, x in start.items()}, (1e-6,) * len(langs))
-    words: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    found: dict[tuple[str, int], int] = defaultdict(int)
     for (lang, word), n in sorted(counts.items()):
-        words[word].append((at[lang], n))
+        for run in runs_of(word):
+            found[run, at[lang]] += n
+    seen_in: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for (run, k), n in found.items():
+        seen_in[run].append((k, n))
     for _ in range(rounds):
         expected: dict[str, list[float]] = {}
-        for word, seen in words.items():
-            run = (START + word)[:RUN_LETTERS]
+        for run, seen in seen_in.items():
             cuts = model.cuts(run)
             ahead = model.forward(run, cuts)
             for k, n in seen:
@@ -137,16 +150,21 @@ def fit_unigrams(langs: list[str], counts: dict[tuple[str, str], int], pieces: l
     return model
 
 
+def sample(labelled: DataFrame, docs: int) -> DataFrame:
+    """lang and text of the ``docs`` documents of each language that come first in hash order.  The limit is cut before the shuffle, so no language meets in one task."""
+    rows = labelled.where("lang is not null and text is not null")
+    rows = rows.select("lang", "text", hash_int("lang", "doc_id").alias("u"), "doc_id")
+    order = W.partitionBy("lang").orderBy("u", "doc_id", "text")
+    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs).select("lang", "text")
+
+
 def train(labelled: DataFrame, vocabulary: str, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> Unigrams:
     """Fit on ``labelled`` (doc_id, text, lang).
 
     The sample is bounded: of each language the ``docs`` documents that come first in hash order, whole, and of their words
-    the ``words`` most frequent.  The limits are cut before the shuffle, so no language meets in one task.
+    the ``words`` most frequent.
     """
-    rows = labelled.where("lang is not null and text is not null")
-    rows = rows.select("lang", "text", hash_int("lang", "doc_id").alias("u"), "doc_id")
-    order = W.partitionBy("lang").orderBy("u", "doc_id", "text")
-    rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs)
+    rows = sample(labelled, docs)
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))
     found = rows.select("lang", F.explode(tokens).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     top = found.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= words)
@@ -172,19 +190,19 @@ class Scorer:
         self.vectors[k] = self.model.score(word)
         return k
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its probability; ``und`` and 0 without a letter or without a language to choose from."""
+    def predict(self, text: str | None) -> tuple[str, float, float, int]:
+        """Language, its probability, the text's log probability in it per letter, and the letters; ``und`` and 0 without a letter or without a language to choose from."""
         words = self.find(text.lower()) if text else []
         if not words or not self.model.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0, 0
         if len(self.row) > CACHE_WORDS:
             self.clear()
         get, total = self.row.get, np.zeros(len(self.model.langs))
         for at in range(0, len(words), 50_000):
             ids = [k if (k := get(w)) is not None else self.add(w) for w in words[at : at + 50_000]]
             total += self.vectors[ids].sum(axis=0)
-        best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        best, letters = int(total.argmax()), sum(map(len, words))
+        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum()), float(total[best]) / letters, letters
 
 
 _scorers: dict[int, Scorer] = {}
@@ -199,8 +217,12 @@ def scorer(shared: Broadcast) -> Scorer:
     return _scorers[id(model)]
 
 
+FOUND = ["__lang_pred", "__score", "__per_letter", "__letters"]
+
+
 def identify(docs: DataFrame, model: Unigrams) -> DataFrame:
-    """``docs`` with ``__lang_pred`` and ``__score``: the language by ``text`` alone, from the model's languages.
+    """``docs`` with ``__lang_pred`` and ``__score``: the language by ``text`` alone, from the model's languages; and with
+    ``__per_letter`` and ``__letters``: the text's log probability in it per letter, and its letters.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything when the model has no language.  Equal
     scores go to the first language by code point.  Rows are independent: no shuffle.  The model's size is that of the
@@ -212,9 +234,11 @@ def identify(docs: DataFrame, model: Unigrams) -> DataFrame:
         score = scorer(shared)
         for part in slices(batches):
             found = [score.predict(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*part.schema.names, "__lang_pred", "__score"])
+            added = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *FOUND])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__score", DoubleType())]))
+    kinds = (StringType(), DoubleType(), DoubleType(), LongType())
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *map(StructField, FOUND, kinds)]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -222,13 +246,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def own_documents(docs: DataFrame) -> DataFrame:
+    """The documents with an id that are not held out."""
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return own.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+
+
 def learned(docs: DataFrame, vocabulary: str) -> Unigrams:
     """Model from the documents with an id that are not held out."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return train(own.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), vocabulary)
+    return train(own_documents(docs), vocabulary)
+
+
+def set_least(model: Unigrams, labelled: DataFrame, docs: int = 2 * SAMPLE_DOCS, excess: float = EXCESS) -> Unigrams:
+    """Set the model's least log probability per letter of each language, from a bounded sample of labelled documents.
+
+    The sample has the documents of the fit and as many others, so that words which the fit has not seen count.  The bound lies
+    ``excess`` below the median, which a minority of odd documents under a label does not move.  Languages of which no document
+    is recognised have no bound.
+    """
+    rows = identify(sample(labelled, docs), model).where((F.col("__lang_pred") == F.col("lang")) & (F.col("__letters") >= LEAST_LETTERS))
+    found = rows.groupBy("lang").agg(F.percentile("__per_letter", F.lit(0.5)).alias("mid"))  # of the bounded sample
+    model.least = {r["lang"]: r["mid"] - excess for r in found.collect()}  # one row per language
+    return model
 
 
 def in_known_language(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` in a language that the model knows, with a score of at least ``least``."""
-    found = identify(docs, learned(docs, vocabulary))
-    return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*docs.columns)
+    """The rows of ``docs`` in a language that the model knows.
+
+    A text needs a score of at least ``least`` among the languages, and a log probability per letter that documents of its
+    language have: texts in other languages and random letters go.  Texts below ``LEAST_LETTERS`` letters are judged by the score
+    alone.  Null texts and texts without a letter go.
+    """
+    model = set_least(learned(docs, vocabulary), own_documents(docs))
+    bound = F.lit(None).cast("double")
+    for lang, x in model.least.items():
+        bound = F.when(F.col("__lang_pred") == lang, F.lit(x)).otherwise(bound)
+    usual = (F.col("__letters") < LEAST_LETTERS) | F.coalesce(F.col("__per_letter") >= bound, F.lit(True))
+    found = identify(docs, model)
+    return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= least) & usual).select(*docs.columns)

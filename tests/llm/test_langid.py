@@ -56,3 +56,23 @@ def test_forward_sums_all_segmentations():
     for word in ("ab", "abab", "aabba"):
         assert model.score(word) == pytest.approx([math.log(total(word, 0)), math.log(total(word, 1))])
     assert all(math.isfinite(x) for x in model.score("z" * 500))
+
+
+def test_every_run_of_a_long_word_is_learned():
+    word = "ab" * 60 + "q" * 30
+    model = langid.fit_unigrams(["x"], {("x", word): 5}, [langid.START, "ab", "q", "z"])
+    assert "".join(langid.runs_of(word)) == langid.START + word
+    assert model.table["q"][0] > 10 * model.table["z"][0]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    rng = random.Random(4)
+    _, df = docs(spark)
+    noise = [(1000 + i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(30)), None, "n") for i in range(50)]
+    clean = [(2000 + i, " ".join(rng.choices(WORDS["aa"], k=30)), None, "n") for i in range(50)]
+    short = [(3000, "qxv zzk", None, "n")]  # below the letters that tell
+    both = df.unionByName(spark.createDataFrame(noise + clean + short, df.schema))
+    kept = {r["doc_id"] for r in langid.in_known_language(both, PATH).where("doc_id >= 1000").collect()}
+    assert kept - {3000} == {2000 + i for i in range(50)}
+    found = langid.identify(both.where("doc_id between 1000 and 1999"), langid.learned(df, PATH)).collect()
+    assert all(r["__score"] > 0.5 for r in found)  # the posterior alone keeps them
