@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starfold.core import written
 from starfold.llm.common import SPACES, checkpoint, join_small
 
 # Marks of the base rule, and frequent function words of English, German, French and Spanish.
@@ -105,9 +106,14 @@ def distance(twice: Column) -> Column:
     return F.round(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), twice / 2))), 9)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text hash, base counts and both histograms of every whole text, in the checkpoint folder; null texts count as empty."""
-    d = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), F.xxhash64("text").alias("text_hash"))
+def features(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, lang, text hash, base counts and both histograms of every whole text, in the checkpoint folder; null texts count as empty.
+
+    With ``whole`` the document itself goes along as ``__row``, in a table by columns: what is judged reads the features alone,
+    and the documents that stay need no join with their texts.
+    """
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("__row")] if whole else []
+    d = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), F.xxhash64("text").alias("text_hash"), *row)
     d = base_counts(d, "__text")
     t = F.col("__text")
     counts = class_counts(t, F.col("word_chars"), F.col("n_symbols"))
@@ -117,7 +123,8 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.withColumn("classes", F.concat("__found", F.array(rest))).withColumn("__hits", common_words(F.col("__words")))
     d = d.withColumn("__kinds", F.array_distinct("__hits")).withColumn("common", counted("__hits", "__kinds"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return checkpoint(d.select("doc_id", "lang", "text_hash", "n_chars", *base, "classes", "common"))
+    keep = written if whole else checkpoint
+    return keep(d.select("doc_id", "lang", "text_hash", "n_chars", *base, "classes", "common", *(["__row"] if whole else [])))
 
 
 def references(found: DataFrame) -> tuple[DataFrame, int]:
@@ -201,7 +208,6 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the quality rules keep."""
-    kept = quality(docs).where("kept").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).dropDuplicates()
-    same = docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h"))
-    return docs.join(kept, same, "left_semi")
+    """The rows of ``docs`` that the quality rules keep, with all their columns.  Texts are not shuffled."""
+    kept = judged(features(docs, whole=True)).where("kept").select("__row")
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from starfold.llm import quality
 
 WORDS = ["the", "of", "and", "house", "river", "green", "walks", "stone", "light", "over", "To", "IS"]
@@ -98,3 +100,15 @@ def test_unlabelled_text_of_a_small_language_is_judged_by_its_nearest_reference(
         assert abs(got[d]["word_distance"] - want) < 1e-6
     alone = quality.quality(spark.createDataFrame([(i, t, None) for i, t, x in rows if x == "en"], "doc_id long, text string, lang string")).collect()
     assert all(r["kept"] and r["word_distance"] is not None for r in alone)  # no language has a reference: all together
+
+
+def test_good_documents_keep_rows_and_clashing_columns(spark):
+    text = "The house stands in the old garden and a small river runs to the stone bridge, where people of our town walk on every morning with their dogs."
+    rows = [(1, text, "en", 5, "a"), (1, text, "en", 5, "a"), (1, text + "&$%#" * 40, "en", 6, "b"), (None, text, None, None, None), (2, None, "en", 7, "c"), (3, "short", None, 8, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int, kept string")
+    want = {(r["doc_id"], r["text_hash"]) for r in quality.quality(docs).where("kept").collect()}
+    got = quality.good_documents(docs)
+    assert got.schema == docs.schema
+    hashed = docs.withColumn("h", F.xxhash64("text")).collect()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r)[:-1]) for r in hashed if (r["doc_id"], r["h"]) in want)
+    assert want and len(want) < len({(r["doc_id"], r["h"]) for r in hashed})
