@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import HASH_SPAN, add_position, as_list, checkpoint, hash_bucket, hash_int, hash_position, score_position, sorted_position
+from starfold.core import HASH_SPAN, add_position, as_list, checkpoint, hash_bucket, hash_int, hash_position, match, score_position, sorted_position
 
 # Fixed values of the sampling policy.
 ROLES = ("high", "disagreement", "mid", "low", "random")
@@ -19,14 +19,19 @@ RATING_SHARES = {3: 0.53, 4: 0.27, 5: 0.20}
 
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int | Column, by=None, out: str = "quota") -> DataFrame:
-    """Q1: integers proportional to ``weight`` that sum to ``total`` (weights of a group sum to 1); ties by key."""
+    """Q1: integers proportional to ``weight`` that sum to ``total`` (weights of a group sum to 1); ties by key.
+
+    The remainders are ranked by one sort of all groups, so neither a group nor the whole table meets in one task.
+    """
     by = as_list(by)
     total = F.lit(total) if isinstance(total, int) else total
     d = weights.withColumn("__raw", total * F.col(weight)).withColumn("__base", F.floor(F.round("__raw", 9)))
-    w = W.partitionBy(*by)
-    d = d.withColumn("__left", total - F.sum("__base").over(w))
-    rank = F.row_number().over(w.orderBy(F.round(F.col("__raw") - F.col("__base"), 9).desc(), key))
-    return d.withColumn(out, (F.col("__base") + (rank <= F.col("__left")).cast("int")).cast("long")).drop("__raw", "__base", "__left")
+    d = d.withColumn("__rest", F.round(F.col("__raw") - F.col("__base"), 9))
+    sums = d.groupBy(*by).agg(F.sum("__base").alias("__sum"))
+    d = match(d, sums, by) if by else d.crossJoin(F.broadcast(sums))  # one row
+    d = sorted_position(d.withColumn("__left", total - F.col("__sum")), by, [F.col("__rest").desc(), key], "__rank")
+    extra = (F.col("__rank") <= F.col("__left")).cast("int")
+    return d.withColumn(out, (F.col("__base") + extra).cast("long")).drop("__raw", "__base", "__rest", "__sum", "__left", "__rank")
 
 
 def quotas(counts: DataFrame, key: str, count: str, total: int, min_per: int) -> DataFrame:
@@ -43,6 +48,7 @@ def round_robin(df: DataFrame, by, seg, key: str, seed: str, first: str | None =
     """Q2/Q14: position ``rr`` that visits the segments of a group in turn, larger segments first.
 
     Inside a segment rows come in hash order (after ``first`` descending, if given).  A prefix of ``rr`` is the draw.
+    Rounds are laid out by one sort of (group, round, size, segment): a round with very many segments lies in several tasks.
     """
     by, seg = as_list(by), as_list(seg)
     keys = list(dict.fromkeys([*by, *seg]))
@@ -51,11 +57,10 @@ def round_robin(df: DataFrame, by, seg, key: str, seed: str, first: str | None =
     bucket = hash_bucket(F.col("__h")) if first is None else F.when(F.col(first) == 1, 0).otherwise(1) * HASH_SPAN + hash_bucket(F.col("__h"))
     d = add_position(d, keys, [*inner, "__h", key], bucket, "__round")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    d = d.join(sizes, keys)
+    d = match(d, sizes, keys)
     name = F.concat_ws("|", *[F.col(c).cast("string") for c in seg])
     d = d.withColumn("__name", name)
-    # The round is the order-preserving bucket: one round holds at most one row per segment.
-    return add_position(d, by, [F.col("__size").desc(), "__name"], F.col("__round"), "rr").drop("__h", "__round", "__size", "__name")
+    return sorted_position(d, by, ["__round", F.col("__size").desc(), "__name"], "rr").drop("__h", "__round", "__size", "__name")
 
 
 def stratified_sample(items: DataFrame, event: str, seg, key: str, rating: str, total: int, min_per: int, shares=RATING_SHARES, seed: str = "strat") -> DataFrame:
