@@ -149,3 +149,9 @@ def test_local_summaries_by_event_and_inputs(spark):
     assert whole["unique_best"]["mean_kept2"] == pytest.approx(5 / 3) and whole["member_set_balanced"]["groups"] == 3
     assert tuple(M.local_inputs(d, "gid", "id", "star").first()) == (5, 2, 8, 1)
     assert tuple(M.local_inputs(d.limit(0), "gid", "id", "star").first()) == (0, 0, 0, 0)
+
+
+def test_group_spearman_leaves_out_groups_of_equal_values(spark):
+    rows = [("a", k, k * 0.1) for k in range(5)] + [("b", 3, k * 0.1) for k in range(6)] + [("c", k, 0.5) for k in range(7)] + [("d", 1, 0.1)]
+    r = M.group_spearman(spark.createDataFrame(rows, "g string, star int, s double"), "g", "star", "s").first()
+    assert r["groups"] == 1 and r["mean"] == pytest.approx(1.0)
