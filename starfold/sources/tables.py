@@ -76,6 +76,12 @@ def list_files(spark: SparkSession, roots: list[str], recursive: bool = True, ex
     return files.where(F.col("extension").isin([e.lower() for e in extensions]) & ~F.col("name").startswith(skip_prefix))
 
 
+def dataset_name(path, extension: str):
+    """File name of a data set: of the file itself, or of the outermost folder ``<name>.<extension>`` that it is a part of."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.regexp_extract(path, rf"([^/]+\.{extension})(?:/.*)?$", 1)
+
+
 def resolve_paths(items: DataFrame, roots: DataFrame, listing: DataFrame, key: str, event: str, rel: str, formats: str) -> DataFrame:
     """First existing ``root/rel``: roots of the item's event in order, then all roots; a JPG sibling is preferred
     when the item has one.  Items without a file keep a NULL path (the missing report).

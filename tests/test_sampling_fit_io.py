@@ -173,3 +173,12 @@ def test_pair_strata_find_scarce_candidates(spark):
                 assert not any(ok and count[n] < quota for n, ok in fits.items()), (i, j)
     assert {r["stratum"]: (r["n"], r["short"]) for r in Q.pair_shortage(pairs, quota).collect()} == {n: (c, quota - c) for n, c in count.items()}
     assert all(by[i] and by[j] for _, i, j in got)
+
+
+def test_files_of_a_table_kept_as_a_folder_go_by_its_name(spark, tmp_path):
+    for name, n in (("a", 10), ("b", 7)):
+        spark.range(n).repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    files = I.list_files(spark, [str(tmp_path)], extensions=["parquet"])
+    assert files.count() == 6 and {r[0] for r in files.select(I.dataset_name("path", "parquet")).collect()} == {"a.parquet", "b.parquet"}
+    rows = spark.read.parquet(str(tmp_path / "a.parquet")).select(I.dataset_name(F.col("_metadata.file_path"), "parquet").alias("name"))
+    assert {(r["name"], r["count"]) for r in rows.groupBy("name").count().collect()} == {("a.parquet", 10)}
