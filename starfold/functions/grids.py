@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import dot, quantiles
+from starfold.core import correlation, dot, quantiles
 from starfold.functions.scalars import angle_difference
 from starfold.functions.vectors import l2_normalize
 
@@ -91,7 +91,7 @@ def common_support_mean(group_cells: DataFrame, gid: str, member: str) -> DataFr
 
 
 def cell_vote(group_cells: DataFrame, gid: str, member: str) -> DataFrame:
-    """Per opponent the share of common cells with the smaller value, averaged; marks the best member.
+    """Per opponent the share of common cells with the smaller value, averaged; marks the best member.  A member alone has no opponents and no row.
 
     Counted per cell from the rank of the value among the group's members: wins over opponents in a cell are
     the members with a larger value, so no pair of cells is formed.
@@ -101,7 +101,7 @@ def cell_vote(group_cells: DataFrame, gid: str, member: str) -> DataFrame:
     wins = c.withColumn("larger", F.rank().over(w) - 1)
     size = c.groupBy(gid).agg(F.count_distinct(member).alias("__size"))
     score = wins.groupBy(gid, member).agg(F.avg("larger").alias("__w")).join(size, gid)
-    score = score.select(gid, member, F.try_divide(F.col("__w"), F.col("__size") - 1).alias("vote"))
+    score = score.where(F.col("__size") > 1).select(gid, member, (F.col("__w") / (F.col("__size") - 1)).alias("vote"))
     best = score.groupBy(gid).agg(F.min(F.struct((-F.col("vote")).alias("v"), member))[member].alias("__pick"))
     return score.join(best, gid).withColumn("is_pick", (F.col(member) == F.col("__pick")).cast("int")).drop("__pick")
 
@@ -173,7 +173,7 @@ def boundary_stats(token_cells: DataFrame, id_cols: list[str], side: int, border
 
 def descriptor_reliability(pairs: DataFrame, names: list[str]) -> DataFrame:
     """Pearson correlation of each descriptor between pair ends ``<name>_i`` and ``<name>_j``, plus the median."""
-    one = pairs.agg(*[F.corr(f"{n}_i", f"{n}_j").alias(n) for n in names])
+    one = pairs.agg(*[correlation(f"{n}_i", f"{n}_j").alias(n) for n in names])
     rows = one.unpivot([], names, "descriptor", "r")
     return rows.unionByName(rows.agg(F.percentile("r", F.lit(0.5)).alias("r")).select(F.lit("median").alias("descriptor"), "r"))
 

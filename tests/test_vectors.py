@@ -88,3 +88,9 @@ def test_scalar_functions(spark):
     assert np.allclose(p, [0.1, 0.2, 0.3, 0.4])
     event, blank = S.normalise_event(F.lit(""), "old")
     assert get(event) == "old" and get(blank) is True
+
+
+def test_cell_vote_needs_an_opponent(spark):
+    rows = [(g, m, k // 8, k % 8, (m * 7 + k) % 5 * 0.1) for g, m in ((0, 1), (0, 2), (1, 3)) for k in range(64)]
+    got = G.cell_vote(spark.createDataFrame(rows, "gid long, id long, row int, col int, v double"), "gid", "id").collect()
+    assert {r["id"] for r in got} == {1, 2} and sum(r["is_pick"] for r in got) == 1
