@@ -2,8 +2,8 @@
 
 Every language has a probability for each piece of a fixed public vocabulary.  A word's probability in a language is the sum
 over all ways to cut it into pieces, by the forward algorithm; a text's is the product over its words.  The piece
-probabilities are fitted by expectation-maximisation on a bounded sample of labelled documents; a worker scores a word once
-and keeps its vector, up to a bound.
+probabilities are fitted by expectation-maximisation on the words of all labelled documents: every round is a pass over the
+distinct words, whose expected pieces are summed by Spark.  A worker scores a word once and keeps its vector, up to a bound.
 
 The posterior among the learned languages is near 1 for almost every text, also for one in none of them.  Whether a text is in
 its best language at all is told by its log probability per letter, against the median of labelled documents.
@@ -23,14 +23,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
-from pyspark.sql.window import Window as W
 
-from starfold.core import hash_int
+from starfold.core import quantiles, written
 from starfold.llm.workers import slices
 
-SAMPLE_DOCS = 120  # labelled documents of a language in the fit
-SAMPLE_WORDS = 20_000  # most frequent distinct words of a language in the fit
 ROUNDS = 2
+UNIT = 1 << 24  # expected counts are summed in these fractions, as integers: the order of the words does not matter
 SMOOTHING = 0.1
 RUN_LETTERS = 40  # longer words are fitted and scored in runs of so many letters
 EXCESS = 1.5  # a text's log probability per letter may lie so far below the median of its language
@@ -60,7 +58,6 @@ class Unigrams:
 
     def __init__(self, langs: list[str], table: dict[str, tuple[float, ...]], floor: tuple[float, ...]):
         self.langs, self.table, self.floor = langs, table, floor
-        self.least: dict[str, float] = {}  # lowest log probability per letter of a text in the language, where it is known
         # every beginning of a piece, with the probabilities of whole pieces: a search ends where no piece goes on
         self.begins: dict[str, tuple[float, ...] | None] = {p[:k]: None for p in table for k in range(1, len(p))}
         self.begins.update(table)
@@ -80,16 +77,6 @@ class Unigrams:
                     found.append((i, j, p, piece))
         return found
 
-    def forward(self, word: str, cuts: list) -> list[list[float]]:
-        """Probability of each prefix, summed over its segmentations, per language."""
-        size = len(self.langs)
-        out = [[1.0] * size, *([0.0] * size for _ in word)]
-        for i, j, p, _ in cuts:  # in the order of their starts
-            a, b = out[i], out[j]
-            for k in range(size):
-                b[k] += a[k] * p[k]
-        return out
-
     def score(self, word: str) -> list[float]:
         """Log probability of a lower-cased word per language."""
         size, begins = len(self.langs), self.begins
@@ -118,58 +105,80 @@ class Unigrams:
         return list(map(mul, a, p)) if b is None else list(map(add, b, map(mul, a, p)))
 
 
+def started(langs: list[str], pieces: list[str]) -> Unigrams:
+    """The model before the first round: equal probabilities in all languages, which fall with length."""
+    return Unigrams(langs, {p: (10.0 ** -(2 + len(p.removeprefix(START)) / 2),) * len(langs) for p in pieces}, (1e-6,) * len(langs))
+
+
+def expected_pieces(model: Unigrams, word: str, counts: dict[int, int], out: dict[str, list[int]]) -> None:
+    """Add to ``out`` how often each piece is expected in a word that each language has so many times, in parts of 1 / ``UNIT``."""
+    for run in runs_of(word):
+        cuts = model.cuts(run)
+        for k, n in counts.items():  # only the languages that have the word
+            ahead, back = [1.0, *[0.0] * len(run)], [*[0.0] * len(run), 1.0]
+            for i, j, p, _ in cuts:
+                ahead[j] += ahead[i] * p[k]
+            if ahead[-1] <= 0:
+                continue
+            share = UNIT * n / ahead[-1]
+            for i, j, p, piece in reversed(cuts):
+                x = p[k] * back[j]
+                back[i] += x
+                out[piece][k] += round(ahead[i] * x * share)
+
+
+def improved(model: Unigrams, pieces: list[str], expected: dict[str, list[int]]) -> Unigrams:
+    """The model with probabilities by expected counts."""
+    size = range(len(model.langs))
+    sums = [SMOOTHING * len(pieces) + sum(e[k] for e in expected.values()) / UNIT for k in size]
+    none = [0] * len(model.langs)
+    table = {p: tuple((expected.get(p, none)[k] / UNIT + SMOOTHING) / sums[k] for k in size) for p in sorted({*pieces, *expected})}
+    return Unigrams(model.langs, table, tuple(SMOOTHING / x for x in sums))
+
+
 def fit_unigrams(langs: list[str], counts: dict[tuple[str, str], int], pieces: list[str], rounds: int = ROUNDS) -> Unigrams:
-    """Fit by expectation-maximisation on ``counts`` of (language, word); starts from equal probabilities that fall with length."""
-    at = {lang: k for k, lang in enumerate(langs)}
-    start = {p: 10.0 ** -(2 + len(p.removeprefix(START)) / 2) for p in pieces}
-    model = Unigrams(langs, {p: (x,) * len(langs) for p, x in start.items()}, (1e-6,) * len(langs))
-    found: dict[tuple[str, int], int] = defaultdict(int)
-    for (lang, word), n in sorted(counts.items()):
-        for run in runs_of(word):
-            found[run, at[lang]] += n
-    seen_in: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for (run, k), n in found.items():
-        seen_in[run].append((k, n))
+    """Fit by expectation-maximisation on ``counts`` of (language, word)."""
+    model = started(langs, pieces)
     for _ in range(rounds):
-        expected: dict[str, list[float]] = {}
-        for run, seen in seen_in.items():
-            cuts = model.cuts(run)
-            ahead = model.forward(run, cuts)
-            for k, n in seen:
-                back = [0.0] * (len(run) + 1)
-                back[-1] = 1.0
-                whole = ahead[-1][k]
-                if whole <= 0:
-                    continue
-                for i, j, p, piece in reversed(cuts):
-                    back[i] += p[k] * back[j]
-                    expected.setdefault(piece, [0.0] * len(langs))[k] += n * ahead[i][k] * p[k] * back[j] / whole
-        sums = [SMOOTHING * len(pieces) + sum(e[k] for e in expected.values()) for k in range(len(langs))]
-        table = {p: tuple((expected.get(p, (0.0,) * len(langs))[k] + SMOOTHING) / sums[k] for k in range(len(langs))) for p in {*pieces, *expected}}
-        model = Unigrams(langs, table, tuple(SMOOTHING / s for s in sums))
+        expected: dict[str, list[int]] = defaultdict(lambda: [0] * len(langs))
+        for (lang, word), n in counts.items():
+            expected_pieces(model, word, {langs.index(lang): n}, expected)
+        model = improved(model, pieces, expected)
     return model
 
 
-def sample(labelled: DataFrame, docs: int) -> DataFrame:
-    """lang and text of the ``docs`` documents of each language that come first in hash order.  The limit is cut before the shuffle, so no language meets in one task."""
-    rows = labelled.where("lang is not null and text is not null")
-    rows = rows.select("lang", "text", hash_int("lang", "doc_id").alias("u"), "doc_id")
-    order = W.partitionBy("lang").orderBy("u", "doc_id", "text")
-    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs).select("lang", "text")
-
+def expected_over(words: DataFrame, model: Unigrams) -> dict[str, list[int]]:
+    """Expected pieces over all ``words`` (w, seen: array of (lang, n)): one row per piece of a partition, summed by Spark."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
 
-def train(labelled: DataFrame, vocabulary: str, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> Unigrams:
-    """Fit on ``labelled`` (doc_id, text, lang).
-
-    The sample is bounded: of each language the ``docs`` documents that come first in hash order, whole, and of their words
-    the ``words`` most frequent.
-    """
-    rows = sample(labelled, docs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        at = {lang: k for k, lang in enumerate(own.langs)}
+        out: dict[str, list[int]] = defaultdict(lambda: [0] * len(at))
+        for part in batches:
+            for w, seen in zip(part.column("w").to_pylist(), part.column("seen").to_pylist(), strict=True):
+                expected_pieces(own, w, {at[x["lang"]]: x["n"] for x in seen}, out)
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.list_(pa.int64()))], ["piece", "parts"])
+
+    parts = words.mapInArrow(run, "piece string, parts array<bigint>").select("piece", F.posexplode("parts").alias("k", "n")).where("n > 0")
+    found: dict[str, list[int]] = defaultdict(lambda: [0] * len(model.langs))
+    for r in parts.groupBy("piece", "k").agg(F.sum("n").alias("n")).collect():  # the size of the model: pieces and letters times languages
+        found[r["piece"]][r["k"]] = r["n"]
+    return found
+
+
+def train(labelled: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> Unigrams:
+    """Fit on ``labelled`` (doc_id, text, lang): all words of all documents with a text and a language."""
+    rows = labelled.where("lang is not null and text is not null")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))
-    found = rows.select("lang", F.explode(tokens).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    top = found.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= words)
-    counts = {(r["lang"], r["w"]): r["n"] for r in top.select("lang", "w", "n").collect()}
-    return fit_unigrams(sorted({lang for lang, _ in counts}), counts, pieces_of(vocabulary))
+    counts = rows.select("lang", F.explode(tokens).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = written(counts.groupBy("w").agg(F.collect_list(F.struct("lang", "n")).alias("seen")))
+    langs = sorted(r[0] for r in words.select(F.explode("seen.lang").alias("lang")).distinct().collect())  # one row per language
+    pieces = pieces_of(vocabulary)
+    model = started(langs, pieces)
+    for _ in range(rounds if langs else 0):
+        model = improved(model, pieces, expected_over(words, model))
+    return model
 
 
 class Scorer:
@@ -257,17 +266,15 @@ def learned(docs: DataFrame, vocabulary: str) -> Unigrams:
     return train(own_documents(docs), vocabulary)
 
 
-def set_least(model: Unigrams, labelled: DataFrame, docs: int = 2 * SAMPLE_DOCS, excess: float = EXCESS) -> Unigrams:
-    """Set the model's least log probability per letter of each language, from a bounded sample of labelled documents.
+def least_per_letter(found: DataFrame, excess: float = EXCESS) -> dict[str, float]:
+    """Least log probability per letter of each language, from all rows of ``found`` (identified documents) that may be learned from.
 
-    The sample has the documents of the fit and as many others, so that words which the fit has not seen count.  The bound lies
-    ``excess`` below the median, which a minority of odd documents under a label does not move.  Languages of which no document
-    is recognised have no bound.
+    The bound lies ``excess`` below the median of the documents that are recognised, which a minority of odd documents under a
+    label does not move.  The median is picked from ranks.  Languages of which no document is recognised have no bound.
     """
-    rows = identify(sample(labelled, docs), model).where((F.col("__lang_pred") == F.col("lang")) & (F.col("__letters") >= LEAST_LETTERS))
-    found = rows.groupBy("lang").agg(F.percentile("__per_letter", F.lit(0.5)).alias("mid"))  # of the bounded sample
-    model.least = {r["lang"]: r["mid"] - excess for r in found.collect()}  # one row per language
-    return model
+    own = found.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.col("__lang_pred") == F.col("lang").cast("string")) & (F.col("__letters") >= LEAST_LETTERS))
+    mid = quantiles(own.select("__lang_pred", "__per_letter"), "__lang_pred", "__per_letter", {"mid": 0.5})
+    return {r["__lang_pred"]: r["mid"] - excess for r in mid.collect()}  # one row per language
 
 
 def in_known_language(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
@@ -277,10 +284,9 @@ def in_known_language(docs: DataFrame, vocabulary: str, least: float = 0.5) -> D
     language have: texts in other languages and random letters go.  Texts below ``LEAST_LETTERS`` letters are judged by the score
     alone.  Null texts and texts without a letter go.
     """
-    model = set_least(learned(docs, vocabulary), own_documents(docs))
+    found = written(identify(docs, learned(docs, vocabulary)))  # scored once: for the bounds and for the choice
     bound = F.lit(None).cast("double")
-    for lang, x in model.least.items():
+    for lang, x in least_per_letter(found).items():
         bound = F.when(F.col("__lang_pred") == lang, F.lit(x)).otherwise(bound)
     usual = (F.col("__letters") < LEAST_LETTERS) | F.coalesce(F.col("__per_letter") >= bound, F.lit(True))
-    found = identify(docs, model)
     return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= least) & usual).select(*docs.columns)

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from starfold.llm import langid
 from starfold.llm.common import vocabulary
@@ -76,3 +77,19 @@ def test_texts_in_no_learned_language_go(spark):
     assert kept - {3000} == {2000 + i for i in range(50)}
     found = langid.identify(both.where("doc_id between 1000 and 1999"), langid.learned(df, PATH)).collect()
     assert all(r["__score"] > 0.5 for r in found)  # the posterior alone keeps them
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    rows = [(i, "sola miran " * 20, "aa") for i in range(400)] + [(1000 + i, "sola " * 19 + "".join(chr(97 + i // 26 ** k % 26) for k in range(4)) + "zzq", "aa") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, PATH)
+    counts = {}
+    for _, text, lang in rows:
+        for w in text.split():
+            counts[lang, w] = counts.get((lang, w), 0) + 1
+    alone = langid.fit_unigrams(["aa"], counts, langid.pieces_of(PATH))
+    assert model.table == alone.table and model.floor == alone.floor
+    found = langid.identify(df, model)
+    per = sorted(r["__per_letter"] for r in found.where(~langid.held_out(F.col("doc_id"))).collect())
+    mid = (per[(len(per) - 1) // 2] + per[len(per) // 2]) / 2
+    assert langid.least_per_letter(found)["aa"] == pytest.approx(mid - langid.EXCESS, abs=1e-12)
