@@ -184,6 +184,7 @@ def tilt_peak(points: DataFrame, id_cols: list[str], angle: str, weight: str, bi
     folded = F.pmod(F.col(angle) + half, F.lit(90.0))
     p = points.select(*id_cols, (F.floor(folded / bin_deg).cast("int") % bins).alias("bin"), F.col(weight).cast("double").alias("w"))
     hist = p.groupBy(*id_cols, "bin").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("c"))
+    hist = hist.repartition(*id_cols)  # an id has at most ``bins`` rows; what follows is grouped and joined by id and shuffles nothing
     counts = hist.groupBy(*id_cols).agg(F.sum("c").alias("n_edge"), F.sum("w").alias("__total"))
     taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in zip(range(-3, 4), TILT_TAPS)])
     smooth = hist.withColumn("__k", F.explode(taps)).groupBy(

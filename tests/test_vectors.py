@@ -113,3 +113,9 @@ def test_strips_counts_quantiles_and_differing_groups_equal_brute_force(spark):
     assert list(q) == pytest.approx(list(np.quantile(inside, list(ps.values()))), abs=1e-12)
     pairs = {(r["id_i"], r["id_j"]) for r in V.cross_group_pairs(d, "id", "v", "g", 0.4, rows_per_strip=40).collect() if (r["group_i"], r["group_j"]) == (g[r["id_i"]], g[r["id_j"]])}
     assert pairs == {(i, j) for i in range(230) for j in range(i + 1, 230) if g[i] != g[j] and u[i] @ u[j] >= 0.4}
+
+
+def test_tilt_peak_does_not_shuffle_smoothed_bins(spark):
+    d = spark.createDataFrame([(g, (k % 40) * 0.05, 1.0) for g in range(3) for k in range(400)], "id long, a double, w double")
+    exchanges = [x for x in G.tilt_peak(d, ["id"], "a", "w")._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and not [x for x in exchanges if "_groupingexpression" in x]
