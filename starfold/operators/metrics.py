@@ -43,8 +43,13 @@ def pair_outcomes(pairs: DataFrame, scores: DataFrame, key: str, score: str, eps
     """
     side = lambda end: scores.select(F.col(key).alias(end), F.col(score).alias(f"__{end}"))
     j = pairs.join(side("winner"), "winner", "left").join(side("loser"), "loser", "left")
-    d = required("__winner", f"score {score}") - required("__loser", f"score {score}")
-    return j.withColumn("outcome", F.when(F.abs(d) <= eps, 0.5).when(d > 0, 1.0).otherwise(0.0)).drop("__winner", "__loser")
+    return add_outcome(j, "__winner", "__loser", eps, f"score {score}").drop("__winner", "__loser")
+
+
+def add_outcome(pairs: DataFrame, winner: str, loser: str, eps: float = PAIR_EPS, what: str = "score") -> DataFrame:
+    """M1: ``outcome`` of pairs that carry the scores of both ends, so no pair is shuffled to fetch them."""
+    d = required(winner, what) - required(loser, what)
+    return pairs.withColumn("outcome", F.when(F.abs(d) <= eps, 0.5).when(d > 0, 1.0).otherwise(0.0))
 
 
 def pair_metrics(outcomes: DataFrame, by) -> DataFrame:
@@ -66,9 +71,13 @@ def with_domain(pairs: DataFrame, items: DataFrame, key: str, event: str) -> Dat
     """M2: same-event or cross-event domain and the unordered event-pair key."""
     side = lambda end: items.select(F.col(key).alias(end), F.col(event).alias(f"__{end}"))
     j = pairs.join(side("winner"), "winner").join(side("loser"), "loser")
-    both = F.array_sort(F.array("__winner", "__loser"))
-    return j.withColumn("domain", F.when(F.col("__winner") == F.col("__loser"), "same_event").otherwise("cross_event")).withColumn(
-        "event_pair", F.to_json(both)).drop("__winner", "__loser")
+    return add_domain(j, "__winner", "__loser").drop("__winner", "__loser")
+
+
+def add_domain(pairs: DataFrame, winner: str, loser: str) -> DataFrame:
+    """M2: domain and event-pair key of pairs that carry the events of both ends."""
+    same = F.when(F.col(winner) == F.col(loser), "same_event").otherwise("cross_event")
+    return pairs.withColumns({"domain": same, "event_pair": F.to_json(F.array_sort(F.array(winner, loser)))})
 
 
 # --- complete ranking --------------------------------------------------------------------------------------------

@@ -47,9 +47,8 @@ def m1_summary(spark, d):
     CASE WHEN abs(w.score_a - l.score_a) <= 1e-8 THEN 0.5::DOUBLE WHEN w.score_a > l.score_a THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS outcome FROM p JOIN itemscores w ON w.id = winner JOIN itemscores l ON l.id = loser)
   SELECT domain, event_pair, {COUNTS} FROM oc GROUP BY ALL""")
 def m2(spark, d):
-    i = views.items(spark, d)
-    p = J.cross_class_pairs(i, "owner", "id", "star", []).select(F.col("id_i").alias("winner"), F.col("id_j").alias("loser"))
-    o = M.pair_outcomes(M.with_domain(p, i, "id", "event"), _scored(spark, d), "id", "score_a")
+    p = J.cross_class_pairs(_scored(spark, d), "owner", "id", "star", ["event", "score_a"])
+    o = M.add_outcome(M.add_domain(p, "event_i", "event_j"), "score_a_i", "score_a_j")
     return M.pair_metrics(o, ["domain", "event_pair"])
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from starfold.operators import joins as J
 from starfold.operators import labels as L
 from starfold.operators import metrics as M
 
@@ -155,3 +156,14 @@ def test_group_spearman_leaves_out_groups_of_equal_values(spark):
     rows = [("a", k, k * 0.1) for k in range(5)] + [("b", 3, k * 0.1) for k in range(6)] + [("c", k, 0.5) for k in range(7)] + [("d", 1, 0.1)]
     r = M.group_spearman(spark.createDataFrame(rows, "g string, star int, s double"), "g", "star", "s").first()
     assert r["groups"] == 1 and r["mean"] == pytest.approx(1.0)
+
+
+def test_carried_events_and_scores_give_the_joined_outcomes(spark):
+    items = spark.createDataFrame([(k, "ef"[k % 2], k % 3, [0.1, 0.4, 0.4, 0.9][k % 4]) for k in range(12)], "id long, event string, star int, s double").withColumn("g", F.lit(1))
+    carried = J.cross_class_pairs(items, "g", "id", "star", ["event", "s"])
+    got = M.pair_metrics(M.add_outcome(M.add_domain(carried, "event_i", "event_j"), "s_i", "s_j"), ["domain", "event_pair"])
+    pairs = carried.select(F.col("id_i").alias("winner"), F.col("id_j").alias("loser"))
+    want = M.pair_metrics(M.pair_outcomes(M.with_domain(pairs, items, "id", "event"), items, "id", "s"), ["domain", "event_pair"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(Exception, match="missing or non-finite"):
+        M.add_outcome(carried.withColumn("s_j", F.lit(None).cast("double")), "s_i", "s_j").collect()
