@@ -73,16 +73,17 @@ def position_in_group(df: DataFrame, by, order: str, rating: str, tie: str = "id
 def lag_pairs(df: DataFrame, by, order: str, max_offset: int, payload: list[str], tie: str = "id") -> DataFrame:
     """T5: pairs within ``max_offset`` positions of each other: ``(by, <tie>_i, <tie>_j, offset, payload_i, payload_j)``.
 
-    Positions are cut into chunks of ``max_offset`` rows; a row meets only its own and the next chunk, so a long
-    segment is spread over many tasks and candidates stay below twice the result.  Rows without a time come first, in
-    the order of ``tie``.
+    Positions are cut into chunks of ``2 * max_offset`` rows; a row meets its own chunk and, from the second half, the next
+    one, so a long segment is spread over many tasks, candidates stay near three times the result, and rows of short groups
+    travel once to each side.  Rows without a time come first, in the order of ``tie``.
     """
     by = as_list(by)
     pos = sorted_position(df.select(*by, order, *dict.fromkeys([tie, *payload])), by, [order, tie], "__pos")
-    pos = pos.withColumn("__chunk", F.floor((F.col("__pos") - 1) / max_offset))
+    pos = pos.withColumn("__chunk", F.floor((F.col("__pos") - 1) / (2 * max_offset)))
     cols = list(dict.fromkeys([tie, *payload]))
+    reaches = (F.col("__pos") - 1) % (2 * max_offset) >= max_offset  # the next chunk
     left = pos.select(*by, F.col("__pos").alias("__pi"), *[F.col(c).alias(f"{c}_i") for c in cols],
-                      F.explode(F.array(F.col("__chunk"), F.col("__chunk") + 1)).alias("__chunk"))
+                      F.explode(F.when(reaches, F.array(F.col("__chunk"), F.col("__chunk") + 1)).otherwise(F.array("__chunk"))).alias("__chunk"))
     right = pos.select(*by, "__chunk", F.col("__pos").alias("__pj"), *[F.col(c).alias(f"{c}_j") for c in cols])
     gap = F.col("__pj") - F.col("__pi")
     return match(left, right, [*by, "__chunk"]).where((gap >= 1) & (gap <= max_offset)).select(

@@ -119,3 +119,14 @@ def test_tilt_peak_does_not_shuffle_smoothed_bins(spark):
     d = spark.createDataFrame([(g, (k % 40) * 0.05, 1.0) for g in range(3) for k in range(400)], "id long, a double, w double")
     exchanges = [x for x in G.tilt_peak(d, ["id"], "a", "w")._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
     assert exchanges and not [x for x in exchanges if "_groupingexpression" in x]
+
+
+def test_lag_pairs_over_chunk_ends(spark):
+    from starfold.operators.segments import lag_pairs
+
+    d = spark.createDataFrame([("long", k, k) for k in range(53)] + [("short", k, 100 + k) for k in range(5)], "g string, t long, id long")
+    for width in (1, 3, 5):
+        p = lag_pairs(d, "g", "t", width, [], "id")
+        want = {(a, b) for lo, hi in ((0, 53), (100, 105)) for a in range(lo, hi) for b in range(a + 1, min(hi, a + width + 1))}
+        got = [(r["id_i"], r["id_j"]) for r in p.collect()]
+        assert len(got) == len(want) and set(got) == want
