@@ -32,6 +32,19 @@ def test_cross_class_pairs_split_large_classes(spark):
     assert got == {(i, j) for i in range(120) for j in range(120) if i % 4 > j % 4}
 
 
+def test_cross_class_pairs_of_two_large_classes_are_many_tasks(spark):
+    d = spark.range(400).groupBy("id").agg(F.max(F.col("id") % 1).alias("g"), F.max(F.col("id") % 2).cast("int").alias("c"))
+    p = J.cross_class_pairs(d, "g", "id", "c", [], rows_per_block=50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks = [r[1] for r in p.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(tasks) == 200 * 200 and max(tasks) < 200 * 200 * 0.6
+
+
 def _components(edges, n):
     parent = list(range(n))
 
