@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from operator import add, mul
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from starfold.core import quantiles, written
-from starfold.llm.workers import slices
+from starfold.llm.workers import SLICE_BYTES, slices
 
 ROUNDS = 2
 UNIT = 1 << 24  # expected counts are summed in these fractions, as integers: the order of the words does not matter
@@ -34,6 +34,8 @@ RUN_LETTERS = 40  # longer words are fitted and scored in runs of so many letter
 EXCESS = 1.5  # a text's log probability per letter may lie so far below the median of its language
 LEAST_LETTERS = 60  # texts with fewer letters are too short to be judged by it
 CACHE_WORDS = 600_000
+BLOCK_WORDS = 20_000  # new words that are scored together
+BLOCK_RUNS = 4_096
 START = "▁"  # fixed value: the vocabulary's mark of a word's start
 LETTERS = r"\p{L}+"
 
@@ -79,30 +81,63 @@ class Unigrams:
 
     def score(self, word: str) -> list[float]:
         """Log probability of a lower-cased word per language."""
-        size, begins = len(self.langs), self.begins
-        total = [0.0] * size
-        for run in runs_of(word):
-            n = len(run)
-            out = [None] * (n + 1)  # the forward algorithm without a list of cuts
-            out[0] = [1.0] * size
-            for i in range(n):
-                a = out[i]
-                if begins.get(run[i]) is None:
-                    out[i + 1] = self._added(out[i + 1], a, self.floor)
-                for j in range(i + 1, n + 1):
-                    piece = run[i:j]
-                    if piece not in begins:
-                        break
-                    p = begins[piece]
-                    if p is not None:
-                        out[j] = self._added(out[j], a, p)
-            total = [t + math.log(x if x > 1e-300 else 1e-300) for t, x in zip(total, out[n], strict=True)]
+        return Forward(self).scores([word])[0].tolist()
+
+
+class Forward:
+    """The forward algorithm over many words at once: all runs of a block take one more letter of their pieces at a time."""
+
+    def __init__(self, model: Unigrams):
+        self.size, self.floor = len(model.langs), np.array(model.floor)
+        self.letters = {c: k for k, c in enumerate(sorted({c for p in model.table for c in p}), 1)}  # 0 is any other letter
+        number = {"": 0} | {p: k for k, p in enumerate(model.begins, 1)}
+        span = self.span = len(self.letters) + 1
+        steps = np.array([number[p[:-1]] * span + self.letters[p[-1]] for p in model.begins], np.int64)  # a beginning and its next letter
+        order = np.argsort(steps)
+        self.steps, self.ends = np.append(steps[order], np.iinfo(np.int64).max), np.append(order + 1, 0)
+        whole = [model.begins[p] for p in model.begins]
+        self.is_piece = np.array([False, *[p is not None for p in whole]])
+        none = (0.0,) * self.size
+        self.p = np.array([none, *[none if p is None else p for p in whole]])
+        self.alone = np.array([True, *[model.begins.get(c) is None for c in self.letters]])  # letters without a piece of their own
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of lower-cased words, one row per word and one column per language."""
+        total = np.zeros((len(words), self.size))
+        runs = [(k, run) for k, word in enumerate(words) for run in runs_of(word)]
+        by_length = sorted(range(len(runs)), key=lambda r: len(runs[r][1]))
+        logs = np.zeros((len(runs), self.size))
+        for at in range(0, len(runs), BLOCK_RUNS):
+            block = by_length[at : at + BLOCK_RUNS]
+            x = self._sums([runs[r][1] for r in block])
+            logs[block] = np.array([math.log(v if v > 1e-300 else 1e-300) for v in x.ravel().tolist()]).reshape(x.shape)
+        np.add.at(total, [k for k, _ in runs], logs)  # the runs of a word in their order
         return total
 
-    @staticmethod
-    def _added(b: list[float] | None, a: list[float], p: tuple[float, ...]) -> list[float]:
-        """``b + a * p`` per language."""
-        return list(map(mul, a, p)) if b is None else list(map(add, b, map(mul, a, p)))
+    def _sums(self, runs: list[str]) -> np.ndarray:
+        """Summed probability of all cuts of each run per language."""
+        lengths, get = np.array([len(r) for r in runs]), self.letters.get
+        longest = int(lengths.max())
+        letters = np.zeros((longest, len(runs)), np.int64)
+        letters.T[np.arange(longest) < lengths[:, None]] = [get(c, 0) for r in runs for c in r]
+        out = np.zeros((longest + 1, len(runs), self.size))
+        out[0] = 1.0
+        for i in range(longest):
+            rows = np.flatnonzero(lengths > i)
+            lone = rows[self.alone[letters[i, rows]]]
+            out[i + 1, lone] += out[i, lone] * self.floor
+            state = np.zeros(len(rows), np.int64)
+            for j in range(i, longest):
+                step = state * self.span + letters[j, rows]
+                place = np.searchsorted(self.steps, step)
+                goes_on = self.steps[place] == step
+                rows, state = rows[goes_on], self.ends[place[goes_on]]
+                if not len(rows):
+                    break
+                whole = self.is_piece[state]
+                ended = rows[whole]
+                out[j + 1, ended] += out[i, ended] * self.p[state[whole]]
+        return out[lengths, np.arange(len(runs))]
 
 
 def started(langs: list[str], pieces: list[str]) -> Unigrams:
@@ -185,33 +220,39 @@ class Scorer:
     """Scores of texts in a worker, with the vectors of the words seen, up to a bound."""
 
     def __init__(self, model: Unigrams):
-        self.model, self.find = model, regex.compile(LETTERS).findall
+        self.langs, self.forward, self.find = model.langs, Forward(model), regex.compile(LETTERS).findall
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.vectors = np.zeros((1024, len(self.model.langs)))
-
-    def add(self, word: str) -> int:
-        k = self.row[word] = len(self.row)
-        if k == len(self.vectors):
-            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-        self.vectors[k] = self.model.score(word)
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float, float, int]:
-        """Language, its probability, the text's log probability in it per letter, and the letters; ``und`` and 0 without a letter or without a language to choose from."""
-        words = self.find(text.lower()) if text else []
-        if not words or not self.model.langs:
-            return "und", 0.0, 0.0, 0
+        self.vectors = np.zeros((1024, len(self.langs)))
+
+    def add(self, words: list[str]) -> None:
+        """Score words that have no vector yet."""
+        for at in range(0, len(words), BLOCK_WORDS):
+            part = words[at : at + BLOCK_WORDS]
+            start, end = len(self.row), len(self.row) + len(part)
+            if end > len(self.vectors):
+                grown = np.zeros((max(end, 2 * len(self.vectors)), len(self.langs)))
+                grown[:start] = self.vectors[:start]
+                self.vectors = grown
+            self.vectors[start:end] = self.forward.scores(part)
+            self.row.update(zip(part, range(start, end), strict=True))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+        """Per text its language, its probability, the text's log probability in it per letter, and the letters; ``und`` and 0 without a letter or without a language to choose from."""
+        found = [self.find(t.lower()) if t and self.langs else [] for t in texts]
         if len(self.row) > CACHE_WORDS:
             self.clear()
-        get, total = self.row.get, np.zeros(len(self.model.langs))
+        self.add([w for w in dict.fromkeys(chain.from_iterable(found)) if w not in self.row])
+        return [self._best(words) if words else ("und", 0.0, 0.0, 0) for words in found]
+
+    def _best(self, words: list[str]) -> tuple[str, float, float, int]:
+        total, get = np.zeros(len(self.langs)), self.row.__getitem__
         for at in range(0, len(words), 50_000):
-            ids = [k if (k := get(w)) is not None else self.add(w) for w in words[at : at + 50_000]]
-            total += self.vectors[ids].sum(axis=0)
+            total += self.vectors[list(map(get, words[at : at + 50_000]))].sum(axis=0)
         best, letters = int(total.argmax()), sum(map(len, words))
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum()), float(total[best]) / letters, letters
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum()), float(total[best]) / letters, letters
 
 
 _scorers: dict[int, Scorer] = {}
@@ -241,8 +282,8 @@ def identify(docs: DataFrame, model: Unigrams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(shared)
-        for part in slices(batches):
-            found = [score.predict(t) for t in part.column("text").to_pylist()]
+        for part in slices(batches, limit=SLICE_BYTES // 4):  # a slice's words are held together
+            found = score.predict(part.column("text").to_pylist())
             added = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *FOUND])
 

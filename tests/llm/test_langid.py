@@ -59,6 +59,32 @@ def test_forward_sums_all_segmentations():
     assert all(math.isfinite(x) for x in model.score("z" * 500))
 
 
+def test_words_are_scored_together_as_one_by_one(monkeypatch):
+    rng = random.Random(5)
+    pieces = [langid.START, *"abc", *{"".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(60)}]
+    model = langid.Unigrams(["x", "y"], {p: (rng.random() / 9, rng.random() / 9) for p in pieces}, (1e-6, 1e-7))
+
+    def plain(word):
+        total = [0.0, 0.0]
+        for run in langid.runs_of(word):
+            ahead = [[1.0, 1.0], *[[0.0, 0.0] for _ in run]]
+            for i, j, p, _ in model.cuts(run):
+                ahead[j] = [b + a * x for b, a, x in zip(ahead[j], ahead[i], p, strict=True)]
+            total = [t + math.log(max(x, 1e-300)) for t, x in zip(total, ahead[-1], strict=True)]
+        return total
+
+    words = list({"".join(rng.choices("abcdez", k=rng.choice([1, 2, 5, 9, 39, 40, 85]))) for _ in range(300)})
+    monkeypatch.setattr(langid, "BLOCK_RUNS", 70)
+    assert langid.Forward(model).scores(words).tolist() == [plain(w) for w in words]
+    monkeypatch.setattr(langid, "BLOCK_WORDS", 50)
+    scorer, scored = langid.Scorer(model), []
+    whole = scorer.forward.scores
+    monkeypatch.setattr(scorer.forward, "scores", lambda part: scored.extend(part) or whole(part))
+    texts = [" ".join(words), None, "1 2", " ".join(words[::-1])]
+    found = scorer.predict(texts)
+    assert sorted(scored) == sorted(words) and found[1] == found[2] == ("und", 0.0, 0.0, 0) and found[0][0] == found[3][0] and found[0][3] == sum(map(len, words))
+
+
 def test_every_run_of_a_long_word_is_learned():
     word = "ab" * 60 + "q" * 30
     model = langid.fit_unigrams(["x"], {("x", word): 5}, [langid.START, "ab", "q", "z"])
