@@ -137,3 +137,10 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1) if i != 299], "src long, dst long")
     got = {r["id"]: r["component"] for r in connected_components(edges, spark.range(n + 1)).collect()}
     assert got == {i: 0 if i < 300 else 300 if i < n else n for i in range(n + 1)}
+
+
+def test_written_tables_are_packed(spark):
+    df = spark.range(3_000).select(F.concat_ws(" ", *[F.md5(F.concat(F.lit(f"{k}"), (F.col("id") % 700).cast("string"))) for k in range(9)]).alias("text"))
+    table = core.written(df)
+    files = [p for p in table.inputFiles() if p.endswith(".parquet")]
+    assert files and all(".zstd." in p for p in files) and sorted(table.collect()) == sorted(df.collect())
