@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starfold.core import checkpoint, dot
+from starfold.core import bind, checkpoint, dot
 
 #: Doubles that the sums of one pass may take in a task; more models than fit are dealt to several runs of passes.
 STATE = 1 << 20
@@ -36,13 +36,15 @@ def pass_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray, lo
     hit = y[:, None].astype("float64") if logistic else (y[:, None] == np.arange(classes)[None, :]).astype("float64")
     loss = (w * (norm - np.einsum("nmc,nc->nm", z, hit))).sum(axis=0)
     gradient = np.einsum("nmc,nq->mcq", w[:, :, None] * (p - hit[:, None, :]), x, optimize=True)
-    curve = np.zeros((models, classes, width, classes, width))
+    i, j = np.triu_indices(width)
+    products = x[:, i] * x[:, j]
+    curve = np.zeros((models, classes, classes, width, width))
     for c in range(classes):
         for d in range(c, classes):
-            r = w * p[:, :, c] * ((c == d) - p[:, :, d])
-            for i in range(width):
-                curve[:, c, i, d, :] = (r * x[:, i : i + 1]).T @ x
-            curve[:, d, :, c, :] = curve[:, c, :, d, :]
+            half = (w * p[:, :, c] * ((c == d) - p[:, :, d])).T @ products  # one product of matrices for all models
+            for own, other in ((c, d), (d, c)):
+                curve[:, own, other, i, j] = curve[:, own, other, j, i] = half
+    curve = curve.transpose(0, 1, 3, 2, 4)
     size = classes * width
     return np.concatenate([w.sum(axis=0)[:, None], loss[:, None], gradient.reshape(models, size), curve.reshape(models, size * size)], axis=1)
 
@@ -155,8 +157,9 @@ def coefficient_table(like: DataFrame, keys: Sequence, theta: np.ndarray, key: s
 def softmax(x: Column, coef: Column) -> Column:
     """Class probabilities of a row under coefficients whose last entry per class is the intercept."""
     scores = F.transform(coef, lambda c: dot(F.array_append(x.cast("array<double>"), F.lit(1.0)), c))
-    raised = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    return F.transform(raised, lambda e: e / F.aggregate(raised, F.lit(0.0), lambda a, v: a + v))
+    # bound: a lambda would evaluate its outer arrays again per element
+    raised = bind(scores, lambda z: bind(F.array_max(z), lambda top: F.transform(z, lambda s: F.exp(s - top))))
+    return bind(raised, lambda r: bind(F.aggregate(r, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(r, lambda e: e / total)))
 
 
 # --- ridge -------------------------------------------------------------------------------------------------------

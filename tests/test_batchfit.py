@@ -107,3 +107,23 @@ def test_half_transfer_learning_curve_and_probes(spark):
     whole = {(r["layer"], r["split"]): r for r in got if r["arm"] == "all"}
     assert len(whole) == 4 and all(r["mean"] > 0.6 for r in whole.values())
     assert all(r["pairs"] == whole[r["layer"], r["split"]]["pairs"] and r["mean"] == whole[r["layer"], r["split"]]["mean"] for r in got if r["arm"] == "gap")
+
+
+def test_softmax_evaluates_scores_once_and_curvature_equals_plain_sums(spark):
+    rng = np.random.default_rng(4)
+    x, coef = rng.normal(size=(6, 3)) * 40, rng.normal(size=(4, 4)) * 9
+    d = spark.createDataFrame([([float(v) for v in r], [[float(v) for v in c] for c in coef]) for r in x], "x array<double>, coef array<array<double>>")
+    found = d.select(B.softmax(F.col("x"), F.col("coef")).alias("p"))
+    z = x @ coef[:, :3].T + coef[:, 3]
+    want = np.exp(z - z.max(axis=1, keepdims=True))
+    assert np.allclose([r["p"] for r in found.collect()], want / want.sum(axis=1, keepdims=True))
+    assert found._jdf.queryExecution().analyzed().toString().lower().count("exp(") == 1
+    y, w, theta = rng.integers(0, 3, 6), rng.random((6, 2)), rng.normal(size=(2, 3, 3)) / 9
+    sums = B.pass_sums(x / 40, y, w, theta, False)
+    p = B.outputs(x / 40, theta, False)[1]
+    for m in range(2):
+        plain = np.zeros((9, 9))
+        for k in range(6):
+            q = p[k, m]
+            plain += w[k, m] * np.kron(np.diag(q) - np.outer(q, q), np.outer(x[k], x[k]) / 1600)
+        assert np.allclose(sums[m, 2 + 9 :].reshape(9, 9), plain)
