@@ -14,10 +14,10 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -100,6 +100,9 @@ class Forward:
         none = (0.0,) * self.size
         self.p = np.array([none, *[none if p is None else p for p in whole]])
         self.alone = np.array([True, *[model.begins.get(c) is None for c in self.letters]])  # letters without a piece of their own
+        self.codes = np.array([*map(ord, self.letters), 1 << 32], np.int64)
+        self.names, self.expected = list(model.begins), np.zeros(len(self.p) * self.size, np.int64)
+        self.lone: dict[str, list[int]] = defaultdict(lambda: [0] * self.size)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log probabilities of lower-cased words, one row per word and one column per language."""
@@ -114,18 +117,25 @@ class Forward:
         np.add.at(total, [k for k, _ in runs], logs)  # the runs of a word in their order
         return total
 
-    def _sums(self, runs: list[str]) -> np.ndarray:
-        """Summed probability of all cuts of each run per language."""
-        lengths, get = np.array([len(r) for r in runs]), self.letters.get
+    def _letters(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths of the runs; code points and letter numbers, one column per run."""
+        lengths = np.array([len(r) for r in runs])
         longest = int(lengths.max())
-        letters = np.zeros((longest, len(runs)), np.int64)
-        letters.T[np.arange(longest) < lengths[:, None]] = [get(c, 0) for r in runs for c in r]
-        out = np.zeros((longest + 1, len(runs), self.size))
-        out[0] = 1.0
+        codes, letters = np.zeros((longest, len(runs)), np.int64), np.zeros((longest, len(runs)), np.int64)
+        there = np.arange(longest) < lengths[:, None]
+        flat = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        place = np.searchsorted(self.codes, flat)
+        codes.T[there], letters.T[there] = flat, np.where(self.codes[place] == flat, place + 1, 0)
+        return lengths, codes, letters
+
+    def _moves(self, lengths: np.ndarray, letters: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
+        """(start, end, runs, their pieces) by start and end; None stands for letters without a piece of their own."""
+        longest = len(letters)
         for i in range(longest):
             rows = np.flatnonzero(lengths > i)
             lone = rows[self.alone[letters[i, rows]]]
-            out[i + 1, lone] += out[i, lone] * self.floor
+            if len(lone):
+                yield i, i + 1, lone, None
             state = np.zeros(len(rows), np.int64)
             for j in range(i, longest):
                 step = state * self.span + letters[j, rows]
@@ -135,10 +145,57 @@ class Forward:
                 if not len(rows):
                     break
                 whole = self.is_piece[state]
-                ended = rows[whole]
-                out[j + 1, ended] += out[i, ended] * self.p[state[whole]]
+                yield i, j + 1, rows[whole], state[whole]
+
+    def _sums(self, runs: list[str]) -> np.ndarray:
+        """Summed probability of all cuts of each run per language."""
+        lengths, _, letters = self._letters(runs)
+        out = np.zeros((len(letters) + 1, len(runs), self.size))
+        out[0] = 1.0
+        for i, j, rows, pieces in self._moves(lengths, letters):
+            out[j, rows] += out[i, rows] * (self.floor if pieces is None else self.p[pieces])
         return out[lengths, np.arange(len(runs))]
 
+    def expect(self, words: list[str], langs: np.ndarray, counts: np.ndarray) -> None:
+        """Add to ``expected`` and ``lone`` what ``expected_pieces`` finds for words that a language has so many times."""
+        runs = [(run, k) for k, word in enumerate(words) for run in runs_of(word)]
+        runs.sort(key=lambda r: len(r[0]))
+        for at in range(0, len(runs), BLOCK_RUNS):
+            block = runs[at : at + BLOCK_RUNS]
+            of = np.array([k for _, k in block])
+            self._expect([run for run, _ in block], langs[of], counts[of])
+
+    def _expect(self, runs: list[str], lang: np.ndarray, n: np.ndarray) -> None:
+        lengths, codes, letters = self._letters(runs)
+        every = np.arange(len(runs))
+        ahead, back = np.zeros((2, len(letters) + 1, len(runs)))
+        ahead[0], back[lengths, every] = 1.0, 1.0
+        moves = []
+        for i, j, rows, pieces in self._moves(lengths, letters):
+            p = self.floor[lang[rows]] if pieces is None else self.p[pieces, lang[rows]]
+            ahead[j, rows] += ahead[i, rows] * p
+            moves.append((i, j, rows, pieces, p))
+        whole = ahead[lengths, every]
+        share = np.divide(UNIT * n, whole, out=np.zeros(len(runs)), where=whole > 1e-290)  # 0: too improbable for a double
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j, rows, pieces, p in reversed(moves):
+            x = p * back[j, rows]
+            back[i, rows] += x
+            parts = np.rint(ahead[i, rows] * x * share[rows]).astype(np.int64)
+            if pieces is None:
+                for c, k, part in zip(codes[i, rows].tolist(), lang[rows].tolist(), parts.tolist(), strict=True):
+                    self.lone[chr(c)][k] += part
+            else:
+                found.append((pieces * self.size + lang[rows], parts))
+        if found:
+            np.add.at(self.expected, np.concatenate([at for at, _ in found]), np.concatenate([parts for _, parts in found]))
+
+    def expected_parts(self) -> tuple[list[str], list[list[int]]]:
+        """Pieces and lone letters with their expected counts per language so far, in parts of 1 / ``UNIT``."""
+        table = self.expected.reshape(-1, self.size)
+        at = np.flatnonzero(table.any(axis=1))
+        return [self.names[k - 1] for k in at.tolist()] + list(self.lone), table[at].tolist() + list(self.lone.values())
+
 
 def started(langs: list[str], pieces: list[str]) -> Unigrams:
     """The model before the first round: equal probabilities in all languages, which fall with length."""
@@ -187,13 +244,14 @@ def expected_over(words: DataFrame, model: Unigrams) -> dict[str, list[int]]:
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        at = {lang: k for k, lang in enumerate(own.langs)}
-        out: dict[str, list[int]] = defaultdict(lambda: [0] * len(at))
+        forward, langs = Forward(shared.value), pa.array(shared.value.langs, pa.string())
         for part in batches:
-            for w, seen in zip(part.column("w").to_pylist(), part.column("seen").to_pylist(), strict=True):
-                expected_pieces(own, w, {at[x["lang"]]: x["n"] for x in seen}, out)
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.list_(pa.int64()))], ["piece", "parts"])
+            seen = part.column("seen")
+            lang, n = (pc.struct_field(seen.flatten(), k) for k in ("lang", "n"))
+            words = part.column("w").take(pc.list_parent_indices(seen)).to_pylist()
+            forward.expect(words, pc.index_in(lang, langs).to_numpy(), n.to_numpy())
+        pieces, parts = forward.expected_parts()
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(parts, pa.list_(pa.int64()))], ["piece", "parts"])
 
     parts = words.mapInArrow(run, "piece string, parts array<bigint>").select("piece", F.posexplode("parts").alias("k", "n")).where("n > 0")
     found: dict[str, list[int]] = defaultdict(lambda: [0] * len(model.langs))
@@ -216,6 +274,19 @@ def train(labelled: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> Unigram
     return model
 
 
+class Numbers(dict):
+    """A number for every word, in the order in which they come; ``fresh`` are those since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class Scorer:
     """Scores of texts in a worker, with the vectors of the words seen, up to a bound."""
 
@@ -224,34 +295,39 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[str, int] = {}
+        self.row = Numbers()
         self.vectors = np.zeros((1024, len(self.langs)))
+        self.sizes = np.zeros(1024, np.int64)
 
     def add(self, words: list[str]) -> None:
-        """Score words that have no vector yet."""
+        """Score new words, the last ones that got a number."""
+        start, end = len(self.row) - len(words), len(self.row)
+        if end > len(self.vectors):
+            more = max(end, 2 * len(self.vectors)) - len(self.vectors)
+            self.vectors = np.concatenate([self.vectors, np.zeros((more, len(self.langs)))])
+            self.sizes = np.concatenate([self.sizes, np.zeros(more, np.int64)])
+        self.sizes[start:end] = list(map(len, words))
         for at in range(0, len(words), BLOCK_WORDS):
             part = words[at : at + BLOCK_WORDS]
-            start, end = len(self.row), len(self.row) + len(part)
-            if end > len(self.vectors):
-                grown = np.zeros((max(end, 2 * len(self.vectors)), len(self.langs)))
-                grown[:start] = self.vectors[:start]
-                self.vectors = grown
-            self.vectors[start:end] = self.forward.scores(part)
-            self.row.update(zip(part, range(start, end), strict=True))
+            self.vectors[start + at : start + at + len(part)] = self.forward.scores(part)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
         """Per text its language, its probability, the text's log probability in it per letter, and the letters; ``und`` and 0 without a letter or without a language to choose from."""
-        found = [self.find(t.lower()) if t and self.langs else [] for t in texts]
         if len(self.row) > CACHE_WORDS:
             self.clear()
-        self.add([w for w in dict.fromkeys(chain.from_iterable(found)) if w not in self.row])
-        return [self._best(words) if words else ("und", 0.0, 0.0, 0) for words in found]
-
-    def _best(self, words: list[str]) -> tuple[str, float, float, int]:
-        total, get = np.zeros(len(self.langs)), self.row.__getitem__
-        for at in range(0, len(words), 50_000):
-            total += self.vectors[list(map(get, words[at : at + 50_000]))].sum(axis=0)
-        best, letters = int(total.argmax()), sum(map(len, words))
+        get, rows = self.row.__getitem__, []
+        for t in texts:
+            words = self.find(t.lower()) if t and self.langs else []
+            rows.append(np.fromiter(map(get, words), np.int64, len(words)))
+        self.add(self.row.fresh)
+        self.row.fresh = []
+        return [self._best(at) if len(at) else ("und", 0.0, 0.0, 0) for at in rows]
+
+    def _best(self, rows: np.ndarray) -> tuple[str, float, float, int]:
+        total = np.zeros(len(self.langs))
+        for at in range(0, len(rows), 50_000):
+            total += self.vectors[rows[at : at + 50_000]].sum(axis=0)
+        best, letters = int(total.argmax()), int(self.sizes[rows].sum())
         return self.langs[best], float(1 / np.exp(total - total[best]).sum()), float(total[best]) / letters, letters
 
 

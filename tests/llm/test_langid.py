@@ -2,7 +2,9 @@
 
 import math
 import random
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,36 @@ def test_every_labelled_document_is_learned_from(spark):
     per = sorted(r["__per_letter"] for r in found.where(~langid.held_out(F.col("doc_id"))).collect())
     mid = (per[(len(per) - 1) // 2] + per[len(per) // 2]) / 2
     assert langid.least_per_letter(found)["aa"] == pytest.approx(mid - langid.EXCESS, abs=1e-12)
+
+
+def test_expected_pieces_of_many_words_equal_those_one_by_one():
+    rng = random.Random(3)
+    langs = ["aa", "bb", "cc"]
+    model = langid.started(langs, ["▁", "▁a", "ab", "b", "abc", "cab", "▁abca", "d"])
+    words = ["".join(rng.choices("abcdé𝒳", k=rng.randint(1, 12))) for _ in range(300)] + ["abc" * 70, "é" * 200]
+    seen = [{k: rng.randint(1, 9) for k in rng.sample(range(3), rng.randint(1, 3))} for _ in words]
+    for _ in range(2):
+        want = defaultdict(lambda: [0] * len(langs))
+        for w, n in zip(words, seen, strict=True):
+            langid.expected_pieces(model, w, n, want)
+        forward = langid.Forward(model)
+        pairs = [(w, k, c) for w, n in zip(words, seen, strict=True) for k, c in n.items()]
+        for part in (pairs[:100], pairs[100:]):
+            forward.expect([w for w, _, _ in part], np.array([k for _, k, _ in part]), np.array([c for _, _, c in part]))
+        assert dict(zip(*forward.expected_parts(), strict=True)) == {p: n for p, n in want.items() if any(n)}
+        model = langid.improved(model, list(model.table), want)
+
+
+def test_predictions_look_each_word_up_once():
+    model = langid.started(["aa", "bb"], ["▁", "a", "b"])
+    scorer, asked = langid.Scorer(model), []
+
+    class Counted(langid.Numbers):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    scorer.row = Counted()
+    found = scorer.predict(["ab ba ab", None, "ab c"])
+    assert asked == ["ab", "ba", "ab", "ab", "c"] and [x[3] for x in found] == [6, 0, 3]
+    assert found == langid.Scorer(model).predict(["ab ba ab", None, "ab c"])
