@@ -19,7 +19,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from starfold.llm.workers import slices
+from starfold.llm.workers import hold, slices
 
 # Fixed value: the published word pattern of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -151,6 +151,7 @@ def share_vocabulary(spark: SparkSession, path: str) -> Broadcast:
 
 def byte_pairs(shared: Broadcast) -> BytePairs:
     """The vocabulary in a worker, parsed once."""
+    hold("byte pairs", _loaded.clear)
     path, spec = shared.value
     if path not in _loaded:
         _loaded[path] = BytePairs(spec)

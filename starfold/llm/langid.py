@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from starfold.core import quantiles, written
-from starfold.llm.workers import SLICE_BYTES, slices
+from starfold.llm.workers import SLICE_BYTES, hold, slices
 
 ROUNDS = 2
 UNIT = 1 << 24  # expected counts are summed in these fractions, as integers: the order of the words does not matter
@@ -244,6 +244,7 @@ def expected_over(words: DataFrame, model: Unigrams) -> dict[str, list[int]]:
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language fit")
         forward, langs = Forward(shared.value), pa.array(shared.value.langs, pa.string())
         for part in batches:
             seen = part.column("seen")
@@ -336,6 +337,7 @@ _scorers: dict[int, Scorer] = {}
 
 def scorer(shared: Broadcast) -> Scorer:
     """The scorer of a shared model in a worker."""
+    hold("language scores", _scorers.clear)
     model = shared.value
     if id(model) not in _scorers:
         _scorers.clear()

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starfold.llm.common import checkpoint
-from starfold.llm.shingles import Sketcher, shingle_set, similar
-from starfold.llm.workers import slices
+from starfold.llm.shingles import Sketcher, hold_words, shingle_set, similar
+from starfold.llm.workers import hold, slices
 from starfold.operators.clusters import connected_components
 
 WIDTH, PERCENT = 5, 80
@@ -49,6 +49,7 @@ def prepared(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """rid, doc_id, text hash, shingle count, set hash (null for an empty set) and band keys, in the checkpoint folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_words()
         sketcher = Sketcher(bands, rows)
         for part in slices(batches):
             sets = [shingle_set(t, width) for t in part.column("text").to_pylist()]
@@ -75,6 +76,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """The pairs (src, dst) whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_words()
         kept: dict[int, np.ndarray] = {}
 
         def of(node: int, text: str) -> np.ndarray:
@@ -186,6 +188,7 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     paired = paired.select("level", "gid", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "comp").join(sets, "node")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        hold("blocks of sets")
         lo, hi = key[2].as_py(), key[3].as_py()
         nodes, comps = rows.column("node").to_pylist(), rows.column("comp").to_pylist()
         values = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
@@ -200,6 +203,7 @@ def packed_sets(texts: DataFrame, width: int) -> DataFrame:
     """(node, shingles): the sorted set as packed 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_words()
         for part in slices(batches):
             sets = [shingle_set(t, width).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from starfold.llm.workers import hold
+
 # Upper-case ASCII letters become lower-case ones; bytes.split() cuts at exactly the six ASCII white-space characters.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -25,6 +27,11 @@ class WordHashes(dict):
 _words = WordHashes()
 
 
+def hold_words() -> None:
+    """Keep the hashes of words in this worker, and nothing of other operators."""
+    hold("word hashes", _words.clear)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit mixing."""
     x = x ^ (x >> np.uint64(32))

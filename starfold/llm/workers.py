@@ -1,8 +1,9 @@
-"""Arrow batches inside tasks."""
+"""Arrow batches and caches inside tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,18 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def hold(owner: str, release: Callable[[], object] = lambda: None) -> None:
+    """Empty what other operators keep in this worker, which outlives their tasks; ``release`` empties the caches of ``owner``."""
+    others = [x for x in _held if x != owner]
+    for other in others:
+        _held.pop(other)()
+    if others:
+        gc.collect()  # vocabularies and their caches refer to each other
+    _held[owner] = release
+
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice stay near ``limit`` bytes; one longer text is a slice of its own."""
