@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import as_list, bind, checkpoint, hash_int, is_number, match, quantiles, rank_in_group, score_position, sorted_position, tie_blocks
+from starfold.core import TIE_BLOCK, as_list, bind, checkpoint, hash_bucket, hash_int, is_number, match, prefix_totals, quantiles, rank_in_group, score_position, sorted_position, tie_blocks
 from starfold.operators.clusters import representatives
 from starfold.operators.joins import band_of, pairs_in_groups, similar_in_group
 from starfold.operators.segments import standardise
@@ -116,14 +116,16 @@ def _block_precision(n: Column, g: Column, a: Column, h: Column) -> Column:
     return F.when(g == 0, 0.0).otherwise(g / n * F.when(n <= SMALL_BLOCK, short).otherwise(long))
 
 
-def average_precision(items: DataFrame, by, label: dict[str, Column] | Column, score: str) -> DataFrame:
+def average_precision(items: DataFrame, by, label: dict[str, Column] | Column, score: str, blocks: DataFrame | None = None) -> DataFrame:
     """M3/M4: per group (and threshold name, if several labels): AP with tied blocks uniformly shuffled, AUC with half
     ties, analytic random AP, closure.  Groups without positives give NULL metrics; a missing score is an error.
+    ``blocks`` are the ``label_blocks`` of a single label, if they are there already.
     """
     by = as_list(by)
     labels = label if isinstance(label, dict) else {"": label}
-    names = {f"pos{i}": k for i, k in enumerate(labels)}
-    blocks = tie_blocks(scored(items, score), by, score, {p: F.when(labels[k], 1).otherwise(0) for p, k in names.items()})
+    names = {f"pos{i}": k for i, k in enumerate(labels)} if blocks is None else {"pos": ""}
+    if blocks is None:
+        blocks = tie_blocks(scored(items, score), by, score, {p: F.when(labels[k], 1).otherwise(0) for p, k in names.items()})
     rows = F.explode(F.array(*[F.struct(
         F.lit(k).alias("threshold"), F.col(p).alias("__hit"), F.col(f"{p}_above").alias("__before"), F.col(f"{p}_total").alias("__all")) for p, k in names.items()]))
     b = blocks.select(*by, F.col("n").alias("__n"), F.col("n_above").alias("__a"), F.col("n_total").alias("__items"), rows.alias("__x")).select(*by, "__n", "__a", "__items", "__x.*")
@@ -152,13 +154,14 @@ def ranking_metrics(per_event: DataFrame, threshold: str = "threshold") -> DataF
     return g.withColumn("ap_closure", F.try_divide(F.col("ap_macro") - F.col("random_ap_macro"), 1 - F.col("random_ap_macro")))
 
 
-def budget_metrics(items: DataFrame, by, label: Column, score: str, fractions: list[float], rounding: str = "ceil") -> DataFrame:
+def budget_metrics(items: DataFrame, by, label: Column, score: str, fractions: list[float], rounding: str = "ceil", blocks: DataFrame | None = None) -> DataFrame:
     """M5: expected hits in the top budget with the boundary block taken uniformly, precision, recall, random and ceiling.
 
     ``rounding`` is ``ceil`` (current) or ``even`` (legacy banker's rounding, at least one).  A missing score is an error.
+    ``blocks`` are the ``label_blocks``, if they are there already.
     """
     by = as_list(by)
-    blocks = tie_blocks(scored(items, score), by, score, {"pos": F.when(label, 1).otherwise(0)})
+    blocks = label_blocks(items, by, label, score) if blocks is None else blocks
     b = blocks.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     size = F.ceil(F.col("n_total") * F.col("fraction")) if rounding == "ceil" else F.greatest(F.lit(1), F.bround(F.col("n_total") * F.col("fraction")))
     b = b.withColumn("budget", size.cast("long")).where((F.col("n_above") < F.col("budget")) & (F.col("budget") <= F.col("n_above") + F.col("n")))
@@ -180,12 +183,35 @@ def budget_summary(per_event: DataFrame) -> DataFrame:
         F.try_divide(F.sum("hits"), F.sum("budget")).alias("precision_pooled"), F.try_divide(F.sum("hits"), F.sum("positives")).alias("recall_pooled"))
 
 
-def positive_positions(items: DataFrame, by, label: Column, score: str, key: str) -> DataFrame:
-    """Every positive with its position among all items (``__pos``) and among the positives (``__k``)."""
+def positive_positions(items: DataFrame, by, label: Column, score: str, key: str, blocks: DataFrame | None = None, tie_block: int = TIE_BLOCK) -> DataFrame:
+    """Every positive with its position among all items (``__pos``) and among the positives (``__k``): both, and the group.
+
+    ``blocks`` are the ``label_blocks`` of the items, if they are there already.  Where all items of a block are positive, the
+    block alone tells the positions of its members.  The items of blocks with both kinds, and of blocks above ``tie_block`` rows,
+    are ranked by hash, the latter in hash buckets.
+    """
     by = as_list(by)
     d = scored(items.select(*by, key, score, label.alias("__l")), score)
-    pos = checkpoint(score_position(d, by, score, key, "__pos").where("__l"))
-    return score_position(pos, by, score, key, "__k")
+    if blocks is None:
+        blocks = checkpoint(label_blocks(d, by, F.col("__l"), score))
+    told = (F.col("pos") == F.col("n")) & (F.col("n") <= tie_block)
+    at = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("__at")
+    pure = blocks.where(told).select(*by, "n_above", "pos_above", at)
+    pure = pure.select(*by, (F.col("n_above") + F.col("__at")).alias("__pos"), (F.col("pos_above") + F.col("__at")).alias("__k"))
+    mixed = blocks.where((F.col("pos") > 0) & ~told).select(*by, score, "n_above", "pos_above", (F.col("n") > tie_block).alias("__big"))
+    d = match(d, mixed, [*by, score]).withColumn("__h", hash_int("tie", key)).withColumn("__p", F.when(F.col("__l"), 1).otherwise(0))
+    d = d.withColumn("__b", F.when(F.col("__big"), hash_bucket(F.col("__h")).cast("long")).otherwise(0))
+    inside = prefix_totals(d.where("__big"), [*by, score], "__b", {"__rows": F.lit(1), "__hits": F.col("__p")})
+    d = match(d, inside, [*by, score, "__b"], "left")
+    w = W.partitionBy(*by, score, "__b").orderBy("__h", key)
+    d = d.select(*by, "__l", (F.col("n_above") + F.coalesce("__rows", F.lit(0)) + F.row_number().over(w)).alias("__pos"),
+                 (F.col("pos_above") + F.coalesce("__hits", F.lit(0)) + F.sum("__p").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("__k"))
+    return pure.unionByName(d.where("__l").drop("__l"))
+
+
+def label_blocks(items: DataFrame, by, label: Column, score: str) -> DataFrame:
+    """Tie blocks with the sum ``pos`` of the label, as several metrics read them; a missing score is an error."""
+    return tie_blocks(scored(items, score), by, score, {"pos": F.when(label, 1).otherwise(0)})
 
 
 def recall_curve(items: DataFrame, by, label: Column, score: str, key: str, target: float = 0.8, positions: DataFrame | None = None) -> DataFrame:
@@ -630,9 +656,10 @@ def selector_comparison(long: DataFrame, event: str, key: str, rating: str, k: i
     """Per method macro AP, its closure against random, precision and recall in the budget, list share at 80% recall."""
     by, label = ["method", event], F.col(rating) >= k
     long = checkpoint(long)
-    positions = checkpoint(positive_positions(long, by, label, "score", key))
-    ap = sequential_ap(long, by, label, "score", key, positions) if legacy else average_precision(long, by, label, "score").select(*by, "ap").where("ap is not null")
-    bud = budget_metrics(long, by, label, "score", [fraction], "even" if legacy else "ceil").where("positives > 0")
+    blocks = checkpoint(label_blocks(long, by, label, "score"))
+    positions = checkpoint(positive_positions(long, by, label, "score", key, blocks))
+    ap = sequential_ap(long, by, label, "score", key, positions) if legacy else average_precision(long, by, label, "score", blocks).select(*by, "ap").where("ap is not null")
+    bud = budget_metrics(long, by, label, "score", [fraction], "even" if legacy else "ceil", blocks).where("positives > 0")
     cur = recall_curve(long, by, label, "score", key, positions=positions)
     m = ap.groupBy("method").agg(F.count(F.lit(1)).alias("events"), F.avg("ap").alias("ap"))
     m = m.join(bud.groupBy("method").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall")), "method")

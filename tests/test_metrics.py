@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from starfold import core
+from starfold.core import score_position
 from starfold.operators import joins as J
 from starfold.operators import labels as L
 from starfold.operators import metrics as M
@@ -167,3 +169,26 @@ def test_carried_events_and_scores_give_the_joined_outcomes(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(Exception, match="missing or non-finite"):
         M.add_outcome(carried.withColumn("s_j", F.lit(None).cast("double")), "s_i", "s_j").collect()
+
+
+def test_positions_of_positives_from_tie_blocks(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([0.1, 0.2, 0.3, i / 1000]), rng.random() < 0.4) for i in range(400)] + [("a", 1000 + i, 5.0, True) for i in range(40)]
+    rows += [("none", 2000 + i, 1.0, False) for i in range(3)]
+    d = spark.createDataFrame(rows, "e string, id long, s double, l boolean")
+    want = score_position(score_position(d, "e", "s", "id", "p").where("l"), "e", "s", "id", "k").select("e", "p", "k")
+    want = sorted((str(r["e"]), r["p"], r["k"]) for r in want.collect())
+    for block in (10, 100_000):
+        got = M.positive_positions(d, "e", F.col("l"), "s", "id", tie_block=block)
+        assert sorted((str(r["e"]), r["__pos"], r["__k"]) for r in got.collect()) == want
+
+
+def test_selector_comparison_sorts_scores_once(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(m, "e", i, rng.randint(0, 5), rng.choice([0.5, i / 50])) for m in ("random", "x") for i in range(50)]
+    d = spark.createDataFrame(rows, "method string, event string, id long, star int, score double")
+    sorts, whole = [], core.ranged
+    monkeypatch.setattr(core, "ranged", lambda *a: sorts.append(1) or whole(*a))
+    for legacy in (False, True):
+        sorts.clear()
+        assert M.selector_comparison(d, "event", "id", "star", legacy=legacy).count() == 2 and len(sorts) == 1
