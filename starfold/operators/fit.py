@@ -176,6 +176,17 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
 
 
+def inside_gradient(inside: list, u: list[float]) -> list[float]:
+    """Gradient by the increments ``u`` of constraints (r_winner, r_loser, w) inside segments."""
+    curve, out = {k: sum(u[:k]) for k in range(len(u) + 1)}, [0.0] * len(u)
+    for won, lost, w in inside:
+        lead = curve[won] - curve[lost]
+        small = math.exp(-abs(lead))
+        g = -w * (small if lead >= 0 else 1.0) / (1 + small)
+        out = [x + g * ((won >= k) - (lost >= k)) for k, x in enumerate(out, 1)]
+    return out
+
+
 def fit_offsets(constraints: DataFrame, items: DataFrame, key: str, rating: str, seg: str, event: str, shrink: float = SHRINK,
                 tol: float = 5e-3, levels: int = 5, max_rounds: int = 500) -> tuple[DataFrame, list[float], float]:
     """s = g(rating) + b[segment] from weighted constraints winner > loser.
@@ -185,7 +196,8 @@ def fit_offsets(constraints: DataFrame, items: DataFrame, key: str, rating: str,
 
     Projected gradient steps are scaled by a fixed diagonal (curvature bound) and by the Barzilai-Borwein length of the last step.
     Offsets, their last steps and gradients stay in a Spark table; a round is two joins and one aggregation per segment, and only
-    the increments and a few sums reach the driver.  Ends when the gradient norm is at most ``tol`` per unit of constraint weight;
+    the increments and a few sums reach the driver.  A constraint inside one segment does not depend on its offset nor pull at it,
+    so these are summed by their two ratings once and take no part in the joins.  Ends when the gradient norm is at most ``tol`` per unit of constraint weight;
     an error with the trace of norms if ``max_rounds`` do not reach it.  Returns (offsets, g, gradient norm per weight).
     """
     side = lambda end: items.select(F.col(key).alias(end), F.col(rating).alias(f"r_{end}"), F.col(seg).alias(f"s_{end}"))
@@ -198,6 +210,8 @@ def fit_offsets(constraints: DataFrame, items: DataFrame, key: str, rating: str,
     b = checkpoint(b.select("seg", "event", "n", (F.coalesce("h", F.lit(0.0)) + 2 * shrink * F.col("n") + 1e-9).alias("scale"), *[F.lit(0.0).alias(x) for x in ("b", "g", "step")]))
     steps = [(F.col("r_winner") >= k).cast("int") - (F.col("r_loser") >= k).cast("int") for k in range(1, levels + 1)]
     *weights, whole = c.agg(*[F.coalesce(F.sum(F.when(x, F.col("w"))), F.lit(0.0)) for x in (*[x != 0 for x in steps], F.lit(True))]).first()
+    inside = c.where("s_winner = s_loser").groupBy("r_winner", "r_loser").agg(F.sum("w").alias("w")).where("w is not null and r_winner is not null and r_loser is not null").collect()  # a row per pair of ratings
+    c = checkpoint(c.where("s_winner != s_loser"))
     u, last_u, last_g, scale = [1.0] * levels, [0.0] * levels, [0.0] * levels, [w + 1e-9 for w in weights]
     length, trace = 0.5, []
     for _ in range(max_rounds):
@@ -214,7 +228,7 @@ def fit_offsets(constraints: DataFrame, items: DataFrame, key: str, rating: str,
         now = b.withColumnRenamed("g", "__old").join(means, "event").join(pull, "seg", "left").fillna(0.0)
         now = checkpoint(now.withColumn("g", F.col("p") + 2 * shrink * F.col("n") * (F.col("b") - F.col("m"))))
         sums = now.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (F.col("g") * F.col("g"), F.col("step") * F.col("step") * F.col("scale"), F.col("step") * (F.col("g") - F.col("__old")), *[F.col(f"u{k}") for k in range(levels)])]).first()
-        grad = list(sums[3:])
+        grad = [x + y for x, y in zip(sums[3:], inside_gradient(inside, u), strict=True)]
         held = [x <= 0 < g for x, g in zip(u, grad, strict=True)]  # at the bound and pushed against it
         trace.append(math.sqrt(sums[0] + sum(g * g for g, h in zip(grad, held, strict=True) if not h)) / max(whole, 1e-12))
         if trace[-1] <= tol:
@@ -241,7 +255,7 @@ def offset_scores(items: DataFrame, offsets: DataFrame, g: list[float], rating:
 def offset_gates(constraints: DataFrame, items: DataFrame, key: str, rating: str, seg: str, event: str, hold: float = 0.2, seed: str = "hold", **kw) -> DataFrame:
     """Fit on a hash sample of the constraints and report agreement per kind on the held-out and fitted rest."""
     h = hash_int(seed, "winner", "loser") < int(hold * (1 << 32))
-    tagged = constraints.withColumn("held", h)
+    tagged = checkpoint(constraints.withColumn("held", h))  # for the fit and for the report
     b, g, _ = fit_offsets(tagged.where(~F.col("held")), items, key, rating, seg, event, **kw)
     s = offset_scores(items, b, g, rating, seg)
     o = M.pair_outcomes(tagged, s, key, "score", eps=0.0)

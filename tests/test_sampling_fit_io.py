@@ -182,3 +182,33 @@ def test_files_of_a_table_kept_as_a_folder_go_by_its_name(spark, tmp_path):
     assert files.count() == 6 and {r[0] for r in files.select(I.dataset_name("path", "parquet")).collect()} == {"a.parquet", "b.parquet"}
     rows = spark.read.parquet(str(tmp_path / "a.parquet")).select(I.dataset_name(F.col("_metadata.file_path"), "parquet").alias("name"))
     assert {(r["name"], r["count"]) for r in rows.groupBy("name").count().collect()} == {("a.parquet", 10)}
+
+
+def test_constraints_inside_segments_are_not_joined(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n, levels, shrink = 120, 5, 0.02
+    star, seg = rng.integers(0, 6, n), rng.integers(0, 8, n)
+    items = spark.createDataFrame([(i, int(star[i]), f"s{seg[i]}", "e") for i in range(n)], "id long, star int, seg string, event string")
+    ends = [(int(a), int(b)) for a, b in rng.integers(0, n, (400, 2)) if a != b]
+    ends = [(a, b) if star[a] + 2 * rng.random() > star[b] else (b, a) for a, b in ends]
+    pairs = spark.createDataFrame([(a, b, 1.0 + a % 2) for a, b in ends], "winner long, loser long, weight double")
+    made, whole = [], X.checkpoint
+    monkeypatch.setattr(X, "checkpoint", lambda df: made.append(whole(df)) or made[-1])
+    b, g, norm = X.fit_offsets(pairs, items, "id", "star", "seg", "event", shrink)
+    joined = [d for d in made if "s_winner" in d.columns]
+    assert joined[-1].where("s_winner = s_loser").count() == 0 < joined[0].where("s_winner = s_loser").count()
+    off = {r["seg"]: r["b"] for r in b.collect()}
+    at = np.array([off[f"s{k}"] for k in seg])
+    size = np.bincount(seg, minlength=8)
+    offs = np.array([off[f"s{k}"] for k in range(8)])
+    slope, up = 2 * shrink * size * (offs - (size * offs).sum() / n), np.zeros(levels)
+    for a, z in ends:
+        w = 1.0 + a % 2
+        p = -w / (1 + math.exp(g[star[a]] + at[a] - g[star[z]] - at[z]))
+        slope[seg[a]] += p
+        slope[seg[z]] -= p
+        up += [p * (int(star[a] >= k) - int(star[z] >= k)) for k in range(1, levels + 1)]
+    u = np.diff(g)
+    up[(u <= 0) & (up > 0)] = 0
+    total = sum(1.0 + a % 2 for a, _ in ends)
+    assert norm <= 5e-3 and math.isclose(math.sqrt((slope ** 2).sum() + (up ** 2).sum()) / total, norm, rel_tol=1e-6)
