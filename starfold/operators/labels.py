@@ -34,13 +34,26 @@ def verdict_agreement(labels: DataFrame, gid: str, key: str, star: str, old: str
 
 def label_pairs(labels: DataFrame, gid: str, key: str, star: str, cols: list[str] = ()) -> DataFrame:
     """L2: unequal stars inside a bounded group -> winner, loser, gap and confidence weight."""
-    p = pairs_in_groups(labels, gid, key, [star, *cols]).where(F.col(f"{star}_i") != F.col(f"{star}_j"))
-    up = F.col(f"{star}_i") > F.col(f"{star}_j")
-    gap = F.abs(F.col(f"{star}_i") - F.col(f"{star}_j"))
+    return label_pairs_of(labels, gid, key, {star: star}, cols, "__source").drop("__source")
+
+
+def label_pairs_of(labels: DataFrame, gid: str, key: str, stars: dict[str, str], cols: list[str] = (), out: str = "source") -> DataFrame:
+    """L2 for several ratings of the same items: ``out`` names the rating; the pairs of a group are formed once for all."""
+    rated = list(dict.fromkeys(stars.values()))
+    p = pairs_in_groups(labels, gid, key, [*rated, *[c for c in cols if c not in rated]])
+    if len(stars) == 1:
+        source, star = next(iter(stars.items()))
+        p = p.withColumns({"__source": F.lit(source), "__a": F.col(f"{star}_i"), "__b": F.col(f"{star}_j")})
+    else:
+        p = p.withColumn("__s", F.explode(F.array(*[
+            F.struct(F.lit(n).alias("__source"), F.col(f"{s}_i").alias("__a"), F.col(f"{s}_j").alias("__b")) for n, s in stars.items()]))).select("*", "__s.*")
+    p = p.where(F.col("__a") != F.col("__b"))
+    up = F.col("__a") > F.col("__b")
+    gap = F.abs(F.col("__a") - F.col("__b"))
     pick = lambda c, hi: F.when(up if hi else ~up, F.col(f"{c}_i")).otherwise(F.col(f"{c}_j"))
     return p.select(
         gid, pick(key, True).alias("winner"), pick(key, False).alias("loser"), gap.alias("dstar"), confidence_weight(gap).alias("weight"),
-        *[pick(c, True).alias(f"{c}_winner") for c in cols], *[pick(c, False).alias(f"{c}_loser") for c in cols])
+        *[pick(c, True).alias(f"{c}_winner") for c in cols], *[pick(c, False).alias(f"{c}_loser") for c in cols], F.col("__source").alias(out))
 
 
 def interval_pairs(labels: DataFrame, session: str, key: str, rating: str, split: str) -> DataFrame:

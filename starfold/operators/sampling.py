@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import HASH_SPAN, add_position, as_list, checkpoint, hash_bucket, hash_int, hash_position, match, score_position, sorted_position
+from starfold.core import HASH_SPAN, add_position, as_list, checkpoint, hash_bucket, hash_int, hash_position, match, score_position, sorted_position, written
 
 # Fixed values of the sampling policy.
 ROLES = ("high", "disagreement", "mid", "low", "random")
@@ -395,21 +395,25 @@ def balanced_batches(pairs: DataFrame, domain: str, event: str, group: str, key:
     """Q15: per batch a fixed number of slots per domain; inside a domain event, group and pair are uniform in turn.
 
     Slots are rows; each picks its event, group and pair by index, found with equi-joins on (domain, event, group, pair) indexes.
+    All pairs are counted per group once; only the pairs of groups that a slot picked are numbered.
     """
     keys = pairs.select(domain, event, group, key)
-    ev = hash_position(keys.select(domain, event).distinct(), domain, seed, event, "__ei")
-    gr = hash_position(keys.select(domain, event, group).distinct(), [domain, event], seed, group, "__gi")
-    pr = hash_position(keys, [domain, event, group], seed, key, "__pi")
-    n_ev, n_gr, n_pr = (x.groupBy(*c).agg(F.count(F.lit(1)).alias(n)) for x, c, n in (
-        (ev, [domain], "__en"), (gr, [domain, event], "__gn"), (pr, [domain, event, group], "__pn")))
+    groups = written(keys.groupBy(domain, event, group).agg(F.count(F.lit(1)).alias("__pn")))
+    gr = hash_position(groups, [domain, event], seed, group, "__gi")
+    n_gr = checkpoint(groups.groupBy(domain, event).agg(F.count(F.lit(1)).alias("__gn")))
+    ev = hash_position(n_gr, domain, seed, event, "__ei")
+    n_ev = n_gr.groupBy(domain).agg(F.count(F.lit(1)).alias("__en"))
     edges, at = F.when(F.lit(False), F.lit("")), 0
     for name, k in share.items():
         at += k
         edges = edges.when(F.col("slot") < at, F.lit(name))
     s = pairs.sparkSession.range(batches * size).select(F.floor(F.col("id") / size).alias("batch"), (F.col("id") % size).alias("slot"), F.col("id").alias("__id"))
     s = s.withColumn(domain, edges).join(n_ev, domain).withColumn("__ei", hash_int(f"{seed}-e", "__id") % F.col("__en") + 1).join(ev, [domain, "__ei"])
-    s = s.join(n_gr, [domain, event]).withColumn("__gi", hash_int(f"{seed}-g", "__id") % F.col("__gn") + 1).join(gr, [domain, event, "__gi"])
-    s = s.join(n_pr, [domain, event, group]).withColumn("__pi", hash_int(f"{seed}-p", "__id") % F.col("__pn") + 1).join(pr, [domain, event, group, "__pi"])
+    s = s.withColumn("__gi", hash_int(f"{seed}-g", "__id") % F.col("__gn") + 1).join(gr, [domain, event, "__gi"])
+    s = written(s.withColumn("__pi", hash_int(f"{seed}-p", "__id") % F.col("__pn") + 1))
+    picked = checkpoint(keys.join(s.select(domain, group), [domain, group], "left_semi"))  # by two keys, so that the filter can move below the distinct pairs
+    pr = hash_position(picked, [domain, event, group], seed, key, "__pi")
+    s = s.join(pr, [domain, event, group, "__pi"])
     return s.select("batch", "slot", domain, event, group, key)
 
 

@@ -192,3 +192,12 @@ def test_selector_comparison_sorts_scores_once(spark, monkeypatch):
     for legacy in (False, True):
         sorts.clear()
         assert M.selector_comparison(d, "event", "id", "star", legacy=legacy).count() == 2 and len(sorts) == 1
+
+
+def test_pairs_of_several_ratings_equal_those_of_each(spark):
+    labels = spark.createDataFrame([(f"g{i // 4}", i, i * 7 % 3, i * 5 % 4, i % 2) for i in range(40)], "gid string, id long, a int, b int, e int")
+    both = L.label_pairs_of(labels, "gid", "id", {"x": "a", "y": "b"}, ["e"])
+    one = lambda s: sorted(tuple(r) for r in L.label_pairs(labels, "gid", "id", s, ["e"]).collect())
+    for source, star in (("x", "a"), ("y", "b")):
+        assert sorted(tuple(r) for r in both.where(F.col("source") == source).drop("source").collect()) == one(star)
+    assert both.select("source", "weight", "dstar").count() == len(one("a")) + len(one("b")) > 0

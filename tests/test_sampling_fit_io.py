@@ -212,3 +212,23 @@ def test_constraints_inside_segments_are_not_joined(spark, monkeypatch):
     up[(u <= 0) & (up > 0)] = 0
     total = sum(1.0 + a % 2 for a, _ in ends)
     assert norm <= 5e-3 and math.isclose(math.sqrt((slope ** 2).sum() + (up ** 2).sum()) / total, norm, rel_tol=1e-6)
+
+
+def counted(spark, rows, schema):
+    """A frame of the rows and an accumulator of how many of them were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        seen.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(count), schema), seen
+
+
+def test_balanced_batches_compute_the_pairs_twice_at_most(spark):
+    rows = [("golden" if g % 2 else "window", f"e{g % 3}", f"g{g}", f"p{p}") for g in range(40) for p in range(g % 5 + 1)]
+    pairs, seen = counted(spark, rows, "source string, event string, grp string, pk string")
+    got = Q.balanced_batches(pairs, "source", "event", "grp", "pk", 20, 8, {"golden": 3, "window": 5}).collect()
+    assert len({(r["batch"], r["slot"]) for r in got}) == len(got) == 160 and {tuple(r)[2:] for r in got} <= set(rows)
+    assert all((r["source"] == "golden") == (r["slot"] < 3) for r in got)
+    assert seen.value <= 2 * len(rows)
