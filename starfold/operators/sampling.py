@@ -258,26 +258,28 @@ def cluster_exam(clusters: DataFrame, event: str, seg, key: str, stratum: str, q
 def cluster_cards(items: DataFrame, cluster, key: str, vec: str, latent: str, fallback: str) -> DataFrame:
     """Q9: per cluster the mean pair cosine and the quantile band value of its middle latent score.
 
-    The mean cosine of m unit vectors is (|sum|^2 - m) / (m (m - 1)), so no pairs are formed.
+    The mean cosine of m unit vectors is (|sum|^2 - m) / (m (m - 1)), so no pairs are formed.  Clusters of one row have no card:
+    their rows count for the quantile only, their vectors are left out before they are normalised and summed.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    from starfold.core import dot, rank_in_group
+    from starfold.core import dot, tie_blocks
     from starfold.functions.vectors import l2_normalize
 
     cluster = as_list(cluster)
-    d = items.withColumn("__u", l2_normalize(F.col(vec))).withColumn("__lat", F.coalesce(F.col(latent), F.col(fallback).cast("double")))
-    g = d.groupBy(*cluster).agg(
+    d = written(items.select(*cluster, key, F.coalesce(F.col(latent), F.col(fallback).cast("double")).alias("__lat")))
+    sizes = written(d.groupBy(*cluster).agg(F.count(F.lit(1)).alias("size")).where("size >= 2"))
+    u = items.select(*cluster, vec).join(sizes, cluster, "left_semi").select(*cluster, l2_normalize(F.col(vec)).alias("__u"))
+    g = u.groupBy(*cluster).agg(
         F.count(F.lit(1)).alias("size"), vector_to_array(Summarizer.sum(array_to_vector("__u"))).alias("__sum"), F.sum(dot(F.col("__u"), F.col("__u"))).alias("__self"))
-    g = g.where("size >= 2").withColumn("cos", (dot(F.col("__sum"), F.col("__sum")) - F.col("__self")) / (F.col("size") * (F.col("size") - 1))).drop("__sum", "__self")
-    r = sorted_position(d.select(*cluster, key, "__lat"), cluster, ["__lat", key], "__r").join(g.select(*cluster, "size"), cluster)
-    mid = r.where(F.col("__r") == F.floor(F.col("size") / 2) + 1).select(*cluster, F.col("__lat").alias("mid"))
-    total = items.agg(F.count(F.lit(1)).alias("__n"))
-    low = rank_in_group(d.select("__lat", key), [], "__lat", "__rk").select(F.col("__lat").alias("mid"), "__rk").distinct()
-    ties = d.groupBy(F.col("__lat").alias("mid")).agg(F.count(F.lit(1)).alias("__c"))
-    q = low.join(ties, "mid").crossJoin(F.broadcast(total)).select("mid", ((F.col("__rk") - (F.col("__c") - 1) / 2 - 1) / F.col("__n")).alias("lat_q"))  # one row
-    return g.join(mid, cluster).join(q, "mid")
+    g = g.withColumn("cos", (dot(F.col("__sum"), F.col("__sum")) - F.col("__self")) / (F.col("size") * (F.col("size") - 1))).drop("__sum", "__self")
+    r = sorted_position(d.join(sizes, cluster), cluster, ["__lat", key], "__r")
+    mid = r.where((F.col("__r") == F.floor(F.col("size") / 2) + 1) & F.col("__lat").isNotNull()).select(*cluster, F.col("__lat").alias("mid"))
+    total = d.agg(F.count(F.lit(1)).alias("__n"))
+    low = tie_blocks(d.select("__lat"), [], "__lat").crossJoin(F.broadcast(total))  # one row
+    q = low.select(F.col("__lat").alias("mid"), ((F.col("n_total") - F.col("n_above") - F.col("n")) / F.col("__n")).alias("lat_q"))
+    return g.join(mid, cluster).join(q, "mid", "left")
 
 
 def band_exam(cards: DataFrame, seg, key: str, split: str, quotas_by_band: dict[str, int], test_quota: int, cos_hi: float, hi_share: float, test_hi: int, per_seg: int, seed: str = "band") -> DataFrame:
@@ -289,6 +291,7 @@ def band_exam(cards: DataFrame, seg, key: str, split: str, quotas_by_band: dict[
     band = F.when(F.col(split) == "test", "exam").when(F.col("lat_q") >= 0.67, "train_top").when(F.col("lat_q") >= 0.33, "train_mid").otherwise("train_bot")
     d = d.where(F.col(split).isin("train", "test")).withColumn("band", band)
     d = d.withColumn("__s", F.row_number().over(W.partitionBy(*seg).orderBy("__h", key))).where(F.col("__s") <= per_seg)
+    d = checkpoint(d.drop("__s"))
     caps = {"exam": test_quota, **{f"train_{k}": v for k, v in quotas_by_band.items()}}
     hi_caps = {"exam": test_hi, **{f"train_{k}": int(round(v * hi_share)) for k, v in quotas_by_band.items()}}
     lit_map = lambda m: F.create_map(*[x for k, v in sorted(m.items()) for x in (F.lit(k), F.lit(v))])

@@ -232,3 +232,20 @@ def test_balanced_batches_compute_the_pairs_twice_at_most(spark):
     assert len({(r["batch"], r["slot"]) for r in got}) == len(got) == 160 and {tuple(r)[2:] for r in got} <= set(rows)
     assert all((r["source"] == "golden") == (r["slot"] < 3) for r in got)
     assert seen.value <= 2 * len(rows)
+
+
+def test_cluster_cards_and_band_exam_compute_their_input_a_few_times(spark):
+    rows = [(i, f"c{i // 3 if i < 30 else i}", [float(i % 5 + 1), float(i * 3 % 7)], None if i % 8 == 0 else i * 7 % 11 / 10, i % 3) for i in range(50)]
+    items, seen = counted(spark, rows, "id long, cl string, v array<double>, lat double, star int")
+    cards = Q.cluster_cards(items, ["cl"], "id", "v", "lat", "star")
+    got = {r["cl"]: r for r in cards.collect()}
+    assert seen.value <= 2 * len(rows) and len(got) == 10
+    lat = {i: float(star) if x is None else x for i, _, _, x, star in rows}
+    for c, r in got.items():
+        own = sorted((lat[i], i, v) for i, cl, v, _, _ in rows if cl == c)
+        unit = [np.array(v) / np.linalg.norm(v) for _, _, v in own]
+        assert r["size"] == 3 and r["mid"] == own[1][0] and r["lat_q"] == sum(x < own[1][0] for x in lat.values()) / len(rows)
+        assert abs(r["cos"] - np.mean([unit[0] @ unit[1], unit[0] @ unit[2], unit[1] @ unit[2]])) < 1e-12
+    made, seen = counted(spark, [(f"s{i // 2}", f"c{i}", i % 10 / 10, i % 7 / 7, "test" if i % 3 else "train") for i in range(60)], "seg string, cl string, cos double, lat_q double, split string")
+    exam = Q.band_exam(made, "seg", "cl", "split", {"top": 3, "mid": 3, "bot": 3}, 8, 0.5, 0.4, 4, 1).collect()
+    assert seen.value == 60 and len({r["seg"] for r in exam}) == len(exam) and sum(r["band"] == "exam" for r in exam) == 8
