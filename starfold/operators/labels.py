@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from starfold.core import as_list, hash_int
+from starfold.core import as_list, hash_int, once, written
 from starfold.functions.scalars import confidence_weight, hash_order
 from starfold.operators.joins import cross_class_pairs, pairs_in_groups
 
@@ -128,29 +128,35 @@ def copeland(rounds: DataFrame, gid: str, key: str, star: str, rnd: str) -> Data
     """Majority wins per item (a pair needs >= 2 votes for one side), with groups where a round is missing or undecided.
 
     One row per (group, item): ``wins``, ``status`` of the group (ok, missing_round, undecided_round, no_champion),
-    ``is_champion`` and ``is_top2``.
+    ``is_champion`` and ``is_top2``.  All ratings of an item travel in one row, so a pair is one row too.  Groups are dealt to as
+    many partitions as the session sets: small rows pack so well that adaptive execution would put too many of them in a task.
     """
-    n_rounds = rounds.agg(F.count_distinct(rnd).alias("__rounds"))
-    per = rounds.groupBy(gid, rnd).agg(F.max(star).alias("top"))
-    hits = rounds.join(per, [gid, rnd]).groupBy(gid, rnd, "top").agg(F.count_if(F.col(star) == F.col("top")).alias("k"))
-    state = hits.groupBy(gid).agg(F.count(F.lit(1)).alias("__have"), F.min(((F.col("top") > 0) & (F.col("k") == 1)).cast("int")).alias("__ok"))
-    votes = pairs_in_groups(rounds, [gid, rnd], key, [star])
-    sign = F.signum((F.col(f"{star}_i") - F.col(f"{star}_j")).cast("double"))
-    tally = votes.groupBy(gid, f"{key}_i", f"{key}_j").agg(F.count_if(sign > 0).alias("up"), F.count_if(sign < 0).alias("down"))
+    parts = int(rounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ratings = F.collect_list(F.struct(F.col(rnd).alias("rnd"), F.col(star).alias("star"))).alias("__ratings")
+    dealt = lambda df: df.withColumn("__g", F.struct(gid)).repartition(parts, "__g")
+    items = written(dealt(rounds.select(gid, key, rnd, star)).groupBy("__g", key).agg(ratings).select(f"__g.{gid}", key, "__ratings"))
+    long = items.select(gid, F.explode("__ratings").alias("__x")).select(gid, "__x.*").where(F.col("rnd").isNotNull())
+    n_rounds = long.agg(F.count_distinct("rnd").alias("__rounds"))
+    per = dealt(long).groupBy("__g", "rnd", "star").agg(F.count("star").alias("k"))
+    top = per.groupBy("__g", "rnd").agg(F.max(F.struct("star", "k")).alias("t"))
+    state = top.where(F.col(f"__g.{gid}").isNotNull()).groupBy("__g").agg(F.count(F.lit(1)).alias("__have"), F.min(((F.col("t.star") > 0) & (F.col("t.k") == 1)).cast("int")).alias("__ok"))
+    pairs = pairs_in_groups(items, gid, key, ["__ratings"], parts=parts)
+    votes = lambda a, b: F.aggregate(F.col(a), F.lit(0), lambda n, x: n + F.size(F.filter(F.col(b), lambda y: x["rnd"].eqNullSafe(y["rnd"]) & (x["star"] > y["star"]))))
+    tally = pairs.select(gid, f"{key}_i", f"{key}_j", votes("__ratings_i", "__ratings_j").alias("up"), votes("__ratings_j", "__ratings_i").alias("down"))
     won = F.when((F.col("up") > F.col("down")) & (F.col("up") >= 2), F.col(f"{key}_i")).when(
         (F.col("down") > F.col("up")) & (F.col("down") >= 2), F.col(f"{key}_j"))
-    wins = tally.select(gid, won.alias(key)).where(F.col(key).isNotNull()).groupBy(gid, key).agg(F.count(F.lit(1)).alias("wins"))
-    members = rounds.select(gid, key).distinct().join(wins, [gid, key], "left").fillna(0, ["wins"])
-    w = W.partitionBy(gid).orderBy(F.col("wins").desc(), key)
+    won = once(tally, key, won).where(F.col(key).isNotNull()).select(gid, key, F.lit(1).alias("__won"))
+    members = dealt(items.select(gid, key, F.lit(0).alias("__won")).unionByName(won)).groupBy("__g", key).agg(F.sum("__won").alias("wins"))
+    w = W.partitionBy("__g").orderBy(F.col("wins").desc(), key)
     ranked = members.withColumn("__r", F.row_number().over(w)).withColumn(
-        "__second", F.max(F.when(F.col("__r") == 2, F.col("wins"))).over(W.partitionBy(gid))).withColumn(
-        "__best", F.max("wins").over(W.partitionBy(gid)))
-    j = ranked.join(state, gid).crossJoin(F.broadcast(n_rounds))
+        "__second", F.max(F.when(F.col("__r") == 2, F.col("wins"))).over(W.partitionBy("__g"))).withColumn(
+        "__best", F.max("wins").over(W.partitionBy("__g")))
+    j = ranked.join(state, "__g").crossJoin(F.broadcast(n_rounds))
     status = F.when(F.col("__have") < F.col("__rounds"), "missing_round").when(F.col("__ok") == 0, "undecided_round").when(
         F.col("__second") == F.col("__best"), "no_champion").otherwise("ok")
     good = status == "ok"
     return j.select(
-        gid, key, "wins", status.alias("status"), (good & (F.col("__r") == 1)).cast("int").alias("is_champion"),
+        F.col(f"__g.{gid}").alias(gid), key, "wins", status.alias("status"), (good & (F.col("__r") == 1)).cast("int").alias("is_champion"),
         (good & (F.col("wins") >= F.coalesce("__second", F.lit(0)))).cast("int").alias("is_top2"))
 
 

@@ -201,3 +201,31 @@ def test_pairs_of_several_ratings_equal_those_of_each(spark):
     for source, star in (("x", "a"), ("y", "b")):
         assert sorted(tuple(r) for r in both.where(F.col("source") == source).drop("source").collect()) == one(star)
     assert both.select("source", "weight", "dstar").count() == len(one("a")) + len(one("b")) > 0
+
+
+def test_copeland_computes_the_ratings_once(spark):
+    rows = [(f"g{i % 9}", i, r, None if (i + r) % 23 == 0 else (i * 7 + r * i) % 5) for i in range(45) for r in range(3) if (i % 9, r) != (4, 2)] + [("g1", 1, 0, 4)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        seen.add(1)
+        return row
+
+    rounds = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(count), "gid string, id long, rnd int, st int")
+    got = {(r["gid"], r["id"]): r for r in L.copeland(rounds, "gid", "id", "st", "rnd").collect()}
+    assert set(got) == {(g, i) for g, i, _, _ in rows} and seen.value == len(rows)
+    for g in {g for g, *_ in rows}:
+        stars = {r: [(i, s) for h, i, q, s in rows if h == g and q == r] for r in range(3)}
+        wins = {i: 0 for h, i, _, _ in rows if h == g}
+        for i in wins:
+            for j in wins:
+                votes = [(a > b) - (a < b) for r in stars for k, a in stars[r] if k == i for m, b in stars[r] if m == j and None not in (a, b)]
+                wins[i] += votes.count(1) >= 2 and votes.count(1) > votes.count(-1)
+        tops = [[s for _, s in v if s is not None] for v in stars.values() if v]
+        order = sorted(wins, key=lambda i: (-wins[i], i))
+        status = "missing_round" if len(tops) < 3 else "undecided_round" if any(max(t) == 0 or t.count(max(t)) > 1 for t in tops) else "no_champion" if wins[order[0]] == wins[order[1]] else "ok"
+        for i in wins:
+            row = got[g, i]
+            assert (row["wins"], row["status"]) == (wins[i], status) and row["is_champion"] == (status == "ok" and i == order[0])
+            assert row["is_top2"] == (status == "ok" and wins[i] >= wins[order[1]])
+    assert len({r["status"] for r in got.values()}) > 2
