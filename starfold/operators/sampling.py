@@ -104,16 +104,21 @@ def capped_pairs(candidates: DataFrame, max_uses: int, quota: int, seed: str, do
         pending = checkpoint(open_.select("stratum", "id_i", "id_j", "__h"))
         if pending.isEmpty():
             return done
-        ends = pending.select("stratum", "id_i", "id_j", "__h", F.explode(F.array("id_i", "id_j")).alias("__e"))
-        order = W.partitionBy("__e").orderBy("__h", "stratum", "id_i", "id_j")
-        ranked = ends.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= max_uses)
-        ranked = ranked.join(used, "__e", "left").where(F.col("__r") <= max_uses - F.coalesce("__u", F.lit(0)))
-        good = ranked.groupBy("stratum", "id_i", "id_j", "__h").agg(F.count(F.lit(1)).alias("__k")).where("__k = 2").drop("__k")
-        good = good.withColumn("__p", F.row_number().over(W.partitionBy("stratum").orderBy("__h", "id_i", "id_j"))).join(have, "stratum", "left")
-        good = good.where(F.col("__p") <= quota - F.coalesce("__n", F.lit(0))).select("stratum", "id_i", "id_j")
+        good = _capped_round(pending, used, have, max_uses, quota)
         done = checkpoint(done.select("stratum", "id_i", "id_j").unionByName(good))
 
 
+def _capped_round(pending: DataFrame, used: DataFrame, have: DataFrame, max_uses: int, quota: int) -> DataFrame:
+    """The pairs one round accepts; whether a pair is accepted depends only on pairs that come earlier in hash order."""
+    ends = pending.select("stratum", "id_i", "id_j", "__h", F.explode(F.array("id_i", "id_j")).alias("__e"))
+    order = W.partitionBy("__e").orderBy("__h", "stratum", "id_i", "id_j")
+    ranked = ends.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= max_uses)
+    ranked = ranked.join(used, "__e", "left").where(F.col("__r") <= max_uses - F.coalesce("__u", F.lit(0)))
+    good = ranked.groupBy("stratum", "id_i", "id_j", "__h").agg(F.count(F.lit(1)).alias("__k")).where("__k = 2").drop("__k")
+    good = good.withColumn("__p", F.row_number().over(W.partitionBy("stratum").orderBy("__h", "id_i", "id_j"))).join(have, "stratum", "left")
+    return good.where(F.col("__p") <= quota - F.coalesce("__n", F.lit(0))).select("stratum", "id_i", "id_j")
+
+
 STRATA = ("same_star_cross_event", "cross_star_cross_event", "same_star_cross_segment", "extremes")
 
 
@@ -124,7 +129,7 @@ def pair_shortage(pairs: DataFrame, quota: int) -> DataFrame:
     return names.join(n, "stratum", "left").select("stratum", F.coalesce("n", F.lit(0)).alias("n"), F.greatest(F.lit(0), quota - F.coalesce("n", F.lit(0))).alias("short"))
 
 
-def pair_strata(items: DataFrame, key: str, rating: str, event: str, seg, quota: int, max_uses: int = 2, seed: str = "strata", tries: int = 4) -> DataFrame:
+def pair_strata(items: DataFrame, key: str, rating: str, event: str, seg, quota: int, max_uses: int = 2, seed: str = "strata", tries: int = 4, head: int = 4000) -> DataFrame:
     """Q4: labelled-pair candidates: same star across events, other star across events by gap, same star across segments
     of one event, extremes (4-5 against 0-1) across events; an item is used at most ``max_uses`` times, sides are random.
 
@@ -133,10 +138,13 @@ def pair_strata(items: DataFrame, key: str, rating: str, event: str, seg, quota:
     segments, all against all.  They are more than twice ``max_uses``, so if any pair is still allowed, one of them is; it ends
     when every stratum is full or no pair is allowed.  A stratum costs a few rows per item and never a product of its
     groups.  ``pair_shortage`` tells what is missing.
+
+    Pairs are accepted in hash order, so the pairs up to a hash that about ``head * quota`` candidates do not exceed are looked at
+    first.  If they fill every stratum in one round, later pairs cannot change the result; if not, all candidates are ranked.
     """
     seg = as_list(seg)
     where = F.struct(*seg)
-    base = items.select(F.col(key).alias("id"), F.col(rating).alias("r"), F.col(event).alias("e"), where.alias("s"))
+    base = written(items.select(F.col(key).alias("id"), F.col(rating).alias("r"), F.col(event).alias("e"), where.alias("s")))
     low, high = F.col("r") <= 1, F.col("r") >= 4
     blocks = [
         ("same_star_cross_event", F.concat(F.lit("r"), F.col("r").cast("string")), F.lit(True), "e_i <> e_j and r_i = r_j"),
@@ -154,13 +162,25 @@ def pair_strata(items: DataFrame, key: str, rating: str, event: str, seg, quota:
     rule = F.lit(False)
     for n, _, _, cond in blocks:
         rule = rule | ((F.col("stratum") == n) & F.expr(cond))
-    def allowed(pairs: DataFrame) -> DataFrame:
+    lesser, greater = F.least("id_i", "id_j"), F.greatest("id_i", "id_j")
+    def allowed(pairs: DataFrame, last: int | None = None) -> DataFrame:
         pairs = pairs.where((F.col("id_i") != F.col("id_j")) & rule)
+        if last is not None:  # a pair stays in all its strata or in none, since the first of them gets it
+            pairs = pairs.where(F.least(F.lit(1 << 32), *[F.when(F.expr(cond), hash_int(seed, F.lit(n), lesser, greater)) for n, _, _, cond in blocks]) <= last)
         pairs = pairs.select("stratum", F.least("id_i", "id_j").alias("id_i"), F.greatest("id_i", "id_j").alias("id_j")).distinct()
         first = F.row_number().over(W.partitionBy("id_i", "id_j").orderBy("stratum"))
         return pairs.withColumn("__f", first).where("__f = 1").drop("__f")
 
-    picked, n = capped_pairs(allowed(left.join(right, ["stratum", "pool", "rank"])), max_uses, quota, seed), -1
+    matched, n, picked = left.join(right, ["stratum", "pool", "rank"]), -1, None
+    last = (head * quota << 32) // max(1, base.count() * len(blocks) * tries)
+    if last < 1 << 32:
+        first = checkpoint(allowed(matched, last).withColumn("__h", hash_int(seed, "stratum", "id_i", "id_j")).where(F.col("__h") <= last))
+        none = first.limit(0)
+        picked = checkpoint(_capped_round(first, none.select(F.col("id_i").alias("__e"), F.lit(0).alias("__u")), none.select("stratum", F.lit(0).alias("__n")), max_uses, quota))
+        if picked.count() < quota * len(blocks):
+            picked = None
+    if picked is None:
+        picked = capped_pairs(allowed(matched), max_uses, quota, seed)
     pools = tagged.groupBy("stratum", "pool", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("stratum").agg(F.count(F.lit(1)).alias("pools"))
     pools = checkpoint(pools.select("stratum", F.greatest(F.lit(2 * max_uses + 1), F.ceil(F.lit(2 * quota) / F.col("pools"))).alias("__take")))
     while (before := n) < (n := picked.count()):

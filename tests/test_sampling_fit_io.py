@@ -249,3 +249,12 @@ def test_cluster_cards_and_band_exam_compute_their_input_a_few_times(spark):
     made, seen = counted(spark, [(f"s{i // 2}", f"c{i}", i % 10 / 10, i % 7 / 7, "test" if i % 3 else "train") for i in range(60)], "seg string, cl string, cos double, lat_q double, split string")
     exam = Q.band_exam(made, "seg", "cl", "split", {"top": 3, "mid": 3, "bot": 3}, 8, 0.5, 0.4, 4, 1).collect()
     assert seen.value == 60 and len({r["seg"] for r in exam}) == len(exam) and sum(r["band"] == "exam" for r in exam) == 8
+
+
+def test_pair_strata_rank_the_head_of_the_candidates_with_the_same_pairs(spark, monkeypatch):
+    items = spark.range(6000).selectExpr("id", "concat('e', id % 4) AS event", "id div 40 AS seg", "cast(id * 7 % 6 as int) AS star")
+    pairs = lambda **k: sorted(tuple(r) for r in Q.pair_strata(items, "id", "star", "event", ["event", "seg"], 4, **k).collect())
+    every, calls, ranked = pairs(head=1 << 40), [], Q.capped_pairs
+    monkeypatch.setattr(Q, "capped_pairs", lambda *a: calls.append(1) or ranked(*a))
+    assert pairs() == every and len(every) == 16 and not calls
+    assert pairs(head=1) == every and calls == [1]  # too short a head: all candidates are ranked
