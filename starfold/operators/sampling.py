@@ -156,9 +156,9 @@ def pair_strata(items: DataFrame, key: str, rating: str, event: str, seg, quota:
         F.struct(F.lit(n).alias("stratum"), F.when(use, pool).alias("pool")) for n, pool, use, _ in blocks])).alias("b")).select("*", "b.*").drop("b").where("pool is not null")
     a = hash_position(tagged, ["stratum", "pool"], f"{seed}-a", "id", "rank")
     b = hash_position(tagged, ["stratum", "pool"], f"{seed}-b", "id", "rank")
-    shifts = F.explode(F.array(*[F.lit(k) for k in range(tries)]))
-    left = a.withColumn("__shift", shifts).select("stratum", "pool", (F.col("rank") + F.col("__shift")).alias("rank"), *[F.col(c).alias(f"{c}_i") for c in ("id", "r", "e", "s")])
-    right = b.select("stratum", "pool", "rank", *[F.col(c).alias(f"{c}_j") for c in ("id", "r", "e", "s")])
+    spot = lambda shift: F.floor((F.col("rank") + shift) / tries)
+    left = a.withColumn("__at", F.explode(F.sequence(spot(0), spot(tries - 1)))).select("stratum", "pool", "__at", F.col("rank").alias("rank_i"), *[F.col(c).alias(f"{c}_i") for c in ("id", "r", "e", "s")])
+    right = b.select("stratum", "pool", spot(0).alias("__at"), F.col("rank").alias("rank_j"), *[F.col(c).alias(f"{c}_j") for c in ("id", "r", "e", "s")])
     rule = F.lit(False)
     for n, _, _, cond in blocks:
         rule = rule | ((F.col("stratum") == n) & F.expr(cond))
@@ -171,7 +171,7 @@ def pair_strata(items: DataFrame, key: str, rating: str, event: str, seg, quota:
         first = F.row_number().over(W.partitionBy("id_i", "id_j").orderBy("stratum"))
         return pairs.withColumn("__f", first).where("__f = 1").drop("__f")
 
-    matched, n, picked = left.join(right, ["stratum", "pool", "rank"]), -1, None
+    matched, n, picked = left.join(right, ["stratum", "pool", "__at"]).where((F.col("rank_j") - F.col("rank_i")).between(0, tries - 1)), -1, None
     last = (head * quota << 32) // max(1, base.count() * len(blocks) * tries)
     if last < 1 << 32:
         first = checkpoint(allowed(matched, last).withColumn("__h", hash_int(seed, "stratum", "id_i", "id_j")).where(F.col("__h") <= last))
